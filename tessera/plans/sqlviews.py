@@ -40,9 +40,16 @@ risk AS (
 )"""
 
 
+def _with(cte: str, body: str) -> str:
+    b = body.lstrip()
+    if b[:5].upper() == "WITH ":
+        return "WITH " + cte + ",\n" + b[5:]
+    return "WITH " + cte + "\n" + b
+
+
 def with_sales(body: str) -> str:
-    return "WITH " + SALES_CTE + "\n" + body
+    return _with(SALES_CTE, body)
 
 
 def with_risk(body: str) -> str:
-    return "WITH " + RISK_CTE + "\n" + body
+    return _with(RISK_CTE, body)
