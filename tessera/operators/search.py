@@ -160,30 +160,86 @@ def threshold(hits: DataFrame, min_similarity: float | None = None,
 
 
 # ---------------------------------------------------------------------------
-# Approximate search: random-projection LSH + exact re-score
+# Approximate search: inverted-file cells (k-means), probed cells re-scored exactly
 # ---------------------------------------------------------------------------
 
+CELL_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("cell", T.IntegerType()),
+                            T.StructField("qv", T.ArrayType(T.FloatType()))])
 
-def ann_lsh(spark: SparkSession, queries: DataFrame, items: DataFrame, k: int, q_id: str, q_vec: str,
-            i_id: str, i_vec: str, bucket_length: float = 0.5, num_tables: int = 8,
-            threshold_dist: float = 1.2, seed: int = 7) -> DataFrame:
-    """Approximate top-k: MLlib ``BucketedRandomProjectionLSH`` similarity join
-    on unit vectors (Euclidean distance ``d`` ↔ cosine ``1 - d²/2``), then exact
-    ranking of the candidates.  Candidate pairs are only those sharing a hash
-    bucket, so the work stays far below queries × items."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+
+def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "vec",
+        i_id: str = "item_id", i_vec: str = "vec", exclude_self: bool = False, n_cells: int | None = None,
+        n_probe: int = 4, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+    """Approximate top-``k`` by cosine (re-aim of an HNSW index).
+
+    Items are clustered into ``n_cells`` cells with MLlib k-means (cosine
+    distance); each query probes its ``n_probe`` nearest cell centres and is
+    scored exactly against the items of those cells only.  A cell larger than
+    ``block_rows`` is split into sub-blocks by item hash, so a hot cell never
+    lands in one task; queries are replicated to the sub-blocks of the cells
+    they probe.  Centres (≤ 1024 × dim) and the cell-size table are the only
+    broadcast data, both bounded independently of the item count... except
+    the sub-block table, whose size is checked before broadcasting.
+    """
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from tessera.functions.vectors import l2_normalize
-
-    qv = valid_vectors(queries, q_vec).select(F.col(q_id).cast("long").alias("qid"),
-                                              array_to_vector(l2_normalize(q_vec)).alias("features"))
-    iv = valid_vectors(items, i_vec).select(F.col(i_id).cast("long").alias("iid"),
-                                            array_to_vector(l2_normalize(i_vec)).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables, seed=seed)
-    model = lsh.fit(iv)
-    pairs = model.approxSimilarityJoin(qv, iv, threshold_dist, distCol="dist")
-    cands = pairs.select(F.col("datasetA.qid").alias("query_id"), F.col("datasetB.iid").alias("item_id"),
-                         F.round(F.lit(1.0) - F.col("dist") * F.col("dist") / 2, 9).alias("score"))
+    spark = queries.sparkSession
+    q = valid_vectors(queries, q_vec).select(F.col(q_id).cast("long").alias("qid"), F.col(q_vec).alias("qv"))
+    it = valid_vectors(items, i_vec).select(F.col(i_id).cast("long").alias("iid"), F.col(i_vec).alias("iv"))
+    n_items = it.count()
+    if n_items == 0:
+        return _final_topk(spark.createDataFrame([], HIT_SCHEMA), k)
+    cells = n_cells or max(1, min(1024, int(math.sqrt(n_items))))
+    feats = it.withColumn("features", array_to_vector("iv"))
+    model = KMeans(k=cells, seed=seed, maxIter=20, distanceMeasure="cosine",
+                   featuresCol="features", predictionCol="cell").fit(feats)
+    centers = np.vstack(model.clusterCenters())
+    centers = centers / (np.linalg.norm(centers, axis=1, keepdims=True) + EPS)
+    bc = spark.sparkContext.broadcast(centers)
+    probe = min(n_probe, centers.shape[0])
+
+    assigned = model.transform(feats).select("iid", "iv", F.col("cell").cast("int").alias("cell"))
+    sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"))
+    subs = sizes.select("cell", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block_rows) - 1)
+                                                     .cast("int"))).alias("sub"),
+                        F.ceil(F.col("n") / block_rows).cast("int").alias("nsub"))
+    subs_b = F.broadcast(subs) if fits(subs, 200_000) else subs
+    items_c = (assigned.join(F.broadcast(sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int")
+                                                     .alias("nsub"))), "cell")
+               .withColumn("sub", F.pmod(F.xxhash64("iid"), F.col("nsub")).cast("int")).drop("nsub"))
+
+    def nearest_cells(batches):
+        c = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["qv"]])
+            m = m / (np.linalg.norm(m, axis=1, keepdims=True) + EPS)
+            top = np.argsort(-(m @ c.T), axis=1)[:, :probe]
+            yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(np.int64), probe),
+                                "cell": top.reshape(-1).astype(np.int32),
+                                "qv": np.repeat(pdf["qv"].to_numpy(), probe)})
+
+    q_cells = q.mapInPandas(nearest_cells, CELL_SCHEMA).join(subs_b, "cell").drop("nsub")
+
+    def cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        if ipdf.empty or qpdf.empty:
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
+                                 "item_id": pd.Series([], dtype="int64"),
+                                 "score": pd.Series([], dtype="float64")})
+        i_mat, i_norm = _matrix(ipdf["iv"])
+        q_mat, q_norm = _matrix(qpdf["qv"])
+        return _local_topk(qpdf["qid"].to_numpy(np.int64), q_mat, q_norm,
+                           ipdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self)
+
+    cands = (items_c.groupBy("cell", "sub").cogroup(q_cells.groupBy("cell", "sub"))
+             .applyInPandas(cell, HIT_SCHEMA))
     return _final_topk(cands, k)
+
+
+def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of exact (query, item) hits the approximate search found."""
+    hit = exact.select("query_id", "item_id").join(approx.select("query_id", "item_id", F.lit(1).alias("f")),
+                                                   ["query_id", "item_id"], "left")
+    return hit.agg(F.avg(F.coalesce("f", F.lit(0))).alias("recall"))
