@@ -178,6 +178,27 @@ def match_contains(left: DataFrame, text_col: str, phrases: DataFrame,
                 .select(*keys, "_m.*"))
 
 
+def match_small_phrases(left: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
+                        ord_col: str, out_cols: list[str], max_phrases: int = 1000) -> DataFrame:
+    """Substring match against a small, size-checked phrase table: the
+    phrases become one ``CASE`` chain in declaration order, evaluated row by
+    row where the data lies — no join, no shuffle.  Larger phrase tables go
+    through :func:`match_contains`."""
+    from tessera.session import fits
+
+    if not fits(phrases, max_phrases):
+        m = match_contains(left, text_col, phrases, phrase_col, ord_col)
+        return m.select(*left.columns, *out_cols)
+    rows = phrases.orderBy(ord_col).collect()
+    lt = F.lower(F.col(text_col))
+    hit = None
+    for r in rows:
+        val = F.struct(*[F.lit(r[c]).alias(c) for c in out_cols])
+        cond = lt.contains(r[phrase_col])
+        hit = F.when(cond, val) if hit is None else hit.when(cond, val)
+    return left.withColumn("_m", hit).select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in out_cols])
+
+
 # ---------------------------------------------------------------------------
 # Aggregation helpers
 # ---------------------------------------------------------------------------

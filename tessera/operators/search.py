@@ -81,16 +81,22 @@ def _final_topk(cands: DataFrame, k: int) -> DataFrame:
 
 def knn(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "vec",
         i_id: str = "item_id", i_vec: str = "vec", exclude_self: bool = False,
-        max_broadcast: int = MAX_BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        max_broadcast: int = MAX_BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS,
+        small_items: int = 0) -> DataFrame:
     """Exact top-``k`` items per query by cosine similarity.
 
     Returns ``query_id, item_id, score, rank`` (rank 1 = most similar).
     Null/empty vectors on either side are skipped.  Ids must be integers.
+    With ``small_items > 0`` and an item side proven that small (a template
+    or intent table), the items are broadcast instead and every query row is
+    answered where it lies: no shuffle at all.
     """
     q = valid_vectors(queries, q_vec).select(F.col(q_id).cast("long").alias("qid"),
                                              F.col(q_vec).alias("qv"))
     it = valid_vectors(items, i_vec).select(F.col(i_id).cast("long").alias("iid"),
                                             F.col(i_vec).alias("iv"))
+    if small_items and fits(it, small_items):
+        return _knn_items_broadcast(q, it, k, exclude_self)
     if fits(q, max_broadcast):
         cands = _knn_broadcast(q, it, k, exclude_self)
     else:
@@ -118,6 +124,32 @@ def _knn_broadcast(q: DataFrame, it: DataFrame, k: int, exclude_self: bool) -> D
     return it.mapInPandas(score, HIT_SCHEMA)
 
 
+RANKED_SCHEMA = T.StructType(HIT_SCHEMA.fields + [T.StructField("rank", T.IntegerType())])
+
+
+def _knn_items_broadcast(q: DataFrame, it: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    spark = q.sparkSession
+    rows = it.collect()  # size proven by fits()
+    if not rows:
+        return spark.createDataFrame([], RANKED_SCHEMA)
+    i_ids = np.array([r["iid"] for r in rows], dtype=np.int64)
+    i_mat, i_norm = _matrix([r["iv"] for r in rows])
+    bc = spark.sparkContext.broadcast((i_ids, i_mat, i_norm))
+
+    def score(batches):
+        ii, im, inn = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            q_mat, q_norm = _matrix(pdf["qv"])
+            out = _local_topk(pdf["qid"].to_numpy(np.int64), q_mat, q_norm, ii, im, inn, k, exclude_self)
+            # rows come grouped by query in rank order
+            out["rank"] = out.groupby("query_id", sort=False).cumcount().astype("int32") + 1
+            yield out
+
+    return q.mapInPandas(score, RANKED_SCHEMA)
+
+
 def _knn_blocked(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
     n_q = q.count()
     n_i = it.count()
