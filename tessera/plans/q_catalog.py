@@ -1 +1,196 @@
-"""placeholder"""
+"""Registered catalog-profiling and document-building queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as X
+from tessera.operators import catalog as C
+from tessera.operators.relational import union_all
+from tessera.plans import index_build as IB
+from tessera.plans.registry import query
+from tessera.sources.writes import append_new_docs, upsert
+from tessera.tables import load
+
+# The lineitem columns, in schema order, and the ones profiled
+# (text and integer columns).
+LINEITEM_COLUMNS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+LINEITEM_PROFILED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+
+
+def _comments_values() -> str:
+    rows = []
+    for t, c, d in IB.COMMENTS:
+        rows.append("('{}', {}, {})".format(t, "NULL" if c is None else f"'{c}'",
+                                             "NULL" if d is None else "'" + d.replace("'", "''") + "'"))
+    return "cm AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(table_name, column_name, comments))"
+
+
+def _counts_sql() -> str:
+    return "cnt AS (" + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, COUNT(*) AS num_rows FROM {t}" for t in IB.CATALOG_TABLES) + ")"
+
+
+@query("table_stats", "WITH " + _counts_sql() + " SELECT 'TPCH' AS owner, table_name, num_rows FROM cnt")
+def q_table_stats(spark, d):
+    return C.table_counts(IB.frames(spark, d))
+
+
+@query("join_left", "WITH " + _counts_sql() + ", " + _comments_values() + """
+SELECT c.table_name, c.num_rows, cm.comments AS table_comment
+FROM cnt c LEFT JOIN (SELECT * FROM cm WHERE column_name IS NULL) cm ON cm.table_name = c.table_name""")
+def q_join_left(spark, d):
+    """Tables (row counts measured) ⟕ table comments on (owner, table_name)."""
+    t = C.catalog_tables(C.table_counts(IB.frames(spark, d)), IB.comments_table(spark))
+    return t.select("table_name", "num_rows", "table_comment")
+
+
+def _profile_sql(table: str, cols) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS n_null, COUNT(DISTINCT {c}) AS n_distinct FROM {table}"
+        for c in cols)
+
+
+@query("join_using3", "WITH " + _comments_values() + ", prof AS (" + _profile_sql("lineitem", LINEITEM_COLUMNS) + """),
+cols AS (SELECT * FROM (VALUES """ + ", ".join(f"('{c}', {i + 1})" for i, c in enumerate(LINEITEM_COLUMNS)) + """) t(column_name, column_id))
+SELECT 'lineitem' AS table_name, c.column_name, CAST(c.column_id AS INTEGER) AS column_id, cm.comments,
+       p.n_null, p.n_distinct
+FROM cols c JOIN prof p USING (column_name)
+LEFT JOIN (SELECT * FROM cm WHERE table_name = 'lineitem') cm USING (column_name)""")
+def q_join_using3(spark, d):
+    """Column metadata ⟕ comments USING (owner, table_name, column_name),
+    joined with the measured column profile on the same three keys."""
+    li = load(spark, d, "lineitem")
+    cols = C.catalog_columns(C.columns_of(spark, {"lineitem": li}), IB.comments_table(spark))
+    prof = C.column_profile(li, "lineitem")
+    j = cols.join(prof, ["owner", "table_name", "column_name"])
+    return j.select("table_name", "column_name", "column_id", "comments", "n_null", "n_distinct")
+
+
+@query("join_inner2", "WITH " + _counts_sql() + """,
+cols AS (SELECT table_name AS tbl, column_name FROM information_schema.columns
+         WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in IB.CATALOG_TABLES) + """))
+SELECT c.table_name, c.num_rows, CAST(COUNT(*) AS BIGINT) AS n_columns
+FROM cnt c JOIN cols k ON c.table_name = k.tbl GROUP BY c.table_name, c.num_rows""")
+def q_join_inner2(spark, d):
+    """tables ⋈ columns on differently named keys (table_name = tbl)."""
+    fr = IB.frames(spark, d)
+    t = C.table_counts(fr)
+    cols = C.columns_of(spark, fr).select(F.col("table_name").alias("tbl"), "column_name")
+    j = t.join(cols, t.table_name == cols.tbl)
+    return j.groupBy("table_name", "num_rows").agg(F.count(F.lit(1)).alias("n_columns"))
+
+
+@query("top_values", "WITH u AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM lineitem" for c in LINEITEM_PROFILED) + """),
+c AS (SELECT column_name, value, COUNT(*) AS cnt FROM u WHERE value IS NOT NULL GROUP BY ALL)
+SELECT column_name, value, cnt, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY cnt DESC, value) AS rank FROM c) WHERE rank <= 50""")
+def q_top_values(spark, d):
+    """Top-50 values per text/integer column of lineitem, one pass."""
+    return C.top_values(load(spark, d, "lineitem"), 50)
+
+
+@query("infer_keys", "WITH " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS n, COUNT({c}) AS n_non_null, COUNT(DISTINCT {c}) AS n_distinct FROM orders"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    .join(["s AS (", ")"]) + """
+SELECT 'orders' AS table_name, column_name, n, n_non_null, n_distinct, n_non_null = n AND n_distinct = n AS is_unique FROM s""")
+def q_infer_keys(spark, d):
+    """Key candidates of orders: complete and distinct columns."""
+    return C.infer_keys(load(spark, d, "orders"), "orders")
+
+
+@query("infer_fk", " UNION ALL ".join(
+    f"SELECT '{c}' AS child_table, '{cc}' AS child_column, '{p}' AS parent_table, "
+    f"(SELECT COUNT(*) FROM {c} WHERE {cc} IS NOT NULL AND {cc} NOT IN (SELECT {pc} FROM {p} WHERE {pc} IS NOT NULL)) AS orphans"
+    for c, cc, p, pc in IB.FK_CANDIDATES))
+def q_infer_fk(spark, d):
+    """Inclusion test of every candidate foreign key (0 orphans → holds)."""
+    fr = IB.frames(spark, d)
+    parts = [C.infer_fk(fr[c], cc, fr[p], pc).select(F.lit(c).alias("child_table"), F.lit(cc).alias("child_column"),
+                                                      F.lit(p).alias("parent_table"), "orphans")
+             for c, cc, p, pc in IB.FK_CANDIDATES]
+    return union_all(*parts)
+
+
+@query("catalog_columns")
+def q_catalog_columns(spark, d):
+    """Catalog snapshot: column metadata with comments for every indexed table."""
+    return IB.snapshot(spark, d)["columns"]
+
+
+@query("table_cards")
+def q_table_cards(spark, d):
+    """One card per table: rows, comment, typed columns with top values, keys."""
+    s = IB.snapshot(spark, d)
+    return C.table_cards(s["tables"], s["columns"], s["constraints"], s["indexes"], s["samples"])
+
+
+@query("column_docs")
+def q_column_docs(spark, d):
+    s = IB.snapshot(spark, d)
+    return union_all(C.column_docs(s["columns"]).select("table_name", F.col("doc").alias("body")),
+                     C.view_cards(s["views"]).select("table_name", "body"),
+                     C.rel_cards(s["constraints"]).select("table_name", "body"))
+
+
+@query("ddl_docs")
+def q_ddl_docs(spark, d):
+    return C.ddl_docs(IB.snapshot(spark, d)["columns"])
+
+
+@query("schema_context")
+def q_schema_context(spark, d):
+    return C.schema_context(IB.snapshot(spark, d)["columns"])
+
+
+@query("ddl_excerpt")
+def q_ddl_excerpt(spark, d):
+    """DDL of one table and the first-20 excerpt of the owner."""
+    ddl = C.ddl_docs(IB.snapshot(spark, d)["columns"])
+    return C.ddl_excerpt(ddl, "tpch", "lineitem").withColumn("scope", F.lit("lineitem")).unionByName(
+        C.ddl_excerpt(ddl, "tpch").withColumn("scope", F.lit("owner")))
+
+
+@query("union_docs")
+def q_union_docs(spark, d):
+    """TABLE, VIEW and REL documents of the catalog, unioned."""
+    docs = IB.documents(spark, IB.snapshot(spark, d))
+    return docs.select("doc_type", "source_name", "title", X.content_hash("body").alias("hash"),
+                       F.length("body").alias("n_chars"))
+
+
+@query("index_build")
+def q_index_build(spark, d):
+    """Catalog documents deduplicated, chunked and embedded."""
+    return IB.build_index(spark, d).select("doc_id", "doc_type", "source_name", "chunk_ix", "tokens",
+                                           F.size("embedding").alias("dim"))
+
+
+@query("dedupe_docs", """
+WITH b AS (SELECT doc_id, sha256(text) AS h FROM documents),
+f AS (SELECT min(doc_id) AS doc_id, h FROM b GROUP BY h)
+SELECT doc_id, h AS hash FROM f WHERE h NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')""")
+def q_dedupe_docs(spark, d):
+    """Insert-if-absent by content hash: all documents offered to a store that
+    already holds the English ones; one row per new hash."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    store = load(spark, d, "documents").where(F.col("lang") == "en").select(X.content_hash("text").alias("hash"))
+    return append_new_docs(store, docs).select("doc_id", "hash")
+
+
+@query("upsert_by_key", """
+WITH upd AS (SELECT d.doc_id, d.text || ' [quality=' || CAST(l.quality AS VARCHAR) || ']' AS text
+             FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+t AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM upd)
+      UNION ALL SELECT doc_id, text FROM upd)
+SELECT doc_id, sha256(text) AS hash FROM t""")
+def q_upsert(spark, d):
+    """Documents upserted by ``doc_id`` with their labelled revisions."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    lab = load(spark, d, "labels")
+    upd = docs.join(lab, "doc_id").select(
+        "doc_id", F.concat("text", F.lit(" [quality="), F.col("quality").cast("string"), F.lit("]")).alias("text"))
+    return upsert(docs, upd, "doc_id").select("doc_id", X.content_hash("text").alias("hash"))
