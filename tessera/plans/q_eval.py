@@ -1 +1,249 @@
-"""placeholder"""
+"""Registered question-generation, prompt-batch and evaluation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import catalog as C
+from tessera.operators import evaluate as E
+from tessera.operators import search as SR
+from tessera.functions import vectors as V
+from tessera.plans import index_build as IB
+from tessera.plans import questions as Q
+from tessera.plans.q_search import chunk_vectors, user_prompts
+from tessera.plans.q_text import smart_chunks_sql
+from tessera.plans.registry import query
+from tessera.tables import load
+
+_TABLES_IN = ", ".join(f"'{t}'" for t in IB.CATALOG_TABLES)
+
+COLS_SQL = f"""
+tc AS (SELECT table_name, list(column_name ORDER BY ordinal_position) AS col_list
+       FROM information_schema.columns WHERE table_name IN ({_TABLES_IN}) GROUP BY table_name)"""
+
+
+def _tpl_values() -> str:
+    return "tp AS (SELECT * FROM (VALUES " + ", ".join(
+        f"({i}, '{t}')" for i, t in enumerate(Q.QUESTION_TEMPLATES)) + ") t(tpl_ix, tpl))"
+
+
+QUESTIONS_SQL = COLS_SQL + ", " + _tpl_values() + """,
+qs AS (
+  SELECT CAST((dense_rank() OVER (ORDER BY tc.table_name) - 1) * 5 + tp.tpl_ix AS BIGINT) AS question_id,
+         tc.table_name,
+         replace(replace(replace(tp.tpl, '{table}', tc.table_name), '{cols}', array_to_string(tc.col_list[1:4], ', ')),
+                 '{first_col}', COALESCE(tc.col_list[1], '1')) AS question,
+         to_json(tc.col_list) AS column_list, tc.col_list
+  FROM tc, tp)"""
+
+
+@query("gen_questions", "WITH " + QUESTIONS_SQL + " SELECT question_id, table_name, question, column_list FROM qs")
+def q_gen_questions(spark, d):
+    """Five template questions per catalog table."""
+    return Q.generate_questions(Q.table_columns(spark, d))
+
+
+@query("gen_ground_sql", "WITH " + QUESTIONS_SQL + """
+SELECT question_id, CASE
+  WHEN contains(question, 'How many') THEN 'SELECT COUNT(*) AS CNT FROM ' || table_name
+  WHEN contains(lower(question), 'top 10') THEN 'SELECT ' || array_to_string(col_list[1:4], ', ') || ' FROM ' || table_name
+       || ' ORDER BY ' || col_list[1] || ' LIMIT 10'
+  WHEN contains(lower(question), 'not null') THEN 'SELECT ' || array_to_string(col_list[1:4], ', ') || ' FROM ' || table_name
+       || ' WHERE ' || col_list[1] || ' IS NOT NULL'
+  WHEN contains(lower(question), 'grouped by') THEN 'SELECT ' || col_list[1] || ', COUNT(*) AS CNT FROM ' || table_name
+       || ' GROUP BY ' || col_list[1]
+  ELSE 'SELECT ' || array_to_string(col_list[1:4], ', ') || ' FROM ' || table_name END AS ground_sql
+FROM qs""")
+def q_gen_ground(spark, d):
+    return Q.ground_sql(Q.generate_questions(Q.table_columns(spark, d))).select("question_id", "ground_sql")
+
+
+@query("gen_pairs", "WITH " + COLS_SQL + """,
+pc AS (SELECT table_name, unnest(col_list) AS col, unnest(generate_series(0, len(col_list) - 1)) AS ord FROM tc),
+pr AS (
+  SELECT table_name, ord, 'Show me all ' || col || ' from ' || table_name AS question,
+         'SELECT ' || col || ' FROM TPCH.' || table_name AS sql_template FROM pc
+  UNION ALL
+  SELECT table_name, 100000, 'Show me ' || col_list[1] || ' where ' || col_list[2] || ' = ?',
+         'SELECT ' || col_list[1] || ' FROM TPCH.' || table_name || ' WHERE ' || col_list[2] || ' = :1'
+  FROM tc WHERE len(col_list) >= 2
+  UNION ALL
+  SELECT table_name, 100001, 'Count ' || col_list[1] || ' grouped by ' || col_list[2],
+         'SELECT ' || col_list[2] || ', COUNT(' || col_list[1] || ') FROM TPCH.' || table_name || ' GROUP BY ' || col_list[2]
+  FROM tc WHERE len(col_list) >= 2)
+SELECT table_name, question, sql_template, CAST(row_number() OVER (ORDER BY table_name, ord) AS BIGINT) AS training_id
+FROM pr""")
+def q_gen_pairs(spark, d):
+    return Q.generate_pairs(Q.table_columns(spark, d))
+
+
+@query("catalog_filter", f"""
+SELECT table_name, column_name FROM information_schema.columns
+WHERE table_name IN ('orders', 'lineitem') AND data_type NOT IN ('DOUBLE', 'TIMESTAMP')""")
+def q_catalog_filter(spark, d):
+    """Catalog columns of an allow-list of tables, floating-point and
+    timestamp columns excluded."""
+    cols = C.columns_of(spark, IB.frames(spark, d))
+    return (cols.where(F.col("table_name").isin("orders", "lineitem")
+                       & ~F.col("data_type").isin("DOUBLE", "TIMESTAMP", "TIMESTAMP_NTZ"))
+                .select("table_name", "column_name"))
+
+
+@query("synonyms")
+def q_synonyms(spark, d):
+    """Dictionary synonym variants of generated questions and user turns."""
+    qs = Q.generate_questions(Q.table_columns(spark, d)).select("question_id", "question")
+    turns = user_prompts(spark, d).select(F.col("prompt_id").alias("question_id"), F.col("prompt").alias("question"))
+    return Q.synonym_rows(qs.unionByName(turns), "question_id", "question")
+
+
+@query("union_texts")
+def q_union_texts(spark, d):
+    qs = Q.generate_questions(Q.table_columns(spark, d))
+    return Q.union_texts(qs, Q.synonym_rows(qs, "question_id", "question"))
+
+
+def _fewshot_block() -> str:
+    return "".join(f"Input: {i}\n\nOutput:\n{o}\n\n---\n\n" for _, i, o in sorted(Q.FEWSHOT_EXAMPLES))
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("fewshot_prompt", "SELECT -(conv_id * 1000 + turn + 1) AS prompt_id, "
+       + _sql_str(Q.FEWSHOT_INSTRUCTIONS + _fewshot_block() + "Only output the SQL for this Input:\n\nInput: ")
+       + " || text || " + _sql_str("\n\nOutput:\n") + " AS prompt_text FROM conversations WHERE role = 'user'")
+def q_fewshot(spark, d):
+    p = user_prompts(spark, d).withColumn("prompt_id", -(F.col("prompt_id") + 1))
+    return Q.fewshot_prompts(spark, p, "prompt").select("prompt_id", "prompt_text")
+
+
+def _rag_hits(spark, d):
+    prompts = user_prompts(spark, d).select("prompt_id", "prompt", V.hash_embed("prompt").alias("vec"))
+    chunks = chunk_vectors(spark, d)
+    hits = SR.threshold(SR.knn(prompts, chunks, 5, "prompt_id", "vec", "chunk_uid", "vec"), max_distance=0.8)
+    return prompts, chunks, hits.select(F.col("query_id").alias("prompt_id"), F.col("item_id").alias("chunk_uid"),
+                                        "rank")
+
+
+@query("rag_prompt", "WITH RECURSIVE " + smart_chunks_sql() + ","
+       + "prompts AS (SELECT conv_id * 1000 + turn AS prompt_id, text FROM conversations WHERE role = 'user'),"
+       + "chunk_src AS (SELECT doc_id * 1000000 + chunk_ix AS chunk_uid, content FROM chunks),"
+       + __import__("tessera.plans.q_search", fromlist=["x"])._rename_hv(
+           __import__("tessera.plans.q_text", fromlist=["x"]).hash_vectors_sql("prompts", "prompt_id", "text"), "qv")
+       + "," + __import__("tessera.plans.q_search", fromlist=["x"])._rename_hv(
+           __import__("tessera.plans.q_text", fromlist=["x"]).hash_vectors_sql("chunk_src", "chunk_uid", "content"), "cv")
+       + "," + __import__("tessera.plans.q_search", fromlist=["x"])._SPARSE_SIM.format(q="qv", i="cv") + """,
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM sims)
+        WHERE rank <= 5 AND 1 - sim < 0.8),
+ctx AS (SELECT t.query_id AS prompt_id, string_agg(cs.content, chr(10) || chr(10) ORDER BY t.rank) AS context,
+               COUNT(*) AS n_chunks
+        FROM top t JOIN chunk_src cs ON cs.chunk_uid = t.item_id GROUP BY t.query_id)
+SELECT p.prompt_id, COALESCE(c.n_chunks, 0) AS n_chunks,
+       """ + _sql_str(Q.RAG_TEMPLATE.split("{context}")[0]) + """ || COALESCE(c.context, '') || """
+       + _sql_str(Q.RAG_TEMPLATE.split("{context}")[1].split("{question}")[0]) + """ || p.text || """
+       + _sql_str(Q.RAG_TEMPLATE.split("{question}")[1]) + """ AS prompt_text
+FROM prompts p LEFT JOIN ctx c ON c.prompt_id = p.prompt_id""")
+def q_rag_prompt(spark, d):
+    """Answer prompts: top-5 retrieved chunks (rank order) + the question."""
+    prompts, chunks, hits = _rag_hits(spark, d)
+    return Q.rag_prompts(prompts.select("prompt_id", "prompt"), hits, chunks)
+
+
+@query("data_context")
+def q_data_context(spark, d):
+    """Schema lines and the first 50 sales rows as JSON (model context)."""
+    from tessera.operators.relational import sales_view
+    from tessera.plans.registry import portable
+    s = portable(sales_view(spark, d))
+    return Q.data_context(s, 50, ["customer_id", "product_id", "sale_date", "total_amount", "region"])
+
+
+@query("hits_with_sql")
+def q_hits_with_sql(spark, d):
+    """Top-3 training questions per user prompt with their SQL (one join)."""
+    pairs = Q.generate_pairs(Q.table_columns(spark, d))
+    prompts = user_prompts(spark, d).select("prompt_id", V.hash_embed("prompt").alias("vec"))
+    tv = pairs.select("training_id", V.hash_embed("question").alias("vec"))
+    hits = SR.knn(prompts, tv, 3, "prompt_id", "vec", "training_id", "vec", small_items=20_000)
+    return hits.join(F.broadcast(pairs.select(F.col("training_id").alias("item_id"), "question", "sql_template")),
+                     "item_id").select(F.col("query_id").alias("prompt_id"), "rank", "question", "sql_template",
+                                       "score")
+
+
+@query("safe_exec")
+def q_safe_exec(spark, d):
+    """Ground SQL of every generated question run with a 1000-row cap."""
+    from tessera.plans.registry import portable  # noqa: F401
+    register = __import__("tessera.tables", fromlist=["x"]).register_views
+    register(spark, d, IB.CATALOG_TABLES)
+    qs = Q.ground_sql(Q.generate_questions(Q.table_columns(spark, d)))
+    return E.execute_all(spark, qs.select(F.col("ground_sql").alias("sql_text")), "sql_text", 1000) \
+            .drop("exec_ms", "sample")
+
+
+@query("eval_cases")
+def q_eval_cases(spark, d):
+    """Evaluation run: questions and synonyms, ground SQL vs retrieved SQL."""
+    __import__("tessera.tables", fromlist=["x"]).register_views(spark, d, IB.CATALOG_TABLES)
+    qs = Q.ground_sql(Q.generate_questions(Q.table_columns(spark, d)))
+    syn = Q.synonym_rows(qs, "question_id", "question")
+    pairs = Q.generate_pairs(Q.table_columns(spark, d))
+    cand = Q.rag_candidates(qs, pairs).withColumn("llm_sql", F.regexp_replace("llm_sql", r"TPCH\.", ""))
+    return Q.run_evaluation(spark, qs, syn, cand).drop("exec_ms_ground", "exec_ms_llm")
+
+
+_CASES_SQL = """
+cases AS (
+  SELECT d.doc_id AS id, d.source AS run_name, d.doc_id % 50 AS question_id,
+         CASE WHEN l.quality = 1 THEN 'Y' ELSE 'N' END AS same_sample,
+         CASE WHEN l.toxic = 0 THEN 'Y' ELSE 'N' END AS same_shape,
+         CASE WHEN l.quality IS NOT NULL THEN 'Y' ELSE 'N' END AS llm_ok,
+         CASE WHEN l.quality IS NULL THEN 'ORA-00942: no label for document ' || CAST(d.doc_id AS VARCHAR) END AS error_text
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+
+
+@query("eval_run_metrics", "WITH " + _CASES_SQL + """
+SELECT run_name AS name, COUNT(*) AS n_cases,
+       ROUND(AVG(CASE WHEN same_sample = 'Y' THEN 1 ELSE 0 END), 6) AS exact_match,
+       ROUND(AVG(CASE WHEN same_shape = 'Y' THEN 1 ELSE 0 END), 6) AS shape_match,
+       ROUND(AVG(CASE WHEN llm_ok = 'Y' THEN 1 ELSE 0 END), 6) AS llm_success
+FROM cases GROUP BY run_name""")
+def q_run_metrics(spark, d):
+    cases, runs = Q.eval_cases_from_data(spark, d)
+    return E.run_metrics(cases, runs).drop("eval_run_id")
+
+
+@query("eval_trouble", "WITH " + _CASES_SQL + """
+SELECT question_id, ROUND(AVG(CASE WHEN same_sample = 'Y' THEN 1 ELSE 0 END), 6) AS match_rate, COUNT(*) AS attempts
+FROM cases GROUP BY question_id HAVING AVG(CASE WHEN same_sample = 'Y' THEN 1 ELSE 0 END) < 0.5""")
+def q_trouble(spark, d):
+    cases, _ = Q.eval_cases_from_data(spark, d)
+    return E.trouble_spots(cases, 0.5)
+
+
+@query("case_view", "WITH " + _CASES_SQL + """
+SELECT id, question_id, same_sample, llm_ok, substr(error_text, 1, 120) AS error_snippet
+FROM cases ORDER BY id DESC LIMIT 100""")
+def q_case_view(spark, d):
+    cases, _ = Q.eval_cases_from_data(spark, d)
+    return E.case_view(cases, 100, 120).select("id", "question_id", "same_sample", "llm_ok", "error_snippet")
+
+
+@query("compare_results", """
+WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'),
+b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O'),
+sa AS (SELECT list(to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}) ORDER BY to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}))[1:10] AS s FROM a),
+sb AS (SELECT list(to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}) ORDER BY to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}))[1:10] AS s FROM b)
+SELECT true AS same_shape, (SELECT s FROM sa) = (SELECT s FROM sb) AS same_sample,
+       (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left,
+       (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right,
+       (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) = 0
+         AND (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0 AS same_multiset""")
+def q_compare_results(spark, d):
+    """Two result sets compared: shape, first rows, multiset difference."""
+    li = load(spark, d, "lineitem")
+    a = li.where(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber")
+    b = li.where(F.col("l_linestatus") == "O").select("l_orderkey", "l_linenumber")
+    return E.compare_results(a, b)
