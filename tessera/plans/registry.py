@@ -34,7 +34,7 @@ def load_all() -> None:
 
 
 MODULES = ("q_relational", "q_risk", "q_text", "q_search", "q_catalog", "q_eval", "q_nlq",
-           "q_results")
+           "q_results", "q_stream")
 
 
 def portable(df: DataFrame) -> DataFrame:
