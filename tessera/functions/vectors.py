@@ -3,8 +3,8 @@ JSON and float32-byte codecs.
 
 Vectors are stored as ``ARRAY<FLOAT>`` and every similarity is accumulated in
 double.  The default text embedder is a hashed bag of words: tokens are
-hashed JVM-side (``md5`` → bucket), the per-row histogram and L2 norm are one
-``numpy.bincount`` per row inside an Arrow batch.  Model embedders plug in
+hashed JVM-side (``md5`` → bucket); histograms and L2 norms of a whole Arrow
+batch are one ``numpy.bincount`` over the flat bucket array.  Model embedders plug in
 through :class:`Embedder` as an iterator pandas UDF.
 """
 
@@ -15,6 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,16 +75,25 @@ def token_buckets(text: Column | str, dim: int = HASH_DIM) -> Column:
 
 
 def _bincount_udf(dim: int):
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(buckets: pd.Series) -> pd.Series:
-        out = []
-        for b in buckets:
-            if b is None or len(b) == 0:
-                out.append(None)
-                continue
-            h = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-            out.append((h / np.sqrt((h * h).sum())).astype(np.float32))
-        return pd.Series(out)
+    """Arrow-native UDF: the whole batch of bucket lists is one flat array
+    plus offsets, so the histogram of every row is a single ``bincount``."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(b: pa.Array) -> pa.Array:
+        if isinstance(b, pa.ChunkedArray):
+            b = b.combine_chunks()
+        n = len(b)
+        offs = b.offsets.to_numpy()
+        vals = b.values.to_numpy(zero_copy_only=False).astype(np.int64)[offs[0]:offs[-1]]
+        row = np.repeat(np.arange(n, dtype=np.int64), np.diff(offs))
+        h = np.bincount(row * dim + vals, minlength=n * dim).reshape(n, dim).astype(np.float64)
+        nrm = np.sqrt((h * h).sum(axis=1))
+        ok = nrm > 0
+        h[ok] /= nrm[ok, None]
+        flat = pa.array(h.astype(np.float32).reshape(-1))
+        out_offs = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+        null = ~ok | np.asarray(b.is_null(), dtype=bool)
+        return pa.ListArray.from_arrays(out_offs, flat, mask=pa.array(null))
     return embed
 
 

@@ -36,6 +36,7 @@ HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("item_id", T.LongType()),
     T.StructField("score", T.DoubleType()),
+    T.StructField("rank", T.IntegerType()),
 ])
 
 
@@ -45,38 +46,47 @@ def _matrix(vecs) -> np.ndarray:
     return m, n
 
 
+def _empty_hits() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"),
+                         "score": pd.Series([], dtype="float64"), "rank": pd.Series([], dtype="int32")})
+
+
 def _local_topk(q_ids, q_mat, q_norm, i_ids, i_mat, i_norm, k, exclude_self):
-    """Top-k per query of one block; exact at the k-th place (ties included
-    then resolved by item id)."""
-    sims = (q_mat @ i_mat.T) / (np.outer(q_norm, i_norm) + EPS)
-    sims = np.round(sims, 9)
+    """Top-k per query of one block, vectorised; exact at the k-th place
+    (rows with ties across the cut are resolved one by one by item id).
+    Returns query_id, item_id, score and the in-block rank."""
+    sims = np.round((q_mat @ i_mat.T) / (np.outer(q_norm, i_norm) + EPS), 9)
     if exclude_self:
         sims[q_ids[:, None] == i_ids[None, :]] = -np.inf
-    rows_q, rows_i, rows_s = [], [], []
-    n_items = sims.shape[1]
-    kk = min(k, n_items)
-    for r in range(sims.shape[0]):
-        s = sims[r]
-        if kk < n_items:
-            kth = np.partition(s, n_items - kk)[n_items - kk]
-            cand = np.nonzero(s >= kth)[0]
-        else:
-            cand = np.arange(n_items)
-        cand = cand[np.isfinite(s[cand])]
-        order = np.lexsort((i_ids[cand], -s[cand]))[:kk]
-        sel = cand[order]
-        rows_q.append(np.full(len(sel), q_ids[r], dtype=np.int64))
-        rows_i.append(i_ids[sel])
-        rows_s.append(s[sel])
-    if not rows_q:
-        return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-    return pd.DataFrame({"query_id": np.concatenate(rows_q), "item_id": np.concatenate(rows_i),
-                         "score": np.concatenate(rows_s)})
+    nq, ni = sims.shape
+    kk = min(k, ni)
+    if nq == 0 or kk == 0:
+        return _empty_hits()
+    ids2 = np.broadcast_to(i_ids, sims.shape)
+    if ni <= 4 * kk or ni <= 64:
+        sel = np.lexsort((ids2, -sims), axis=1)[:, :kk]
+    else:
+        part = np.argpartition(-sims, kk - 1, axis=1)[:, :kk]
+        ps = np.take_along_axis(sims, part, 1)
+        order = np.lexsort((np.take_along_axis(ids2, part, 1), -ps), axis=1)
+        sel = np.take_along_axis(part, order, 1)
+        kth = np.take_along_axis(sims, sel[:, -1:], 1)[:, 0]
+        tied = np.nonzero((sims >= kth[:, None]).sum(axis=1) > kk)[0]
+        for r in tied:  # ties straddle the cut: pick the smallest ids among equals
+            cand = np.nonzero(sims[r] >= kth[r])[0]
+            sel[r] = cand[np.lexsort((i_ids[cand], -sims[r, cand]))[:kk]]
+    sc = np.take_along_axis(sims, sel, 1)
+    keep = np.isfinite(sc).reshape(-1)
+    return pd.DataFrame({"query_id": np.repeat(q_ids, kk)[keep],
+                         "item_id": i_ids[sel].reshape(-1)[keep],
+                         "score": sc.reshape(-1)[keep],
+                         "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), nq)[keep]})
 
 
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
-    return cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (cands.drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                 .withColumn("best_score", F.max("score").over(Window.partitionBy("query_id"))))
 
 
 def knn(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "vec",
@@ -95,18 +105,20 @@ def knn(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
                                              F.col(q_vec).alias("qv"))
     it = valid_vectors(items, i_vec).select(F.col(i_id).cast("long").alias("iid"),
                                             F.col(i_vec).alias("iv"))
-    if small_items and fits(it, small_items):
-        return _knn_items_broadcast(q, it, k, exclude_self)
-    if fits(q, max_broadcast):
-        cands = _knn_broadcast(q, it, k, exclude_self)
+    if small_items:
+        i_rows = it.limit(small_items + 1).collect()
+        if len(i_rows) <= small_items:
+            return _knn_items_broadcast(q, i_rows, k, exclude_self)
+    q_rows = q.limit(max_broadcast + 1).collect() if max_broadcast > 0 else [None]
+    if len(q_rows) <= max_broadcast:
+        cands = _knn_broadcast(q.sparkSession, q_rows, it, k, exclude_self)
     else:
         cands = _knn_blocked(q, it, k, exclude_self, block_rows)
     return _final_topk(cands, k)
 
 
-def _knn_broadcast(q: DataFrame, it: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    spark = q.sparkSession
-    rows = q.collect()  # size proven by fits(): at most MAX_BROADCAST_QUERIES rows
+def _knn_broadcast(spark: SparkSession, rows: list, it: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """``rows``: the query rows, already proven to be at most the broadcast budget."""
     if not rows:
         return spark.createDataFrame([], HIT_SCHEMA)
     q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
@@ -124,12 +136,13 @@ def _knn_broadcast(q: DataFrame, it: DataFrame, k: int, exclude_self: bool) -> D
     return it.mapInPandas(score, HIT_SCHEMA)
 
 
-RANKED_SCHEMA = T.StructType(HIT_SCHEMA.fields + [T.StructField("rank", T.IntegerType())])
+RANKED_SCHEMA = T.StructType(HIT_SCHEMA.fields + [T.StructField("best_score", T.DoubleType())])
 
 
-def _knn_items_broadcast(q: DataFrame, it: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+def _knn_items_broadcast(q: DataFrame, rows: list, k: int, exclude_self: bool) -> DataFrame:
+    """``rows``: the item rows, already proven small.  Every query row is
+    answered completely where it lies (no shuffle)."""
     spark = q.sparkSession
-    rows = it.collect()  # size proven by fits()
     if not rows:
         return spark.createDataFrame([], RANKED_SCHEMA)
     i_ids = np.array([r["iid"] for r in rows], dtype=np.int64)
@@ -143,8 +156,7 @@ def _knn_items_broadcast(q: DataFrame, it: DataFrame, k: int, exclude_self: bool
                 continue
             q_mat, q_norm = _matrix(pdf["qv"])
             out = _local_topk(pdf["qid"].to_numpy(np.int64), q_mat, q_norm, ii, im, inn, k, exclude_self)
-            # rows come grouped by query in rank order
-            out["rank"] = out.groupby("query_id", sort=False).cumcount().astype("int32") + 1
+            out["best_score"] = out.groupby("query_id", sort=False)["score"].transform("max")
             yield out
 
     return q.mapInPandas(score, RANKED_SCHEMA)
@@ -164,9 +176,7 @@ def _knn_blocked(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, block_
 
     def cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if ipdf.empty or qpdf.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "item_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
+            return _empty_hits()
         i_mat, i_norm = _matrix(ipdf["iv"])
         q_mat, q_norm = _matrix(qpdf["qv"])
         return _local_topk(qpdf["qid"].to_numpy(np.int64), q_mat, q_norm,
@@ -257,9 +267,7 @@ def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
 
     def cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if ipdf.empty or qpdf.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "item_id": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
+            return _empty_hits()
         i_mat, i_norm = _matrix(ipdf["iv"])
         q_mat, q_norm = _matrix(qpdf["qv"])
         return _local_topk(qpdf["qid"].to_numpy(np.int64), q_mat, q_norm,

@@ -192,8 +192,7 @@ def match_templates(prompts: DataFrame, templates: DataFrame, k: int = 3,
     reaches the threshold, otherwise the ``k`` suggestions stand."""
     pv = prompts.select("prompt_id", V.hash_embed("prompt").alias("vec"))
     hits = SR.knn(pv, templates, k, "prompt_id", "vec", "template_id", "embedding", small_items=64)
-    return hits.withColumn("matched", F.max("score").over(
-        Window.partitionBy("query_id")) >= threshold)
+    return hits.withColumn("matched", F.col("best_score") >= threshold)
 
 
 def best_template(prompts: DataFrame, templates: DataFrame) -> DataFrame:
