@@ -211,7 +211,8 @@ CELL_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("c
 
 def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "vec",
         i_id: str = "item_id", i_vec: str = "vec", exclude_self: bool = False, n_cells: int | None = None,
-        n_probe: int = 4, block_rows: int = BLOCK_ROWS, seed: int = 7) -> DataFrame:
+        n_probe: int | None = None, probe_fraction: float = 0.5, block_rows: int = BLOCK_ROWS,
+        seed: int = 7) -> DataFrame:
     """Approximate top-``k`` by cosine (re-aim of an HNSW index).
 
     Items are clustered into ``n_cells`` cells with MLlib k-means (cosine
@@ -239,7 +240,9 @@ def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
     centers = np.vstack(model.clusterCenters())
     centers = centers / (np.linalg.norm(centers, axis=1, keepdims=True) + EPS)
     bc = spark.sparkContext.broadcast(centers)
-    probe = min(n_probe, centers.shape[0])
+    # probes: explicit count, else a share of the cells (vectors without
+    # cluster structure need a large share for good recall)
+    probe = min(n_probe or max(1, math.ceil(probe_fraction * centers.shape[0])), centers.shape[0])
 
     assigned = model.transform(feats).select("iid", "iv", F.col("cell").cast("int").alias("cell"))
     sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"))

@@ -19,6 +19,7 @@ from tessera.functions import params as P
 from tessera.functions import vectors as V
 from tessera.operators import relational as R
 from tessera.operators import search as SR
+from tessera.session import spread
 from tessera.tables import load
 
 # Threshold for the hashed bag-of-words embedder (the 0.52 of the original
@@ -175,7 +176,7 @@ def prompt_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.lit("}")))
              .when(kind == 5, F.concat(F.lit("list all sales for customer "), F.col("o_custkey").cast("string")))
              .otherwise(F.lit("show sales by region for last year")))
-    orders_p = o.select(k.alias("prompt_id"), text.alias("prompt"))
+    orders_p = spread(o).select(k.alias("prompt_id"), text.alias("prompt"))
     c = load(spark, sf_dir, "conversations").where(F.col("role") == "user")
     conv_p = c.select((-(F.col("conv_id") * 1000 + F.col("turn") + 1)).alias("prompt_id"), F.col("text").alias("prompt"))
     return orders_p.unionByName(conv_p)

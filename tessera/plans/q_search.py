@@ -9,6 +9,7 @@ from tessera.functions import vectors as V
 from tessera.operators import search as SR
 from tessera.plans.q_text import hash_vectors_sql, smart_chunks_sql
 from tessera.plans.registry import query
+from tessera.session import spread
 from tessera.tables import load
 
 _KNN_SQL = """
@@ -77,7 +78,7 @@ SELECT query_id AS item_id, item_id AS doc_id, sim AS score FROM (
 def q_knn_best(spark, d):
     """Best-matching document of every benchmark passage (hashed embeddings)."""
     b = load(spark, d, "benchmark").select("item_id", V.hash_embed("text").alias("vec"))
-    docs = load(spark, d, "documents").select("doc_id", V.hash_embed("text").alias("vec"))
+    docs = spread(load(spark, d, "documents")).select("doc_id", V.hash_embed("text").alias("vec"))
     best = SR.best_match(b, docs, q_id="item_id", q_vec="vec", i_id="doc_id", i_vec="vec")
     return best.select(F.col("query_id").alias("item_id"), F.col("item_id").alias("doc_id"),
                        F.col("score"))

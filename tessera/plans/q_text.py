@@ -9,6 +9,7 @@ from tessera.functions import sqltext as S
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.plans.registry import query
+from tessera.session import spread
 from tessera.tables import load
 
 # DuckDB form of the sentence-aware chunker (350 tokens → 1400 characters, cut
@@ -98,7 +99,7 @@ def q_page_text(spark, d):
 @query("hash_embed", "WITH " + hash_vectors_sql("documents", "doc_id", "text") + """
 SELECT id AS doc_id, bucket, ROUND(weight, 6) AS weight FROM hv""")
 def q_hash_embed(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", V.hash_embed("text").alias("vec"))
+    docs = spread(load(spark, d, "documents")).select("doc_id", V.hash_embed("text").alias("vec"))
     return (docs.select("doc_id", F.posexplode("vec").alias("bucket", "w"))
                 .where(F.col("w") != 0)
                 .select("doc_id", F.col("bucket").cast("int").alias("bucket"),

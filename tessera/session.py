@@ -88,3 +88,14 @@ def maybe_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     if fits(df, max_rows):
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores before CPU-heavy per-row work (Python text
+    UDFs) when the input has fewer partitions than the cluster has cores —
+    e.g. a small file stored as one row group.  On large inputs (partitions ≫
+    cores) this is a no-op, so it never adds a shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

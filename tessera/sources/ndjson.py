@@ -69,7 +69,7 @@ def csv_lines(df: DataFrame) -> DataFrame:
             cell = c.cast("string")
         else:
             cell = F.regexp_replace(F.to_json(F.array(c.cast("string"))), r"^\[|\]$", "")
-        cells.append(F.coalesce(cell, F.lit('""')))
+        cells.append(F.when(c.isNull(), F.lit('""')).otherwise(cell))
     return df.select(F.concat_ws(",", *cells).alias("value"))
 
 

@@ -147,7 +147,9 @@ def stream_cache(events: DataFrame, key_cols: list[str], ts_col: str, id_col: st
     """Streaming hit/miss flags per request key with exact expiry: state is the
     last miss time; it is dropped once the watermark passes miss + ttl."""
     ttl_us = ttl_minutes * 60 * 1_000_000
-    keyed = events.withWatermark(ts_col, watermark).select(
+    # event time must be a session-zone TIMESTAMP for watermarks (UTC sessions:
+    # a TIMESTAMP_NTZ column converts to the same instants)
+    keyed = events.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark).select(
         F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]).alias("key"),
         F.col(id_col).cast("long").alias("event_id"), F.col(ts_col).alias("ts"))
 
@@ -181,7 +183,7 @@ def cache_hits(df: DataFrame, key_cols: list[str], ts_col: str, id_col: str, ttl
     """
     ttl_us = ttl_minutes * 60 * 1_000_000
     keyed = df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]).alias("key"),
-                      F.col(id_col).cast("long").alias("event_id"), F.col(ts_col).alias("ts"))
+                      F.col(id_col).cast("long").alias("event_id"), F.col(ts_col).cast("timestamp").alias("ts"))
     parts = keyed.repartition("key").sortWithinPartitions("key", "ts", "event_id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
