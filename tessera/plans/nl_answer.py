@@ -278,3 +278,107 @@ def run_named(spark: SparkSession, sf_dir: str, endpoint: str, params: dict) ->
     if b["missing"]:
         raise KeyError(f"Missing parameter: {b['missing'][0]}")
     return spark.sql(b["sql"], args={k.lower(): v for k, v in params.items()})
+
+
+# ---------------------------------------------------------------------------
+# A whole table of prompts, answered relationally
+# ---------------------------------------------------------------------------
+
+ANSWER_SCHEMA = "prompt_id long, template string, answer_key string, total_revenue double, rank int"
+MAX_LIMIT = 1000
+MAX_RANGE_DAYS = 366
+
+
+def resolved_prompts(spark: SparkSession, prompts: DataFrame, asof: dt.date,
+                     threshold: float = HASH_MATCH_THRESHOLD) -> DataFrame:
+    """Best template, match flag and filled parameters of every prompt:
+    ``prompt_id, template_id, name, matched, ok, params``."""
+    templates = template_table(spark)
+    best = match_templates(prompts, templates, 1, threshold).select(
+        F.col("query_id").alias("prompt_id"), F.col("item_id").cast("int").alias("template_id"), "matched")
+    tpl = F.broadcast(templates.select("template_id", "name", "required", "defaults"))
+    p = prompts.select("prompt_id", P.extract_params("prompt", asof.year).alias("params"))
+    j = best.join(p, "prompt_id").join(tpl, "template_id")
+    f = P.fill_defaults(F.col("params"), F.col("defaults"), F.col("required"))
+    return j.select("prompt_id", "template_id", "name", "matched", f["ok"].alias("ok"), f["params"].alias("params"))
+
+
+def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.date,
+                 threshold: float = HASH_MATCH_THRESHOLD) -> DataFrame:
+    """Rows every matched prompt would get from its template, for the whole
+    prompt table at once.
+
+    Each template is a relational plan over the sales star with the prompt
+    parameters as join keys: revenue per (year, customer) ranked per year
+    (partial group limit), per (year, region), per distinct date range and
+    product (each distinct range is answered once, then joined back to its
+    prompts), and per day.  Prompts that match no template, or miss a
+    required parameter, get no rows (their suggestions come from
+    :func:`match_templates`).
+    """
+    r = resolved_prompts(spark, prompts, asof, threshold).where(F.col("matched") & F.col("ok"))
+    g = lambda k: F.try_element_at("params", F.lit(k))
+    r = r.select("prompt_id", "name", g("year").try_cast("int").alias("year"),
+                 g("limit").try_cast("int").alias("lim"), F.try_to_date(g("start_date")).alias("d0"),
+                 F.try_to_date(g("end_date")).alias("d1"), F.try_to_date(g("date")).alias("day")).cache()
+    # the group-limit sizes must be constants: one small aggregation gives all bounds
+    is0 = F.col("name") == "top_customers_by_revenue_year"
+    is2 = F.col("name") == "product_sales_between_dates"
+    b = r.agg(F.max(F.when(is0, F.col("lim"))).alias("l0"), F.max(F.when(is2, F.col("lim"))).alias("l2"),
+              F.max(F.when(is2, F.datediff("d1", "d0"))).alias("span")).first()
+    if max(b[0] or 0, b[1] or 0) > MAX_LIMIT or (b[2] or 0) > MAX_RANGE_DAYS:
+        raise ValueError("a prompt asks for more rows or a longer range than the batch bounds")
+    s = R.sales_view(spark, sf_dir).select("customer_id", "product_id", "region", "sale_date", "total_amount")
+    out = []
+
+    # top customers by revenue in a year
+    t0 = r.where((F.col("name") == "top_customers_by_revenue_year") & F.col("year").isNotNull()
+                 & (F.col("lim") > 0))
+    lim0 = b[0]
+    if lim0:
+        years = t0.select("year").distinct()
+        rev = (s.withColumn("year", F.year("sale_date")).join(F.broadcast(years), "year")
+                .groupBy("year", "customer_id").agg(F.sum("total_amount").alias("rev")))
+        top = R.rank_within(rev, ["year"], [F.col("rev").desc(), F.col("customer_id")], lim0)
+        out.append(t0.join(top, "year").where(F.col("rank") <= F.col("lim")).select(
+            "prompt_id", F.col("name").alias("template"), F.col("customer_id").cast("string").alias("answer_key"),
+            F.col("rev").cast("double").alias("total_revenue"), "rank"))
+
+    # total sales per region in a year
+    t1 = r.where((F.col("name") == "sales_by_region_year") & F.col("year").isNotNull())
+    years1 = t1.select("year").distinct()
+    rev1 = (s.withColumn("year", F.year("sale_date")).join(F.broadcast(years1), "year")
+             .groupBy("year", "region").agg(F.sum("total_amount").alias("rev")))
+    w1 = Window.partitionBy("year").orderBy(F.col("rev").desc(), F.col("region"))
+    out.append(t1.join(rev1.withColumn("rank", F.row_number().over(w1)), "year").select(
+        "prompt_id", F.col("name").alias("template"), F.col("region").alias("answer_key"),
+        F.col("rev").cast("double").alias("total_revenue"), "rank"))
+
+    # top products between two dates: each distinct range once
+    t2 = r.where((F.col("name") == "product_sales_between_dates") & F.col("d0").isNotNull()
+                 & F.col("d1").isNotNull() & (F.col("lim") > 0))
+    lim2 = (b[1],)
+    if lim2[0]:
+        ranges = t2.select("d0", "d1").distinct().where(F.col("d0") <= F.col("d1"))
+        days = ranges.select("d0", "d1", F.explode(F.sequence("d0", "d1")).alias("sale_date"))
+        daily = s.groupBy("sale_date", "product_id").agg(F.sum("total_amount").alias("rev"))
+        per_range = (days.join(daily, "sale_date").groupBy("d0", "d1", "product_id")
+                         .agg(F.sum("rev").alias("rev")))
+        top2 = R.rank_within(per_range, ["d0", "d1"], [F.col("rev").desc(), F.col("product_id")], lim2[0])
+        out.append(t2.join(top2, ["d0", "d1"]).where(F.col("rank") <= F.col("lim")).select(
+            "prompt_id", F.col("name").alias("template"), F.col("product_id").cast("string").alias("answer_key"),
+            F.col("rev").cast("double").alias("total_revenue"), "rank"))
+
+    # total revenue on a day
+    t3 = r.where((F.col("name") == "daily_sales_on_date") & F.col("day").isNotNull())
+    days3 = t3.select(F.col("day").alias("sale_date")).distinct()
+    rev3 = s.join(days3, "sale_date").groupBy("sale_date") \
+            .agg(F.sum("total_amount").alias("rev"))
+    out.append(t3.join(rev3, t3.day == rev3.sale_date).select(
+        "prompt_id", F.col("name").alias("template"), F.date_format("sale_date", "yyyy-MM-dd").alias("answer_key"),
+        F.col("rev").cast("double").alias("total_revenue"), F.lit(1).alias("rank")))
+
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res

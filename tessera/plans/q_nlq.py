@@ -269,3 +269,45 @@ FROM sales WHERE customer_id = 1157 AND sale_date = DATE '1997-07-25'"""))
 def q_named_query(spark, d):
     """Endpoint ``customer_sales_july`` with bound parameters."""
     return portable(N.run_named(spark, d, "customer_sales_july", {"customer_id": 1157, "sale_date": "1997-07-25"}))
+
+
+_BATCH_SQL = ("WITH " + _templates_sql() + ",\n" + _dense_topk("tpl", "template_id", "intent_text", 1) + ",\n"
+              + PARAMS_SQL + ",\n" + __import__("tessera.plans.sqlviews", fromlist=["x"]).SALES_CTE + """,
+m AS (SELECT t.query_id AS prompt_id, tp.name, tp.required, tp.has_default, t.sim >= 0.52 AS matched
+      FROM topk t JOIN tpl tp ON tp.template_id = t.item_id),
+pp AS (
+  SELECT m.prompt_id, m.name, TRY_CAST(px.year AS INTEGER) AS year,
+         COALESCE(px.limit_n, CASE WHEN m.has_default THEN 10 END) AS lim,
+         TRY_CAST(px.start_date AS DATE) AS d0, TRY_CAST(px.end_date AS DATE) AS d1, TRY_CAST(px.date AS DATE) AS day
+  FROM m JOIN px ON px.prompt_id = m.prompt_id
+  WHERE m.matched AND len(list_filter(m.required, lambda r:
+        (r = 'year' AND px.year IS NULL) OR (r = 'start_date' AND px.start_date IS NULL)
+        OR (r = 'end_date' AND px.end_date IS NULL) OR (r = 'date' AND px.date IS NULL))) = 0),
+r0 AS (SELECT year(sale_date) AS year, customer_id, SUM(total_amount) AS rev FROM sales GROUP BY ALL),
+a0 AS (SELECT pp.prompt_id, pp.name AS template, CAST(r.customer_id AS VARCHAR) AS answer_key,
+              CAST(r.rev AS DOUBLE) AS total_revenue, r.rank
+       FROM pp JOIN (SELECT *, row_number() OVER (PARTITION BY year ORDER BY rev DESC, customer_id) AS rank FROM r0) r
+         ON r.year = pp.year
+       WHERE pp.name = 'top_customers_by_revenue_year' AND r.rank <= pp.lim),
+r1 AS (SELECT year(sale_date) AS year, region, SUM(total_amount) AS rev FROM sales GROUP BY ALL),
+a1 AS (SELECT pp.prompt_id, pp.name, r.region, CAST(r.rev AS DOUBLE), r.rank
+       FROM pp JOIN (SELECT *, row_number() OVER (PARTITION BY year ORDER BY rev DESC, region) AS rank FROM r1) r
+         ON r.year = pp.year
+       WHERE pp.name = 'sales_by_region_year'),
+rg AS (SELECT DISTINCT d0, d1 FROM pp WHERE name = 'product_sales_between_dates' AND d0 IS NOT NULL AND d1 IS NOT NULL),
+r2 AS (SELECT rg.d0, rg.d1, s.product_id, SUM(s.total_amount) AS rev
+       FROM rg JOIN sales s ON s.sale_date BETWEEN rg.d0 AND rg.d1 GROUP BY ALL),
+a2 AS (SELECT pp.prompt_id, pp.name, CAST(r.product_id AS VARCHAR), CAST(r.rev AS DOUBLE), r.rank
+       FROM pp JOIN (SELECT *, row_number() OVER (PARTITION BY d0, d1 ORDER BY rev DESC, product_id) AS rank FROM r2) r
+         ON r.d0 = pp.d0 AND r.d1 = pp.d1
+       WHERE pp.name = 'product_sales_between_dates' AND r.rank <= pp.lim),
+a3 AS (SELECT pp.prompt_id, pp.name, strftime(s.sale_date, '%Y-%m-%d'), CAST(SUM(s.total_amount) AS DOUBLE), 1
+       FROM pp JOIN sales s ON s.sale_date = pp.day WHERE pp.name = 'daily_sales_on_date' GROUP BY ALL)
+SELECT * FROM a0 UNION ALL SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3""")
+
+
+@query("nl_answer_batch", _BATCH_SQL)
+def q_nl_answer_batch(spark, d):
+    """Every prompt of the workload answered through its matched template,
+    all at once (parameters as join keys, distinct requests answered once)."""
+    return N.answer_batch(spark, N.prompt_workload(spark, d), d, ASOF)
