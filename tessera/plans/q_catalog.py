@@ -115,7 +115,20 @@ def q_infer_fk(spark, d):
     return union_all(*parts)
 
 
-@query("catalog_columns")
+_TYPE_MAP = """CASE data_type WHEN 'INTEGER' THEN 'INT' WHEN 'VARCHAR' THEN 'STRING'
+                WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE data_type END"""
+
+_CATCOLS_SQL = _comments_values() + f""",
+ic AS (SELECT table_name, column_name, {_TYPE_MAP} AS data_type, CAST(ordinal_position AS INTEGER) AS column_id
+       FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in IB.CATALOG_TABLES) + """)),
+cc AS (SELECT 'TPCH' AS owner, ic.table_name, ic.column_name, ic.data_type, CAST(NULL AS INTEGER) AS data_length,
+              CAST(NULL AS INTEGER) AS data_precision,
+              CASE WHEN ic.data_type IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 0 END AS data_scale,
+              'Y' AS nullable, ic.column_id, cm.comments
+       FROM ic LEFT JOIN cm ON cm.table_name = ic.table_name AND cm.column_name = ic.column_name)"""
+
+
+@query("catalog_columns", "WITH " + _CATCOLS_SQL + " SELECT * FROM cc")
 def q_catalog_columns(spark, d):
     """Catalog snapshot: column metadata with comments for every indexed table."""
     return IB.snapshot(spark, d)["columns"]
@@ -136,12 +149,20 @@ def q_column_docs(spark, d):
                      C.rel_cards(s["constraints"]).select("table_name", "body"))
 
 
-@query("ddl_docs")
+@query("ddl_docs", "WITH " + _CATCOLS_SQL + """
+SELECT owner, table_name, 'TABLE' AS object_type,
+       'CREATE TABLE ' || owner || '.' || table_name || ' (' || chr(10)
+       || string_agg('  ' || column_name || ' ' || data_type, ',' || chr(10) ORDER BY column_id) || chr(10) || ')' AS ddl
+FROM cc GROUP BY owner, table_name""")
 def q_ddl_docs(spark, d):
     return C.ddl_docs(IB.snapshot(spark, d)["columns"])
 
 
-@query("schema_context")
+@query("schema_context", "WITH " + _CATCOLS_SQL + """
+SELECT owner, table_name,
+       string_agg('- ' || column_name || ' (' || data_type || '): ' || COALESCE(comments, 'No description'),
+                  chr(10) ORDER BY column_id) AS context
+FROM cc GROUP BY owner, table_name""")
 def q_schema_context(spark, d):
     return C.schema_context(IB.snapshot(spark, d)["columns"])
 

@@ -58,7 +58,7 @@ def q_gen_ground(spark, d):
     return Q.ground_sql(Q.generate_questions(Q.table_columns(spark, d))).select("question_id", "ground_sql")
 
 
-@query("gen_pairs", "WITH " + COLS_SQL + """,
+PAIRS_SQL = COLS_SQL + """,
 pc AS (SELECT table_name, unnest(col_list) AS col, unnest(generate_series(0, len(col_list) - 1)) AS ord FROM tc),
 pr AS (
   SELECT table_name, ord, 'Show me all ' || col || ' from ' || table_name AS question,
@@ -70,9 +70,12 @@ pr AS (
   UNION ALL
   SELECT table_name, 100001, 'Count ' || col_list[1] || ' grouped by ' || col_list[2],
          'SELECT ' || col_list[2] || ', COUNT(' || col_list[1] || ') FROM TPCH.' || table_name || ' GROUP BY ' || col_list[2]
-  FROM tc WHERE len(col_list) >= 2)
-SELECT table_name, question, sql_template, CAST(row_number() OVER (ORDER BY table_name, ord) AS BIGINT) AS training_id
-FROM pr""")
+  FROM tc WHERE len(col_list) >= 2),
+pairs AS (SELECT table_name, question, sql_template,
+                 CAST(row_number() OVER (ORDER BY table_name, ord) AS BIGINT) AS training_id FROM pr)"""
+
+
+@query("gen_pairs", "WITH " + PAIRS_SQL + " SELECT table_name, question, sql_template, training_id FROM pairs")
 def q_gen_pairs(spark, d):
     return Q.generate_pairs(Q.table_columns(spark, d))
 
@@ -89,15 +92,42 @@ def q_catalog_filter(spark, d):
                 .select("table_name", "column_name"))
 
 
-@query("synonyms")
+def _synonym_sql(source: str) -> str:
+    """DuckDB form of the ordered, capped cartesian expansion over ``source``
+    (qid, q): variant v picks choice (v // P_j) % r_j for word j."""
+    from tessera.functions.sqltext import SYNONYMS
+    case = " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in SYNONYMS.items())
+    return f"""
+sw AS (SELECT qid, list_filter(regexp_split_to_array(q, '\\s+'), lambda x: x <> '') AS words FROM {source}),
+so AS (SELECT qid, list_transform(words, lambda x: [x] || CASE trim(lower(x), '?,.') {case} ELSE []::VARCHAR[] END) AS opts
+       FROM sw),
+sr AS (SELECT qid, opts, list_transform(opts, lambda o: len(o)) AS radix FROM so),
+sn AS (SELECT qid, opts, radix,
+              list_transform(radix, lambda r, j: list_reduce([1] || list_slice(radix, j + 1, len(radix)),
+                                                               lambda a, b: least(5, a * b))) AS suf,
+              least(5, list_reduce([1] || radix, lambda a, b: least(5, a * b))) AS n FROM sr),
+sv AS (SELECT qid, opts, suf, unnest(generate_series(1, n - 1)) AS v FROM sn WHERE n > 1),
+syn AS (SELECT qid * 10 + v AS synonym_id, qid AS question_id,
+               array_to_string(list_transform(opts, lambda o, j: o[((v // suf[j]) % len(o)) + 1]), ' ') AS synonym_text
+        FROM sv)"""
+
+
+@query("synonyms", "WITH " + QUESTIONS_SQL + """,
+src AS (SELECT question_id AS qid, question AS q FROM qs
+        UNION ALL SELECT -(conv_id * 1000 + turn + 1), text FROM conversations WHERE role = 'user'),""" + _synonym_sql("src")
+       + " SELECT synonym_id, question_id, synonym_text FROM syn")
 def q_synonyms(spark, d):
     """Dictionary synonym variants of generated questions and user turns."""
     qs = Q.generate_questions(Q.table_columns(spark, d)).select("question_id", "question")
-    turns = user_prompts(spark, d).select(F.col("prompt_id").alias("question_id"), F.col("prompt").alias("question"))
+    turns = user_prompts(spark, d).select((-(F.col("prompt_id") + 1)).alias("question_id"),
+                                          F.col("prompt").alias("question"))
     return Q.synonym_rows(qs.unionByName(turns), "question_id", "question")
 
 
-@query("union_texts")
+@query("union_texts", "WITH " + QUESTIONS_SQL + """,
+src AS (SELECT question_id AS qid, question AS q FROM qs),""" + _synonym_sql("src") + """
+SELECT question_id, question AS text, CAST(NULL AS BIGINT) AS synonym_id, CAST(NULL AS BIGINT) AS of_question FROM qs
+UNION ALL SELECT NULL, synonym_text, synonym_id, question_id FROM syn""")
 def q_union_texts(spark, d):
     qs = Q.generate_questions(Q.table_columns(spark, d))
     return Q.union_texts(qs, Q.synonym_rows(qs, "question_id", "question"))
@@ -160,7 +190,23 @@ def q_data_context(spark, d):
     return Q.data_context(s, 50, ["customer_id", "product_id", "sale_date", "total_amount", "region"])
 
 
-@query("hits_with_sql")
+def _hits_sql() -> str:
+    from tessera.plans.q_nlq import _hv
+    return ("WITH " + PAIRS_SQL + ",\n"
+            + "up AS (SELECT conv_id * 1000 + turn AS prompt_id, text FROM conversations WHERE role = 'user'),\n"
+            + _hv("up", "prompt_id", "text", "qv") + ",\n" + _hv("pairs", "training_id", "question", "iv") + """,
+qv_n AS (SELECT id, sqrt(SUM(weight * weight)) AS nrm FROM qv GROUP BY id),
+iv_n AS (SELECT id, sqrt(SUM(weight * weight)) AS nrm FROM iv GROUP BY id),
+dots AS (SELECT a.id AS query_id, b.id AS item_id, SUM(a.weight * b.weight) AS dp FROM qv a JOIN iv b ON a.bucket = b.bucket GROUP BY ALL),
+sims AS (SELECT qn.id AS query_id, inn.id AS item_id, ROUND(COALESCE(d.dp, 0) / (qn.nrm * inn.nrm + 1e-12), 9) AS sim
+         FROM qv_n qn CROSS JOIN iv_n inn LEFT JOIN dots d ON d.query_id = qn.id AND d.item_id = inn.id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM sims)
+        WHERE rank <= 3)
+SELECT t.query_id AS prompt_id, CAST(t.rank AS INTEGER) AS rank, p.question, p.sql_template, t.sim AS score
+FROM top t JOIN pairs p ON p.training_id = t.item_id""")
+
+
+@query("hits_with_sql", _hits_sql())
 def q_hits_with_sql(spark, d):
     """Top-3 training questions per user prompt with their SQL (one join)."""
     pairs = Q.generate_pairs(Q.table_columns(spark, d))
@@ -168,8 +214,8 @@ def q_hits_with_sql(spark, d):
     tv = pairs.select("training_id", V.hash_embed("question").alias("vec"))
     hits = SR.knn(prompts, tv, 3, "prompt_id", "vec", "training_id", "vec", small_items=20_000)
     return hits.join(F.broadcast(pairs.select(F.col("training_id").alias("item_id"), "question", "sql_template")),
-                     "item_id").select(F.col("query_id").alias("prompt_id"), "rank", "question", "sql_template",
-                                       "score")
+                     "item_id").select(F.col("query_id").alias("prompt_id"), F.col("rank").cast("int").alias("rank"),
+                                       "question", "sql_template", "score")
 
 
 @query("safe_exec")

@@ -64,7 +64,10 @@ def q_ndjson_out(spark, d):
     return J.ndjson_lines(sales_view(spark, d))
 
 
-@query("csv_out")
+@query("csv_out", """
+SELECT CAST(c_custkey AS VARCHAR) || ',' || COALESCE(to_json(c_name)::VARCHAR, '""') || ',' || CAST(c_nationkey AS VARCHAR)
+       || ',' || CAST(c_acctbal AS VARCHAR) || ',' || COALESCE(to_json(c_mktsegment)::VARCHAR, '""') AS value
+FROM customer""")
 def q_csv_out(spark, d):
     """Customer rows as CSV lines (quoted text, bare numbers)."""
     return J.csv_lines(load(spark, d, "customer"))
@@ -82,10 +85,15 @@ def _write_event_log(spark, d) -> str:
     return path
 
 
-@query("query_log")
+@query("query_log", """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
+       '10.0.' || CAST(user_id % 256 AS VARCHAR) || '.' || CAST(user_id // 256 AS VARCHAR) AS client_ip,
+       'curl/8.5.0' AS user_agent, event_type AS model, 'list all ' || event_type AS intent,
+       'SELECT * FROM events WHERE event_id = ' || CAST(event_id AS VARCHAR) AS sql
+FROM events""")
 def q_query_log(spark, d):
     """A request log written from the events, read back record by record."""
-    return L.read_query_log(spark, _write_event_log(spark, d))
+    return portable(L.read_query_log(spark, _write_event_log(spark, d)))
 
 
 @query("log_usage", """

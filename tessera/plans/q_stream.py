@@ -30,8 +30,20 @@ def q_log_windows(spark, d):
     return portable(ST.usage_windows(L.read_query_log(spark, _write_event_log(spark, d))))
 
 
-@query("cache_hits")
+@query("cache_hits", """
+WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) || '|' || event_type AS key, event_id, ts,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS pos
+  FROM events),
+walk(key, pos, event_id, ts, last_miss, hit) AS (
+  SELECT key, pos, event_id, ts, ts, false FROM ev WHERE pos = 1
+  UNION ALL
+  SELECT e.key, e.pos, e.event_id, e.ts,
+         CASE WHEN e.ts - w.last_miss < INTERVAL 30 MINUTE THEN w.last_miss ELSE e.ts END,
+         e.ts - w.last_miss < INTERVAL 30 MINUTE
+  FROM walk w JOIN ev e ON e.key = w.key AND e.pos = w.pos + 1)
+SELECT key, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, hit FROM walk""")
 def q_cache_hits(spark, d):
     """30-minute expiring cache over events keyed by (user, event type):
     hit when the last miss of the key is less than 30 minutes old."""
-    return ST.cache_hits(load(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 30)
+    return portable(ST.cache_hits(load(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id", 30))

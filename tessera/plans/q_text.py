@@ -171,7 +171,10 @@ def q_sql_allowed(spark, d):
     return c.select("conv_id", "turn", S.is_allowed_sql("text").alias("allowed"))
 
 
-@query("parse_object")
+@query("parse_object", """
+SELECT event_id, json_valid(props) AS ok,
+       CASE WHEN json_valid(props) THEN '{"k":"' || json_extract_string(props, '$.k') || '"}' END AS value
+FROM events""")
 def q_parse_object(spark, d):
     """Model object output: fences removed, JSON parsed, error flag when bad
     (here over the JSON ``props`` column of events)."""
