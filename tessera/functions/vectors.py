@@ -3,8 +3,9 @@ JSON and float32-byte codecs.
 
 Vectors are stored as ``ARRAY<FLOAT>`` and every similarity is accumulated in
 double.  The default text embedder is a hashed bag of words: tokens are
-hashed JVM-side (``md5`` → bucket); histograms and L2 norms of a whole Arrow
-batch are one ``numpy.bincount`` over the flat bucket array.  Model embedders plug in
+split with RE2 inside an Arrow-native UDF, hashed once per distinct token of the
+batch (``md5`` → bucket), and the histograms and L2 norms of the whole batch
+are one ``numpy.bincount``.  Model embedders plug in
 through :class:`Embedder` as an iterator pandas UDF.
 """
 
@@ -13,16 +14,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Protocol
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HASH_DIM = 256
 EPS = 1e-12
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
+TOKEN_SPLIT = r"[^\p{L}\p{N}]+"          # Java regex (JVM path)
+ARROW_TOKEN_SPLIT = r"[^\p{L}\p{N}]+"    # RE2 (Arrow path): same classes
 
 
 def _c(col: Column | str) -> Column:
@@ -97,9 +102,45 @@ def _bincount_udf(dim: int):
     return embed
 
 
+def _embed_text_udf(dim: int):
+    """Arrow-native embedder over raw text: RE2 lower/split in pyarrow, the
+    batch's tokens dictionary-encoded so MD5 runs once per distinct token,
+    then one ``bincount`` for the whole batch.  Same buckets as
+    :func:`token_buckets` (checked bit-for-bit in the tests)."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+        n = len(texts)
+        toks = pc.split_pattern_regex(pc.utf8_lower(texts), ARROW_TOKEN_SPLIT)
+        offs = toks.offsets.to_numpy()
+        flat = toks.values[offs[0]:offs[-1]]
+        row = np.repeat(np.arange(n, dtype=np.int64), np.diff(offs))
+        keep = pc.greater(pc.utf8_length(flat), 0).to_numpy(zero_copy_only=False).astype(bool)
+        enc = pc.dictionary_encode(flat.filter(pa.array(keep)))
+        bucket = np.fromiter((int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim
+                              for w in enc.dictionary.to_pylist()), dtype=np.int64)
+        idx = enc.indices.to_numpy(zero_copy_only=False)
+        b = bucket[idx] if len(idx) else np.zeros(0, np.int64)
+        h = np.bincount(row[keep] * dim + b, minlength=n * dim).reshape(n, dim).astype(np.float64)
+        nrm = np.sqrt((h * h).sum(axis=1))
+        ok = nrm > 0
+        h[ok] /= nrm[ok, None]
+        out_offs = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+        null = ~ok | np.asarray(texts.is_null(), dtype=bool)
+        return pa.ListArray.from_arrays(out_offs, pa.array(h.astype(np.float32).reshape(-1)), mask=pa.array(null))
+    return embed
+
+
 def hash_embed(text: Column | str, dim: int = HASH_DIM) -> Column:
     """L2-normalised token histogram over ``dim`` hashed buckets (null when the
     text has no token)."""
+    return _embed_text_udf(dim)(_c(text))
+
+
+def hash_embed_jvm(text: Column | str, dim: int = HASH_DIM) -> Column:
+    """Same vectors with tokens hashed JVM-side (the SQL-expressible form)."""
     return _bincount_udf(dim)(token_buckets(text, dim))
 
 

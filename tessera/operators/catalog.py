@@ -140,6 +140,25 @@ def infer_keys(df: DataFrame, table: str, columns: list[str] | None = None) -> D
                         .alias("is_unique")))
 
 
+def key_candidates(df: DataFrame, table: str, rsd: float = 0.02) -> DataFrame:
+    """Unique-and-complete columns found in two passes: a HyperLogLog pass
+    (``approx_count_distinct``, partial aggregation, no data shuffle) keeps
+    only columns whose estimate is within a few percent of the row count;
+    exact distinct counts then run on those few columns only.  Returns
+    ``table_name, column_name`` of the key columns."""
+    spark = df.sparkSession
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c in df.columns:
+        aggs += [F.count(F.col(c)).alias(f"nn__{c}"), F.approx_count_distinct(F.col(c), rsd).alias(f"a__{c}")]
+    est = df.agg(*aggs).first()
+    n = est["n"]
+    cands = [c for c in df.columns if est[f"nn__{c}"] == n and est[f"a__{c}"] >= n * (1 - 4 * rsd)]
+    if not cands or n == 0:
+        return spark.createDataFrame([], "table_name string, column_name string")
+    exact = infer_keys(df, table, cands)
+    return exact.where("is_unique").select("table_name", "column_name")
+
+
 def infer_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Inclusion test: how many non-null child values have no parent (0 → the
     foreign key holds).  One anti join."""

@@ -73,3 +73,9 @@ def test_hash_embed_is_unit_and_sparse(spark):
     v = np.asarray(rows[0].v)
     assert len(v) == V.HASH_DIM and abs(np.linalg.norm(v) - 1) < 1e-6 and (v > 0).sum() <= 2
     assert rows[1].v is None and rows[2].v is None
+
+
+def test_arrow_and_jvm_embeddings_agree(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select(V.hash_embed("text").alias("a"), V.hash_embed_jvm("text").alias("b")).collect()
+    assert all((r.a is None and r.b is None) or (r.a is not None and r.b is not None and r.a == r.b) for r in rows)
