@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import spread
 from tessera.tables import load
 
 OWNER = "TPCH"
@@ -140,23 +141,53 @@ def infer_keys(df: DataFrame, table: str, columns: list[str] | None = None) -> D
                         .alias("is_unique")))
 
 
-def key_candidates(df: DataFrame, table: str, rsd: float = 0.02) -> DataFrame:
-    """Unique-and-complete columns found in two passes: a HyperLogLog pass
-    (``approx_count_distinct``, partial aggregation, no data shuffle) keeps
-    only columns whose estimate is within a few percent of the row count;
-    exact distinct counts then run on those few columns only.  Returns
-    ``table_name, column_name`` of the key columns."""
-    spark = df.sparkSession
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in df.columns:
-        aggs += [F.count(F.col(c)).alias(f"nn__{c}"), F.approx_count_distinct(F.col(c), rsd).alias(f"a__{c}")]
-    est = df.agg(*aggs).first()
-    n = est["n"]
-    cands = [c for c in df.columns if est[f"nn__{c}"] == n and est[f"a__{c}"] >= n * (1 - 4 * rsd)]
-    if not cands or n == 0:
+def key_eligible(df: DataFrame) -> list[str]:
+    """Columns that can serve as keys: integers, strings, dates, integral
+    decimals (floating-point and timestamp columns are not keys)."""
+    ok = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.StringType, T.DateType)
+    return [f.name for f in df.schema.fields
+            if isinstance(f.dataType, ok) or (isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0)]
+
+
+EXACT_KEY_ROWS = 5_000_000
+
+
+def key_candidates(frames: dict[str, DataFrame], rsd: float = 0.05,
+                   exact_rows: int = EXACT_KEY_ROWS) -> DataFrame:
+    """Unique-and-complete key-eligible columns of every table.
+
+    Row counts come first (one job over all tables; parquet counts read only
+    footers).  Tables up to ``exact_rows`` rows get exact distinct counts
+    directly.  Larger tables first get a HyperLogLog pass
+    (``approx_count_distinct``: partial aggregation, no shuffle of distinct
+    values), and exact counts run only on columns whose estimate is within
+    4·rsd of the row count.  Returns ``table_name, column_name``.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    sizes = {r["table_name"]: r["num_rows"] for r in table_counts(frames).collect()}
+    exact, parts = [], []
+    for t, df in frames.items():
+        cols = key_eligible(df)
+        if not cols or not sizes.get(t):
+            continue
+        if sizes[t] <= exact_rows:
+            exact.append(infer_keys(df, t, cols))
+            continue
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for c in cols:
+            aggs += [F.count(F.col(c)).alias(f"nn__{c}"), F.approx_count_distinct(F.col(c), rsd).alias(f"a__{c}")]
+        stack = ", ".join(f"'{c}', `nn__{c}`, `a__{c}`" for c in cols)
+        parts.append(spread(df).agg(*aggs).selectExpr(f"'{t}' as table_name", "n",
+                                                      f"stack({len(cols)}, {stack}) as (column_name, nn, approx)"))
+    if parts:
+        cands: dict[str, list[str]] = {}
+        for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
+            if r["n"] > 0 and r["nn"] == r["n"] and r["approx"] >= r["n"] * (1 - 4 * rsd):
+                cands.setdefault(r["table_name"], []).append(r["column_name"])
+        exact += [infer_keys(frames[t], t, cols) for t, cols in cands.items()]
+    if not exact:
         return spark.createDataFrame([], "table_name string, column_name string")
-    exact = infer_keys(df, table, cands)
-    return exact.where("is_unique").select("table_name", "column_name")
+    return reduce(lambda a, b: a.unionByName(b), exact).where("is_unique").select("table_name", "column_name")
 
 
 def infer_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:

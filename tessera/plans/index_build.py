@@ -55,7 +55,7 @@ def comments_table(spark: SparkSession, owner: str = C.OWNER) -> DataFrame:
 def inferred_constraints(spark: SparkSession, fr: dict[str, DataFrame], owner: str = C.OWNER) -> DataFrame:
     """Primary keys = columns found unique and complete; foreign keys = the
     candidates whose inclusion test finds no orphan."""
-    keys = union_all(*[C.key_candidates(df, t) for t, df in fr.items()])
+    keys = C.key_candidates(fr)
     pk = (keys
               .select(F.lit(owner).alias("owner"), "table_name",
                       F.concat(F.lit("PK_"), F.upper("table_name")).alias("constraint_name"),
