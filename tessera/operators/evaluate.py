@@ -49,13 +49,19 @@ def safe_exec(spark: SparkSession, sql: str, cap: int = 1000, sample_n: int = 10
 
 
 def execute_all(spark: SparkSession, statements: DataFrame, col: str = "sql_text", cap: int = 1000,
-                max_statements: int = 10_000) -> DataFrame:
-    """Signatures of every distinct non-null statement of ``statements``."""
+                max_statements: int = 10_000, concurrency: int = 8) -> DataFrame:
+    """Signatures of every distinct non-null statement of ``statements``.
+
+    Statements run as concurrent Spark jobs (driver threads submitting to
+    the same scheduler), each reduced to its signature on the executors."""
+    from concurrent.futures import ThreadPoolExecutor
+
     distinct = statements.select(col).where(F.col(col).isNotNull()).distinct()
     texts = [r[0] for r in distinct.limit(max_statements + 1).collect()]
     if len(texts) > max_statements:
         raise ValueError(f"more than {max_statements} distinct statements to execute")
-    sigs = [safe_exec(spark, t, cap) for t in sorted(texts)]
+    with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+        sigs = list(pool.map(lambda t: safe_exec(spark, t, cap), sorted(texts)))
     return spark.createDataFrame(sigs, SIGNATURE_SCHEMA)
 
 

@@ -328,7 +328,18 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
               F.max(F.when(is2, F.datediff("d1", "d0"))).alias("span")).first()
     if max(b[0] or 0, b[1] or 0) > MAX_LIMIT or (b[2] or 0) > MAX_RANGE_DAYS:
         raise ValueError("a prompt asks for more rows or a longer range than the batch bounds")
-    s = R.sales_view(spark, sf_dir).select("customer_id", "product_id", "region", "sale_date", "total_amount")
+    # one pass over the star: revenue per (year, customer), (year, region),
+    # (day, product) and (day) as grouping sets; every template reads its set
+    s = R.sales_view(spark, sf_dir).select("customer_id", "product_id", "region", "sale_date", "total_amount") \
+         .withColumn("year", F.year("sale_date"))
+    keys = ["year", "customer_id", "region", "sale_date", "product_id"]
+    g = s.groupingSets([["year", "customer_id"], ["year", "region"], ["sale_date", "product_id"], ["sale_date"]],
+                       *keys).agg(F.sum("total_amount").alias("rev"), F.grouping_id().alias("gid"))
+
+    def gset(*cols):
+        bits = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in cols)
+        return g.where(F.col("gid") == bits).select(*cols, "rev")
+
     out = []
 
     # top customers by revenue in a year
@@ -336,9 +347,7 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
                  & (F.col("lim") > 0))
     lim0 = b[0]
     if lim0:
-        years = t0.select("year").distinct()
-        rev = (s.withColumn("year", F.year("sale_date")).join(F.broadcast(years), "year")
-                .groupBy("year", "customer_id").agg(F.sum("total_amount").alias("rev")))
+        rev = gset("year", "customer_id").join(t0.select("year").distinct(), "year", "left_semi")
         top = R.rank_within(rev, ["year"], [F.col("rev").desc(), F.col("customer_id")], lim0)
         out.append(t0.join(top, "year").where(F.col("rank") <= F.col("lim")).select(
             "prompt_id", F.col("name").alias("template"), F.col("customer_id").cast("string").alias("answer_key"),
@@ -346,9 +355,7 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
 
     # total sales per region in a year
     t1 = r.where((F.col("name") == "sales_by_region_year") & F.col("year").isNotNull())
-    years1 = t1.select("year").distinct()
-    rev1 = (s.withColumn("year", F.year("sale_date")).join(F.broadcast(years1), "year")
-             .groupBy("year", "region").agg(F.sum("total_amount").alias("rev")))
+    rev1 = gset("year", "region").join(t1.select("year").distinct(), "year", "left_semi")
     w1 = Window.partitionBy("year").orderBy(F.col("rev").desc(), F.col("region"))
     out.append(t1.join(rev1.withColumn("rank", F.row_number().over(w1)), "year").select(
         "prompt_id", F.col("name").alias("template"), F.col("region").alias("answer_key"),
@@ -361,7 +368,7 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
     if lim2[0]:
         ranges = t2.select("d0", "d1").distinct().where(F.col("d0") <= F.col("d1"))
         days = ranges.select("d0", "d1", F.explode(F.sequence("d0", "d1")).alias("sale_date"))
-        daily = s.groupBy("sale_date", "product_id").agg(F.sum("total_amount").alias("rev"))
+        daily = gset("sale_date", "product_id")
         per_range = (days.join(daily, "sale_date").groupBy("d0", "d1", "product_id")
                          .agg(F.sum("rev").alias("rev")))
         top2 = R.rank_within(per_range, ["d0", "d1"], [F.col("rev").desc(), F.col("product_id")], lim2[0])
@@ -372,8 +379,7 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
     # total revenue on a day
     t3 = r.where((F.col("name") == "daily_sales_on_date") & F.col("day").isNotNull())
     days3 = t3.select(F.col("day").alias("sale_date")).distinct()
-    rev3 = s.join(days3, "sale_date").groupBy("sale_date") \
-            .agg(F.sum("total_amount").alias("rev"))
+    rev3 = gset("sale_date").join(days3, "sale_date", "left_semi")
     out.append(t3.join(rev3, t3.day == rev3.sale_date).select(
         "prompt_id", F.col("name").alias("template"), F.date_format("sale_date", "yyyy-MM-dd").alias("answer_key"),
         F.col("rev").cast("double").alias("total_revenue"), F.lit(1).alias("rank")))

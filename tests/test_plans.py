@@ -86,3 +86,22 @@ def test_entry_contract(spark):
     assert df.columns == ["customer_id", "total_revenue"] and df.count() >= 0
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 100
+
+
+def test_batch_answers_equal_single_prompt_answers(spark, sf):
+    """Answering a prompt table at once gives what each prompt gets alone."""
+    asof = dt.date(2001, 12, 31)
+    prompts = ["top 3 customers by revenue in 2000", "show total sales for each region in 2001",
+               "top 4 products by revenue between 2000-03-01 and 2000-03-20", "hello world"]
+    table = spark.createDataFrame(list(enumerate(prompts)), "prompt_id long, prompt string")
+    batch = N.answer_batch(spark, table, sf, asof)
+    for i, p in enumerate(prompts):
+        got = [(r.answer_key, round(r.total_revenue, 2)) for r in
+               batch.where(F.col("prompt_id") == i).orderBy("rank").collect()]
+        try:
+            single = N.answer(spark, p, sf, asof=asof).collect()
+        except N.NoMatch:
+            assert got == []
+            continue
+        want = [(str(r[0]), round(float(r[1]), 2)) for r in single]
+        assert got == want, p

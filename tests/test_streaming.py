@@ -54,3 +54,21 @@ def test_cache_stream_equals_batch(spark, sf):
     batch = ST.cache_hits(ev, ["user_id", "event_type"], "ts", "event_id", 30).select("event_id", "hit")
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
     assert batch.where(F.col("hit")).count() > 0
+
+
+def test_incremental_embedding_stream(spark, sf):
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    src = tempfile.mkdtemp(prefix="emb-in-") + "/in"
+    out = tempfile.mkdtemp(prefix="emb-out-") + "/out"
+    ck = tempfile.mkdtemp(prefix="ck-")
+    docs.where(F.col("doc_id") % 2 == 0).write.parquet(src + "/part=a")
+    ST.stream_embed(spark, src, docs.schema, "doc_id", "text", out, ck).awaitTermination(300)
+    first = spark.read.parquet(out).count()
+    assert first == docs.where(F.col("doc_id") % 2 == 0).count()
+    # a second file repeats the old ids and adds the odd ones: only new ids are embedded
+    docs.write.parquet(src + "/part=b")
+    ST.stream_embed(spark, src, docs.schema, "doc_id", "text", out, ck).awaitTermination(300)
+    emb = spark.read.parquet(out)
+    assert emb.count() == emb.select("doc_id").distinct().count()
+    assert emb.select("doc_id").distinct().count() == docs.count()
