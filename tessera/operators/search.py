@@ -30,6 +30,7 @@ from tessera.functions.vectors import EPS, valid_vectors
 from tessera.session import fits
 
 MAX_BROADCAST_QUERIES = 20_000
+MAX_BROADCAST_BYTES = 256 << 20   # float64 matrix held by every executor
 BLOCK_ROWS = 4_096
 
 HIT_SCHEMA = T.StructType([
@@ -46,6 +47,31 @@ def _matrix(vecs) -> np.ndarray:
     return m, n
 
 
+def _collect_side(df: DataFrame, id_col: str, vec_col: str, max_rows: int):
+    """Collect a side proven small as Arrow (ids, float64 matrix, norms), or
+    None when it has more than ``max_rows`` rows or its matrix would exceed
+    ``MAX_BROADCAST_BYTES``.  At most ``max_rows + 1`` rows are read."""
+    if max_rows <= 0:
+        return None
+    tbl = df.limit(max_rows + 1).toArrow()
+    if tbl.num_rows > max_rows:
+        return None
+    if tbl.num_rows == 0:
+        return np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0)
+    ids = tbl.column(id_col).to_numpy()
+    lists = tbl.column(vec_col).combine_chunks()
+    lens = np.diff(lists.offsets.to_numpy())
+    if lens.min() == lens.max():
+        vals = lists.values.to_numpy(zero_copy_only=False)
+        start = lists.offsets.to_numpy()[0]
+        m = vals[start:start + lens.sum()].astype(np.float64).reshape(len(lens), int(lens[0]))
+    else:
+        m = np.vstack([np.asarray(v, dtype=np.float64) for v in lists.to_pylist()])
+    if m.nbytes > MAX_BROADCAST_BYTES:
+        return None
+    return ids.astype(np.int64), m, np.linalg.norm(m, axis=1)
+
+
 def _empty_hits() -> pd.DataFrame:
     return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "item_id": pd.Series([], dtype="int64"),
                          "score": pd.Series([], dtype="float64"), "rank": pd.Series([], dtype="int32")})
@@ -106,23 +132,22 @@ def knn(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
     it = valid_vectors(items, i_vec).select(F.col(i_id).cast("long").alias("iid"),
                                             F.col(i_vec).alias("iv"))
     if small_items:
-        i_rows = it.limit(small_items + 1).collect()
-        if len(i_rows) <= small_items:
-            return _knn_items_broadcast(q, i_rows, k, exclude_self)
-    q_rows = q.limit(max_broadcast + 1).collect() if max_broadcast > 0 else [None]
-    if len(q_rows) <= max_broadcast:
-        cands = _knn_broadcast(q.sparkSession, q_rows, it, k, exclude_self)
+        side = _collect_side(it, "iid", "iv", small_items)
+        if side is not None:
+            return _knn_items_broadcast(q, side, k, exclude_self)
+    side = _collect_side(q, "qid", "qv", max_broadcast)
+    if side is not None:
+        cands = _knn_broadcast(q.sparkSession, side, it, k, exclude_self)
     else:
         cands = _knn_blocked(q, it, k, exclude_self, block_rows)
     return _final_topk(cands, k)
 
 
-def _knn_broadcast(spark: SparkSession, rows: list, it: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """``rows``: the query rows, already proven to be at most the broadcast budget."""
-    if not rows:
+def _knn_broadcast(spark: SparkSession, side, it: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """``side``: (ids, matrix, norms) of the queries, proven within budget."""
+    q_ids, q_mat, q_norm = side
+    if len(q_ids) == 0:
         return spark.createDataFrame([], HIT_SCHEMA)
-    q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    q_mat, q_norm = _matrix([r["qv"] for r in rows])
     bc = spark.sparkContext.broadcast((q_ids, q_mat, q_norm))
 
     def score(batches):
@@ -139,14 +164,13 @@ def _knn_broadcast(spark: SparkSession, rows: list, it: DataFrame, k: int, exclu
 RANKED_SCHEMA = T.StructType(HIT_SCHEMA.fields + [T.StructField("best_score", T.DoubleType())])
 
 
-def _knn_items_broadcast(q: DataFrame, rows: list, k: int, exclude_self: bool) -> DataFrame:
-    """``rows``: the item rows, already proven small.  Every query row is
-    answered completely where it lies (no shuffle)."""
+def _knn_items_broadcast(q: DataFrame, side, k: int, exclude_self: bool) -> DataFrame:
+    """``side``: (ids, matrix, norms) of the items, proven small.  Every
+    query row is answered completely where it lies (no shuffle)."""
     spark = q.sparkSession
-    if not rows:
+    i_ids, i_mat, i_norm = side
+    if len(i_ids) == 0:
         return spark.createDataFrame([], RANKED_SCHEMA)
-    i_ids = np.array([r["iid"] for r in rows], dtype=np.int64)
-    i_mat, i_norm = _matrix([r["iv"] for r in rows])
     bc = spark.sparkContext.broadcast((i_ids, i_mat, i_norm))
 
     def score(batches):
