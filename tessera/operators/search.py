@@ -109,6 +109,21 @@ def _local_topk(q_ids, q_mat, q_norm, i_ids, i_mat, i_norm, k, exclude_self):
                          "rank": np.tile(np.arange(1, kk + 1, dtype=np.int32), nq)[keep]})
 
 
+MAX_CELLS = 16_000_000   # similarity cells per matrix product (128 MB of float64)
+
+
+def _topk_chunked(q_ids, q_mat, q_norm, i_ids, i_mat, i_norm, k, exclude_self) -> pd.DataFrame:
+    """:func:`_local_topk` over query slices so one similarity matrix never
+    exceeds ``MAX_CELLS`` (memory per task stays bounded whatever the
+    broadcast and Arrow batch sizes)."""
+    step = max(1, MAX_CELLS // max(1, len(i_ids)))
+    if len(q_ids) <= step:
+        return _local_topk(q_ids, q_mat, q_norm, i_ids, i_mat, i_norm, k, exclude_self)
+    parts = [_local_topk(q_ids[s:s + step], q_mat[s:s + step], q_norm[s:s + step], i_ids, i_mat, i_norm, k,
+                         exclude_self) for s in range(0, len(q_ids), step)]
+    return pd.concat(parts, ignore_index=True)
+
+
 def _final_topk(cands: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
     return (cands.drop("rank").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -156,7 +171,7 @@ def _knn_broadcast(spark: SparkSession, side, it: DataFrame, k: int, exclude_sel
             if pdf.empty:
                 continue
             i_mat, i_norm = _matrix(pdf["iv"])
-            yield _local_topk(qi, qm, qn, pdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self)
+            yield _topk_chunked(qi, qm, qn, pdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self)
 
     return it.mapInPandas(score, HIT_SCHEMA)
 
@@ -179,7 +194,7 @@ def _knn_items_broadcast(q: DataFrame, side, k: int, exclude_self: bool) -> Data
             if pdf.empty:
                 continue
             q_mat, q_norm = _matrix(pdf["qv"])
-            out = _local_topk(pdf["qid"].to_numpy(np.int64), q_mat, q_norm, ii, im, inn, k, exclude_self)
+            out = _topk_chunked(pdf["qid"].to_numpy(np.int64), q_mat, q_norm, ii, im, inn, k, exclude_self)
             out["best_score"] = out.groupby("query_id", sort=False)["score"].transform("max")
             yield out
 

@@ -45,6 +45,17 @@ def test_knn_paths_match_brute_force(spark):
     assert _as_map(small) == want
 
 
+def test_chunked_topk_equals_unchunked(monkeypatch):
+    rng = np.random.default_rng(1)
+    q, i = rng.normal(size=(50, 8)), rng.normal(size=(40, 8))
+    qi, ii = np.arange(50, dtype=np.int64), np.arange(100, 140, dtype=np.int64)
+    args = (qi, q, np.linalg.norm(q, axis=1), ii, i, np.linalg.norm(i, axis=1), 5, False)
+    full = SR._local_topk(*args)
+    monkeypatch.setattr(SR, "MAX_CELLS", 120)  # three queries per slice
+    chunked = SR._topk_chunked(*args)
+    assert full.equals(chunked)
+
+
 def test_null_and_empty_vectors_skipped(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 1.0])], "id long, vec array<float>")
     hits = SR.knn(df, df, 3, "id", "vec", "id", "vec").collect()
