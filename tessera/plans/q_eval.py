@@ -181,7 +181,19 @@ def q_rag_prompt(spark, d):
     return Q.rag_prompts(prompts.select("prompt_id", "prompt"), hits, chunks)
 
 
-@query("data_context")
+@query("data_context", __import__("tessera.plans.sqlviews", fromlist=["x"]).with_sales("""
+WITH r AS (SELECT customer_id, product_id, strftime(sale_date, '%Y-%m-%d') AS sale_date,
+              CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price,
+              CAST(total_amount AS DOUBLE) AS total_amount, region FROM sales),
+j AS (SELECT *, to_json({'customer_id': customer_id, 'product_id': product_id, 'sale_date': sale_date,
+                         'quantity': quantity, 'unit_price': unit_price, 'total_amount': total_amount,
+                         'region': region}) AS j FROM r),
+top AS (SELECT * FROM j ORDER BY customer_id, product_id, sale_date, total_amount, region, j LIMIT 50)
+SELECT 'Schema:' || chr(10) || '- customer_id (bigint)' || chr(10) || '- product_id (bigint)' || chr(10)
+       || '- sale_date (string)' || chr(10) || '- quantity (double)' || chr(10) || '- unit_price (double)' || chr(10)
+       || '- total_amount (double)' || chr(10) || '- region (string)' || chr(10) || chr(10) || 'Rows:' || chr(10)
+       || string_agg(j, chr(10) ORDER BY customer_id, product_id, sale_date, total_amount, region, j) AS context
+FROM top"""))
 def q_data_context(spark, d):
     """Schema lines and the first 50 sales rows as JSON (model context)."""
     from tessera.operators.relational import sales_view

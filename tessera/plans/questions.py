@@ -140,11 +140,16 @@ def rag_prompts(prompts: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataF
 
 
 def data_context(df: DataFrame, n: int = 50, order: list[str] | None = None) -> DataFrame:
-    """Schema lines plus the first ``n`` rows as JSON lines — one row."""
+    """Schema lines plus the first ``n`` rows (by ``order``, then the row
+    text) as JSON lines — one row.  The row order is made explicit with
+    ``array_sort`` (``collect_list`` alone keeps no order)."""
+    keys = order or df.columns[:1]
     schema = "\n".join(f"- {f.name} ({f.dataType.simpleString()})" for f in df.schema.fields)
-    rows = df.orderBy(*(order or df.columns[:1])).limit(n).select(F.to_json(F.struct(*df.columns)).alias("j"))
+    j = F.to_json(F.struct(*df.columns))
+    rows = df.select(*keys, j.alias("j")).orderBy(*keys, "j").limit(n)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*keys, "j"))), lambda s: s["j"])
     return rows.agg(F.concat(F.lit("Schema:\n" + schema + "\n\nRows:\n"),
-                             F.array_join(F.collect_list("j"), "\n")).alias("context"))
+                             F.array_join(ordered, "\n")).alias("context"))
 
 
 def synonym_rows(questions: DataFrame, id_col: str, text_col: str, max_variants: int = 5) -> DataFrame:
