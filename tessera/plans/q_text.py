@@ -83,7 +83,23 @@ def q_chunk_stats(spark, d):
                                     F.max(F.length("content")).alias("max_chars"))
 
 
-@query("word_chunks")
+@query("word_chunks", r"""
+WITH RECURSIVE wd AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
+lens AS (SELECT doc_id, list_transform(ws, lambda x: length(x) + 1) AS ls FROM wd WHERE len(ws) > 0),
+walk(doc_id, ls, n, i, size, chunk) AS (
+  SELECT doc_id, ls, len(ls), 1, ls[1], CASE WHEN ls[1] > 512 THEN 1 ELSE 0 END FROM lens
+  UNION ALL
+  SELECT doc_id, ls, n, i + 1,
+         CASE WHEN size + ls[i + 1] > 512 THEN ls[i + 1] ELSE size + ls[i + 1] END,
+         CASE WHEN size + ls[i + 1] > 512 THEN chunk + 1 ELSE chunk END
+  FROM walk WHERE i < n),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM wd),
+packed AS (SELECT k.doc_id, k.chunk, string_agg(x.w, ' ' ORDER BY x.i) AS content
+           FROM walk k JOIN words x ON x.doc_id = k.doc_id AND x.i = k.i GROUP BY k.doc_id, k.chunk),
+lead AS (SELECT doc_id, 0 AS chunk, '' AS content FROM lens WHERE ls[1] > 512)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_ix, content, CAST(length(content) AS INTEGER) AS n_chars
+FROM (SELECT * FROM packed UNION ALL SELECT * FROM lead)""")
 def q_word_chunks(spark, d):
     """Greedy 512-character word packing of every document."""
     return X.word_chunks(load(spark, d, "documents"), "text", 512, ("doc_id",)) \
