@@ -8,7 +8,7 @@ from tessera.functions import text as X
 from tessera.operators import catalog as C
 from tessera.operators.relational import union_all
 from tessera.plans import index_build as IB
-from tessera.plans.registry import query
+from tessera.plans.registry import attach_oracle, query
 from tessera.sources.writes import append_new_docs, upsert
 from tessera.tables import load
 
@@ -215,3 +215,114 @@ def q_upsert(spark, d):
     upd = docs.join(lab, "doc_id").select(
         "doc_id", F.concat("text", F.lit(" [quality="), F.col("quality").cast("string"), F.lit("]")).alias("text"))
     return upsert(docs, upd, "doc_id").select("doc_id", X.content_hash("text").alias("hash"))
+
+
+# ---------------------------------------------------------------------------
+# SQL form of the catalog documents (table, view and relationship cards)
+# ---------------------------------------------------------------------------
+
+# The schemas of the indexed tables (column, Spark type name),
+# in column order, as read by the catalog snapshot.
+CATALOG_SCHEMA = {
+    "region": [("r_regionkey", "INT"), ("r_name", "STRING")],
+    "nation": [("n_nationkey", "INT"), ("n_name", "STRING"), ("n_regionkey", "INT")],
+    "customer": [("c_custkey", "BIGINT"), ("c_name", "STRING"), ("c_nationkey", "INT"), ("c_acctbal", "DOUBLE"),
+                 ("c_mktsegment", "STRING")],
+    "supplier": [("s_suppkey", "BIGINT"), ("s_name", "STRING"), ("s_nationkey", "INT"), ("s_acctbal", "DOUBLE")],
+    "part": [("p_partkey", "BIGINT"), ("p_name", "STRING"), ("p_brand", "STRING"), ("p_type", "STRING"),
+             ("p_size", "INT"), ("p_retailprice", "DOUBLE")],
+    "orders": [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "STRING"),
+               ("o_totalprice", "DOUBLE"), ("o_orderdate", "TIMESTAMP_NTZ"), ("o_orderpriority", "STRING")],
+    "lineitem": [("l_orderkey", "BIGINT"), ("l_partkey", "BIGINT"), ("l_suppkey", "BIGINT"), ("l_linenumber", "INT"),
+                 ("l_quantity", "DOUBLE"), ("l_extendedprice", "DOUBLE"), ("l_discount", "DOUBLE"),
+                 ("l_tax", "DOUBLE"), ("l_returnflag", "STRING"), ("l_linestatus", "STRING"),
+                 ("l_shipdate", "TIMESTAMP_NTZ")],
+}
+_PROFILED_TYPES = ("INT", "BIGINT", "STRING")
+
+
+def _cards_ctes() -> str:
+    top = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1, 2, 3"
+        for t, cols in CATALOG_SCHEMA.items() for c, ty in cols if ty in _PROFILED_TYPES)
+    uq = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{c}' AS c FROM (SELECT COUNT(*) AS n, COUNT({c}) AS nn, COUNT(DISTINCT {c}) AS d FROM {t}) "
+        f"WHERE n > 0 AND nn = n AND d = n"
+        for t, cols in CATALOG_SCHEMA.items() for c, ty in cols if ty in _PROFILED_TYPES)
+    fk = " UNION ALL ".join(
+        f"SELECT '{c}' AS t, '{cc}' AS c, '{p}' AS parent FROM (SELECT COUNT(*) AS o FROM {c} WHERE {cc} IS NOT NULL "
+        f"AND {cc} NOT IN (SELECT {pc} FROM {p} WHERE {pc} IS NOT NULL)) WHERE o = 0"
+        for c, cc, p, pc in IB.FK_CANDIDATES)
+    return _counts_sql() + ",\n" + _CATCOLS_SQL + f""",
+tv AS ({top}),
+top5 AS (SELECT t, c, string_agg(v || '×' || CAST(n AS VARCHAR), ', ' ORDER BY rk) AS top
+         FROM (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY n DESC, v) AS rk FROM tv) WHERE rk <= 5
+         GROUP BY t, c),
+uq AS ({uq}),
+fk AS ({fk}),
+coltext AS (
+  SELECT cc.table_name, string_agg('- ' || cc.column_name || ' ' || cc.data_type || ' NULLABLE=' || cc.nullable
+         || CASE WHEN cc.comments IS NOT NULL AND cc.comments <> '' THEN ' — ' || cc.comments ELSE '' END
+         || CASE WHEN top5.top IS NOT NULL THEN ' | top values: ' || top5.top ELSE '' END,
+         chr(10) ORDER BY cc.column_id) AS col_text
+  FROM cc LEFT JOIN top5 ON top5.t = cc.table_name AND top5.c = cc.column_name GROUP BY cc.table_name),
+pk AS (SELECT t, string_agg('- PK_' || upper(t) || ' (' || c || ')', chr(10) ORDER BY c) AS pk FROM uq GROUP BY t),
+fkl AS (SELECT t, string_agg('- FK_' || upper(t) || '_' || upper(c) || ' (' || c || ') → ref PK_' || upper(parent),
+                             chr(10) ORDER BY 'FK_' || upper(t) || '_' || upper(c)) AS fk,
+               string_agg('- FK_' || upper(t) || '_' || upper(c) || ': ' || t || '.' || c || ' → PK_' || upper(parent),
+                          chr(10) ORDER BY 'FK_' || upper(t) || '_' || upper(c)) AS rel
+        FROM fk GROUP BY t),
+cards AS (
+  SELECT 'TPCH' AS owner, cnt.table_name, 'Table ' || cnt.table_name || ' (owner TPCH)' AS title,
+         concat_ws(chr(10), 'Table: ' || cnt.table_name || ' (Owner: TPCH)', 'Rows (stats): ' || CAST(cnt.num_rows AS VARCHAR),
+                   'Comment: ' || COALESCE(NULLIF(tc.comments, ''), '—'), 'Columns:', ct.col_text,
+                   CASE WHEN pk.pk IS NOT NULL THEN 'Primary keys:' || chr(10) || pk.pk END,
+                   CASE WHEN fkl.fk IS NOT NULL THEN 'Foreign keys:' || chr(10) || fkl.fk END) AS body
+  FROM cnt LEFT JOIN (SELECT * FROM cm WHERE column_name IS NULL) tc ON tc.table_name = cnt.table_name
+  LEFT JOIN coltext ct ON ct.table_name = cnt.table_name LEFT JOIN pk ON pk.t = cnt.table_name
+  LEFT JOIN fkl ON fkl.t = cnt.table_name),
+views AS (SELECT * FROM (VALUES ('SALES', 'Sales star: one row per order line', {_sqlq(IB.sqlviews.SALES_CTE.strip())}),
+                                ('RISK_SENSITIVITIES', NULL, {_sqlq(IB.sqlviews.RISK_CTE.strip())})) v(view_name, view_comment, view_text)),
+docs AS (
+  SELECT 'TABLE' AS doc_type, table_name AS source_name, title, body FROM cards
+  UNION ALL
+  SELECT 'VIEW', view_name, 'View ' || view_name || ' (owner TPCH)',
+         'View: ' || view_name || chr(10) || 'Comment: ' || COALESCE(NULLIF(view_comment, ''), '—') || chr(10)
+         || 'SQL:' || chr(10) || view_text FROM views
+  UNION ALL
+  SELECT 'REL', t, 'Relationships for ' || t, 'Relationships for ' || t || ':' || chr(10) || rel FROM fkl)"""
+
+
+def _sqlq(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+# Oracles of the card-based queries (defined above) use the SQL form of the cards.
+from tessera.plans.q_text import smart_chunks_sql  # noqa: E402
+
+attach_oracle("table_cards", "WITH " + _cards_ctes() + " SELECT owner, table_name, title, body FROM cards")
+attach_oracle("union_docs", "WITH " + _cards_ctes() + """
+SELECT doc_type, source_name, title, sha256(body) AS hash, CAST(length(body) AS INTEGER) AS n_chars FROM docs""")
+attach_oracle("index_build", "WITH RECURSIVE " + _cards_ctes() + """,
+docs2 AS (SELECT sha256(body) AS doc_id, doc_type, source_name, body FROM docs),""" + smart_chunks_sql("docs2", "doc_id", "body") + """
+SELECT c.doc_id, d.doc_type, d.source_name, c.chunk_ix, CAST(floor(length(c.content) / 4) AS INTEGER) AS tokens,
+       256 AS dim
+FROM chunks c JOIN docs2 d ON d.doc_id = c.doc_id""")
+attach_oracle("column_docs", "WITH " + _cards_ctes() + """
+SELECT table_name, table_name || '.' || column_name || ': ' || data_type
+       || CASE WHEN comments IS NOT NULL THEN ' — ' || comments ELSE '' END AS body FROM cc
+UNION ALL SELECT view_name, 'View: ' || view_name || chr(10) || 'Comment: ' || COALESCE(NULLIF(view_comment, ''), '—')
+       || chr(10) || 'SQL:' || chr(10) || view_text FROM views
+UNION ALL SELECT t, 'Relationships for ' || t || ':' || chr(10) || rel FROM fkl""")
+
+_DDL_SQL = """
+ddl AS (SELECT owner, table_name, 'CREATE TABLE ' || owner || '.' || table_name || ' (' || chr(10)
+               || string_agg('  ' || column_name || ' ' || data_type, ',' || chr(10) ORDER BY column_id) || chr(10) || ')' AS ddl
+        FROM cc GROUP BY owner, table_name)"""
+
+attach_oracle("ddl_excerpt", "WITH " + _CATCOLS_SQL + "," + _DDL_SQL + """
+SELECT COALESCE(string_agg(ddl, chr(10) ORDER BY table_name), '') AS excerpt, 'lineitem' AS scope
+FROM ddl WHERE upper(owner) = 'TPCH' AND upper(table_name) = 'LINEITEM'
+UNION ALL
+SELECT COALESCE(string_agg(ddl, chr(10) ORDER BY table_name), ''), 'owner'
+FROM (SELECT * FROM ddl WHERE upper(owner) = 'TPCH' ORDER BY table_name LIMIT 20)""")

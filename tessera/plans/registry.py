@@ -25,6 +25,14 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def attach_oracle(name: str, sql: str) -> None:
+    """Give an already registered query its SQL oracle (for SQL that is built
+    from pieces defined after the query)."""
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLE[name] = sql.strip()
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     import importlib
