@@ -251,7 +251,7 @@ CELL_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("c
 def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "vec",
         i_id: str = "item_id", i_vec: str = "vec", exclude_self: bool = False, n_cells: int | None = None,
         n_probe: int | None = None, probe_fraction: float = 0.5, block_rows: int = BLOCK_ROWS,
-        seed: int = 7) -> DataFrame:
+        seed: int = 7, max_iter: int = 10, train_rows: int = 200_000) -> DataFrame:
     """Approximate top-``k`` by cosine (re-aim of an HNSW index).
 
     Items are clustered into ``n_cells`` cells with MLlib k-means (cosine
@@ -274,8 +274,11 @@ def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
         return _final_topk(spark.createDataFrame([], HIT_SCHEMA), k)
     cells = n_cells or max(1, min(1024, int(math.sqrt(n_items))))
     feats = it.withColumn("features", array_to_vector("iv"))
-    model = KMeans(k=cells, seed=seed, maxIter=20, distanceMeasure="cosine",
-                   featuresCol="features", predictionCol="cell").fit(feats)
+    # centres are trained on a bounded sample (all items are still assigned
+    # and searched); k-means iterations then cost O(train_rows), not O(items)
+    train = feats if n_items <= train_rows else feats.sample(fraction=train_rows / n_items, seed=seed)
+    model = KMeans(k=cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine",
+                   featuresCol="features", predictionCol="cell").fit(train)
     centers = np.vstack(model.clusterCenters())
     centers = centers / (np.linalg.norm(centers, axis=1, keepdims=True) + EPS)
     bc = spark.sparkContext.broadcast(centers)
