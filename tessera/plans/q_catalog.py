@@ -115,8 +115,8 @@ def q_infer_fk(spark, d):
     return union_all(*parts)
 
 
-_TYPE_MAP = """CASE data_type WHEN 'INTEGER' THEN 'INT' WHEN 'VARCHAR' THEN 'STRING'
-                WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' ELSE data_type END"""
+_TYPE_MAP = """CASE WHEN data_type = 'INTEGER' THEN 'INT' WHEN data_type = 'VARCHAR' THEN 'STRING'
+                WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP_NTZ' ELSE data_type END"""
 
 _CATCOLS_SQL = _comments_values() + f""",
 ic AS (SELECT table_name, column_name, {_TYPE_MAP} AS data_type, CAST(ordinal_position AS INTEGER) AS column_id

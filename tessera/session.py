@@ -39,7 +39,8 @@ def get_spark(master: str = "local[*]", app: str = "tessera", shuffle_partitions
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings that can change on a live session."""
+    """Apply the runtime settings that can change on a live session and make
+    the package importable by the Python workers."""
     for k in ("spark.sql.adaptive.enabled", "spark.sql.session.timeZone",
               "spark.sql.mapKeyDedupPolicy", "spark.sql.execution.arrow.pyspark.enabled"):
         try:
@@ -47,9 +48,50 @@ def configure(spark: SparkSession) -> SparkSession:
         except Exception:  # pragma: no cover - immutable on some deployments
             pass
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors (``addPyFile`` of a zip
+    written once into the shared checkpoint folder), so UDFs defined here
+    unpickle on workers whatever their working directory."""
+    import hashlib
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    data = buf.getvalue()
+    target = checkpoint_dir(spark).rstrip("/") + f"/pyfiles/{root.name}-{hashlib.sha1(data).hexdigest()[:12]}.zip"
+    if "://" not in target or target.startswith("file:"):
+        local = target.replace("file://", "").replace("file:", "")
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        if not os.path.exists(local):
+            with open(local, "wb") as fh:
+                fh.write(data)
+    else:  # shared file systems: write through the JVM Hadoop client
+        jvm = sc._jvm
+        path = jvm.org.apache.hadoop.fs.Path(target)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            out = fs.create(path)
+            out.write(bytearray(data))
+            out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
