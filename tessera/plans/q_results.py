@@ -27,12 +27,14 @@ def q_chart_agg(spark, d):
 
 
 @query("auto_chart", """
-SELECT event_type AS label, SUM(COALESCE(value, 0)) AS value, 'event_type' AS x_axis, 'value' AS y_axis, 'sum' AS fn
+SELECT event_type AS label, ROUND(SUM(COALESCE(value, 0)), 6) AS value, 'event_type' AS x_axis, 'value' AS y_axis,
+       'sum' AS fn
 FROM events GROUP BY event_type""")
 def q_auto_chart(spark, d):
     """Default chart of an events result: first column by first numeric column."""
     e = load(spark, d, "events").select("event_type", "value", "user_id")
-    return RS.auto_chart_agg(e)
+    # double sums depend on summation order in the last bits: 6 places are kept
+    return RS.auto_chart_agg(e).withColumn("value", F.round("value", 6))
 
 
 @query("summary_table", with_risk("""
