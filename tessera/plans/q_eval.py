@@ -305,3 +305,29 @@ def q_compare_results(spark, d):
     a = li.where(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber")
     b = li.where(F.col("l_linestatus") == "O").select("l_orderkey", "l_linenumber")
     return E.compare_results(a, b)
+
+
+def _candidate_sql() -> str:
+    from tessera.plans.q_nlq import _hv, _q
+    rows = ", ".join(f"({i}, {_q(a)}, {_q(b)})" for i, a, b in Q.CANDIDATE_EXAMPLES)
+    head, rest = Q.CANDIDATE_TEMPLATE.split("{question}")
+    mid, tail = rest.split("{candidate_sql}")
+    return ("WITH ex AS (SELECT * FROM (VALUES " + rows + ") t(id, input, sql)),\n"
+            + "up AS (SELECT conv_id * 1000 + turn AS prompt_id, text FROM conversations WHERE role = 'user'),\n"
+            + _hv("up", "prompt_id", "text", "qv") + ",\n" + _hv("ex", "id", "input", "iv") + """,
+qv_n AS (SELECT id, sqrt(SUM(weight * weight)) AS nrm FROM qv GROUP BY id),
+iv_n AS (SELECT id, sqrt(SUM(weight * weight)) AS nrm FROM iv GROUP BY id),
+dots AS (SELECT a.id AS query_id, b.id AS item_id, SUM(a.weight * b.weight) AS dp FROM qv a JOIN iv b ON a.bucket = b.bucket GROUP BY ALL),
+sims AS (SELECT qn.id AS query_id, inn.id AS item_id, ROUND(COALESCE(d.dp, 0) / (qn.nrm * inn.nrm + 1e-12), 9) AS sim
+         FROM qv_n qn CROSS JOIN iv_n inn LEFT JOIN dots d ON d.query_id = qn.id AND d.item_id = inn.id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rk FROM sims)
+         WHERE rk = 1)
+SELECT b.query_id AS prompt_id, b.item_id AS example_id, b.sim AS score,
+       """ + _sql_str(head) + " || u.text || " + _sql_str(mid) + " || ex.sql || " + _sql_str(tail) + """ AS prompt_text
+FROM best b JOIN up u ON u.prompt_id = b.query_id JOIN ex ON ex.id = b.item_id""")
+
+
+@query("candidate_prompt", _candidate_sql())
+def q_candidate_prompt(spark, d):
+    """Candidate-SQL prompts: each user turn with the SQL of its closest example."""
+    return Q.candidate_prompts(spark, user_prompts(spark, d), "prompt")

@@ -47,6 +47,21 @@ FEWSHOT_INSTRUCTIONS = ("You are an expert SQL generator. Given an input questio
                         "Spark SQL query over the table sales(customer_id, product_id, sale_date, quantity, "
                         "unit_price, total_amount, region).\n\n### Examples:\n")
 
+# Examples with candidate SQL (input, sql), in id order.
+CANDIDATE_EXAMPLES = [
+    (1, "Get total sales per region", "SELECT region, SUM(total_amount) FROM sales GROUP BY region"),
+    (2, "Show total revenue for customer 101 in 2023",
+     "SELECT SUM(total_amount) FROM sales WHERE customer_id = 101 AND sale_date BETWEEN DATE '2023-01-01' AND DATE '2023-12-31'"),
+    (3, "List all sales in January 2024",
+     "SELECT * FROM sales WHERE sale_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"),
+]
+
+CANDIDATE_TEMPLATE = ("\nYou are an expert Spark SQL assistant.\n\nGiven a user question and a candidate SQL query, "
+                      "return **only the final corrected Spark SQL query** if needed.\n\n- Do not include explanations.\n"
+                      "- Do not format the query with markdown.\n- Do not use triple backticks.\n"
+                      "- Just return the raw SQL.\n\n### User Question:\n{question}\n\n### Candidate SQL:\n"
+                      "{candidate_sql}\n\n### Final SQL:\n")
+
 RAG_TEMPLATE = ("\nYou are a helpful assistant. Use the following context to answer the question.\n\n"
                 "Context:\n{context}\n\nQuestion:\n{question}\n\nAnswer:\n")
 
@@ -139,6 +154,21 @@ def rag_prompts(prompts: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataF
     return p.select("prompt_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), text.alias("prompt_text"))
 
 
+def candidate_prompts(spark: SparkSession, prompts: DataFrame, text_col: str = "prompt") -> DataFrame:
+    """Prompt with the SQL of the most similar example as the candidate
+    (best match over a small, broadcast example table)."""
+    ex = spark.createDataFrame(CANDIDATE_EXAMPLES, "id long, input string, sql string") \
+              .withColumn("vec", V.hash_embed("input"))
+    pv = prompts.select("prompt_id", V.hash_embed(text_col).alias("vec"))
+    best = SR.knn(pv, ex, 1, "prompt_id", "vec", "id", "vec", small_items=1000)
+    j = (prompts.join(best.select(F.col("query_id").alias("prompt_id"), F.col("item_id").alias("id"), "score"),
+                      "prompt_id")
+                .join(F.broadcast(ex.select("id", "sql")), "id"))
+    text = F.replace(F.replace(F.lit(CANDIDATE_TEMPLATE), F.lit("{question}"), F.col(text_col)),
+                     F.lit("{candidate_sql}"), F.col("sql"))
+    return j.select("prompt_id", F.col("id").alias("example_id"), "score", text.alias("prompt_text"))
+
+
 def data_context(df: DataFrame, n: int = 50, order: list[str] | None = None) -> DataFrame:
     """Schema lines plus the first ``n`` rows (by ``order``, then the row
     text) as JSON lines — one row.  The row order is made explicit with
