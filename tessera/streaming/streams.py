@@ -19,6 +19,7 @@ committed offsets.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -172,18 +173,35 @@ def stream_cache(events: DataFrame, key_cols: list[str], ts_col: str, id_col: st
         "append", "EventTimeTimeout")
 
 
-def cache_hits(df: DataFrame, key_cols: list[str], ts_col: str, id_col: str, ttl_minutes: int = 30) -> DataFrame:
+HOT_KEY_ROWS = 1_000_000
+
+
+def cache_hits(df: DataFrame, key_cols: list[str], ts_col: str, id_col: str, ttl_minutes: int = 30,
+               method: str = "auto", segment_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """Batch form of :func:`stream_cache`.
 
-    Rows are hash-partitioned by key and sorted by time inside each
-    partition; one pass over Arrow batches carries the per-key state (the
-    last miss) from batch to batch, so no key's events are ever held in
-    memory at once.  A key is still scanned by one task: the expiry rule is
-    sequential per key.
+    ``method="scan"``: rows are hash-partitioned by key and sorted by time;
+    one pass over Arrow batches carries each key's last miss (memory-bounded,
+    but a key is scanned by one task).  ``method="segmented"``: range
+    partitioning cuts hot keys into bounded segments that are resolved in
+    parallel (:mod:`tessera.streaming.cache_segments`).  ``"auto"`` measures
+    the largest key (one partial aggregation) and segments only when it
+    exceeds ``segment_rows``.
     """
     ttl_us = ttl_minutes * 60 * 1_000_000
     keyed = df.select(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]).alias("key"),
                       F.col(id_col).cast("long").alias("event_id"), F.col(ts_col).cast("timestamp").alias("ts"))
+    if method == "auto":
+        biggest = keyed.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        method = "segmented" if biggest > segment_rows else "scan"
+    if method == "segmented":
+        from tessera.streaming.cache_segments import segmented_flags
+
+        total = keyed.count()
+        segments = max(keyed.sparkSession.sparkContext.defaultParallelism, -(-total // segment_rows))
+        us = keyed.select("key", "event_id", F.unix_micros("ts").alias("ts_us"))
+        flags = segmented_flags(us, ttl_us, segments, scratch_path(df.sparkSession, f"cache-seg-{uuid.uuid4().hex[:12]}"))
+        return flags.select("key", "event_id", F.timestamp_micros("ts_us").alias("ts"), "hit")
     parts = keyed.repartition("key").sortWithinPartitions("key", "ts", "event_id")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -72,3 +72,26 @@ def test_incremental_embedding_stream(spark, sf):
     emb = spark.read.parquet(out)
     assert emb.count() == emb.select("doc_id").distinct().count()
     assert emb.select("doc_id").distinct().count() == docs.count()
+
+
+def test_segmented_cache_equals_scan(spark, sf):
+    """Hot keys cut into range segments give exactly the sequential flags."""
+    ev = spark.read.parquet(f"{sf}/events.parquet")
+    for keys, seg_rows in ((["user_id", "event_type"], 50), (["event_type"], 40)):  # second: few very hot keys
+        a = ST.cache_hits(ev, keys, "ts", "event_id", 30, method="scan")
+        b = ST.cache_hits(ev, keys, "ts", "event_id", 30, method="segmented", segment_rows=seg_rows)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_segmented_cache_chain_across_segments(spark):
+    # one key, an event every 10 minutes: misses at 0, 30, 60, ... minutes; and
+    # a denser second key so chains start mid-segment
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "a", t0 + dt.timedelta(minutes=10 * i)) for i in range(40)]
+    rows += [(100 + i, "b", t0 + dt.timedelta(minutes=7 * i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "event_id long, user string, ts timestamp")
+    a = ST.cache_hits(df, ["user"], "ts", "event_id", 30, method="scan")
+    b = ST.cache_hits(df, ["user"], "ts", "event_id", 30, method="segmented", segment_rows=7)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    misses = sorted(r.event_id for r in b.where("not hit and key = 'a'").collect())
+    assert misses == list(range(0, 40, 3))
