@@ -191,11 +191,13 @@ def key_candidates(frames: dict[str, DataFrame], rsd: float = 0.05,
 
 
 def infer_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
-    """Inclusion test: how many non-null child values have no parent (0 → the
-    foreign key holds).  One anti join."""
-    orphans = (child.select(F.col(child_col).alias("k")).where(F.col("k").isNotNull())
-               .join(parent.select(F.col(parent_col).alias("k")), "k", "left_anti"))
-    return orphans.agg(F.count(F.lit(1)).alias("orphans"))
+    """Inclusion test: how many non-null child rows have no parent (0 → the
+    foreign key holds).  Child keys are counted first (map-side combine, so a
+    hot key is one row), then anti-joined with the distinct parent keys."""
+    keys = (child.where(F.col(child_col).isNotNull()).groupBy(F.col(child_col).alias("k"))
+                 .agg(F.count(F.lit(1)).alias("rows")))
+    orphans = keys.join(parent.select(F.col(parent_col).alias("k")).distinct(), "k", "left_anti")
+    return orphans.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("orphans"))
 
 
 # ---------------------------------------------------------------------------

@@ -161,7 +161,7 @@ def lookup_last(left: DataFrame, right: DataFrame, key: str, order: str,
 def missing_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` with no partner in ``right`` (null-safe ``NOT IN``)."""
     rk = right_key or left_key
-    keys = right.select(F.col(rk).alias("_k")).where(F.col("_k").isNotNull())
+    keys = right.select(F.col(rk).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     return left.join(keys, F.col(left_key) == F.col("_k"), "left_anti")
 
 

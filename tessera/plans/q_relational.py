@@ -217,12 +217,17 @@ def q_anti_missing(spark, d):
 
 
 @query("anti_distinct", """
-SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+SELECT p_partkey FROM part WHERE p_partkey NOT IN (
+  SELECT DISTINCT l_partkey FROM lineitem
+  WHERE l_partkey IS NOT NULL AND l_shipdate >= TIMESTAMP '2000-01-01' AND l_shipdate < TIMESTAMP '2001-01-01')""")
 def q_anti_distinct(spark, d):
-    """Customers without orders: anti join against a distinct subquery."""
-    cust = load(spark, d, "customer").select("c_custkey")
-    buyers = load(spark, d, "orders").select("o_custkey").distinct()
-    return R.missing_in(cust, buyers, "c_custkey", "o_custkey")
+    """Parts with no line shipped in 2000: anti join against a distinct subquery."""
+    parts = load(spark, d, "part").select("p_partkey")
+    sold = (load(spark, d, "lineitem")
+            .where((F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
+                   & (F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp_ntz")))
+            .select("l_partkey").distinct())
+    return R.missing_in(parts, sold, "p_partkey", "l_partkey")
 
 
 @query("first_n", """
