@@ -259,9 +259,9 @@ def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
     scored exactly against the items of those cells only.  A cell larger than
     ``block_rows`` is split into sub-blocks by item hash, so a hot cell never
     lands in one task; queries are replicated to the sub-blocks of the cells
-    they probe.  Centres (≤ 1024 × dim) and the cell-size table are the only
-    broadcast data, both bounded independently of the item count... except
-    the sub-block table, whose size is checked before broadcasting.
+    they probe.  The broadcast data are the centres (at most 1024 × dim), the
+    cell sizes (one row per cell) and the sub-block table, whose size is
+    checked before it is broadcast.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

@@ -10,10 +10,11 @@ from tessera.operators import search as SR
 from tessera.functions import vectors as V
 from tessera.plans import index_build as IB
 from tessera.plans import questions as Q
-from tessera.plans.q_search import chunk_vectors, user_prompts
-from tessera.plans.q_text import smart_chunks_sql
+from tessera.plans.q_search import _SPARSE_SIM, _rename_hv, chunk_vectors, user_prompts
+from tessera.plans.q_text import hash_vectors_sql, smart_chunks_sql
 from tessera.plans.registry import query
-from tessera.tables import load
+from tessera.plans.sqlviews import with_sales
+from tessera.tables import load, register_views
 
 _TABLES_IN = ", ".join(f"'{t}'" for t in IB.CATALOG_TABLES)
 
@@ -160,11 +161,9 @@ def _rag_hits(spark, d):
 @query("rag_prompt", "WITH RECURSIVE " + smart_chunks_sql() + ","
        + "prompts AS (SELECT conv_id * 1000 + turn AS prompt_id, text FROM conversations WHERE role = 'user'),"
        + "chunk_src AS (SELECT doc_id * 1000000 + chunk_ix AS chunk_uid, content FROM chunks),"
-       + __import__("tessera.plans.q_search", fromlist=["x"])._rename_hv(
-           __import__("tessera.plans.q_text", fromlist=["x"]).hash_vectors_sql("prompts", "prompt_id", "text"), "qv")
-       + "," + __import__("tessera.plans.q_search", fromlist=["x"])._rename_hv(
-           __import__("tessera.plans.q_text", fromlist=["x"]).hash_vectors_sql("chunk_src", "chunk_uid", "content"), "cv")
-       + "," + __import__("tessera.plans.q_search", fromlist=["x"])._SPARSE_SIM.format(q="qv", i="cv") + """,
+       + _rename_hv(hash_vectors_sql("prompts", "prompt_id", "text"), "qv")
+       + "," + _rename_hv(hash_vectors_sql("chunk_src", "chunk_uid", "content"), "cv")
+       + "," + _SPARSE_SIM.format(q="qv", i="cv") + """,
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM sims)
         WHERE rank <= 5 AND 1 - sim < 0.8),
 ctx AS (SELECT t.query_id AS prompt_id, string_agg(cs.content, chr(10) || chr(10) ORDER BY t.rank) AS context,
@@ -181,7 +180,7 @@ def q_rag_prompt(spark, d):
     return Q.rag_prompts(prompts.select("prompt_id", "prompt"), hits, chunks)
 
 
-@query("data_context", __import__("tessera.plans.sqlviews", fromlist=["x"]).with_sales("""
+@query("data_context", with_sales("""
 WITH r AS (SELECT customer_id, product_id, strftime(sale_date, '%Y-%m-%d') AS sale_date,
               CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price,
               CAST(total_amount AS DOUBLE) AS total_amount, region FROM sales),
@@ -233,9 +232,7 @@ def q_hits_with_sql(spark, d):
 @query("safe_exec")
 def q_safe_exec(spark, d):
     """Ground SQL of every generated question run with a 1000-row cap."""
-    from tessera.plans.registry import portable  # noqa: F401
-    register = __import__("tessera.tables", fromlist=["x"]).register_views
-    register(spark, d, IB.CATALOG_TABLES)
+    register_views(spark, d, IB.CATALOG_TABLES)
     qs = Q.ground_sql(Q.generate_questions(Q.table_columns(spark, d)))
     return E.execute_all(spark, qs.select(F.col("ground_sql").alias("sql_text")), "sql_text", 1000) \
             .drop("exec_ms", "sample")
@@ -244,7 +241,7 @@ def q_safe_exec(spark, d):
 @query("eval_cases")
 def q_eval_cases(spark, d):
     """Evaluation run: questions and synonyms, ground SQL vs retrieved SQL."""
-    __import__("tessera.tables", fromlist=["x"]).register_views(spark, d, IB.CATALOG_TABLES)
+    register_views(spark, d, IB.CATALOG_TABLES)
     qs = Q.ground_sql(Q.generate_questions(Q.table_columns(spark, d)))
     syn = Q.synonym_rows(qs, "question_id", "question")
     pairs = Q.generate_pairs(Q.table_columns(spark, d))

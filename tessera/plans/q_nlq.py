@@ -11,7 +11,7 @@ from tessera.operators import relational as R
 from tessera.plans import nl_answer as N
 from tessera.plans.q_text import hash_vectors_sql
 from tessera.plans.registry import portable, query
-from tessera.plans.sqlviews import with_sales
+from tessera.plans.sqlviews import SALES_CTE, with_sales
 
 ASOF = dt.date(2001, 12, 31)
 
@@ -272,7 +272,7 @@ def q_named_query(spark, d):
 
 
 _BATCH_SQL = ("WITH " + _templates_sql() + ",\n" + _dense_topk("tpl", "template_id", "intent_text", 1) + ",\n"
-              + PARAMS_SQL + ",\n" + __import__("tessera.plans.sqlviews", fromlist=["x"]).SALES_CTE + """,
+              + PARAMS_SQL + ",\n" + SALES_CTE + """,
 m AS (SELECT t.query_id AS prompt_id, tp.name, tp.required, tp.has_default, t.sim >= 0.52 AS matched
       FROM topk t JOIN tpl tp ON tp.template_id = t.item_id),
 pp AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.operators import results as RS
@@ -82,7 +84,7 @@ def _write_event_log(spark, d) -> str:
         F.lit("curl/8.5.0").alias("ua"), F.col("event_type").alias("model"),
         F.concat(F.lit("list all "), F.col("event_type")).alias("intent"),
         F.concat(F.lit("SELECT * FROM events WHERE event_id = "), F.col("event_id").cast("string")).alias("sql"))
-    path = scratch_path(spark, f"querylog-{__import__('uuid').uuid4().hex[:12]}")
+    path = scratch_path(spark, f"querylog-{uuid.uuid4().hex[:12]}")
     L.format_log_records(e, "ts", "ip", "ua", "model", "intent", "sql").write.text(path)
     return path
 
