@@ -208,9 +208,11 @@ def _knn_blocked(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, block_
     ib = max(1, math.ceil(n_i / block_rows))
     # each item block is sent to every query block and vice versa: data moved is
     # items×qb + queries×ib, every cogroup cell holds ≤ block_rows per side
-    items_rep = (it.withColumn("ib", F.pmod(F.xxhash64("iid"), F.lit(ib)))
+    # both cell keys are INT on both sides: cogroup co-locates groups by the
+    # hash of the key values, so the two sides must agree on the key types
+    items_rep = (it.withColumn("ib", F.pmod(F.xxhash64("iid"), F.lit(ib)).cast("int"))
                    .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
+    q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
               .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
 
     def cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:

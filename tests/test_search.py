@@ -90,3 +90,11 @@ def test_arrow_and_jvm_embeddings_agree(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select(V.hash_embed("text").alias("a"), V.hash_embed_jvm("text").alias("b")).collect()
     assert all((r.a is None and r.b is None) or (r.a is not None and r.b is not None and r.a == r.b) for r in rows)
+
+
+def test_blocked_knn_many_cells_equals_broadcast(spark):
+    """Many (item block, query block) cells: the cogroup keys must co-locate."""
+    df, v, ids = _vectors(spark, n=600, dim=12, seed=9)
+    a = SR.knn(df, df, 7, "id", "vec", "id", "vec", exclude_self=True)
+    b = SR.knn(df, df, 7, "id", "vec", "id", "vec", exclude_self=True, max_broadcast=0, block_rows=24)
+    assert _as_map(a) == _as_map(b) == _brute(v, ids, 7)
