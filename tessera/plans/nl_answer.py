@@ -335,6 +335,10 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
     keys = ["year", "customer_id", "region", "sale_date", "product_id"]
     g = s.groupingSets([["year", "customer_id"], ["year", "region"], ["sale_date", "product_id"], ["sale_date"]],
                        *keys).agg(F.sum("total_amount").alias("rev"), F.grouping_id().alias("gid"))
+    # written once to the shared checkpoint folder: the four template plans
+    # read it instead of each re-running the star (their filters would
+    # otherwise be pushed below the aggregate and defeat exchange reuse)
+    g = g.checkpoint(eager=True)
 
     def gset(*cols):
         bits = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in cols)
