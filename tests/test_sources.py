@@ -82,3 +82,50 @@ def test_replace_slice_and_staged_write(spark):
     assert got == [("A", 9), ("B", 2)]
     p = W.write_staged(spark.range(3), spark, "staged")
     assert spark.read.parquet(p).count() == 3
+
+
+class _FakeReader:
+    """Records the options a JDBC read would use (no database here)."""
+
+    def __init__(self):
+        self.fmt, self.opts = None, {}
+
+    def format(self, f):
+        self.fmt = f
+        return self
+
+    def options(self, **kw):
+        self.opts.update(kw)
+        return self
+
+    def option(self, k, v):
+        self.opts[k] = v
+        return self
+
+    def load(self):
+        return ("loaded", self.fmt, dict(self.opts))
+
+
+class _FakeSpark:
+    def __init__(self):
+        self.read = _FakeReader()
+
+
+def test_jdbc_reader_options():
+    got = RD.read_jdbc(_FakeSpark(), {"url": "jdbc:x://h/db", "user": "u"}, query="SELECT * FROM sales")
+    assert got == ("loaded", "jdbc", {"url": "jdbc:x://h/db", "user": "u", "query": "SELECT * FROM sales"})
+    got = RD.read_jdbc(_FakeSpark(), {"url": "jdbc:x://h/db"}, query="SELECT * FROM sales",
+                       partition_column="sale_id", lower=1, upper=1000, num_partitions=16)
+    opts = got[2]
+    assert opts["dbtable"] == "(SELECT * FROM sales) q" and opts["partitionColumn"] == "sale_id"
+    assert (opts["lowerBound"], opts["upperBound"], opts["numPartitions"]) == ("1", "1000", "16")
+
+
+def test_csv_and_ndjson_writers(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, s string")
+    base = tempfile.mkdtemp(prefix="sinks-")
+    J.to_csv(df, base + "/csv")
+    assert [r.value for r in spark.read.text(base + "/csv/_header").collect()] == ["id,s"]
+    assert sorted(r.value for r in spark.read.text(base + "/csv/body").collect()) == ['1,"a"', '2,""']
+    J.to_ndjson(df, base + "/nd")
+    assert sorted(r.value for r in spark.read.text(base + "/nd").collect()) == ['{"id":1,"s":"a"}', '{"id":2}']
