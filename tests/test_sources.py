@@ -43,7 +43,7 @@ def test_ndjson_and_csv_lines(spark):
 
 def test_query_log_reader(spark):
     d = tempfile.mkdtemp(prefix="qlog-")
-    with open(os.path.join(d, "query_log.txt"), "w") as f:
+    with open(os.path.join(d, "requests.log"), "w") as f:
         f.write(LOG)
     log = L.read_query_log(spark, d).orderBy("ts").collect()
     assert len(log) == 3
