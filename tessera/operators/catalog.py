@@ -20,7 +20,40 @@ from tessera.session import spread
 from tessera.tables import load
 
 OWNER = "TPCH"
+
+# Formats of the catalog documents ({name} = a column value).
 MISSING = "—"
+CARD_TITLE = "Table {table} (owner {owner})"
+CARD_HEADER = "Table: {table} (Owner: {owner})"
+CARD_ROWS = "Rows (stats): {rows}"
+CARD_COMMENT = "Comment: {comment}"
+CARD_COLUMNS = "Columns:"
+COLUMN_LINE = "- {name} {type} NULLABLE={nullable}"
+COLUMN_COMMENT = " — {comment}"
+COLUMN_TOP = " | top values: {top}"
+TOP_ITEM = "{value}×{count}"
+PK_HEADER = "Primary keys:"
+PK_LINE = "- {name} ({column})"
+FK_HEADER = "Foreign keys:"
+FK_LINE = "- {name} ({column}) → ref {ref}"
+IX_HEADER = "Indexes:"
+IX_LINE = "- {name} on ({columns})"
+VIEW_TITLE = "View {view} (owner {owner})"
+VIEW_BODY = "View: {view}\nComment: {comment}\nSQL:\n{sql}"
+REL_TITLE = "Relationships for {table}"
+REL_HEADER = "Relationships for {table}:"
+REL_LINE = "- {name}: {table}.{column} → {ref}"
+CONTEXT_LINE = "- {column} ({type}): {description}"
+NO_DESCRIPTION = "No description"
+
+
+def fmt(template: str, **values) -> F.Column:
+    """``concat`` of a fixed format with its ``{name}`` placeholders filled
+    by the given columns."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(parts) if i % 2 == 1 or p])
 
 COLUMN_SCHEMA = ("owner string, table_name string, column_name string, data_type string, "
                  "data_length int, data_precision int, data_scale int, nullable string, column_id int")
@@ -224,15 +257,13 @@ def table_cards(tables: DataFrame, columns: DataFrame, constraints: DataFrame, i
     top = (samples.where(F.col("rank") <= top_n)
            .groupBy(*key, "column_name")
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value", "cnt"))),
-                                         lambda s: F.concat(s["value"], F.lit("×"), s["cnt"].cast("string"))),
+                                         lambda s: fmt(TOP_ITEM, value=s["value"], count=s["cnt"].cast("string"))),
                              ", ").alias("top")))
     cols = columns.join(top, key + ["column_name"], "left")
-    line = F.concat(F.lit("- "), F.col("column_name"), F.lit(" "), _type_text("c"),
-                    F.lit(" NULLABLE="), F.col("nullable"),
+    line = F.concat(fmt(COLUMN_LINE, name=F.col("column_name"), type=_type_text("c"), nullable=F.col("nullable")),
                     F.when(F.col("comments").isNotNull() & (F.col("comments") != ""),
-                           F.concat(F.lit(" — "), F.col("comments"))).otherwise(F.lit("")),
-                    F.when(F.col("top").isNotNull(), F.concat(F.lit(" | top values: "), F.col("top")))
-                     .otherwise(F.lit("")))
+                           fmt(COLUMN_COMMENT, comment=F.col("comments"))).otherwise(F.lit("")),
+                    F.when(F.col("top").isNotNull(), fmt(COLUMN_TOP, top=F.col("top"))).otherwise(F.lit("")))
     col_lines = (cols.select(*key, "column_id", F.struct(*[F.col(c) for c in cols.columns]).alias("c"),
                              "column_name", "nullable", "comments", "top")
                  .select(*key, "column_id", line.alias("line"))
@@ -240,43 +271,41 @@ def table_cards(tables: DataFrame, columns: DataFrame, constraints: DataFrame, i
                      F.struct("column_id", "line"))), lambda s: s["line"]), "\n").alias("col_text")))
     pk = (constraints.where(F.col("constraint_type") == "P")
           .groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-              "constraint_name", "position", "column_name"))), lambda s: F.concat(
-              F.lit("- "), s["constraint_name"], F.lit(" ("), s["column_name"], F.lit(")"))), "\n").alias("pk")))
+              "constraint_name", "position", "column_name"))), lambda s: fmt(PK_LINE, name=s["constraint_name"], column=s["column_name"])),
+              "\n").alias("pk")))
     fk = (constraints.where(F.col("constraint_type") == "R")
           .groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-              "constraint_name", "position", "column_name", "r_constraint_name"))), lambda s: F.concat(
-              F.lit("- "), s["constraint_name"], F.lit(" ("), s["column_name"], F.lit(") → ref "),
-              s["r_constraint_name"])), "\n").alias("fk")))
+              "constraint_name", "position", "column_name", "r_constraint_name"))), lambda s: fmt(FK_LINE, name=s["constraint_name"], column=s["column_name"],
+                              ref=s["r_constraint_name"])), "\n").alias("fk")))
     ix = (indexes.groupBy(*key, "index_name")
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("column_position", "column_name"))),
                                         lambda s: s["column_name"]), ", ").alias("cols"))
           .groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index_name", "cols"))),
-                                                      lambda s: F.concat(F.lit("- "), s["index_name"],
-                                                                         F.lit(" on ("), s["cols"], F.lit(")"))),
+                                                      lambda s: fmt(IX_LINE, name=s["index_name"], columns=s["cols"])),
                                           "\n").alias("ix")))
     t = tables.join(col_lines, key, "left").join(pk, key, "left").join(fk, key, "left").join(ix, key, "left")
     body = F.concat_ws("\n",
-                       F.concat(F.lit("Table: "), F.col("table_name"), F.lit(" (Owner: "), F.col("owner"), F.lit(")")),
-                       F.concat(F.lit("Rows (stats): "), F.coalesce(F.col("num_rows").cast("string"), F.lit("None"))),
-                       F.concat(F.lit("Comment: "), F.coalesce(F.nullif(F.col("table_comment"), F.lit("")),
-                                                              F.lit(MISSING))),
-                       F.lit("Columns:"),
+                       fmt(CARD_HEADER, table=F.col("table_name"), owner=F.col("owner")),
+                       fmt(CARD_ROWS, rows=F.coalesce(F.col("num_rows").cast("string"), F.lit("None"))),
+                       fmt(CARD_COMMENT, comment=F.coalesce(F.nullif(F.col("table_comment"), F.lit("")),
+                                                            F.lit(MISSING))),
+                       F.lit(CARD_COLUMNS),
                        F.col("col_text"),
-                       F.when(F.col("pk").isNotNull(), F.concat(F.lit("Primary keys:\n"), F.col("pk"))),
-                       F.when(F.col("fk").isNotNull(), F.concat(F.lit("Foreign keys:\n"), F.col("fk"))),
-                       F.when(F.col("ix").isNotNull(), F.concat(F.lit("Indexes:\n"), F.col("ix"))))
-    title = F.concat(F.lit("Table "), F.col("table_name"), F.lit(" (owner "), F.col("owner"), F.lit(")"))
+                       F.when(F.col("pk").isNotNull(), F.concat(F.lit(PK_HEADER + "\n"), F.col("pk"))),
+                       F.when(F.col("fk").isNotNull(), F.concat(F.lit(FK_HEADER + "\n"), F.col("fk"))),
+                       F.when(F.col("ix").isNotNull(), F.concat(F.lit(IX_HEADER + "\n"), F.col("ix"))))
+    title = fmt(CARD_TITLE, table=F.col("table_name"), owner=F.col("owner"))
     return t.select(*key, title.alias("title"), body.alias("body"))
 
 
 def view_cards(views: DataFrame) -> DataFrame:
     """``owner, view_name, view_comment, view_text`` → title/body."""
-    body = F.concat(F.lit("View: "), F.col("view_name"), F.lit("\nComment: "),
-                    F.coalesce(F.nullif(F.col("view_comment"), F.lit("")), F.lit(MISSING)),
-                    F.lit("\nSQL:\n"), F.coalesce(F.col("view_text"), F.lit("")))
+    body = fmt(VIEW_BODY, view=F.col("view_name"),
+               comment=F.coalesce(F.nullif(F.col("view_comment"), F.lit("")), F.lit(MISSING)),
+               sql=F.coalesce(F.col("view_text"), F.lit("")))
     return views.select("owner", F.col("view_name").alias("table_name"),
-                        F.concat(F.lit("View "), F.col("view_name"), F.lit(" (owner "), F.col("owner"),
-                                 F.lit(")")).alias("title"), body.alias("body"))
+                        fmt(VIEW_TITLE, view=F.col("view_name"), owner=F.col("owner")).alias("title"),
+                        body.alias("body"))
 
 
 def rel_cards(constraints: DataFrame) -> DataFrame:
@@ -284,13 +313,11 @@ def rel_cards(constraints: DataFrame) -> DataFrame:
     key = ["owner", "table_name"]
     fk = constraints.where(F.col("constraint_type") == "R")
     lines = fk.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-        "constraint_name", "position", "column_name", "r_constraint_name"))), lambda s: F.concat(
-        F.lit("- "), s["constraint_name"], F.lit(": "), F.lit("{t}."), s["column_name"], F.lit(" → "),
-        s["r_constraint_name"])), "\n").alias("lines"))
-    body = F.concat(F.lit("Relationships for "), F.col("table_name"), F.lit(":\n"),
-                    F.replace(F.col("lines"), F.lit("{t}"), F.col("table_name")))
-    return lines.select(*key, F.concat(F.lit("Relationships for "), F.col("table_name")).alias("title"),
-                        body.alias("body"))
+        "constraint_name", "position", "column_name", "r_constraint_name", "table_name"))), lambda s: fmt(
+        REL_LINE, name=s["constraint_name"], table=s["table_name"], column=s["column_name"],
+        ref=s["r_constraint_name"])), "\n").alias("lines"))
+    body = F.concat(fmt(REL_HEADER, table=F.col("table_name")), F.lit("\n"), F.col("lines"))
+    return lines.select(*key, fmt(REL_TITLE, table=F.col("table_name")).alias("title"), body.alias("body"))
 
 
 def column_docs(columns: DataFrame) -> DataFrame:
@@ -320,8 +347,8 @@ def schema_context(columns: DataFrame) -> DataFrame:
     """Per table: ``- col (type): description`` lines (``No description`` when
     the comment is missing)."""
     key = ["owner", "table_name"]
-    line = F.concat(F.lit("- "), F.col("column_name"), F.lit(" ("), F.col("data_type"), F.lit("): "),
-                    F.coalesce(F.col("comments"), F.lit("No description")))
+    line = fmt(CONTEXT_LINE, column=F.col("column_name"), type=F.col("data_type"),
+               description=F.coalesce(F.col("comments"), F.lit(NO_DESCRIPTION)))
     return columns.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("column_id", line.alias("l")))), lambda s: s["l"]), "\n").alias("context"))
 

@@ -56,6 +56,7 @@ CANDIDATE_EXAMPLES = [
      "SELECT * FROM sales WHERE sale_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"),
 ]
 
+# Prompt templates ({question}, {candidate_sql}, {context} are filled per row).
 CANDIDATE_TEMPLATE = ("\nYou are an expert Spark SQL assistant.\n\nGiven a user question and a candidate SQL query, "
                       "return **only the final corrected Spark SQL query** if needed.\n\n- Do not include explanations.\n"
                       "- Do not format the query with markdown.\n- Do not use triple backticks.\n"
