@@ -34,7 +34,7 @@ qs AS (
          tc.table_name,
          replace(replace(replace(tp.tpl, '{table}', tc.table_name), '{cols}', array_to_string(tc.col_list[1:4], ', ')),
                  '{first_col}', COALESCE(tc.col_list[1], '1')) AS question,
-         to_json(tc.col_list) AS column_list, tc.col_list
+         CAST(to_json(tc.col_list) AS VARCHAR) AS column_list, tc.col_list
   FROM tc, tp)"""
 
 
@@ -319,7 +319,7 @@ sims AS (SELECT qn.id AS query_id, inn.id AS item_id, ROUND(COALESCE(d.dp, 0) /
          FROM qv_n qn CROSS JOIN iv_n inn LEFT JOIN dots d ON d.query_id = qn.id AND d.item_id = inn.id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rk FROM sims)
          WHERE rk = 1)
-SELECT b.query_id AS prompt_id, b.item_id AS example_id, b.sim AS score,
+SELECT b.query_id AS prompt_id, CAST(b.item_id AS BIGINT) AS example_id, b.sim AS score,
        """ + _sql_str(head) + " || u.text || " + _sql_str(mid) + " || ex.sql || " + _sql_str(tail) + """ AS prompt_text
 FROM best b JOIN up u ON u.prompt_id = b.query_id JOIN ex ON ex.id = b.item_id""")
 

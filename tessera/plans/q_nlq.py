@@ -194,7 +194,7 @@ def q_fill_defaults(spark, d):
 
 
 @query("match_suggest", "WITH " + _templates_sql() + ",\n" + _dense_topk("tpl", "template_id", "intent_text", 3) + """
-SELECT t.query_id AS prompt_id, t.rank, tp.name, t.sim AS score,
+SELECT t.query_id AS prompt_id, CAST(t.rank AS INTEGER) AS rank, tp.name, t.sim AS score,
        MAX(t.sim) OVER (PARTITION BY t.query_id) >= 0.52 AS matched
 FROM topk t JOIN tpl tp ON tp.template_id = t.item_id""")
 def q_match_suggest(spark, d):
@@ -285,19 +285,19 @@ pp AS (
         OR (r = 'end_date' AND px.end_date IS NULL) OR (r = 'date' AND px.date IS NULL))) = 0),
 r0 AS (SELECT year(sale_date) AS year, customer_id, SUM(total_amount) AS rev FROM sales GROUP BY ALL),
 a0 AS (SELECT pp.prompt_id, pp.name AS template, CAST(r.customer_id AS VARCHAR) AS answer_key,
-              CAST(r.rev AS DOUBLE) AS total_revenue, r.rank
+              CAST(r.rev AS DOUBLE) AS total_revenue, CAST(r.rank AS INTEGER) AS rank
        FROM pp JOIN (SELECT *, row_number() OVER (PARTITION BY year ORDER BY rev DESC, customer_id) AS rank FROM r0) r
          ON r.year = pp.year
        WHERE pp.name = 'top_customers_by_revenue_year' AND r.rank <= pp.lim),
 r1 AS (SELECT year(sale_date) AS year, region, SUM(total_amount) AS rev FROM sales GROUP BY ALL),
-a1 AS (SELECT pp.prompt_id, pp.name, r.region, CAST(r.rev AS DOUBLE), r.rank
+a1 AS (SELECT pp.prompt_id, pp.name, r.region, CAST(r.rev AS DOUBLE), CAST(r.rank AS INTEGER)
        FROM pp JOIN (SELECT *, row_number() OVER (PARTITION BY year ORDER BY rev DESC, region) AS rank FROM r1) r
          ON r.year = pp.year
        WHERE pp.name = 'sales_by_region_year'),
 rg AS (SELECT DISTINCT d0, d1 FROM pp WHERE name = 'product_sales_between_dates' AND d0 IS NOT NULL AND d1 IS NOT NULL),
 r2 AS (SELECT rg.d0, rg.d1, s.product_id, SUM(s.total_amount) AS rev
        FROM rg JOIN sales s ON s.sale_date BETWEEN rg.d0 AND rg.d1 GROUP BY ALL),
-a2 AS (SELECT pp.prompt_id, pp.name, CAST(r.product_id AS VARCHAR), CAST(r.rev AS DOUBLE), r.rank
+a2 AS (SELECT pp.prompt_id, pp.name, CAST(r.product_id AS VARCHAR), CAST(r.rev AS DOUBLE), CAST(r.rank AS INTEGER)
        FROM pp JOIN (SELECT *, row_number() OVER (PARTITION BY d0, d1 ORDER BY rev DESC, product_id) AS rank FROM r2) r
          ON r.d0 = pp.d0 AND r.d1 = pp.d1
        WHERE pp.name = 'product_sales_between_dates' AND r.rank <= pp.lim),

@@ -231,7 +231,7 @@ def q_anti_distinct(spark, d):
 
 
 @query("first_n", """
-SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, row_ix FROM (
+SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, CAST(row_ix AS INTEGER) AS row_ix FROM (
   SELECT o_custkey, o_orderkey, o_orderdate,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS row_ix
   FROM orders) WHERE row_ix <= 3""")

@@ -59,9 +59,9 @@ def q_ndjson_rows(spark, d):
 
 
 @query("ndjson_out", with_sales("""
-SELECT to_json({'customer_id': customer_id, 'product_id': product_id, 'sale_date': strftime(sale_date, '%Y-%m-%d'),
+SELECT CAST(to_json({'customer_id': customer_id, 'product_id': product_id, 'sale_date': strftime(sale_date, '%Y-%m-%d'),
                 'quantity': CAST(quantity AS DOUBLE), 'unit_price': CAST(unit_price AS DOUBLE),
-                'total_amount': CAST(total_amount AS DOUBLE), 'region': region}) AS value
+                'total_amount': CAST(total_amount AS DOUBLE), 'region': region}) AS VARCHAR) AS value
 FROM sales"""))
 def q_ndjson_out(spark, d):
     """Sales rows serialised as NDJSON (ISO dates, decimals as floats)."""

@@ -61,7 +61,7 @@ def q_top_points(spark, d):
 
 
 @query("risk_top_deals", with_risk("""
-SELECT measure, deal, net_value, rank FROM (
+SELECT measure, deal, net_value, CAST(rank AS INTEGER) AS rank FROM (
   SELECT measure, deal, CAST(SUM(value) AS DOUBLE) AS net_value,
          row_number() OVER (PARTITION BY measure ORDER BY SUM(value) DESC, deal) AS rank
   FROM risk GROUP BY measure, deal) WHERE rank <= 5"""))
@@ -154,7 +154,7 @@ def q_missing(spark, d):
 @query("risk_update_freq", with_risk("""
 WITH days AS (SELECT DISTINCT book, valuation_date FROM risk),
 g AS (SELECT book, datediff('day', lag(valuation_date) OVER (PARTITION BY book ORDER BY valuation_date), valuation_date) AS gap FROM days)
-SELECT book, COUNT(*) AS n_dates, ROUND(AVG(gap), 6) AS avg_gap_days, MAX(gap) AS max_gap_days FROM g GROUP BY book"""))
+SELECT book, COUNT(*) AS n_dates, ROUND(AVG(gap), 6) AS avg_gap_days, CAST(MAX(gap) AS INTEGER) AS max_gap_days FROM g GROUP BY book"""))
 def q_update_freq(spark, d):
     return K.update_frequency(_r(spark, d), "book")
 

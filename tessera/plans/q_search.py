@@ -20,7 +20,7 @@ s AS (SELECT q.vec_id AS query_id, i.vec_id AS item_id,
              ROUND(list_dot_product(q.e, i.e) / (q.nrm * i.nrm + 1e-12), 9) AS sim
       FROM v q JOIN v i ON q.vec_id <> i.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM s)
-SELECT query_id, item_id, sim AS score, rank FROM r WHERE rank <= 10"""
+SELECT query_id, item_id, sim AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 
 
 def _emb(spark, d):
@@ -117,7 +117,8 @@ def rag_search(spark, d, k: int = 8, max_distance: float = 0.8):
        + _rename_hv(hash_vectors_sql("prompts", "prompt_id", "text"), "qv") + ","
        + _rename_hv(hash_vectors_sql("chunk_src", "chunk_uid", "content"), "cv") + ","
        + _SPARSE_SIM.format(q="qv", i="cv") + """
-SELECT query_id AS prompt_id, item_id AS chunk_uid, dd.source || '/' || dd.lang AS title, sim AS score, rank
+SELECT query_id AS prompt_id, item_id AS chunk_uid, dd.source || '/' || dd.lang AS title, sim AS score,
+       CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM sims) r
 JOIN documents dd ON dd.doc_id = CAST(floor(r.item_id / 1000000) AS BIGINT)
 WHERE rank <= 8 AND 1 - sim < 0.8""")

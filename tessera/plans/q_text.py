@@ -75,7 +75,7 @@ def q_smart_chunks(spark, d):
 
 @query("chunk_stats", "WITH RECURSIVE " + smart_chunks_sql() + """
 SELECT doc_id, COUNT(*) AS n_chunks, CAST(SUM(floor(length(content) / 4)) AS BIGINT) AS tokens,
-       MAX(length(content)) AS max_chars
+       CAST(MAX(length(content)) AS INTEGER) AS max_chars
 FROM chunks GROUP BY doc_id""")
 def q_chunk_stats(spark, d):
     ch = X.smart_chunks(load(spark, d, "documents"), "text", 350, 40, True, ("doc_id",))
