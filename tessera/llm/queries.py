@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import mixing
 from tessera.llm.common import documents
+from tessera.llm.language import identify
 from tessera.llm.pieces import encode_documents
 from tessera.llm.tokens import count_tokens
 
@@ -24,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+@query("op1_mix_sources", mixing.SQL)
+def op1_mix_sources(spark, sf_dir):
+    """Every document at its slots in a mix of all sources."""
+    return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"))
+
+
 @query("op2_token_counts")
 def op2_token_counts(spark, sf_dir):
     """Byte-level BPE token counts of every whole text."""
@@ -34,3 +42,9 @@ def op2_token_counts(spark, sf_dir):
 def op3_sentencepiece(spark, sf_dir):
     """SentencePiece ids (as a digest) and decoded text of every whole text."""
     return encode_documents(documents(spark, sf_dir))
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    """Language of every whole text, learned from the rows that are not held out."""
+    return identify(documents(spark, sf_dir))
