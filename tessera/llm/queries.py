@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing
 from tessera.llm.common import documents
+from tessera.llm.fingerprint import fingerprints
 from tessera.llm.language import identify
 from tessera.llm.pieces import encode_documents
 from tessera.llm.tokens import count_tokens
@@ -44,6 +45,12 @@ def op3_sentencepiece(spark, sf_dir):
     return encode_documents(documents(spark, sf_dir))
 
 
+@query("op4_fingerprints")
+def op4_fingerprints(spark, sf_dir):
+    """Bottom-k sketches of every whole text and of its edited text."""
+    return fingerprints(documents(spark, sf_dir))
+
+
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     """Language of every whole text, learned from the rows that are not held out."""
