@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing
+from tessera.llm import mixing, warc
 from tessera.llm.common import documents
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.language import identify
 from tessera.llm.pieces import encode_documents
 from tessera.llm.tokens import count_tokens
+from tessera.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +52,12 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprints(documents(spark, sf_dir))
 
 
+@query("op6_warc", warc.SQL)
+def op6_warc(spark, sf_dir):
+    """Every page as a WARC record, read back from normalised archives."""
+    return warc.round_trip(load(spark, sf_dir, "pages")).drop("target_uri")
+
+
 @query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     """Language of every whole text, learned from the rows that are not held out."""
