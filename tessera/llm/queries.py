@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, warc
+from tessera.llm import mixing, topk, warc
 from tessera.llm.common import documents
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.language import identify
@@ -52,6 +52,13 @@ def op4_fingerprints(spark, sf_dir):
     return fingerprints(documents(spark, sf_dir))
 
 
+@query("op5_top_k", topk.SQL)
+def op5_top_k(spark, sf_dir):
+    """Five best inner products of every fiftieth vector among all others."""
+    e = load(spark, sf_dir, "embeddings")
+    return topk.top_k(e, e.where("vec_id % 50 = 0"), 5)
+
+
 @query("op6_warc", warc.SQL)
 def op6_warc(spark, sf_dir):
     """Every page as a WARC record, read back from normalised archives."""
