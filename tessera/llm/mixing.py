@@ -96,9 +96,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     per_source = per_bucket.groupBy("mix_key").agg(F.sum("mix_n").alias("mix_n"))
     if weights is None:
         share = F.pow(F.col("mix_n").cast("double"), F.lit(float(alpha)))
-        total = per_source.agg(F.sum(share).alias("mix_total"))
-        parts = per_source.join(F.broadcast(total)).withColumn(
-            "mix_parts", F.greatest(F.lit(1), F.round(share / F.col("mix_total") * resolution).cast("int")))
+        total = F.sum(share).over(Window.partitionBy(F.lit(0)))  # one row per source
+        parts = per_source.withColumn("mix_parts", F.greatest(F.lit(1), F.round(share / total * resolution).cast("int")))
     else:
         given = F.create_map(*(F.lit(x) for k, v in weights.items()
                                for x in ("" if k is None else f"={k}", int(v)))) if weights else None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, topk, warc
+from tessera.llm import mixing, neardup, topk, warc
 from tessera.llm.common import documents
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.language import identify
@@ -69,3 +69,9 @@ def op6_warc(spark, sf_dir):
 def op7_language_id(spark, sf_dir):
     """Language of every whole text, learned from the rows that are not held out."""
     return identify(documents(spark, sf_dir))
+
+
+@query("op10_near_duplicates", neardup.SQL)
+def op10_near_duplicates(spark, sf_dir):
+    """Near-duplicate components of all whole texts."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
