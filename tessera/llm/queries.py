@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, neardup, topk, warc
+from tessera.llm import mixing, neardup, substring, topk, warc
 from tessera.llm.common import documents
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.language import identify
@@ -71,6 +71,12 @@ def op7_language_id(spark, sf_dir):
     return identify(documents(spark, sf_dir))
 
 
+@query("op9_repeated_passages", substring.SQL)
+def op9_repeated_passages(spark, sf_dir):
+    """Words of every whole text that are left when repeated passages go."""
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 @query("op10_near_duplicates", neardup.SQL)
 def op10_near_duplicates(spark, sf_dir):
     """Near-duplicate components of all whole texts."""

@@ -70,7 +70,8 @@ class Words:
         raw = column.buffers()[2] if len(column) else None
         data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        self.data = data
+        #: bytes of all rows, and where each row begins (and the last ends)
+        self.data, self.offsets = data, offsets
         inside = ~space[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
@@ -99,6 +100,22 @@ class Words:
         """Row of each word."""
         return np.repeat(np.arange(self.rows), np.diff(self.first))
 
+    def joined(self, keep: np.ndarray) -> list[bytes]:
+        """The kept words of each row, joined by one space."""
+        out = np.zeros(len(self.data) + 1, np.int8)
+        np.add.at(out, self.start[keep], 1)
+        np.add.at(out, self.end[keep], -1)
+        use = np.cumsum(out[:-1], dtype=np.int8).astype(bool)
+        data = self.data.copy()
+        kept = np.flatnonzero(keep)
+        row = np.searchsorted(self.first, kept, "right") - 1
+        more = kept[:-1][row[1:] == row[:-1]]  # another kept word follows in the row
+        data[self.end[more]] = 0x20
+        use[self.end[more]] = True
+        at = np.r_[0, np.cumsum(use)][self.offsets]
+        flat = data[use].tobytes()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def runs(self, n: int) -> np.ndarray:
         """Hash of the run of ``n`` words from each place (as far as the array
         goes; which runs lie in one row is for the caller to say)."""
