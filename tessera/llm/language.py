@@ -185,16 +185,20 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         names, m = shared.value
-        pi = proportions(b.column("lang_text").to_pylist(), m)
+        pi = proportions(b.column(text_at).to_pylist(), m)
         n = b.num_rows
         top = pi.argmax(0) if len(names) else np.zeros(n, int)
         score = pi[top, np.arange(n)] if len(names) else np.zeros(n)
         pred = [names[k] if s > 0 else "und" for k, s in zip(top, score, strict=True)]
-        cols = [b.column(i) for i in range(b.num_columns - 1)]
+        cols = [b.column(i) for i in range(len(kept.fields))]
         return pa.RecordBatch.from_arrays([*cols, pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))], schema.names)
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-    rows = df.select(id_col, *keep, held.alias("held_out"), F.col(text_col).alias("lang_text"))
-    fields = [f for f in rows.schema.fields[:-1]]
-    schema = type(rows.schema)(fields).add("lang_pred", "string").add("score", "double")
+    out = df.select(id_col, *keep, held.alias("held_out"))
+    kept = out.schema
+    if text_col in keep:
+        rows, text_at = out, 1 + keep.index(text_col)
+    else:
+        rows, text_at = df.select(id_col, *keep, held.alias("held_out"), F.col(text_col).alias("lang_text")), len(kept.fields)
+    schema = type(kept)(list(kept.fields)).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(arrow_map(batch, ROWS), schema)

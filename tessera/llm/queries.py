@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, neardup, substring, topk, warc
 from tessera.llm.common import documents
+from tessera.llm.extract import extract
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.language import identify
 from tessera.llm.pieces import encode_documents
@@ -71,6 +72,12 @@ def op7_language_id(spark, sf_dir):
     return identify(documents(spark, sf_dir))
 
 
+@query("op8_main_text")
+def op8_main_text(spark, sf_dir):
+    """Main text of every whole page."""
+    return extract(load(spark, sf_dir, "pages"))
+
+
 @query("op9_repeated_passages", substring.SQL)
 def op9_repeated_passages(spark, sf_dir):
     """Words of every whole text that are left when repeated passages go."""

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import staged
 from tessera.llm.fmindex import ORDER, FmIndex
@@ -169,13 +170,15 @@ def _slices(batches, rows: int = ROWS):
 class Passages:
     """Repeated passages of one table (see ``remove_repeats``)."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, window: int):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, window: int, keep: list[str]):
         if not ANCHOR <= window <= ORDER:
             raise ValueError(f"a window has {ANCHOR} to {ORDER} words")
         self.window = window
         self.parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        # one exchange of the texts, read again by each step that joins to them
+        self.rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                              F.struct(F.lit(1).alias("row"), *keep).alias("rest"))
+        # one exchange of the texts, read again by each step that joins to them:
+        # every step reads the same columns, else each would shuffle its own
         self.docs = self.rows.repartition(self.parts, "id")
         # the smallest id of each text stands for its copies
         self.firsts = self.rows.where("id IS NOT NULL") \
@@ -260,7 +263,7 @@ class Passages:
                 hit = np.flatnonzero(mask)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(seg[hit]), pa.array(mask[hit])], ["id", "segment", "mask"])
 
-        rows = self.docs.join(anchors.where(F.size("cold") > 0).select("id", "cold"), "id").select("id", "text", "cold")
+        rows = self.docs.join(anchors.where(F.size("cold") > 0).select("id", "cold"), "id").select("id", "text", "cold", "rest")
         return rows.mapInArrow(cut, "anchor long, id long, words binary") \
             .repartition(self.parts, "anchor").sortWithinPartitions("anchor") \
             .mapInArrow(report, "id long, segment long, mask long")
@@ -279,7 +282,7 @@ class Passages:
                 _, once = np.unique(_keys(rows, h), return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h[once]), b.column(0).take(pa.array(rows[once]))], ["hash", "id"])
 
-        found = self.docs.join(anchors.where(F.size("hot") > 0).select("id", "hot"), "id").select("id", "text", "hot") \
+        found = self.docs.join(anchors.where(F.size("hot") > 0).select("id", "hot"), "id").select("id", "text", "hot", "rest") \
             .mapInArrow(cut, "hash long, id long")
         least = found.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high") \
             .select("hash", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -319,18 +322,24 @@ class Passages:
                 texts = w.joined(keep)
                 cols = [ids, pa.array(n, pa.int64()), pa.array(n - kept, pa.int64()),
                         pa.array([sha256(t).hexdigest() for t in texts], pa.string())]
-                if with_text:
-                    cols.append(pa.array(texts, pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names)
+                if with_text:  # a text that loses nothing keeps its white space
+                    same = pa.array(n == kept)
+                    cols += [pc.if_else(same, b.column(1).cast(pa.string()), pa.array(texts, pa.binary()).cast(pa.string())), b.column(6)]
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
-        return self.docs.join(plan, "id", "left").select("id", "text", "segments", "masks", "hashes", "own") \
-            .mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+        read = self.docs.join(plan, "id", "left").select("id", "text", "segments", "masks", "hashes", "own", "rest")
+        schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
+        if with_text:
+            schema = schema.add("kept_text", "string").add("rest", read.schema["rest"].dataType)
+        return read.mapInArrow(remove, schema)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, with_text: bool = False,
+                   keep: list[str] | None = None) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` (of the
-    kept words joined by one space) and, if ``with_text``, ``kept_text``.
+    kept words joined by one space) and, if ``with_text``, ``kept_text`` (a text
+    that loses nothing is returned unchanged) and ``rest``, a struct of the
+    columns ``keep``.
 
     Words are runs of bytes other than ASCII white space, unchanged.  A word is
     removed if a window of ``window`` words that covers it also stands in a
@@ -343,7 +352,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words are compared by 64-bit hashes in anchors and by 32-bit hashes for the
     rest of a window.
     """
-    return Passages(df, id_col, text_col, window).run(with_text)
+    return Passages(df, id_col, text_col, window, keep or []).run(with_text)
 
 
 #: DuckDB SQL of the same rows over a table ``documents`` (default window).
