@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import spread
 from tessera.tables import load
 
 OWNER = "TPCH"
@@ -108,10 +107,6 @@ def catalog_columns(cols: DataFrame, comments: DataFrame) -> DataFrame:
     return cols.join(cc, ["owner", "table_name", "column_name"], "left")
 
 
-def catalog_constraints(cons: DataFrame) -> DataFrame:
-    return cons.orderBy("owner", "table_name", "constraint_name", "position")
-
-
 # ---------------------------------------------------------------------------
 # Value profiles
 # ---------------------------------------------------------------------------
@@ -161,17 +156,20 @@ def column_profile(df: DataFrame, table: str, owner: str = OWNER) -> DataFrame:
 
 
 def infer_keys(df: DataFrame, table: str, columns: list[str] | None = None) -> DataFrame:
-    """Columns whose values are all present and distinct (key candidates)."""
-    cols = columns or df.columns
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for c in cols:
-        aggs += [F.count(F.col(c)).alias(f"nn__{c}"), F.count_distinct(F.col(c)).alias(f"d__{c}")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', `nn__{c}`, `d__{c}`" for c in cols)
-    return (wide.selectExpr("n", f"stack({len(cols)}, {stack}) as (column_name, n_non_null, n_distinct)")
-                .select(F.lit(table).alias("table_name"), "column_name", "n", "n_non_null", "n_distinct",
-                        ((F.col("n_non_null") == F.col("n")) & (F.col("n_distinct") == F.col("n")))
-                        .alias("is_unique")))
+    """Columns whose values are all present and distinct (key candidates).
+
+    Each column is grouped on its own: a scan of that column, a partial count
+    per value before the shuffle, and one row out.  No row is multiplied by the
+    number of columns, and the test is exact at every size."""
+    def one(c: str) -> DataFrame:
+        present = F.col("value").isNotNull()
+        groups = df.select(F.col(c).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+        return groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(present, F.col("rows"))), F.lit(0)).alias("n_non_null"),
+                          F.count(F.when(present, 1)).alias("n_distinct")) \
+            .select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "n", "n_non_null", "n_distinct",
+                    ((F.col("n_non_null") == F.col("n")) & (F.col("n_distinct") == F.col("n"))).alias("is_unique"))
+
+    return reduce(lambda a, b: a.unionByName(b), map(one, columns or df.columns))
 
 
 def key_eligible(df: DataFrame) -> list[str]:
@@ -182,45 +180,14 @@ def key_eligible(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, ok) or (isinstance(f.dataType, T.DecimalType) and f.dataType.scale == 0)]
 
 
-EXACT_KEY_ROWS = 5_000_000
-
-
-def key_candidates(frames: dict[str, DataFrame], rsd: float = 0.05,
-                   exact_rows: int = EXACT_KEY_ROWS) -> DataFrame:
-    """Unique-and-complete key-eligible columns of every table.
-
-    Row counts come first (one job over all tables; parquet counts read only
-    footers).  Tables up to ``exact_rows`` rows get exact distinct counts
-    directly.  Larger tables first get a HyperLogLog pass
-    (``approx_count_distinct``: partial aggregation, no shuffle of distinct
-    values), and exact counts run only on columns whose estimate is within
-    4·rsd of the row count.  Returns ``table_name, column_name``.
-    """
+def key_candidates(frames: dict[str, DataFrame]) -> DataFrame:
+    """Unique-and-complete key-eligible columns of every table that has rows:
+    ``table_name, column_name``.  Lazy; one exact method at every size."""
     spark = next(iter(frames.values())).sparkSession
-    sizes = {r["table_name"]: r["num_rows"] for r in table_counts(frames).collect()}
-    exact, parts = [], []
-    for t, df in frames.items():
-        cols = key_eligible(df)
-        if not cols or not sizes.get(t):
-            continue
-        if sizes[t] <= exact_rows:
-            exact.append(infer_keys(df, t, cols))
-            continue
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for c in cols:
-            aggs += [F.count(F.col(c)).alias(f"nn__{c}"), F.approx_count_distinct(F.col(c), rsd).alias(f"a__{c}")]
-        stack = ", ".join(f"'{c}', `nn__{c}`, `a__{c}`" for c in cols)
-        parts.append(spread(df).agg(*aggs).selectExpr(f"'{t}' as table_name", "n",
-                                                      f"stack({len(cols)}, {stack}) as (column_name, nn, approx)"))
-    if parts:
-        cands: dict[str, list[str]] = {}
-        for r in reduce(lambda a, b: a.unionByName(b), parts).collect():
-            if r["n"] > 0 and r["nn"] == r["n"] and r["approx"] >= r["n"] * (1 - 4 * rsd):
-                cands.setdefault(r["table_name"], []).append(r["column_name"])
-        exact += [infer_keys(frames[t], t, cols) for t, cols in cands.items()]
-    if not exact:
+    found = [infer_keys(df, t, cols) for t, df in frames.items() if (cols := key_eligible(df))]
+    if not found:
         return spark.createDataFrame([], "table_name string, column_name string")
-    return reduce(lambda a, b: a.unionByName(b), exact).where("is_unique").select("table_name", "column_name")
+    return reduce(lambda a, b: a.unionByName(b), found).where("is_unique AND n > 0").select("table_name", "column_name")
 
 
 def infer_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 Each distinct statement is executed once (one Spark job per statement; the
 number of statements is bounded by the question set, not by the data) and
-reduced *on the executors* to a small signature: column count, row count of
-the capped result, its first rows in canonical order, and an order-free
-multiset hash.  Only signatures reach the driver; cases are then compared
+reduced *on the executors* to a small signature: column count, row count,
+first rows in the order of the result (values by position), and an order-free
+multiset hash of all rows.  Only signatures reach the driver; cases are then compared
 as a DataFrame join.
 """
 
 from __future__ import annotations
 
 import time
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,43 +26,55 @@ def capped(spark: SparkSession, sql: str, cap: int = 1000) -> DataFrame:
     return spark.sql(f"SELECT * FROM ({body}) q LIMIT {int(cap)}")
 
 
+def positional(df: DataFrame):
+    """A row's values as JSON by position, nulls kept: names don't matter."""
+    cells = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
+    return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """One row: the first ``n`` rows in the result's own order, as an array.
+    At most ``n`` rows per task are read on the way."""
+    return df.limit(n).select(positional(df).alias("r")).coalesce(1).agg(F.collect_list("r").alias("s"))
+
+
 def signature(df: DataFrame, sample_n: int = 10) -> tuple[int, int, list[str], int]:
-    """(columns, rows, first ``sample_n`` rows as JSON in canonical order,
-    multiset hash) computed by one aggregation."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
-    agg = df.select(row.alias("r")).agg(
+    """(columns, rows, first ``sample_n`` rows in the order of the result,
+    multiset hash of all rows).  Rows and hash are of the whole result, not of
+    a capped one, so results that differ late differ here."""
+    agg = df.select(positional(df).alias("r")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.slice(F.array_sort(F.collect_list("r")), 1, sample_n).alias("sample"),
         # order-free multiset hash; each term < 2^31 so the sum cannot overflow
         F.coalesce(F.sum(F.pmod(F.xxhash64("r"), F.lit(2147483647))), F.lit(0)).alias("h")).first()
-    return len(df.columns), agg["n"], list(agg["sample"] or []), agg["h"]
+    return len(df.columns), agg["n"], list(first_rows(df, sample_n).first()["s"]), agg["h"]
 
 
 def safe_exec(spark: SparkSession, sql: str, cap: int = 1000, sample_n: int = 10) -> tuple:
-    """Run one statement with a row cap; never raises.  Returns the signature
-    tuple of :data:`SIGNATURE_SCHEMA` (errors cut to 4000 characters)."""
+    """Run one statement; never raises.  Returns the signature tuple of
+    :data:`SIGNATURE_SCHEMA` (errors cut to 4000 characters); ``n_rows`` is
+    what a user sees, at most ``cap``."""
     t0 = time.time()
     try:
-        n_cols, n_rows, sample, h = signature(capped(spark, sql, cap), sample_n)
-        return (sql, True, n_cols, n_rows, sample, h, None, int((time.time() - t0) * 1000))
+        n_cols, n_rows, sample, h = signature(spark.sql(sql.strip().rstrip(";")), sample_n)
+        return (sql, True, n_cols, min(n_rows, cap), sample, h, None, int((time.time() - t0) * 1000))
     except Exception as e:  # noqa: BLE001 - any failure is a result here
         return (sql, False, 0, 0, [], 0, str(e)[:4000], int((time.time() - t0) * 1000))
 
 
 def execute_all(spark: SparkSession, statements: DataFrame, col: str = "sql_text", cap: int = 1000,
-                max_statements: int = 10_000, concurrency: int = 8) -> DataFrame:
+                concurrency: int = 8) -> DataFrame:
     """Signatures of every distinct non-null statement of ``statements``.
 
     Statements run as concurrent Spark jobs (driver threads submitting to
     the same scheduler), each reduced to its signature on the executors."""
     from concurrent.futures import ThreadPoolExecutor
 
-    distinct = statements.select(col).where(F.col(col).isNotNull()).distinct()
-    texts = [r[0] for r in distinct.limit(max_statements + 1).collect()]
-    if len(texts) > max_statements:
-        raise ValueError(f"more than {max_statements} distinct statements to execute")
+    distinct = statements.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    texts = (r[0] for r in distinct.toLocalIterator())  # a partition of statements at a time
+    sigs = []
     with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
-        sigs = list(pool.map(lambda t: safe_exec(spark, t, cap), sorted(texts)))
+        while part := list(islice(texts, 1000)):
+            sigs += pool.map(lambda t: safe_exec(spark, t, cap), part)
     return spark.createDataFrame(sigs, SIGNATURE_SCHEMA)
 
 
@@ -85,22 +98,21 @@ def compare_signatures(g: str = "g", c: str = "c", compat: bool = False):
 
 
 def compare_results(a: DataFrame, b: DataFrame, sample_n: int = 10) -> DataFrame:
-    """Direct comparison of two result frames: same column count, same first
-    rows (canonical order), multiset equality (``exceptAll`` both ways)."""
+    """Direct comparison of two result frames by position: same column count,
+    same first rows in the order of each result, multiset difference both ways
+    (rows as text, so column names and null fields don't matter)."""
     same_shape = len(a.columns) == len(b.columns)
-    ra = a.select(F.to_json(F.struct(*[F.col(f"`{x}`") for x in a.columns])).alias("r"))
-    rb = b.select(F.to_json(F.struct(*[F.col(f"`{x}`") for x in b.columns])).alias("r"))
-    sa = ra.agg(F.slice(F.array_sort(F.collect_list("r")), 1, sample_n).alias("s"))
-    sb = rb.agg(F.slice(F.array_sort(F.collect_list("r")), 1, sample_n).alias("s"))
-    left_only = a.exceptAll(b).agg(F.count(F.lit(1)).alias("n")) if same_shape else None
-    right_only = b.exceptAll(a).agg(F.count(F.lit(1)).alias("n")) if same_shape else None
-    out = sa.select(F.lit(same_shape).alias("same_shape"),
-                    (F.lit(same_shape) & (F.col("s") == sb.scalar())).alias("same_sample"))
-    if same_shape:
-        out = out.withColumn("only_left", left_only.scalar()).withColumn("only_right", right_only.scalar())
-    else:
-        out = out.withColumn("only_left", F.lit(None).cast("long")).withColumn("only_right", F.lit(None).cast("long"))
-    return out.withColumn("same_multiset", F.col("same_shape") & (F.col("only_left") == 0) & (F.col("only_right") == 0))
+    ra, rb = a.select(positional(a).alias("r")), b.select(positional(b).alias("r"))
+    sides = ra.select("r", F.lit(1).alias("n")).unionByName(rb.select("r", F.lit(-1).alias("n"))) \
+        .groupBy("r").agg(F.sum("n").alias("n"))
+    left = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0))
+    right = F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0))
+    sample = first_rows(a, sample_n).scalar() == first_rows(b, sample_n).scalar()
+    shape = F.lit(same_shape)
+    return sides.agg(left.alias("l"), right.alias("r")).select(
+        shape.alias("same_shape"), (shape & sample).alias("same_sample"),
+        F.when(shape, F.col("l")).alias("only_left"), F.when(shape, F.col("r")).alias("only_right"),
+        (shape & (F.col("l") == 0) & (F.col("r") == 0)).alias("same_multiset"))
 
 
 def run_metrics(cases: DataFrame, runs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 Everything here returns a lazy DataFrame; Catalyst decides join strategies,
 pushes filters into the parquet scan and prunes columns.  Broadcast hints are
 only placed on sides whose size is fixed (TPC-H ``nation``/``region``) or was
-checked with :func:`tessera.session.fits`.
+configured (templates, intents).
 """
 
 from __future__ import annotations
@@ -165,38 +165,28 @@ def missing_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return left.join(keys, F.col(left_key) == F.col("_k"), "left_anti")
 
 
-def match_contains(left: DataFrame, text_col: str, phrases: DataFrame,
-                   phrase_col: str = "phrase", ord_col: str = "ord") -> DataFrame:
-    """Theta join: a row matches every phrase its lower-cased text contains;
-    the first declared phrase wins.  ``phrases`` must be a small, fixed table
-    (the caller broadcasts it after a size check)."""
-    lt = F.lower(F.col(text_col))
-    hits = (left.join(phrases, lt.contains(F.col(phrase_col)), "left"))
-    keys = [c for c in left.columns]
-    return (hits.groupBy(*keys)
-                .agg(F.min_by(F.struct(*[c for c in phrases.columns]), F.col(ord_col)).alias("_m"))
-                .select(*keys, "_m.*"))
-
-
-def match_small_phrases(left: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
-                        ord_col: str, out_cols: list[str], max_phrases: int = 1000) -> DataFrame:
-    """Substring match against a small, size-checked phrase table: the
-    phrases become one ``CASE`` chain in declaration order, evaluated row by
-    row where the data lies — no join, no shuffle.  Larger phrase tables go
-    through :func:`match_contains`."""
-    from tessera.session import fits
-
-    if not fits(phrases, max_phrases):
-        m = match_contains(left, text_col, phrases, phrase_col, ord_col)
-        return m.select(*left.columns, *out_cols)
-    rows = phrases.orderBy(ord_col).collect()
+PHRASES_PER_CASE = 250
+
+
+def match_phrases(left: DataFrame, text_col: str, phrases: DataFrame, phrase_col: str,
+                  ord_col: str, out_cols: list[str]) -> DataFrame:
+    """The first declared phrase that each row's lower-cased text contains.
+
+    ``phrases`` is a configuration table.  Its rows become ``CASE`` chains in
+    declaration order, ``PHRASES_PER_CASE`` to a chain; the first chain with an
+    answer wins.  The same plan at every number of phrases: no join, no shuffle,
+    and equal rows of ``left`` stay separate."""
+    rows = phrases.orderBy(ord_col).select(phrase_col, *out_cols).collect()
     lt = F.lower(F.col(text_col))
-    hit = None
-    for r in rows:
-        val = F.struct(*[F.lit(r[c]).alias(c) for c in out_cols])
-        cond = lt.contains(r[phrase_col])
-        hit = F.when(cond, val) if hit is None else hit.when(cond, val)
-    return left.withColumn("_m", hit).select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in out_cols])
+    chains = []
+    for i in range(0, len(rows), PHRASES_PER_CASE):
+        chain = F
+        for r in rows[i:i + PHRASES_PER_CASE]:
+            chain = chain.when(lt.contains(r[phrase_col]), F.struct(*[F.lit(r[c]).alias(c) for c in out_cols]))
+        chains.append(chain)
+    if not chains:
+        return left.select("*", *[F.lit(None).cast(phrases.schema[c].dataType).alias(c) for c in out_cols])
+    return left.withColumn("_m", F.coalesce(*chains)).select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in out_cols])
 
 
 # ---------------------------------------------------------------------------

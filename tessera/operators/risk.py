@@ -59,15 +59,23 @@ def uniques(r: DataFrame) -> DataFrame:
                                     F.count_distinct("book").alias("n_books"))
 
 
-def concentration(r: DataFrame, key: str) -> DataFrame:
-    """Share of gross (absolute) value per ``key``; the grand total is a scalar
-    subquery, so no window over the whole table and no join."""
-    gross = F.abs(F.col("value"))
-    per = r.groupBy(key).agg(F.sum(gross).alias("gross_value"))
-    total = r.agg(F.sum(gross).alias("t")).scalar()
-    return per.select(F.lit(key).alias("dim"), F.col(key).cast("string").alias("key"),
-                      F.col("gross_value").cast("double").alias("gross_value"),
-                      F.round(F.col("gross_value") / total, 6).cast("double").alias("share"))
+def concentration(r: DataFrame, keys: list[str]) -> DataFrame:
+    """Share of gross (absolute) value per value of each key.  One pass: the
+    keys and the grand total are grouping sets of one aggregation; its rows,
+    one per key value, are then set against the total's single row."""
+    n = len(keys)
+    g = r.groupingSets([*([k] for k in keys), []], *keys).agg(F.sum(F.abs(F.col("value"))).alias("gross"), F.grouping_id().alias("gid"))
+    every = (1 << n) - 1
+    dim, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, k in enumerate(keys):
+        own = F.col("gid") == every ^ (1 << (n - 1 - i))
+        dim, key = F.when(own, F.lit(k)).otherwise(dim), F.when(own, F.col(k).cast("string")).otherwise(key)
+    # the total reaches the rows of a key through a window over that key's few aggregated rows
+    rows = g.select(F.explode(F.when(F.col("gid") == every, F.array(*map(F.lit, keys))).otherwise(F.array(dim))).alias("dim"),
+                    key.alias("key"), "gross", (F.col("gid") == every).alias("is_total"))
+    total = F.max(F.when(F.col("is_total"), F.col("gross"))).over(Window.partitionBy("dim"))
+    return rows.withColumn("total", total).where(~F.col("is_total")).select(
+        "dim", "key", F.col("gross").cast("double").alias("gross_value"), F.round(F.col("gross") / F.col("total"), 6).cast("double").alias("share"))
 
 
 def currency_scenario_matrix(r: DataFrame) -> DataFrame:
@@ -128,27 +136,34 @@ def stability(r: DataFrame, key: str = "book") -> DataFrame:
 def scenario_compare(r: DataFrame) -> DataFrame:
     per = r.groupBy("measure", "scenario").agg(F.sum("value").alias("total"))
     return per.groupBy("measure").agg(
-        F.min_by("scenario", "total").alias("worst_scenario"),
+        F.expr("min_by(scenario, struct(total, scenario))").alias("worst_scenario"),
         F.min("total").cast("double").alias("worst_total"),
-        F.max_by("scenario", "total").alias("best_scenario"),
+        F.expr("min_by(scenario, struct(-total, scenario))").alias("best_scenario"),
         F.max("total").cast("double").alias("best_total"))
 
 
-def factor_correlation(r: DataFrame, factors: list[str]) -> DataFrame:
-    """Pearson correlation of daily totals for every pair of risk factors.
-
-    Daily totals are pivoted to one column per factor (the factor list is
-    passed in; it is a small dimension), then all pair correlations are
-    aggregate expressions of one global aggregation — no pair join.
-    """
-    aggs = [F.sum(F.when(F.col("risk_factor") == f, F.col("value"))).cast("double").alias(f"f{i}")
-            for i, f in enumerate(factors)]
-    wide = r.groupBy("valuation_date").agg(*aggs).na.fill(0.0)
-    pairs = [(i, j) for i in range(len(factors)) for j in range(i + 1, len(factors))]
-    corr = wide.agg(*[F.corr(f"f{i}", f"f{j}").alias(f"c{i}_{j}") for i, j in pairs])
-    stack = ", ".join(f"'{factors[i]}', '{factors[j]}', c{i}_{j}" for i, j in pairs)
-    return corr.selectExpr(f"stack({len(pairs)}, {stack}) as (factor_a, factor_b, correlation)") \
-               .select("factor_a", "factor_b", F.round("correlation", 6).alias("correlation"))
+def factor_correlation(r: DataFrame) -> DataFrame:
+    """Pearson correlation of daily totals for every pair of risk factors; a
+    factor without a row on a day counts as 0 that day.
+
+    The star is aggregated once to (factor, day).  Sums and squares per factor
+    and, where two factors meet on a day, products per pair give the
+    correlation in closed form, for any number of factors."""
+    x = F.col("daily")
+    daily = daily_totals(r.where(F.col("risk_factor").isNotNull()), "risk_factor")
+    days = r.agg(F.count_distinct("valuation_date")).scalar()
+    one = daily.groupBy("risk_factor").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    # the factors of a day, as one array, give its pairs: no join of the table with itself
+    per_day = daily.groupBy("valuation_date").agg(F.array_sort(F.collect_list(F.struct("risk_factor", "daily"))).alias("f"))
+    pairs = per_day.select(F.posexplode("f").alias("i", "a"), "f").select("a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b"))
+    both = pairs.groupBy(F.col("a.risk_factor").alias("factor_a"), F.col("b.risk_factor").alias("factor_b")) \
+        .agg(F.sum(F.col("a.daily") * F.col("b.daily")).alias("p"))
+    a, b = one.select(F.col("risk_factor").alias("factor_a"), F.col("s").alias("sa"), F.col("q").alias("qa")), \
+        one.select(F.col("risk_factor").alias("factor_b"), F.col("s").alias("sb"), F.col("q").alias("qb"))
+    cov = days * F.col("p") - F.col("sa") * F.col("sb")
+    spread_a, spread_b = days * F.col("qa") - F.col("sa") * F.col("sa"), days * F.col("qb") - F.col("sb") * F.col("sb")
+    return both.join(a, "factor_a").join(b, "factor_b").select(
+        "factor_a", "factor_b", F.round(cov / F.sqrt(spread_a * spread_b), 6).alias("correlation"))
 
 
 def offsets(r: DataFrame, key: str = "deal") -> DataFrame:
@@ -185,8 +200,11 @@ def update_frequency(r: DataFrame, key: str = "book") -> DataFrame:
 
 
 def audit(r: DataFrame) -> DataFrame:
-    g = r.rollup("measure", "risk_factor").agg(F.sum("value").alias("total"), F.count("*").alias("n"),
-                                                F.grouping_id().alias("level"))
-    return g.select(F.coalesce("measure", F.lit("ALL")).alias("measure"),
-                    F.coalesce("risk_factor", F.lit("ALL")).alias("risk_factor"),
+    """Totals rolled up over measure and factor; ``ALL`` marks a rolled-up
+    column, a null measure or factor stays null."""
+    g = r.rollup("measure", "risk_factor").agg(
+        F.sum("value").alias("total"), F.count("*").alias("n"), F.grouping_id().alias("level"),
+        F.grouping("measure").alias("all_measures"), F.grouping("risk_factor").alias("all_factors"))
+    return g.select(F.when(F.col("all_measures") == 1, "ALL").otherwise(F.col("measure")).alias("measure"),
+                    F.when(F.col("all_factors") == 1, "ALL").otherwise(F.col("risk_factor")).alias("risk_factor"),
                     F.col("total").cast("double").alias("total_value"), "n", "level")

@@ -1,15 +1,13 @@
 """Vector search: exact top-k, best match, thresholded search, approximate search.
 
-Exact k-nearest neighbours never materialises the queries × items pairs:
-
-* **broadcast path** — when the query set is proven small (``fits``), its
-  matrix is broadcast once; every item partition scores its rows against all
-  queries with one matrix product and emits only its local top-k per query
-  (``mapInPandas``).  A final ``row_number() <= k`` per query (partial
-  WindowGroupLimit before the shuffle) merges the partition candidates.
-* **blocked path** — for larger query sets, items and queries are cut into
-  blocks; each (item block, query block) cell is one ``cogroup`` group of
-  bounded size that emits its local top-k, merged the same way.
+Exact k-nearest neighbours sets the queries against all items in blocks and
+moves no item: a block of queries, of bounded size, is broadcast; every item
+partition scores its rows against it with matrix products and keeps one running
+top-k per query, so a task returns at most ``k`` rows per query however many
+batches it reads.  A final ``row_number() <= k`` per query (partial
+WindowGroupLimit before the shuffle) merges the partitions' candidates.  Query
+sets of more than one block are written once, as are the items, and their
+candidates are written block by block.
 
 Scores are cosine similarities accumulated in float64, rounded to 9 places
 before ranking so that equal vectors tie exactly; ties go to the smaller
@@ -27,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.vectors import EPS, valid_vectors
-from tessera.session import fits
+from tessera.sources.writes import write_staged
 
-MAX_BROADCAST_QUERIES = 20_000
+QUERY_BLOCK = 8_192               # queries that are broadcast together
 MAX_BROADCAST_BYTES = 256 << 20   # float64 matrix held by every executor
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 4_096                # rows per side of an approximate-search group
 
 HIT_SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -47,12 +45,10 @@ def _matrix(vecs) -> np.ndarray:
     return m, n
 
 
-def _collect_side(df: DataFrame, id_col: str, vec_col: str, max_rows: int):
+def _collect_side(df: DataFrame, id_col: str, vec_col: str, max_rows: int, limit_bytes: bool = True):
     """Collect a side proven small as Arrow (ids, float64 matrix, norms), or
     None when it has more than ``max_rows`` rows or its matrix would exceed
     ``MAX_BROADCAST_BYTES``.  At most ``max_rows + 1`` rows are read."""
-    if max_rows <= 0:
-        return None
     tbl = df.limit(max_rows + 1).toArrow()
     if tbl.num_rows > max_rows:
         return None
@@ -67,7 +63,7 @@ def _collect_side(df: DataFrame, id_col: str, vec_col: str, max_rows: int):
         m = vals[start:start + lens.sum()].astype(np.float64).reshape(len(lens), int(lens[0]))
     else:
         m = np.vstack([np.asarray(v, dtype=np.float64) for v in lists.to_pylist()])
-    if m.nbytes > MAX_BROADCAST_BYTES:
+    if limit_bytes and m.nbytes > MAX_BROADCAST_BYTES:
         return None
     return ids.astype(np.int64), m, np.linalg.norm(m, axis=1)
 
@@ -132,8 +128,7 @@ def _final_topk(cands: DataFrame, k: int) -> DataFrame:
 
 def knn(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "vec",
         i_id: str = "item_id", i_vec: str = "vec", exclude_self: bool = False,
-        max_broadcast: int = MAX_BROADCAST_QUERIES, block_rows: int = BLOCK_ROWS,
-        small_items: int = 0) -> DataFrame:
+        query_block: int = QUERY_BLOCK, small_items: int = 0) -> DataFrame:
     """Exact top-``k`` items per query by cosine similarity.
 
     Returns ``query_id, item_id, score, rank`` (rank 1 = most similar).
@@ -150,11 +145,11 @@ def knn(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
         side = _collect_side(it, "iid", "iv", small_items)
         if side is not None:
             return _knn_items_broadcast(q, side, k, exclude_self)
-    side = _collect_side(q, "qid", "qv", max_broadcast)
+    side = _collect_side(q, "qid", "qv", query_block)
     if side is not None:
         cands = _knn_broadcast(q.sparkSession, side, it, k, exclude_self)
     else:
-        cands = _knn_blocked(q, it, k, exclude_self, block_rows)
+        cands = _knn_blocks(q, it, k, exclude_self, query_block)
     return _final_topk(cands, k)
 
 
@@ -165,13 +160,22 @@ def _knn_broadcast(spark: SparkSession, side, it: DataFrame, k: int, exclude_sel
         return spark.createDataFrame([], HIT_SCHEMA)
     bc = spark.sparkContext.broadcast((q_ids, q_mat, q_norm))
 
+    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True).sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
+        return rows[rows.groupby("query_id", sort=False).cumcount() < k]
+
     def score(batches):
         qi, qm, qn = bc.value
+        held: list[pd.DataFrame] = []
         for pdf in batches:
             if pdf.empty:
                 continue
             i_mat, i_norm = _matrix(pdf["iv"])
-            yield _topk_chunked(qi, qm, qn, pdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self)
+            held.append(_topk_chunked(qi, qm, qn, pdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self))
+            if sum(map(len, held)) > 3 * k * len(qi):
+                held = [best(held)]
+        if held:
+            yield best(held)
 
     return it.mapInPandas(score, HIT_SCHEMA)
 
@@ -201,30 +205,27 @@ def _knn_items_broadcast(q: DataFrame, side, k: int, exclude_self: bool) -> Data
     return q.mapInPandas(score, RANKED_SCHEMA)
 
 
-def _knn_blocked(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    n_q = q.count()
-    n_i = it.count()
-    qb = max(1, math.ceil(n_q / block_rows))
-    ib = max(1, math.ceil(n_i / block_rows))
-    # each item block is sent to every query block and vice versa: data moved is
-    # items×qb + queries×ib, every cogroup cell holds ≤ block_rows per side
-    # both cell keys are INT on both sides: cogroup co-locates groups by the
-    # hash of the key values, so the two sides must agree on the key types
-    items_rep = (it.withColumn("ib", F.pmod(F.xxhash64("iid"), F.lit(ib)).cast("int"))
-                   .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    q_rep = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
-              .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)))))
-
-    def cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if ipdf.empty or qpdf.empty:
-            return _empty_hits()
-        i_mat, i_norm = _matrix(ipdf["iv"])
-        q_mat, q_norm = _matrix(qpdf["qv"])
-        return _local_topk(qpdf["qid"].to_numpy(np.int64), q_mat, q_norm,
-                           ipdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self)
-
-    return (items_rep.groupBy("ib", "qb").cogroup(q_rep.groupBy("ib", "qb"))
-            .applyInPandas(cell, HIT_SCHEMA))
+def _knn_blocks(q: DataFrame, it: DataFrame, k: int, exclude_self: bool, query_block: int) -> DataFrame:
+    """Candidates for more queries than one block: both sides are evaluated
+    once, into written tables; each block of queries then passes over the items
+    and its candidates are written before the next block is broadcast."""
+    spark = q.sparkSession
+    q = spark.read.schema(q.schema).parquet(write_staged(q, spark, "knn-queries"))
+    items = spark.read.schema(it.schema).parquet(write_staged(it, spark, "knn-items"))
+    first = q.select(F.max(F.size("qv"))).first()[0] or 1
+    rows = max(1, min(query_block, MAX_BROADCAST_BYTES // (8 * first)))
+    blocks = max(1, math.ceil(q.count() / rows))
+    dealt = q.repartition(blocks).withColumn("blk", F.spark_partition_id())
+    path = write_staged(dealt, spark, "knn-blocks", ["blk"])
+    out = None
+    for i in range(blocks):
+        # dealt round robin, a block has its share of the rows and a few more
+        block = spark.read.schema(dealt.schema).parquet(path).where(F.col("blk") == i).drop("blk")
+        side = _collect_side(block, "qid", "qv", 2 * rows + 1000, limit_bytes=False)
+        cands = write_staged(_knn_broadcast(spark, side, items, k, exclude_self), spark, f"knn-candidates-{i}")
+        found = spark.read.schema(HIT_SCHEMA).parquet(cands)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def best_match(queries: DataFrame, items: DataFrame, **kw) -> DataFrame:
@@ -252,18 +253,19 @@ CELL_SCHEMA = T.StructType([T.StructField("qid", T.LongType()), T.StructField("c
 
 def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_vec: str = "vec",
         i_id: str = "item_id", i_vec: str = "vec", exclude_self: bool = False, n_cells: int | None = None,
-        n_probe: int | None = None, probe_fraction: float = 0.5, block_rows: int = BLOCK_ROWS,
+        n_probe: int | None = None, probe_fraction: float = 0.6, block_rows: int = BLOCK_ROWS,
         seed: int = 7, max_iter: int = 10, train_rows: int = 200_000) -> DataFrame:
     """Approximate top-``k`` by cosine (re-aim of an HNSW index).
 
     Items are clustered into ``n_cells`` cells with MLlib k-means (cosine
-    distance); each query probes its ``n_probe`` nearest cell centres and is
-    scored exactly against the items of those cells only.  A cell larger than
-    ``block_rows`` is split into sub-blocks by item hash, so a hot cell never
-    lands in one task; queries are replicated to the sub-blocks of the cells
-    they probe.  The broadcast data are the centres (at most 1024 × dim), the
-    cell sizes (one row per cell) and the sub-block table, whose size is
-    checked before it is broadcast.
+    distance), fitted on at most ``train_rows`` items; every item is assigned.
+    The number of cells grows as the square root of the items (up to what
+    ``MAX_BROADCAST_BYTES`` of centres holds).  Each query probes its
+    ``n_probe`` nearest cell centres and is scored exactly against the items of
+    those cells only.  Both sides of a cell are split by hash into parts of
+    about ``block_rows``, so neither a cell with many items nor one that many
+    queries probe lands in one task, and a task's similarity matrix is cut to
+    ``MAX_CELLS``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -274,7 +276,8 @@ def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
     n_items = it.count()
     if n_items == 0:
         return _final_topk(spark.createDataFrame([], HIT_SCHEMA), k)
-    cells = n_cells or max(1, min(1024, int(math.sqrt(n_items))))
+    dim = it.select(F.max(F.size("iv"))).first()[0]
+    cells = n_cells or max(1, min(int(math.sqrt(n_items)), MAX_BROADCAST_BYTES // (8 * dim)))
     feats = it.withColumn("features", array_to_vector("iv"))
     # centres are trained on a bounded sample (all items are still assigned
     # and searched); k-means iterations then cost O(train_rows), not O(items)
@@ -289,15 +292,6 @@ def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
     probe = min(n_probe or max(1, math.ceil(probe_fraction * centers.shape[0])), centers.shape[0])
 
     assigned = model.transform(feats).select("iid", "iv", F.col("cell").cast("int").alias("cell"))
-    sizes = assigned.groupBy("cell").agg(F.count("*").alias("n"))
-    subs = sizes.select("cell", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block_rows) - 1)
-                                                     .cast("int"))).alias("sub"),
-                        F.ceil(F.col("n") / block_rows).cast("int").alias("nsub"))
-    subs_b = F.broadcast(subs) if fits(subs, 200_000) else subs
-    items_c = (assigned.join(F.broadcast(sizes.select("cell", F.ceil(F.col("n") / block_rows).cast("int")
-                                                     .alias("nsub"))), "cell")
-               .withColumn("sub", F.pmod(F.xxhash64("iid"), F.col("nsub")).cast("int")).drop("nsub"))
-
     def nearest_cells(batches):
         c = bc.value
         for pdf in batches:
@@ -310,17 +304,26 @@ def ann(queries: DataFrame, items: DataFrame, k: int, q_id: str = "query_id", q_
                                 "cell": top.reshape(-1).astype(np.int32),
                                 "qv": np.repeat(pdf["qv"].to_numpy(), probe)})
 
-    q_cells = q.mapInPandas(nearest_cells, CELL_SCHEMA).join(subs_b, "cell").drop("nsub")
+    q_cells = q.mapInPandas(nearest_cells, CELL_SCHEMA)
+    # parts per side of each cell (one small row per cell, joined on the cell)
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    sizes = parts(assigned, "ni").join(parts(q_cells, "nq"), "cell")
+    i_parts = assigned.join(sizes, "cell").select(
+        "cell", F.pmod(F.xxhash64("iid"), F.col("ni")).cast("int").alias("ip"),
+        F.explode(F.expr("sequence(0, nq - 1)")).alias("qp"), "iid", "iv")
+    q_parts = q_cells.join(sizes, "cell").select(
+        "cell", F.explode(F.expr("sequence(0, ni - 1)")).alias("ip"),
+        F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int").alias("qp"), "qid", "qv")
 
     def cell(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if ipdf.empty or qpdf.empty:
             return _empty_hits()
         i_mat, i_norm = _matrix(ipdf["iv"])
         q_mat, q_norm = _matrix(qpdf["qv"])
-        return _local_topk(qpdf["qid"].to_numpy(np.int64), q_mat, q_norm,
-                           ipdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self)
+        return _topk_chunked(qpdf["qid"].to_numpy(np.int64), q_mat, q_norm,
+                             ipdf["iid"].to_numpy(np.int64), i_mat, i_norm, k, exclude_self)
 
-    cands = (items_c.groupBy("cell", "sub").cogroup(q_cells.groupBy("cell", "sub"))
+    cands = (i_parts.groupBy("cell", "ip", "qp").cogroup(q_parts.groupBy("cell", "ip", "qp"))
              .applyInPandas(cell, HIT_SCHEMA))
     return _final_topk(cands, k)
 

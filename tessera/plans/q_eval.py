@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import catalog as C
 from tessera.operators import evaluate as E
 from tessera.operators import search as SR
+from tessera.operators.relational import union_all
 from tessera.functions import vectors as V
 from tessera.plans import index_build as IB
 from tessera.plans import questions as Q
@@ -286,22 +287,46 @@ def q_case_view(spark, d):
     return E.case_view(cases, 100, 120).select("id", "question_id", "same_sample", "llm_ok", "error_snippet")
 
 
-@query("compare_results", """
-WITH a AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'),
-b AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O'),
-sa AS (SELECT list(to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}) ORDER BY to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}))[1:10] AS s FROM a),
-sb AS (SELECT list(to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}) ORDER BY to_json({'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber}))[1:10] AS s FROM b)
-SELECT true AS same_shape, (SELECT s FROM sa) = (SELECT s FROM sb) AS same_sample,
-       (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_left,
-       (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_right,
-       (SELECT COUNT(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) = 0
-         AND (SELECT COUNT(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) = 0 AS same_multiset""")
+_COMPARED = {
+    # name: (left, right) as (columns, filter, order)
+    "alias": (("l_orderkey, l_linenumber AS n", "l_returnflag = 'R'", "l_orderkey, l_linenumber"),
+              ("l_orderkey, l_linenumber AS total", "l_returnflag = 'R'", "l_orderkey, l_linenumber")),
+    "order": (("l_orderkey, l_linenumber", "l_returnflag = 'R'", "l_orderkey, l_linenumber"),
+              ("l_orderkey, l_linenumber", "l_returnflag = 'R'", "l_orderkey DESC, l_linenumber DESC")),
+    "rows": (("l_orderkey, l_linenumber", "l_returnflag = 'R'", "l_orderkey, l_linenumber"),
+             ("l_orderkey, l_linenumber", "l_linestatus = 'O'", "l_orderkey, l_linenumber")),
+    "late": (("l_orderkey, l_linenumber", "l_orderkey > 0", "l_orderkey, l_linenumber"),
+             ("l_orderkey, CASE WHEN l_orderkey < (SELECT max(l_orderkey) FROM lineitem) THEN l_linenumber END", "l_orderkey > 0", "l_orderkey, l_linenumber")),
+    "shape": (("l_orderkey", "l_returnflag = 'R'", "l_orderkey"), ("l_orderkey, l_linenumber", "l_returnflag = 'R'", "l_orderkey, l_linenumber")),
+}
+
+
+def _compared_sql() -> str:
+    parts = []
+    for name, sides in _COMPARED.items():
+        (ca, wa, oa), (cb, wb, ob) = sides
+        if ca.count(",") != cb.split("CASE")[0].count(","):
+            parts.append(f"SELECT '{name}' AS pair, false AS same_shape, false AS same_sample, NULL::BIGINT AS only_left, "
+                         "NULL::BIGINT AS only_right, false AS same_multiset")
+            continue
+        a, b = f"SELECT {ca} FROM lineitem WHERE {wa}", f"SELECT {cb} FROM lineitem WHERE {wb}"
+        tops = [f"(SELECT list(row(x, y)) FROM (SELECT * FROM ({q} ORDER BY {o} LIMIT 10) t(x, y)))" for q, o in ((a, oa), (b, ob))]
+        left, right = f"(SELECT count(*) FROM ({a} EXCEPT ALL {b}))", f"(SELECT count(*) FROM ({b} EXCEPT ALL {a}))"
+        parts.append(f"SELECT '{name}' AS pair, true AS same_shape, {tops[0]} = {tops[1]} AS same_sample, {left} AS only_left, "
+                     f"{right} AS only_right, {left} = 0 AND {right} = 0 AS same_multiset")
+    return "\nUNION ALL ".join(parts)
+
+
+@query("compare_results", _compared_sql())
 def q_compare_results(spark, d):
-    """Two result sets compared: shape, first rows, multiset difference."""
-    li = load(spark, d, "lineitem")
-    a = li.where(F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber")
-    b = li.where(F.col("l_linestatus") == "O").select("l_orderkey", "l_linenumber")
-    return E.compare_results(a, b)
+    """Pairs of results compared by position: other names, another order, other
+    rows, a difference after the first rows, another number of columns."""
+    register_views(spark, d, ("lineitem",))
+    out = []
+    for name, sides in _COMPARED.items():
+        a, b = (spark.sql(f"SELECT {c} FROM lineitem WHERE {w} ORDER BY {o}") for c, w, o in sides)
+        out.append(E.compare_results(a, b).select(F.lit(name).alias("pair"), "*"))
+    return union_all(*out)
 
 
 def _candidate_sql() -> str:

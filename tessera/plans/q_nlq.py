@@ -249,7 +249,7 @@ SELECT w.prompt_id, m.phrase, m.sql FROM wl w LEFT JOIN m ON m.prompt_id = w.pro
 def q_intent_contains(spark, d):
     """First declared intent phrase contained in each prompt (null when none)."""
     w = _workload(spark, d)
-    m = R.match_small_phrases(w, "prompt", N.intent_table(spark), "phrase", "ord", ["phrase", "sql"])
+    m = R.match_phrases(w, "prompt", N.intent_table(spark), "phrase", "ord", ["phrase", "sql"])
     return m.select("prompt_id", "phrase", "sql")
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tessera.operators import risk as K
 from tessera.plans.registry import query
 from tessera.plans.sqlviews import with_risk
-from tessera.session import fits
 
 
 def _r(spark, d):
@@ -37,8 +36,7 @@ SELECT 'desk', desk, CAST(SUM(ABS(value)) AS DOUBLE),
        CAST(ROUND(SUM(ABS(value)) / (SELECT SUM(ABS(value)) FROM risk), 6) AS DOUBLE)
 FROM risk GROUP BY desk"""))
 def q_concentration(spark, d):
-    r = _r(spark, d)
-    return K.concentration(r, "counterparty").unionByName(K.concentration(r, "desk"))
+    return K.concentration(_r(spark, d), ["counterparty", "desk"])
 
 
 @query("risk_pivot", with_risk("""
@@ -99,8 +97,8 @@ def q_stability(spark, d):
 
 @query("risk_scenario", with_risk("""
 WITH per AS (SELECT measure, scenario, SUM(value) AS total FROM risk GROUP BY ALL)
-SELECT measure, arg_min(scenario, total) AS worst_scenario, CAST(MIN(total) AS DOUBLE) AS worst_total,
-       arg_max(scenario, total) AS best_scenario, CAST(MAX(total) AS DOUBLE) AS best_total
+SELECT measure, list(scenario ORDER BY total, scenario)[1] AS worst_scenario, CAST(MIN(total) AS DOUBLE) AS worst_total,
+       list(scenario ORDER BY total DESC, scenario)[1] AS best_scenario, CAST(MAX(total) AS DOUBLE) AS best_total
 FROM per GROUP BY measure"""))
 def q_scenario(spark, d):
     return K.scenario_compare(_r(spark, d))
@@ -125,12 +123,7 @@ FROM long a JOIN long b ON a.valuation_date = b.valuation_date AND a.i < b.i
 JOIN names na ON na.i = a.i JOIN names nb ON nb.i = b.i
 GROUP BY na.n, nb.n"""))
 def q_corr(spark, d):
-    r = _r(spark, d)
-    dims = r.select("risk_factor").distinct()
-    if not fits(dims, 200):
-        raise ValueError("too many risk factors for a pairwise correlation matrix")
-    factors = sorted(x[0] for x in dims.collect() if x[0] is not None)
-    return K.factor_correlation(r, factors)
+    return K.factor_correlation(_r(spark, d))
 
 
 @query("risk_offsets", with_risk("""
@@ -160,7 +153,8 @@ def q_update_freq(spark, d):
 
 
 @query("risk_audit", with_risk("""
-SELECT COALESCE(measure, 'ALL') AS measure, COALESCE(risk_factor, 'ALL') AS risk_factor,
+SELECT CASE WHEN GROUPING(measure) = 1 THEN 'ALL' ELSE measure END AS measure,
+       CASE WHEN GROUPING(risk_factor) = 1 THEN 'ALL' ELSE risk_factor END AS risk_factor,
        CAST(SUM(value) AS DOUBLE) AS total_value, COUNT(*) AS n, GROUPING(measure, risk_factor) AS level
 FROM risk GROUP BY ROLLUP (measure, risk_factor)"""))
 def q_audit(spark, d):

@@ -40,11 +40,11 @@ def q_knn_exact(spark, d):
 
 @query("knn_exact_blocked", _KNN_SQL)
 def q_knn_blocked(spark, d):
-    """Same answer through the blocked cogroup path used for query sets too
-    large to broadcast (forced here with a zero broadcast budget)."""
+    """Same answer with the queries in several blocks (of 128 here), the path of
+    query sets of more than one block."""
     e = _emb(spark, d)
     return _out(SR.knn(e, e, 10, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True,
-                       max_broadcast=0, block_rows=128))
+                       query_block=128))
 
 
 @query("knn_threshold", """

@@ -1,12 +1,12 @@
-"""Session helpers: configuration, checkpoint location and size-checked broadcast."""
+"""Session helpers: configuration, shared folders, spreading of small inputs."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Settings every job in this package relies on.  AQE coalesces small shuffle
 # partitions and splits skewed join partitions at run time; UTC keeps date
@@ -96,13 +96,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (a shared file system); it is
-    read from the session and never replaced.  Only when it is unset (local
-    tests) a private temporary folder is created and registered.
+    read from the session and never replaced, and a cluster without it is an
+    error: a folder of one machine would be lost to the others.  Only in local
+    mode a private temporary folder is created and registered.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir is unset on {master}: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
@@ -115,29 +119,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+SPLIT_BYTES = 128 << 20
 
-    The check reads at most ``max_rows + 1`` rows, so it is cheap even when the
-    answer is no.  Used before every broadcast of a side that can grow with the
-    data.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small file scan over all cores before CPU-heavy
+    per-row work, e.g. when a table is one small file.
 
-def maybe_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when its size is proven small; report the choice."""
-    if fits(df, max_rows):
-        return F.broadcast(df), True
-    return df, False
+    Decided from the plan and its size estimate alone: nothing runs.  An input
+    whose scan already has a task per core (many files, or more bytes than one
+    split per core) is returned as it is, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or len(df.inputFiles()) >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores before CPU-heavy per-row work (Python text
-    UDFs) when the input has fewer partitions than the cluster has cores —
-    e.g. a small file stored as one row group.  On large inputs (partitions ≫
-    cores) this is a no-op, so it never adds a shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, through Spark's file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder, through Spark's file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

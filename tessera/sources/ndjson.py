@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,19 +19,20 @@ def parse_ndjson(lines: DataFrame, col: str = "value", keep: tuple[str, ...] = (
     Rows are returned as ``json`` text (``VARIANT`` rendered by ``to_json``)
     plus ``row`` (the variant itself) so callers can ``variant_get`` fields.
     """
-    base = lines.where(F.length(F.trim(F.col(col))) > 0).select(*keep, F.col(col).alias("line"),
-                                                                  F.try_parse_json(F.col(col)).alias("v"))
-    errors = base.where(F.col("v").isNull()).select(*keep, "line")
-    ok = base.where(F.col("v").isNotNull())
+    parsed = lines.where(F.length(F.trim(F.col(col))) > 0).select(*keep, F.col(col).alias("line"), F.try_parse_json(F.col(col)).alias("v"))
     kind = F.schema_of_variant("v")
-    narr = F.try_variant_get("v", "$._narration", "string")
-    narration = ok.where(kind.startswith("OBJECT") & narr.isNotNull()).select(*keep, narr.alias("narration"))
-    arr = F.try_variant_get("v", "$", "array<variant>")
-    objs = ok.where(kind.startswith("OBJECT") & narr.isNull()).select(*keep, F.col("v").alias("row"))
-    items = ok.where(arr.isNotNull()).select(*keep, F.explode(arr).alias("row"))
-    scalars = ok.where(~kind.startswith("OBJECT") & arr.isNull()).select(
-        *keep, F.parse_json(F.to_json(F.named_struct(F.lit("data"), F.col("v")))).alias("row"))
-    rows = objs.unionByName(items).unionByName(scalars)
+    narr = F.when(kind.startswith("OBJECT"), F.try_variant_get("v", "$._narration", "string"))
+    items = F.try_variant_get("v", "$", "array<variant>")
+    scalar = F.parse_json(F.to_json(F.named_struct(F.lit("data"), F.col("v"))))
+    # one pass: each line carries its kind and the array of its rows
+    lines_of = parsed.select(
+        *keep, "line",
+        F.when(F.col("v").isNull(), "error").when(narr.isNotNull(), "narration").otherwise("row").alias("kind"),
+        narr.alias("narration"),
+        F.when(items.isNotNull(), items).when(kind.startswith("OBJECT"), F.array("v")).otherwise(F.array(scalar)).alias("rows"))
+    errors = lines_of.where("kind = 'error'").select(*keep, "line")
+    narration = lines_of.where("kind = 'narration'").select(*keep, "narration")
+    rows = lines_of.where("kind = 'row'").select(*keep, F.explode("rows").alias("row"))
     return rows.withColumn("json", F.to_json("row")), narration, errors
 
 
@@ -39,19 +41,22 @@ def read_ndjson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
 
 
 def ndjson_lines(df: DataFrame) -> DataFrame:
-    """One JSON object per row: dates/timestamps as ISO-8601 text, decimals as
-    floats, everything else as is."""
+    """One JSON object per row: dates and timestamps as ISO-8601 text (a fraction
+    of a second is written where there is one), decimals as floats, null fields
+    kept, everything else as is."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            whole = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            exact = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            c = F.when(exact.endswith(".000000"), whole).otherwise(exact)
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         cols.append(c.alias(f.name))
-    return df.select(F.to_json(F.struct(*cols)).alias("value"))
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def to_ndjson(df: DataFrame, path: str) -> None:
@@ -78,8 +83,18 @@ def csv_header(df: DataFrame) -> str:
 
 
 def to_csv(df: DataFrame, path: str) -> None:
-    """Header file plus distributed body parts (no single-task bottleneck)."""
-    spark = df.sparkSession
-    spark.createDataFrame([(csv_header(df),)], "value string").coalesce(1) \
-         .write.mode("errorifexists").text(f"{path}/_header")
-    csv_lines(df).write.mode("errorifexists").text(f"{path}/body")
+    """CSV files that any reader opens with ``header=True``: every part file
+    starts with the header line, so parts are written by all tasks at once."""
+    body = csv_lines(df)
+    header = csv_header(df)
+
+    def with_header(batches):
+        first = True
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"value": [header, *lines] if first else lines})
+            first = False
+        if first:
+            yield pa.RecordBatch.from_pydict({"value": [header]})
+
+    body.mapInArrow(with_header, "value string").write.mode("errorifexists").text(path)

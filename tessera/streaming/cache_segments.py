@@ -47,24 +47,42 @@ def _next_pointers(ts: np.ndarray, ttl: int) -> np.ndarray:
     return np.searchsorted(ts, ts + ttl, side="left")
 
 
+def chain(nxt: np.ndarray, start: int) -> np.ndarray:
+    """Which places the chain ``start``, ``nxt[start]``, … visits (pointers lead
+    ahead; ``len(nxt)`` ends it), by pointer doubling."""
+    n = len(nxt)
+    seen = np.zeros(n + 1, bool)
+    if start < n:
+        seen[start] = True
+        jump = np.append(nxt, n)
+        while True:
+            seen[jump[np.flatnonzero(seen)]] = True
+            further = jump[jump]
+            if (further == jump).all():
+                break
+            jump = further
+    return seen[:n]
+
+
+def chain_ends(nxt: np.ndarray) -> np.ndarray:
+    """Last place of the chain from each place, by pointer doubling."""
+    at = np.arange(len(nxt))
+    jump = np.where(nxt < len(nxt), nxt, at)
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    return jump
+
+
 def summarise(pdf: pd.DataFrame, ttl: int) -> pd.DataFrame:
     rows = []
     for key, g in _runs(pdf):
         ts = g["ts_us"].to_numpy(np.int64)
         n = len(ts)
-        nxt = _next_pointers(ts, ttl)
-        exit_idx = np.empty(n, dtype=np.int64)
-        for i in range(n - 1, -1, -1):       # last miss of the chain starting at i
-            exit_idx[i] = exit_idx[nxt[i]] if nxt[i] < n else i
         # possible first misses: events before first_ts + ttl, and the first one after
         h = int(min(n, np.searchsorted(ts, ts[0] + ttl, side="left") + 1))
-        lo, hi, ex = [], [], []
-        for i in range(h):
-            e = int(ts[exit_idx[i]])
-            if ex and ex[-1] == e:
-                hi[-1] = int(ts[i])
-            else:
-                lo.append(int(ts[i])), hi.append(int(ts[i])), ex.append(e)
+        ends = ts[chain_ends(_next_pointers(ts, ttl))[:h]]   # last miss of the chain from each
+        new = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+        lo, hi, ex = ts[new].tolist(), ts[np.r_[new[1:], h] - 1].tolist(), ends[new].tolist()
         rows.append((key, int(g["seg"].iloc[0]), int(ts[0]), int(ts[-1]), lo, hi, ex))
     return pd.DataFrame(rows, columns=[f.name for f in SUMMARY.fields])
 
@@ -93,12 +111,7 @@ def replay(events: pd.DataFrame, entries: pd.DataFrame, ttl: int) -> pd.DataFram
         ts = g["ts_us"].to_numpy(np.int64)
         x = thr.get(key)
         start = 0 if x is None else int(np.searchsorted(ts, x, side="left"))
-        hit = np.ones(len(ts), dtype=bool)
-        nxt = _next_pointers(ts, ttl)
-        i = start
-        while i < len(ts):
-            hit[i] = False
-            i = nxt[i]
+        hit = ~chain(_next_pointers(ts, ttl), start)
         parts.append(pd.DataFrame({"key": key, "event_id": g["event_id"].to_numpy(np.int64), "ts_us": ts,
                                    "hit": hit}))
     if not parts:

@@ -1,9 +1,9 @@
 """Structured Streaming jobs.
 
 * ``stream_pages``  — new pages → visible text → word chunks → ids → hashed
-  vectors, appended per micro-batch under ``epoch=<id>``; readers resolve the
-  newest epoch per page, so a re-ingested shorter page drops its old tail
-  chunks (D9) and a replayed epoch overwrites itself (idempotent sink).
+  vectors, appended per micro-batch under ``epoch=<id>`` with a marker row per
+  page; readers resolve the newest epoch per page, so a re-ingested shorter or
+  emptied page drops its old chunks (D9) and a replayed epoch overwrites itself.
 * ``stream_embed`` — incremental embedding: texts whose id is not yet in the
   output are embedded (anti join per micro-batch).
 * ``stream_log_usage`` — request-log records → requests per intent in
@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.session import scratch_path
+from tessera.session import path_exists, scratch_path
 from tessera.sources import querylog as L
+from tessera.streaming.cache_segments import chain
 
 PAGE_SCHEMA = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
                             T.StructField("html", T.StringType())])
@@ -49,10 +51,25 @@ def page_chunks(pages: DataFrame, max_len: int = 512) -> DataFrame:
                      F.col("content").alias("text_content"), V.hash_embed("content").alias("embedding"))
 
 
+def page_versions(batch: DataFrame) -> DataFrame:
+    """One version per url of a batch: the one of the largest page id (of
+    equals, the html that sorts last)."""
+    return batch.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), F.struct("page_id", "html")).alias("v")) \
+                .select("v.page_id", "url", "v.html")
+
+
+def indexed_pages(batch: DataFrame, max_len: int = 512) -> DataFrame:
+    """Chunks of a batch plus one marker row per page (``chunk_ix`` null), so a
+    page that has become empty still counts as ingested."""
+    pages = page_versions(batch)
+    marker = pages.select("page_id", "url")
+    return page_chunks(pages, max_len).unionByName(marker, allowMissingColumns=True)
+
+
 def latest_page_chunks(index: DataFrame) -> DataFrame:
     """Chunks of the newest epoch of every page (the upserted view)."""
     newest = index.groupBy("url").agg(F.max("epoch").alias("epoch"))
-    return index.join(newest, ["url", "epoch"])
+    return index.join(newest, ["url", "epoch"]).where("chunk_ix IS NOT NULL")
 
 
 def stream_pages(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str | None = None,
@@ -60,7 +77,7 @@ def stream_pages(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     src = spark.readStream.schema(PAGE_SCHEMA).parquet(in_dir)
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
-        page_chunks(batch).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+        indexed_pages(batch).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     w = src.writeStream.foreachBatch(write_batch).option(
         "checkpointLocation", checkpoint or scratch_path(spark, "ckpt-pages"))
@@ -75,16 +92,17 @@ def stream_pages(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 
 def stream_embed(spark: SparkSession, in_dir: str, schema: T.StructType, id_col: str, text_col: str,
                  out_dir: str, checkpoint: str | None = None, available_now: bool = True):
-    """Embed only texts whose id has no vector yet."""
+    """Embed only texts whose id has no vector from an earlier batch.  A
+    replayed batch doesn't see what its first attempt wrote, so it writes the
+    same rows again over it."""
     src = spark.readStream.schema(schema).parquet(in_dir)
+    written = T.StructType([schema[id_col], T.StructField("epoch", T.LongType())])
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         todo = batch.select(id_col, text_col).dropDuplicates([id_col])
-        try:
-            done = spark.read.parquet(out_dir).select(id_col)
+        if path_exists(spark, out_dir):
+            done = spark.read.schema(written).parquet(out_dir).where(F.col("epoch") < epoch).select(id_col)
             todo = todo.join(done, id_col, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: nothing written yet
-            pass
         (todo.select(id_col, V.hash_embed(text_col).alias("embedding"))
              .write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}"))
 
@@ -126,17 +144,22 @@ CACHE_OUT = T.StructType([T.StructField("key", T.StringType()), T.StructField("e
                           T.StructField("ts", T.TimestampType()), T.StructField("hit", T.BooleanType())])
 
 
-def _flags(ts: pd.Series, last_miss, ttl_us: int):
-    """Hit flags for sorted timestamps given the last miss (µs or None)."""
-    out = []
-    lm = last_miss
-    for t in ts:
-        if lm is not None and t - lm < ttl_us:
-            out.append(True)
-        else:
-            out.append(False)
-            lm = t
-    return out, lm
+def _hits(key: np.ndarray, ts: np.ndarray, ttl_us: int, miss=None) -> tuple[np.ndarray, int]:
+    """Hit flags of events sorted by key and time (µs), and the last miss.
+    ``miss`` is the last miss of the first key before these events.
+
+    The next possible miss of an event is the first one ``ttl`` later, or the
+    next key's first event; misses are the chain of these pointers."""
+    run = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+    apart = int(ts.max()) - int(ts.min()) + 2 * ttl_us + 1
+    line = (ts - ts.min()) + run * apart
+    start = 0 if miss is None else int(np.searchsorted(line, miss - int(ts.min()) + ttl_us))
+    if start:  # past the first key, its successor's first event is a miss anyway
+        start = min(start, int(np.searchsorted(run, 1)))
+    missed = chain(np.searchsorted(line, line + ttl_us), start)
+    own = np.flatnonzero(missed & (run == run[-1]))
+    last = int(ts[own[-1]]) if len(own) else miss
+    return ~missed, last
 
 
 def _to_us(s: pd.Series) -> pd.Series:
@@ -162,7 +185,8 @@ def stream_cache(events: DataFrame, key_cols: list[str], ts_col: str, id_col: st
             return
         pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
         last = state.get[0] if state.exists else None
-        flags, last = _flags(_to_us(pdf["ts"]), last, ttl_us)
+        ts = _to_us(pdf["ts"]).to_numpy()
+        flags, last = _hits(np.zeros(len(ts), np.int64), ts, ttl_us, last)
         state.update((int(last),))
         state.setTimeoutTimestamp(int(last // 1000) + ttl_us // 1000)
         yield pd.DataFrame({"key": key[0], "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"].to_numpy(),
@@ -211,27 +235,13 @@ def cache_hits(df: DataFrame, key_cols: list[str], ts_col: str, id_col: str, ttl
                 continue
             tsu = _to_us(pdf["ts"]).to_numpy()
             keys = pdf["key"].to_numpy()
-            hits = []
-            for k, t in zip(keys, tsu):
-                if k != cur_key:
-                    cur_key, last = k, None
-                if last is not None and t - last < ttl_us:
-                    hits.append(True)
-                else:
-                    hits.append(False)
-                    last = t
+            hits, last = _hits(pd.factorize(keys)[0], tsu, ttl_us, last if keys[0] == cur_key else None)
+            cur_key = keys[-1]
             yield pd.DataFrame({"key": keys, "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"],
                                 "hit": hits})
 
     return parts.mapInPandas(scan, CACHE_OUT)
 
 
-def cache_dedupe_within_watermark(events: DataFrame, key_cols: list[str], ts_col: str,
-                                  watermark: str = "30 minutes") -> DataFrame:
-    """Approximate, fully parallel suppression: the first event of a key is
-    kept, repeats are dropped while the watermark keeps the key's state."""
-    return events.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(key_cols)
-
-
 __all__ = ["page_chunks", "latest_page_chunks", "stream_pages", "stream_embed", "usage_windows",
-           "stream_log_usage", "stream_cache", "cache_hits", "cache_dedupe_within_watermark"]
+           "stream_log_usage", "stream_cache", "cache_hits", "indexed_pages"]

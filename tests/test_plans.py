@@ -47,7 +47,17 @@ def test_compare_results_and_failed_sides(spark):
     a = spark.createDataFrame([(1,), (2,)], "v int")
     b = spark.createDataFrame([(2,), (1,)], "v int")
     r = E.compare_results(a, b).first()
+    assert r.same_shape and not r.same_sample and r.same_multiset  # the order of results counts in the sample
+    named = spark.createDataFrame([(1, None), (2, None)], "total int, x string")
+    r = E.compare_results(named, named.toDF("cnt", "y")).first()
     assert r.same_shape and r.same_sample and r.same_multiset
+    r = E.compare_results(named, named.withColumn("x", F.lit("v"))).first()
+    assert r.same_shape and not r.same_sample and (r.only_left, r.only_right) == (2, 2)
+    r = E.compare_results(a, named).first()
+    assert not r.same_shape and not r.same_multiset and r.only_left is None
+    long = spark.range(3000)
+    r = E.compare_results(long, long.where("id <> 2000").unionByName(long.where("id = 5"))).first()
+    assert r.same_sample and not r.same_multiset and (r.only_left, r.only_right) == (1, 1)
     cases = spark.createDataFrame([(None, None, None, None, None, None, None, None)],
                                   "g_ok boolean, c_ok boolean, g_n_cols int, c_n_cols int, g_sample array<string>, "
                                   "c_sample array<string>, g_n_rows long, c_n_rows long") \

@@ -81,3 +81,14 @@ def test_year_filter_pushdown(spark, sf):
     plan = R.year_filter(li.select("l_orderkey", "l_shipdate", "d"), "d", 2000)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PushedFilters" in plan and "l_shipdate" in plan
+
+
+def test_phrases_by_any_number(spark):
+    """The same rows with 10 and 2000 phrases; equal rows stay separate."""
+    left = spark.createDataFrame([("please LIST p7 now",), ("please LIST p7 now",), ("nothing",), (None,)], "t string")
+    got = []
+    for n in (10, 2000):
+        phrases = spark.createDataFrame([(i, f"list p{i}", f"s{i}") for i in range(n)], "ord int, phrase string, sql string")
+        got.append(sorted(map(str, R.match_phrases(left, "t", phrases, "phrase", "ord", ["phrase", "sql"]).collect())))
+    assert got[0] == got[1] and len(got[0]) == 4 and sum("s7" in x for x in got[0]) == 2
+    assert R.match_phrases(left, "t", phrases.limit(0), "phrase", "ord", ["phrase"]).count() == 4

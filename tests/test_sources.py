@@ -36,7 +36,7 @@ def test_ndjson_and_csv_lines(spark):
     from decimal import Decimal
     df = spark.createDataFrame([(1, dt.date(2025, 7, 1), Decimal("2.50"), 'say "hi"', None)],
                                "id long, d date, amt decimal(10,2), s string, n string")
-    assert J.ndjson_lines(df).first().value == '{"id":1,"d":"2025-07-01","amt":2.5,"s":"say \\"hi\\""}'
+    assert J.ndjson_lines(df).first().value == '{"id":1,"d":"2025-07-01","amt":2.5,"s":"say \\"hi\\"","n":null}'
     assert J.csv_lines(df).first().value == '1,"2025-07-01",2.50,"say \\"hi\\"",""'
     assert J.csv_header(df) == "id,d,amt,s,n"
 
@@ -125,7 +125,15 @@ def test_csv_and_ndjson_writers(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, s string")
     base = tempfile.mkdtemp(prefix="sinks-")
     J.to_csv(df, base + "/csv")
-    assert [r.value for r in spark.read.text(base + "/csv/_header").collect()] == ["id,s"]
-    assert sorted(r.value for r in spark.read.text(base + "/csv/body").collect()) == ['1,"a"', '2,""']
+    back = spark.read.csv(base + "/csv", header=True, escape="\\")
+    assert back.columns == ["id", "s"] and back.count() == df.count()
+    assert {r.value for r in spark.read.text(base + "/csv").collect()} == {"id,s", '1,"a"', '2,""'}
+    J.to_csv(df.where("id > 5"), base + "/none")
+    assert spark.read.csv(base + "/none", header=True).columns == ["id", "s"]
     J.to_ndjson(df, base + "/nd")
-    assert sorted(r.value for r in spark.read.text(base + "/nd").collect()) == ['{"id":1,"s":"a"}', '{"id":2}']
+    assert sorted(r.value for r in spark.read.text(base + "/nd").collect()) == ['{"id":1,"s":"a"}', '{"id":2,"s":null}']
+
+
+def test_ndjson_keeps_nulls_and_fractions(spark):
+    df = spark.sql("SELECT CAST(NULL AS INT) a, 1 b, TIMESTAMP'2024-01-01 00:00:00.123456' t, TIMESTAMP'2024-01-01 00:00:00' u")
+    assert J.ndjson_lines(df).first().value == '{"a":null,"b":1,"t":"2024-01-01T00:00:00.123456","u":"2024-01-01T00:00:00"}'

@@ -95,3 +95,43 @@ def test_segmented_cache_chain_across_segments(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     misses = sorted(r.event_id for r in b.where("not hit and key = 'a'").collect())
     assert misses == list(range(0, 40, 3))
+
+
+def test_replayed_embedding_epoch_keeps_its_rows(spark):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    src, out = tempfile.mkdtemp(prefix="re-in-") + "/in", tempfile.mkdtemp(prefix="re-out-") + "/out"
+    rows.write.parquet(src)
+    for _ in range(2):  # a fresh checkpoint: the same input is epoch 0 again
+        ST.stream_embed(spark, src, rows.schema, "doc_id", "text", out, tempfile.mkdtemp(prefix="ck-")).awaitTermination(300)
+        emb = spark.read.parquet(out)
+        assert emb.count() == 5 and emb.select("doc_id").distinct().count() == 5
+
+
+def test_emptied_and_doubled_pages(spark):
+    src, out, ck = (tempfile.mkdtemp(prefix="pv-") + x for x in ("/in", "/out", "/ck"))
+    page = "<html><body><p>{}</p></body></html>"
+    for rows in ([(1, "http://a", page.format("old words")), (2, "http://b", page.format("kept"))],
+                 [(1, "http://a", "<html></html>"), (3, "http://c", page.format("first")), (4, "http://c", page.format("second"))]):
+        spark.createDataFrame(rows, ST.PAGE_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+        ST.stream_pages(spark, src, out, ck).awaitTermination(300)
+    got = sorted((r.url, r.text_content) for r in ST.latest_page_chunks(spark.read.parquet(out)).collect())
+    assert got == [("http://b", "kept"), ("http://c", "second")]
+
+
+def test_hits_equal_a_plain_walk():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = sorted((rng.randint(0, 3), rng.randint(0, 60)) for _ in range(40))
+        miss = rng.choice([None, rng.randint(-20, 0)])
+        last, cur, want = miss, rows[0][0], []
+        for k, t in rows:
+            last = last if k == cur else None
+            cur = k
+            want.append(last is not None and t - last < 10)
+            last = last if want[-1] else t
+        got, end = ST._hits(np.array([k for k, _ in rows]), np.array([t for _, t in rows]), 10, miss)
+        assert got.tolist() == want and end == last
