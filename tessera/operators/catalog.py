@@ -85,6 +85,22 @@ def columns_of(spark: SparkSession, frames: dict[str, DataFrame], owner: str = O
     return spark.createDataFrame(rows, COLUMN_SCHEMA)
 
 
+def measured_columns(spark: SparkSession, frames: dict[str, DataFrame], owner: str = OWNER) -> DataFrame:
+    """:func:`columns_of` with ``nullable`` measured from the rows: ``N`` where
+    a table has rows and none is null.  One scan and one aggregate row per
+    table, all in one lazy plan."""
+    parts = []
+    for t, df in frames.items():
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("present")) for i, c in enumerate(df.columns)])
+        parts.append(counts.select("n", F.explode(pairs).alias("p")).select(
+            F.lit(t).alias("table_name"), "p.column_name", ((F.col("n") > 0) & (F.col("n") == F.col("p.present"))).alias("full")))
+    full = reduce(lambda a, b: a.unionByName(b), parts)
+    cols = columns_of(spark, frames, owner)
+    return cols.join(full, ["table_name", "column_name"], "left") \
+        .withColumn("nullable", F.when(F.col("full"), "N").otherwise("Y")).select(*cols.columns)
+
+
 def table_counts(frames: dict[str, DataFrame], owner: str = OWNER) -> DataFrame:
     """Row count of every table, measured: one aggregate per table, unioned
     into a single job."""

@@ -82,7 +82,7 @@ def views_table(spark: SparkSession, owner: str = C.OWNER) -> DataFrame:
 def snapshot(spark: SparkSession, sf_dir: str, names=CATALOG_TABLES) -> dict[str, DataFrame]:
     fr = frames(spark, sf_dir, names)
     comments = comments_table(spark)
-    cols = C.catalog_columns(C.columns_of(spark, fr), comments)
+    cols = C.catalog_columns(C.measured_columns(spark, fr), comments)
     samples = union_all(*[C.top_values(df, 50).select(F.lit(C.OWNER).alias("owner"), F.lit(t).alias("table_name"),
                                                         "column_name", "value", "cnt", "rank")
                           for t, df in fr.items()])

@@ -176,6 +176,8 @@ def prompt_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        F.lit("} {min_revenue="), (k % 50 * 100).cast("string"), F.lit(".5"),
                                        F.lit("}")))
              .when(kind == 5, F.concat(F.lit("list all sales for customer "), F.col("o_custkey").cast("string")))
+             .when(k % 2 == 0, F.concat(F.lit("show all by sale_id "), k.cast("string"), F.lit(" and customer_id "),
+                                        F.col("o_custkey").cast("string"), F.lit(" , sale_date "), day))
              .otherwise(F.lit("show sales by region for last year")))
     orders_p = spread(o).select(k.alias("prompt_id"), text.alias("prompt"))
     c = load(spark, sf_dir, "conversations").where(F.col("role") == "user")

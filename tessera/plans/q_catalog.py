@@ -102,30 +102,57 @@ def q_infer_keys(spark, d):
     return C.infer_keys(load(spark, d, "orders"), "orders")
 
 
+#: candidates with orphans: not every document has a label, nor every order an event
+_BROKEN_FKS = (("documents", "doc_id", "labels", "doc_id"), ("orders", "o_orderkey", "events", "event_id"))
+
+
 @query("infer_fk", " UNION ALL ".join(
     f"SELECT '{c}' AS child_table, '{cc}' AS child_column, '{p}' AS parent_table, "
     f"(SELECT COUNT(*) FROM {c} WHERE {cc} IS NOT NULL AND {cc} NOT IN (SELECT {pc} FROM {p} WHERE {pc} IS NOT NULL)) AS orphans"
-    for c, cc, p, pc in IB.FK_CANDIDATES))
+    for c, cc, p, pc in (*IB.FK_CANDIDATES, *_BROKEN_FKS)))
 def q_infer_fk(spark, d):
-    """Inclusion test of every candidate foreign key (0 orphans → holds)."""
-    fr = IB.frames(spark, d)
+    """Inclusion test of every candidate foreign key (0 orphans → holds), and
+    of two that don't hold."""
+    fr = IB.frames(spark, d, (*IB.CATALOG_TABLES, "documents", "labels", "events"))
     parts = [C.infer_fk(fr[c], cc, fr[p], pc).select(F.lit(c).alias("child_table"), F.lit(cc).alias("child_column"),
                                                       F.lit(p).alias("parent_table"), "orphans")
-             for c, cc, p, pc in IB.FK_CANDIDATES]
+             for c, cc, p, pc in (*IB.FK_CANDIDATES, *_BROKEN_FKS)]
     return union_all(*parts)
 
 
+# The schemas of the indexed tables (column, Spark type name),
+# in column order, as read by the catalog snapshot.
+CATALOG_SCHEMA = {
+    "region": [("r_regionkey", "INT"), ("r_name", "STRING")],
+    "nation": [("n_nationkey", "INT"), ("n_name", "STRING"), ("n_regionkey", "INT")],
+    "customer": [("c_custkey", "BIGINT"), ("c_name", "STRING"), ("c_nationkey", "INT"), ("c_acctbal", "DOUBLE"),
+                 ("c_mktsegment", "STRING")],
+    "supplier": [("s_suppkey", "BIGINT"), ("s_name", "STRING"), ("s_nationkey", "INT"), ("s_acctbal", "DOUBLE")],
+    "part": [("p_partkey", "BIGINT"), ("p_name", "STRING"), ("p_brand", "STRING"), ("p_type", "STRING"),
+             ("p_size", "INT"), ("p_retailprice", "DOUBLE")],
+    "orders": [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "STRING"),
+               ("o_totalprice", "DOUBLE"), ("o_orderdate", "TIMESTAMP_NTZ"), ("o_orderpriority", "STRING")],
+    "lineitem": [("l_orderkey", "BIGINT"), ("l_partkey", "BIGINT"), ("l_suppkey", "BIGINT"), ("l_linenumber", "INT"),
+                 ("l_quantity", "DOUBLE"), ("l_extendedprice", "DOUBLE"), ("l_discount", "DOUBLE"),
+                 ("l_tax", "DOUBLE"), ("l_returnflag", "STRING"), ("l_linestatus", "STRING"),
+                 ("l_shipdate", "TIMESTAMP_NTZ")],
+}
+
 _TYPE_MAP = """CASE WHEN data_type = 'INTEGER' THEN 'INT' WHEN data_type = 'VARCHAR' THEN 'STRING'
                 WHEN data_type LIKE 'TIMESTAMP%' THEN 'TIMESTAMP_NTZ' ELSE data_type END"""
 
-_CATCOLS_SQL = _comments_values() + f""",
+_NULLS_SQL = "nl AS (" + " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count({c}) AS k FROM {t}" for t, cols in CATALOG_SCHEMA.items() for c, _ in cols) + ")"
+
+_CATCOLS_SQL = _comments_values() + ",\n" + _NULLS_SQL + f""",
 ic AS (SELECT table_name, column_name, {_TYPE_MAP} AS data_type, CAST(ordinal_position AS INTEGER) AS column_id
        FROM information_schema.columns WHERE table_name IN (""" + ", ".join(f"'{t}'" for t in IB.CATALOG_TABLES) + """)),
 cc AS (SELECT 'TPCH' AS owner, ic.table_name, ic.column_name, ic.data_type, CAST(NULL AS INTEGER) AS data_length,
               CAST(NULL AS INTEGER) AS data_precision,
               CASE WHEN ic.data_type IN ('BIGINT', 'INT', 'SMALLINT', 'TINYINT') THEN 0 END AS data_scale,
-              'Y' AS nullable, ic.column_id, cm.comments
-       FROM ic LEFT JOIN cm ON cm.table_name = ic.table_name AND cm.column_name = ic.column_name)"""
+              CASE WHEN nl.n > 0 AND nl.n = nl.k THEN 'N' ELSE 'Y' END AS nullable, ic.column_id, cm.comments
+       FROM ic JOIN nl ON nl.t = ic.table_name AND nl.c = ic.column_name
+       LEFT JOIN cm ON cm.table_name = ic.table_name AND cm.column_name = ic.column_name)"""
 
 
 @query("catalog_columns", "WITH " + _CATCOLS_SQL + " SELECT * FROM cc")
@@ -152,7 +179,8 @@ def q_column_docs(spark, d):
 @query("ddl_docs", "WITH " + _CATCOLS_SQL + """
 SELECT owner, table_name, 'TABLE' AS object_type,
        'CREATE TABLE ' || owner || '.' || table_name || ' (' || chr(10)
-       || string_agg('  ' || column_name || ' ' || data_type, ',' || chr(10) ORDER BY column_id) || chr(10) || ')' AS ddl
+       || string_agg('  ' || column_name || ' ' || data_type || CASE WHEN nullable = 'N' THEN ' NOT NULL' ELSE '' END,
+                  ',' || chr(10) ORDER BY column_id) || chr(10) || ')' AS ddl
 FROM cc GROUP BY owner, table_name""")
 def q_ddl_docs(spark, d):
     return C.ddl_docs(IB.snapshot(spark, d)["columns"])
@@ -162,9 +190,12 @@ def q_ddl_docs(spark, d):
 SELECT owner, table_name,
        string_agg('- ' || column_name || ' (' || data_type || '): ' || COALESCE(comments, 'No description'),
                   chr(10) ORDER BY column_id) AS context
-FROM cc GROUP BY owner, table_name""")
+FROM cc WHERE table_name IN (SELECT t FROM nl WHERE n > 0) GROUP BY owner, table_name""")
 def q_schema_context(spark, d):
-    return C.schema_context(IB.snapshot(spark, d)["columns"])
+    """Context lines of every table that has rows (measured)."""
+    s = IB.snapshot(spark, d)
+    filled = s["tables"].where("num_rows > 0").select("owner", "table_name")
+    return C.schema_context(s["columns"].join(filled, ["owner", "table_name"], "left_semi"))
 
 
 @query("ddl_excerpt")
@@ -221,23 +252,6 @@ def q_upsert(spark, d):
 # SQL form of the catalog documents (table, view and relationship cards)
 # ---------------------------------------------------------------------------
 
-# The schemas of the indexed tables (column, Spark type name),
-# in column order, as read by the catalog snapshot.
-CATALOG_SCHEMA = {
-    "region": [("r_regionkey", "INT"), ("r_name", "STRING")],
-    "nation": [("n_nationkey", "INT"), ("n_name", "STRING"), ("n_regionkey", "INT")],
-    "customer": [("c_custkey", "BIGINT"), ("c_name", "STRING"), ("c_nationkey", "INT"), ("c_acctbal", "DOUBLE"),
-                 ("c_mktsegment", "STRING")],
-    "supplier": [("s_suppkey", "BIGINT"), ("s_name", "STRING"), ("s_nationkey", "INT"), ("s_acctbal", "DOUBLE")],
-    "part": [("p_partkey", "BIGINT"), ("p_name", "STRING"), ("p_brand", "STRING"), ("p_type", "STRING"),
-             ("p_size", "INT"), ("p_retailprice", "DOUBLE")],
-    "orders": [("o_orderkey", "BIGINT"), ("o_custkey", "BIGINT"), ("o_orderstatus", "STRING"),
-               ("o_totalprice", "DOUBLE"), ("o_orderdate", "TIMESTAMP_NTZ"), ("o_orderpriority", "STRING")],
-    "lineitem": [("l_orderkey", "BIGINT"), ("l_partkey", "BIGINT"), ("l_suppkey", "BIGINT"), ("l_linenumber", "INT"),
-                 ("l_quantity", "DOUBLE"), ("l_extendedprice", "DOUBLE"), ("l_discount", "DOUBLE"),
-                 ("l_tax", "DOUBLE"), ("l_returnflag", "STRING"), ("l_linestatus", "STRING"),
-                 ("l_shipdate", "TIMESTAMP_NTZ")],
-}
 _PROFILED_TYPES = ("INT", "BIGINT", "STRING")
 
 
@@ -317,7 +331,8 @@ UNION ALL SELECT t, 'Relationships for ' || t || ':' || chr(10) || rel FROM fkl"
 
 _DDL_SQL = """
 ddl AS (SELECT owner, table_name, 'CREATE TABLE ' || owner || '.' || table_name || ' (' || chr(10)
-               || string_agg('  ' || column_name || ' ' || data_type, ',' || chr(10) ORDER BY column_id) || chr(10) || ')' AS ddl
+               || string_agg('  ' || column_name || ' ' || data_type || CASE WHEN nullable = 'N' THEN ' NOT NULL' ELSE '' END,
+                  ',' || chr(10) ORDER BY column_id) || chr(10) || ')' AS ddl
         FROM cc GROUP BY owner, table_name)"""
 
 attach_oracle("ddl_excerpt", "WITH " + _CATCOLS_SQL + "," + _DDL_SQL + """

@@ -19,9 +19,11 @@ from tessera.tables import load, register_views
 
 _TABLES_IN = ", ".join(f"'{t}'" for t in IB.CATALOG_TABLES)
 
+_FILLED = " UNION ALL ".join(f"SELECT '{t}' AS t FROM {t} HAVING count(*) > 0" for t in IB.CATALOG_TABLES)
+
 COLS_SQL = f"""
 tc AS (SELECT table_name, list(column_name ORDER BY ordinal_position) AS col_list
-       FROM information_schema.columns WHERE table_name IN ({_TABLES_IN}) GROUP BY table_name)"""
+       FROM information_schema.columns WHERE table_name IN (SELECT t FROM ({_FILLED})) GROUP BY table_name)"""
 
 
 def _tpl_values() -> str:
@@ -82,16 +84,23 @@ def q_gen_pairs(spark, d):
     return Q.generate_pairs(Q.table_columns(spark, d))
 
 
-@query("catalog_filter", f"""
-SELECT table_name, column_name FROM information_schema.columns
-WHERE table_name IN ('orders', 'lineitem') AND data_type <> 'DOUBLE' AND data_type NOT LIKE 'TIMESTAMP%'""")
+@query("catalog_filter", """
+SELECT c.table_name, c.column_name, CASE WHEN p.n > 0 AND p.n = p.k THEN 'N' ELSE 'Y' END AS nullable
+FROM information_schema.columns c JOIN (""" + " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c}' AS c, count(*) AS n, count({c}) AS k FROM {t}"
+    for t, cols in (("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
+                    ("lineitem", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")),
+                    ("documents", ("doc_id", "text", "lang", "source", "n_chars")))
+    for c in cols) + """) p ON p.t = c.table_name AND p.c = c.column_name
+WHERE c.data_type <> 'DOUBLE' AND c.data_type NOT LIKE 'TIMESTAMP%'""")
 def q_catalog_filter(spark, d):
-    """Catalog columns of an allow-list of tables, floating-point and
-    timestamp columns excluded."""
-    cols = C.columns_of(spark, IB.frames(spark, d))
-    return (cols.where(F.col("table_name").isin("orders", "lineitem")
+    """Catalog columns of an allow-list of tables, floating-point and timestamp
+    columns excluded, with nullability measured from the rows."""
+    allowed = ("orders", "lineitem", "documents")
+    cols = C.measured_columns(spark, IB.frames(spark, d, (*IB.CATALOG_TABLES, "documents")))
+    return (cols.where(F.col("table_name").isin(*allowed)
                        & ~F.col("data_type").isin("DOUBLE", "TIMESTAMP", "TIMESTAMP_NTZ"))
-                .select("table_name", "column_name"))
+                .select("table_name", "column_name", "nullable"))
 
 
 def _synonym_sql(source: str) -> str:

@@ -41,7 +41,10 @@ wl AS (
                   || '} {year = ' || CAST(year(o_orderdate) AS VARCHAR) || '} {min_revenue='
                   || CAST(o_orderkey % 50 * 100 AS VARCHAR) || '.5}'
       WHEN 5 THEN 'list all sales for customer ' || CAST(o_custkey AS VARCHAR)
-      ELSE 'show sales by region for last year' END AS prompt
+      ELSE CASE o_orderkey % 2
+        WHEN 0 THEN 'show all by sale_id ' || CAST(o_orderkey AS VARCHAR) || ' and customer_id ' || CAST(o_custkey AS VARCHAR)
+                    || ' , sale_date ' || strftime(o_orderdate, '%Y-%m-%d')
+        ELSE 'show sales by region for last year' END END AS prompt
   FROM orders
   UNION ALL
   SELECT -(conv_id * 1000 + turn + 1), text FROM conversations WHERE role = 'user'

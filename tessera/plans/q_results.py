@@ -68,6 +68,19 @@ def q_ndjson_out(spark, d):
     return J.ndjson_lines(sales_view(spark, d))
 
 
+@query("ndjson_events", """
+SELECT '{"event_id":' || CAST(event_id AS VARCHAR) || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+       || CASE WHEN event_id % 3 = 0 THEN '.' || lpad(CAST(event_id % 999983 + 1 AS VARCHAR), 6, '0') ELSE '' END
+       || '","user_id":' || CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE 'null' END || '}' AS value
+FROM (SELECT event_id, date_trunc('second', ts) AS ts, user_id FROM events)""")
+def q_ndjson_events(spark, d):
+    """Events as NDJSON with null fields and fractions of a second."""
+    e = load(spark, d, "events").select("event_id", F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), "user_id")
+    micros = F.unix_micros("ts") + F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 999983 + 1).otherwise(0)
+    return J.ndjson_lines(e.select("event_id", F.timestamp_micros(micros).alias("ts"),
+                                   F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("user_id")))
+
+
 @query("csv_out", """
 SELECT CAST(c_custkey AS VARCHAR) || ',' || COALESCE(to_json(c_name)::VARCHAR, '""') || ',' || CAST(c_nationkey AS VARCHAR)
        || ',' || CAST(c_acctbal AS VARCHAR) || ',' || COALESCE(to_json(c_mktsegment)::VARCHAR, '""') AS value

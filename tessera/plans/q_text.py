@@ -138,43 +138,54 @@ def q_l2_norm(spark, d):
 
 
 @query("parse_list", """
-WITH lines AS (
-  SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM conversations WHERE role = 'assistant'),
-kept AS (
-  SELECT conv_id, turn, trim(line, '-• ') AS item,
-         row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS k
-  FROM lines WHERE length(trim(line, ' ' || chr(9) || chr(13))) > 0)
-SELECT conv_id, turn, CAST(k - 1 AS INTEGER) AS item_ix, item FROM kept WHERE k <= 5""")
+WITH e AS (
+  SELECT event_id, event_id % 4 AS kind,
+         [event_type, 'u' || CAST(user_id AS VARCHAR), 'e' || CAST(event_id AS VARCHAR), 'a', 'b', 'c'] AS items FROM events),
+x AS (
+  SELECT event_id, CASE kind WHEN 0 THEN items[1:5] WHEN 1 THEN items[1:5] WHEN 2 THEN items[1:1] ELSE items[1:3] END AS items FROM e)
+SELECT event_id, CAST(unnest(range(0, len(items))) AS INTEGER) AS item_ix, unnest(items) AS item FROM x""")
 def q_parse_list(spark, d):
-    """Model list output (assistant turns): JSON list, else non-blank lines
-    stripped of ``-•`` and spaces, at most five."""
-    c = load(spark, d, "conversations").where(F.col("role") == "assistant")
-    return c.select("conv_id", "turn", F.posexplode(S.parse_list("text", 5)).alias("item_ix", "item")) \
+    """Model list output built from the events: a JSON list of six (capped at
+    five), bulleted lines with blank ones between, a single line, and lines that
+    only start like JSON."""
+    items = F.array("event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")),
+                    F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("a"), F.lit("b"), F.lit("c"))
+    kind = F.col("event_id") % 4
+    bullets = F.concat(F.lit("\n- "), F.array_join(items, " \n \t\n• "), F.lit("\n"))
+    text = F.when(kind == 0, F.to_json(items)).when(kind == 1, bullets).when(kind == 2, F.element_at(items, 1)) \
+        .otherwise(F.array_join(F.slice(items, 1, 3), "\n"))
+    e = load(spark, d, "events").select("event_id", text.alias("text"))
+    return e.select("event_id", F.posexplode(S.parse_list("text", 5)).alias("item_ix", "item")) \
             .withColumn("item_ix", F.col("item_ix").cast("int"))
 
 
 @query("json_list", """
-SELECT event_id, CASE WHEN json_valid(props) AND json_type(props) = 'ARRAY'
-                      THEN CAST(json_array_length(props) AS INTEGER) ELSE 0 END AS n_items
-FROM events""")
+SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 7 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS n_items FROM events""")
 def q_json_list(spark, d):
-    e = load(spark, d, "events")
-    return e.select("event_id", F.size(S.safe_json_list("props")).alias("n_items"))
-
-
-@query("clean_sql", r"""
-WITH a AS (
-  SELECT conv_id, turn,
-         regexp_replace(regexp_replace(text, '```[A-Za-z]*[ \t]*\r?\n?([\s\S]*?)```', '\1', 'g'), '^\s+|\s+$', '', 'g') AS t0
-  FROM conversations WHERE role = 'assistant'),
-b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t0, '(?i)^sql', ''), '^\s+|\s+$', '', 'g') AS t1 FROM a),
-c AS (SELECT conv_id, turn, t1, regexp_extract(t1, '(?i)((?:select|with)[^\p{L}\p{N}_][\s\S]*)$', 1) AS m FROM b)
-SELECT conv_id, turn, regexp_replace(CASE WHEN m <> '' THEN m ELSE t1 END, '^\s+|\s+$', '', 'g') AS sql_text FROM c""")
+    """JSON list text built from the events: lists of 0 to 6 items, a list of
+    objects, an object, and text that isn't JSON."""
+    n = (F.col("event_id") % 7).cast("int")
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.to_json(F.array_repeat(F.col("event_type"), n))) \
+        .when(kind == 1, F.concat(F.lit("["), "props", F.lit(", "), "props", F.lit("]"))) \
+        .when(kind == 2, F.col("props")).otherwise(F.concat(F.lit("["), "event_type"))
+    e = load(spark, d, "events").select("event_id", text.alias("text"))
+    return e.select("event_id", F.size(S.safe_json_list("text")).alias("n_items"))
+
+
+@query("clean_sql", """
+SELECT event_id, CASE event_id % 5 WHEN 3 THEN 'no statement for ' || event_type
+  ELSE 'SELECT * FROM events WHERE event_id = ' || CAST(event_id AS VARCHAR) END AS sql_text FROM events""")
 def q_clean_sql(spark, d):
-    c = load(spark, d, "conversations").where(F.col("role") == "assistant")
-    return c.select("conv_id", "turn", S.clean_sql("text").alias("sql_text"))
+    """Model answers built from the events: a fenced statement after a sentence,
+    a labelled one, a fence without a language, an answer without a statement,
+    and a bare statement."""
+    sql = F.concat(F.lit("SELECT * FROM events WHERE event_id = "), F.col("event_id").cast("string"))
+    kind = F.col("event_id") % 5
+    text = F.when(kind == 0, F.concat(F.lit("Here it is:\n```sql\n"), sql, F.lit("\n```\n"))) \
+        .when(kind == 1, F.concat(F.lit("sql "), sql)).when(kind == 2, F.concat(F.lit("```\n"), sql, F.lit("```"))) \
+        .when(kind == 3, F.concat(F.lit(" no statement for "), "event_type")).otherwise(F.concat(F.lit("  "), sql, F.lit("\n")))
+    return load(spark, d, "events").select("event_id", text.alias("text")).select("event_id", S.clean_sql("text").alias("sql_text"))
 
 
 @query("sql_allowed", r"""
@@ -188,12 +199,15 @@ def q_sql_allowed(spark, d):
 
 
 @query("parse_object", """
-SELECT event_id, json_valid(props) AS ok,
-       CASE WHEN json_valid(props) THEN '{"k":"' || json_extract_string(props, '$.k') || '"}' END AS value
+SELECT event_id, event_id % 3 <> 2 AS ok,
+       CASE WHEN event_id % 3 <> 2 THEN '{"k":"' || json_extract_string(props, '$.k') || '"}' END AS value
 FROM events""")
 def q_parse_object(spark, d):
     """Model object output: fences removed, JSON parsed, error flag when bad
-    (here over the JSON ``props`` column of events)."""
-    e = load(spark, d, "events")
-    return e.select("event_id", S.parse_object("props").alias("obj")).select(
+    (the JSON ``props`` of the events, bare, fenced, and broken)."""
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, F.col("props")).when(kind == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))) \
+        .otherwise(F.concat(F.lit("Sure: "), "props"))
+    e = load(spark, d, "events").select("event_id", text.alias("text"))
+    return e.select("event_id", S.parse_object("text").alias("obj")).select(
         "event_id", F.col("obj.ok").alias("ok"), F.to_json("obj.value").alias("value"))

@@ -68,8 +68,11 @@ RAG_TEMPLATE = ("\nYou are a helpful assistant. Use the following context to ans
 
 
 def table_columns(spark: SparkSession, sf_dir: str, names=IB.CATALOG_TABLES) -> DataFrame:
-    """``table_name, col_list`` (ordered column names) of every catalog table."""
-    cols = C.columns_of(spark, IB.frames(spark, sf_dir, names))
+    """``table_name, col_list`` (ordered column names) of every catalog table
+    that has rows (measured): nothing can be asked of an empty one."""
+    fr = IB.frames(spark, sf_dir, names)
+    filled = C.table_counts(fr).where("num_rows > 0").select("table_name")
+    cols = C.columns_of(spark, fr).join(filled, "table_name", "left_semi")
     return cols.groupBy("table_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("column_id", "column_name"))),
                                                       lambda s: s["column_name"]).alias("col_list"))
 
