@@ -11,8 +11,8 @@ document with a smaller id is reported; the last step joins reports to texts
 and removes the covered words.
 
 Anchors of more than ``HOT`` documents (very common passages) would gather in
-one shard; their windows are summed up to the smallest id before the shuffle
-instead, and looked up under salted keys.
+one shard; their windows are summed up within each task before the shuffle
+instead, and the answers go back to the tasks that asked.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ from tessera.llm.fmindex import ORDER, FmIndex
 from tessera.llm.neardup import complete_groups
 from tessera.llm.words import Words, mixed
 
-#: words of an anchor; documents that make an anchor hot; salted parts of a hot window
-ANCHOR, HOT, SALTS = 5, 1000, 16
+#: words of an anchor; documents that make an anchor hot; windows that a task sums up together
+ANCHOR, HOT, FLUSH = 5, 1000, 4_000_000
 #: words that are indexed together in a shard
 SHARD_WORDS = 200_000
 #: rows taken together where texts are read
@@ -269,31 +270,72 @@ class Passages:
             .mapInArrow(report, "id long, segment long, mask long")
 
     def hot_reports(self, anchors: DataFrame) -> DataFrame:
-        """``id``, ``hash`` of windows of hot anchors that a document with a
-        smaller id has."""
+        """``id``, ``hashes`` of windows of hot anchors that a document with a
+        smaller id has.
+
+        A task sums up its own documents first: one row per window, with the
+        ids that have it, so a very common window is one row per task.  The
+        smallest id per window goes back to those rows, and these return to the
+        tasks they came from, which give one row per document."""
         window = self.window
 
         def cut(batches):
+            task = TaskContext.get().partitionId()
+            hashes, ids, held = [], [], 0
+
+            def flush():
+                h, i = np.concatenate(hashes), np.concatenate(ids)
+                order = np.lexsort((i, h))
+                h, i = h[order], i[order]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                last = np.r_[first[1:], len(h)]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(i))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), task, np.int32)), pa.array(h[first]), pa.array(i[first]), pa.array(i[last - 1]), lists],
+                    ["task", "hash", "low", "high", "ids"])
+
             for b in _slices(batches):
                 s = Segments(b.column(1), window)
                 row, value = _listed(b.column(2), b.num_rows)
                 use = np.repeat(_find(s.seg_row, s.anchor, row, value.to_numpy()) >= 0, s.count)
                 rows, h = s.row[use], s.window_hashes()[use]
                 _, once = np.unique(_keys(rows, h), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[once]), b.column(0).take(pa.array(rows[once]))], ["hash", "id"])
+                hashes.append(h[once])
+                ids.append(b.column(0).to_numpy()[rows[once]])
+                held += len(once)
+                if held > FLUSH:
+                    yield flush()
+                    hashes, ids, held = [], [], 0
+            if held:
+                yield flush()
+
+        def per_document(batches):
+            hashes, ids = [], []
+            for b in batches:
+                row, values = _listed(b.column("ids"), b.num_rows)
+                i = values.to_numpy()
+                late = i > b.column("low").to_numpy()[row]
+                hashes.append(b.column("hash").to_numpy()[row[late]])
+                ids.append(i[late])
+            if hashes:
+                h, i = np.concatenate(hashes), np.concatenate(ids)
+                order = np.argsort(i, kind="stable")
+                h, i = h[order], i[order]
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(i)].astype(np.int32)), pa.array(h))
+                yield pa.RecordBatch.from_arrays([pa.array(i[first]), lists], ["id", "hashes"])
 
         found = self.docs.join(anchors.where(F.size("hot") > 0).select("id", "hot"), "id").select("id", "text", "hot", "rest") \
-            .mapInArrow(cut, "hash long, id long")
-        least = found.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high") \
-            .select("hash", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        return found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")) \
-            .join(least, ["hash", "salt"]).where("low < id").select("id", "hash")
+            .mapInArrow(cut, "task int, hash long, low long, high long, ids array<long>")
+        least = found.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("hash", "low")
+        return found.select("task", "hash", "ids").join(least, "hash").repartition(self.parts, "task") \
+            .mapInArrow(per_document, "id long, hashes array<long>")
 
     def run(self, with_text: bool) -> DataFrame:
         window = self.window
         anchors = self.anchors()
         cold = self.cold_reports(anchors).groupBy("id").agg(F.collect_list("segment").alias("segments"), F.collect_list("mask").alias("masks"))
-        hot = self.hot_reports(anchors).groupBy("id").agg(F.collect_list("hash").alias("hashes"))
+        hot = self.hot_reports(anchors)
         plan = self.firsts.select("id").distinct().join(cold, "id", "left").join(hot, "id", "left").withColumn("own", F.lit(True))
 
         def remove(batches):
