@@ -387,3 +387,44 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
     for o in out[1:]:
         res = res.unionByName(o)
     return res
+
+
+def answer_named(spark: SparkSession, prompts: DataFrame, sf_dir: str,
+                 threshold: float = HASH_MATCH_THRESHOLD) -> DataFrame:
+    """Prompts with ``{name=value}`` parameters, answered: the closest brace
+    template is bound by name, and each different bound request runs once, as a
+    join of the requests with the sales star.
+
+    Returns per prompt: ``prompt_id``, ``template``, ``status`` (``ok``, or
+    ``missing: <name>`` for the first unbound parameter), ``n_rows`` and
+    ``revenue`` of the rows that the request selects.  Prompts without any
+    parameter are left out."""
+    templates = brace_template_table(spark)
+    named = prompts.select("prompt_id", P.named_params("prompt").alias("params"), "prompt").where(F.size("params") > 0)
+    best = best_template(named, templates).select("prompt_id", "template_id")
+    tpl = F.broadcast(templates.select("template_id", "name", "sql_template"))
+    value = lambda k: F.try_element_at("params", F.lit(k))
+    bound = named.join(best, "prompt_id").join(tpl, "template_id") \
+        .withColumn("b", P.bind_template("sql_template", F.col("params")))
+    r = bound.select("prompt_id", F.col("name").alias("template"), F.get(F.col("b.missing"), 0).alias("missing"),
+                     value("region").alias("region"), value("year").try_cast("int").alias("year"),
+                     value("min_revenue").try_cast("double").alias("least"), value("limit").try_cast("int").alias("lim"))
+    r = spark.read.schema(r.schema).parquet(write_staged(r, spark, "named-requests"))
+    ok = r.where("missing IS NULL")
+    s = R.sales_view(spark, sf_dir).select("region", F.year("sale_date").alias("year"), "customer_id", "total_amount")
+    # rows of a region and year from a least amount on: counted per distinct request
+    asked = ok.where("template = 'sales_by_region_year_min'").select("region", "year", "least").distinct()
+    rows = asked.join(s, ["region", "year"]).where(F.col("total_amount").cast("double") >= F.col("least")) \
+        .groupBy("region", "year", "least").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("total_amount").cast("double").alias("revenue"))
+    first = ok.where("template = 'sales_by_region_year_min'").join(rows, ["region", "year", "least"], "left") \
+        .select("prompt_id", "template", F.lit("ok").alias("status"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "revenue")
+    # the first customers of a year by revenue
+    per = s.groupBy("year", "customer_id").agg(F.sum("total_amount").alias("rev"))
+    w = Window.partitionBy("year").orderBy(F.col("rev").desc(), F.col("customer_id"))
+    top = per.withColumn("rank", F.row_number().over(w))
+    second = ok.where("template = 'top_customers'").join(top, "year", "left").where("rank IS NULL OR rank <= lim") \
+        .groupBy("prompt_id", "template").agg(F.count("rank").alias("n_rows"), F.sum("rev").cast("double").alias("revenue")) \
+        .select("prompt_id", "template", F.lit("ok").alias("status"), "n_rows", "revenue")
+    bad = r.where("missing IS NOT NULL").select("prompt_id", "template", F.concat(F.lit("missing: "), "missing").alias("status"),
+                                                F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("double").alias("revenue"))
+    return first.unionByName(second).unionByName(bad)

@@ -168,6 +168,37 @@ def q_template_bind(spark, d):
                     F.array_join("b.missing", ",").alias("missing"))
 
 
+_NAMED_ANSWER_SQL = with_sales("""
+WITH """ + _brace_sql() + ",\n" + _dense_topk("btpl", "template_id", "intent_text", 1) + ",\n" + NAMED_SQL + r""",
+vals AS (
+  SELECT prompt_id, list(lower(name)) AS keys, max(CASE WHEN name = 'region' THEN value END) AS region,
+         TRY_CAST(max(CASE WHEN name = 'year' THEN value END) AS INTEGER) AS year,
+         TRY_CAST(max(CASE WHEN name = 'min_revenue' THEN value END) AS DOUBLE) AS least,
+         TRY_CAST(max(CASE WHEN name = 'limit' THEN value END) AS INTEGER) AS lim
+  FROM np GROUP BY prompt_id),
+q AS (
+  SELECT v.*, b.name AS template,
+         list_filter(regexp_extract_all(b.sql_template, '\{(.*?)\}', 1), lambda p: NOT list_contains(v.keys, lower(p)))[1] AS missing
+  FROM vals v JOIN topk t ON t.query_id = v.prompt_id JOIN btpl b ON b.template_id = t.item_id),
+cust AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY rev DESC, customer_id) AS rk FROM (
+  SELECT year(sale_date) AS year, customer_id, SUM(total_amount) AS rev FROM sales GROUP BY ALL))
+SELECT prompt_id, template, 'ok' AS status,
+       (SELECT count(*) FROM sales s WHERE s.region = q.region AND year(s.sale_date) = q.year AND CAST(s.total_amount AS DOUBLE) >= q.least) AS n_rows,
+       (SELECT CAST(SUM(total_amount) AS DOUBLE) FROM sales s WHERE s.region = q.region AND year(s.sale_date) = q.year AND CAST(s.total_amount AS DOUBLE) >= q.least) AS revenue
+FROM q WHERE missing IS NULL AND template = 'sales_by_region_year_min'
+UNION ALL
+SELECT prompt_id, template, 'ok', count(rk), CAST(SUM(rev) AS DOUBLE) FROM q LEFT JOIN cust USING (year)
+WHERE missing IS NULL AND template = 'top_customers' AND (rk IS NULL OR rk <= lim) GROUP BY ALL
+UNION ALL
+SELECT prompt_id, template, 'missing: ' || missing, NULL, NULL FROM q WHERE missing IS NOT NULL""")
+
+
+@query("nl_named", _NAMED_ANSWER_SQL)
+def q_nl_named(spark, d):
+    """Every ``{name=value}`` prompt answered from its bound template."""
+    return N.answer_named(spark, _workload(spark, d), d)
+
+
 @query("fill_defaults", "WITH " + _templates_sql() + ",\n" + _dense_topk("tpl", "template_id", "intent_text", 1)
        + ",\n" + PARAMS_SQL + """,
 f AS (
