@@ -37,3 +37,40 @@ def test_star_broadcasts_fixed_dimensions(spark, sf):
     assert p.count("BroadcastExchange") >= 2
     # only the four lineitem columns the star needs are read
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double,l_shipdate:timestamp_ntz>" in p
+
+
+def _jobs_while_planning(spark, name, sf, monkeypatch):
+    """Jobs that building a query starts, without those that read the schema
+    of a Parquet table (one per table that is opened)."""
+    import __spark_entry__ as entry
+    from pyspark.sql.readwriter import DataFrameReader
+
+    opened, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *a, **k: opened.append(a) or parquet(self, *a, **k))
+    group = f"plan-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        entry.queries()[name](spark, sf)
+        return max(0, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) - len(opened))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        monkeypatch.undo()
+
+
+def test_planning_starts_no_job(spark, sf, monkeypatch):
+    """Building these queries runs nothing; the index build stays small."""
+    for name in ("sales_view", "risk_concentration", "risk_corr", "table_cards", "catalog_columns", "ddl_docs", "schema_context",
+                 "gen_questions", "infer_keys", "union_docs", "column_docs", "smart_chunks", "page_text", "hash_embed", "compare_results"):
+        assert _jobs_while_planning(spark, name, sf, monkeypatch) == 0, name
+    assert _jobs_while_planning(spark, "index_build", sf, monkeypatch) < 10
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_star_is_read_once(spark, sf):
+    from tessera.operators import risk as K
+
+    r = K.risk_view(spark, sf)
+    assert _scans(K.concentration(r, ["counterparty", "desk"])) == _scans(r)
