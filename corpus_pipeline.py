@@ -20,7 +20,7 @@ from tessera.llm.pieces import encode_documents
 from tessera.llm.substring import remove_repeats
 
 #: share of a document that its main language must have
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
