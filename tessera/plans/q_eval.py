@@ -11,6 +11,7 @@ from tessera.operators.relational import union_all
 from tessera.functions import vectors as V
 from tessera.plans import index_build as IB
 from tessera.plans import questions as Q
+from tessera.plans.q_catalog import CATALOG_SCHEMA
 from tessera.plans.q_search import _SPARSE_SIM, _rename_hv, chunk_vectors, user_prompts
 from tessera.plans.q_text import hash_vectors_sql, smart_chunks_sql
 from tessera.plans.registry import query
@@ -239,13 +240,40 @@ def q_hits_with_sql(spark, d):
                                        "question", "sql_template", "score")
 
 
-@query("safe_exec")
+def _safe_exec_sql() -> str:
+    """What each generated statement returns, worked out per table."""
+    first = {t: cols[0][0] for t, cols in CATALOG_SCHEMA.items()}
+    sizes = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, count(*) AS n, count({c}) AS present, count(DISTINCT {c}) + CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END AS groups FROM {t}"
+        for t, c in first.items())
+    return "WITH " + QUESTIONS_SQL + f""",
+sz AS ({sizes}),
+g AS (
+  SELECT table_name, col_list, least(4, len(col_list)) AS k, array_to_string(col_list[1:4], ', ') AS four, question, n, present, groups
+  FROM qs JOIN sz ON sz.t = qs.table_name)
+SELECT CASE WHEN contains(question, 'How many') THEN 'SELECT COUNT(*) AS CNT FROM ' || table_name
+            WHEN contains(question, 'top 10') THEN 'SELECT ' || four || ' FROM ' || table_name || ' ORDER BY ' || col_list[1] || ' LIMIT 10'
+            WHEN contains(question, 'not null') THEN 'SELECT ' || four || ' FROM ' || table_name || ' WHERE ' || col_list[1] || ' IS NOT NULL'
+            WHEN contains(question, 'grouped by') THEN 'SELECT ' || col_list[1] || ', COUNT(*) AS CNT FROM ' || table_name || ' GROUP BY ' || col_list[1]
+            ELSE 'SELECT ' || four || ' FROM ' || table_name END AS sql_text,
+       true AS ok, CAST(CASE WHEN contains(question, 'How many') THEN 1 WHEN contains(question, 'grouped by') THEN 2 ELSE k END AS INTEGER) AS n_cols,
+       CAST(CASE WHEN contains(question, 'How many') THEN 1 WHEN contains(question, 'top 10') THEN least(10, n)
+            WHEN contains(question, 'not null') THEN least(1000, present) WHEN contains(question, 'grouped by') THEN least(1000, groups)
+            ELSE least(1000, n) END AS BIGINT) AS n_rows, false AS has_error
+FROM g
+UNION ALL SELECT 'SELECT no_such_column FROM ' || t, false, 0, 0, true FROM sz"""
+
+
+@query("safe_exec", _safe_exec_sql())
 def q_safe_exec(spark, d):
-    """Ground SQL of every generated question run with a 1000-row cap."""
+    """Ground SQL of every generated question, at most 1000 rows shown, and one
+    statement per table that fails."""
     register_views(spark, d, IB.CATALOG_TABLES)
     qs = Q.ground_sql(Q.generate_questions(Q.table_columns(spark, d)))
-    return E.execute_all(spark, qs.select(F.col("ground_sql").alias("sql_text")), "sql_text", 1000) \
-            .drop("exec_ms", "sample")
+    bad = F.concat(F.lit("SELECT no_such_column FROM "), F.col("table_name"))
+    texts = qs.select(F.col("ground_sql").alias("sql_text")).unionByName(qs.select(bad.alias("sql_text")))
+    return E.execute_all(spark, texts, "sql_text", 1000) \
+            .select("sql_text", "ok", "n_cols", "n_rows", F.col("error").isNotNull().alias("has_error"))
 
 
 @query("eval_cases")
