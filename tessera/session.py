@@ -17,6 +17,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows with whole texts travel to Python: small batches bound both sides' memory
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -42,7 +44,8 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings that can change on a live session and make
     the package importable by the Python workers."""
     for k in ("spark.sql.adaptive.enabled", "spark.sql.session.timeZone",
-              "spark.sql.mapKeyDedupPolicy", "spark.sql.execution.arrow.pyspark.enabled"):
+              "spark.sql.mapKeyDedupPolicy", "spark.sql.execution.arrow.pyspark.enabled",
+              "spark.sql.execution.arrow.maxRecordsPerBatch"):
         try:
             spark.conf.set(k, DEFAULT_CONF[k])
         except Exception:  # pragma: no cover - immutable on some deployments
