@@ -9,6 +9,8 @@ any name pass through.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +20,29 @@ from tessera.llm.mixing import mix
 from tessera.llm.neardup import near_duplicates
 from tessera.llm.pieces import encode_documents
 from tessera.llm.substring import remove_repeats
+from tessera.session import configure
 
 #: share of a document that its main language must have
 LEAST_SHARE = 0.4
 
 
+def _stage(fn):
+    """A stage applies the session defaults and ships the package first, so it
+    also works when it is called on its own."""
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return fn(configure(spark), docs, sf_dir)
+
+    return run_stage
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with its columns renamed to ``c0``, ``c1``, …, and their names."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*names.values()), names
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known main language go on: ``und`` (no text, no letter)
     and texts of which no language has ``LEAST_SHARE`` are rejected."""
@@ -39,6 +53,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
+@_stage
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group goes on; documents without
     an id are in no group."""
@@ -46,6 +61,7 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return docs.join(kept, docs["doc_id"].cast("bigint").eqNullSafe(kept["kept_id"]), "left_semi")
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has leave the texts; every
     document goes on, ``n_chars`` follows its text."""
@@ -63,6 +79,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.select(*map(column, docs.columns))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mix; sources below their target share are
     read again, so the shares of the output are the targets."""
@@ -71,6 +88,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return placed.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
+@_stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids (as a digest) and decoded text of every document of the mix."""
     return encode_documents(docs)

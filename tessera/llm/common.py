@@ -58,7 +58,7 @@ class TwoGenerationCache(dict):
     old one, and entries still in use move back on their next lookup.
     ``make(key)`` computes a missing value."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 200_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
