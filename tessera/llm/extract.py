@@ -273,16 +273,18 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """Per row: id, url, ``text`` (main blocks joined by one space) and
     ``n_chars`` (its code points).
 
-    The labeller is trained on the driver on at most ``sample`` pages, those
-    whose id and html hash lowest; the weights, of a fixed size, are broadcast.
+    The labeller is trained on the driver on at most ``sample`` different pages,
+    those whose html hashes lowest (equal pages count once); only hashes are
+    compared to find them.  The weights, of a fixed size, are broadcast.
     Every whole page is then labelled in its own task, without a shuffle.
 
     Null and empty html, and pages without a block, give the empty text.  A null
     id or url stays null; repeated rows stay repeated; an empty table gives an
     empty result; other columns are not read.
     """
-    picked = df.where(F.length(html_col) > 0).select(F.col(html_col).alias("h")) \
-        .orderBy(F.xxhash64("h"), "h").limit(sample).collect()
+    pages = df.where(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("k"), F.col(html_col).alias("h"))
+    last = pages.select("k").distinct().orderBy("k").limit(sample).agg(F.max("k")).first()[0]
+    picked = [] if last is None else pages.where(F.col("k") <= last).dropDuplicates(["k"]).orderBy("k").collect()
     net = df.sparkSession.sparkContext.broadcast(trained([r["h"] for r in picked]))
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (id_col, url_col)]
 
