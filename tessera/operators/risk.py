@@ -144,26 +144,31 @@ def scenario_compare(r: DataFrame) -> DataFrame:
 
 def factor_correlation(r: DataFrame) -> DataFrame:
     """Pearson correlation of daily totals for every pair of risk factors; a
-    factor without a row on a day counts as 0 that day.
+    factor without a row (or with null values alone) on a day counts as 0 that
+    day.  A factor of one constant daily total has the correlation null.
 
     The star is aggregated once to (factor, day).  Sums and squares per factor
     and, where two factors meet on a day, products per pair give the
-    correlation in closed form, for any number of factors."""
+    correlation in closed form, for any number of factors.  The pairs come from
+    the table of factors, so two factors that never meet have their row too."""
     x = F.col("daily")
-    daily = daily_totals(r.where(F.col("risk_factor").isNotNull()), "risk_factor")
-    days = r.agg(F.count_distinct("valuation_date")).scalar()
-    one = daily.groupBy("risk_factor").agg(F.sum(x).alias("s"), F.sum(x * x).alias("q"))
-    # the factors of a day, as one array, give its pairs: no join of the table with itself
+    daily = daily_totals(r.where(F.col("risk_factor").isNotNull()), "risk_factor").withColumn("daily", F.coalesce(x, F.lit(0.0)))
+    days = r.agg(F.count_distinct("valuation_date") + F.max(F.col("valuation_date").isNull().cast("int"))).scalar()
+    # a constant factor is told by its values: the difference of its sums need not come out as 0
+    varies = (F.min(x) < F.max(x)) | ((F.count(x) < days) & (F.max(x) != 0))
+    one = daily.groupBy("risk_factor").agg(F.sum(x).alias("s"), F.when(varies, F.sum(x * x)).alias("q"))
+    # the factors of a day, as one array, give its products: no join of the daily totals with themselves
     per_day = daily.groupBy("valuation_date").agg(F.array_sort(F.collect_list(F.struct("risk_factor", "daily"))).alias("f"))
     pairs = per_day.select(F.posexplode("f").alias("i", "a"), "f").select("a", F.explode(F.expr("slice(f, i + 2, size(f))")).alias("b"))
     both = pairs.groupBy(F.col("a.risk_factor").alias("factor_a"), F.col("b.risk_factor").alias("factor_b")) \
         .agg(F.sum(F.col("a.daily") * F.col("b.daily")).alias("p"))
     a, b = one.select(F.col("risk_factor").alias("factor_a"), F.col("s").alias("sa"), F.col("q").alias("qa")), \
         one.select(F.col("risk_factor").alias("factor_b"), F.col("s").alias("sb"), F.col("q").alias("qb"))
-    cov = days * F.col("p") - F.col("sa") * F.col("sb")
+    cov = days * F.coalesce("p", F.lit(0.0)) - F.col("sa") * F.col("sb")
     spread_a, spread_b = days * F.col("qa") - F.col("sa") * F.col("sa"), days * F.col("qb") - F.col("sb") * F.col("sb")
-    return both.join(a, "factor_a").join(b, "factor_b").select(
-        "factor_a", "factor_b", F.round(cov / F.sqrt(spread_a * spread_b), 6).alias("correlation"))
+    # one row per pair, as in the result
+    return a.join(b, F.col("factor_a") < F.col("factor_b")).join(both, ["factor_a", "factor_b"], "left").select(
+        "factor_a", "factor_b", F.round(F.try_divide(cov, F.sqrt(spread_a) * F.sqrt(spread_b)), 6).alias("correlation"))
 
 
 def offsets(r: DataFrame, key: str = "deal") -> DataFrame:

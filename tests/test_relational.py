@@ -92,3 +92,30 @@ def test_phrases_by_any_number(spark):
         got.append(sorted(map(str, R.match_phrases(left, "t", phrases, "phrase", "ord", ["phrase", "sql"]).collect())))
     assert got[0] == got[1] and len(got[0]) == 4 and sum("s7" in x for x in got[0]) == 2
     assert R.match_phrases(left, "t", phrases.limit(0), "phrase", "ord", ["phrase"]).count() == 4
+
+
+def test_factor_correlation_of_every_pair(spark):
+    """Factors that never share a day, a constant one and days of nulls have
+    their rows; a missing day counts as 0."""
+    from math import sqrt
+
+    from tessera.operators.risk import factor_correlation
+
+    days = [dt.date(2025, 1, d) for d in range(1, 7)]
+    totals = {"hot": [5, 7, 1, 4, 9, 2], "rare1": [3, 0, 0, 0, 0, 0], "rare2": [0, 4, 8, 0, 0, 0],
+              "flat": [0.1] * 6, "nulls": [0, 0, None, 6, 0, 0], "zero": [0, None, 0, 0, 0, 0]}
+    rows = [(f, d, None if v is None else Decimal(str(v))) for f, vs in totals.items() for d, v in zip(days, vs) if v != 0 or f == "zero"]
+    r = spark.createDataFrame(rows + [(None, days[0], Decimal(1))], "risk_factor string, valuation_date date, value decimal(14,2)")
+    found = factor_correlation(r).collect()
+    got = {(x.factor_a, x.factor_b): x.correlation for x in found}
+    names = sorted(totals)
+    assert len(found) == len(got) and set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1:]}
+    for (a, b), c in got.items():
+        if {a, b} & {"flat", "zero"}:
+            assert c is None, (a, b)
+            continue
+        xs, ys = ([float(v or 0) for v in totals[f]] for f in (a, b))
+        mx, my = sum(xs) / 6, sum(ys) / 6
+        want = sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / sqrt(sum((x - mx) ** 2 for x in xs) * sum((y - my) ** 2 for y in ys))
+        assert abs(c - want) < 2e-6, (a, b)
+    assert got["rare1", "rare2"] < 0
