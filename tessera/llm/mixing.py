@@ -8,6 +8,15 @@ source has been given within less than one block of ``t*a/Q``.  Releases and
 deadlines repeat with the period, so the schedule of one period, as long as the
 weights are (never as the data are), places every block of any corpus.
 
+By default the schedule has two levels, so that no weight needs a floor.  The
+sources of at least one part of a thousand are scheduled as above.  All rarer
+ones are pooled: those of like row counts form a class and take turns in it,
+and the classes are joined two by two, the lightest first, into one composite
+source, which shares the slots with the first group in the same way.  Where two
+sources share ``q`` slots, the first with ``a`` of them gets its block ``k`` at
+its release and the other one just before its deadline: both keep all Pfair
+windows, and slots follow by arithmetic, at any skew.
+
 Everything is DataFrame expressions: the schedule is folded over the slots of
 one period in one small row, documents are numbered by (source, hash bucket),
 which splits a large source, and find their slot by arithmetic.
@@ -15,11 +24,21 @@ which splits a large source, and find their slot by arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import staged
+
 #: rows per numbering bucket that are aimed at
 BUCKET_ROWS = 2048
+#: unlisted sources that are scheduled one by one beside given weights
+UNLISTED = 1000
+#: integer weight of a source of one row (weights are rounded to whole numbers)
+UNIT = 1024
+#: row counts with the same so many first binary digits are one class
+CLASS_DIGITS = 7
 
 
 def _key(source: str) -> Column:
@@ -29,10 +48,8 @@ def _key(source: str) -> Column:
 
 def schedule(parts: DataFrame) -> DataFrame:
     """``parts`` (``mix_key``, ``mix_parts`` int, ``mix_blocks`` long: one row
-    per source) → the same rows with ``mix_period`` (Q), ``mix_slots`` (slot in
-    the period of each of the source's parts) and ``mix_runs`` (how many of its
-    blocks the mix has).  The mix ends when the last source has been read in
-    full; sources that end earlier start again."""
+    per source) → the same rows with ``mix_period`` (Q) and ``mix_slots`` (slot
+    in the period of each of the source's parts)."""
     one = parts.agg(F.sort_array(F.collect_list(F.struct("mix_key", "mix_parts", "mix_blocks"))).alias("s")) \
         .select("s", F.expr("aggregate(s, 0L, (x, y) -> x + y.mix_parts)").alias("q"))
     # fold over the slots: blocks given to each source so far, and the pick of each slot
@@ -47,14 +64,113 @@ def schedule(parts: DataFrame) -> DataFrame:
             b -> named_struct('done', transform(st.done, (d, i) -> d + IF(i = b.i, 1L, 0L)),
                               'picks', concat(st.picks, array(b.i))))[0]
         ).picks"""))
-    rows = one.select("q", "picks", F.posexplode("s").alias("i", "x")).select(
+    return one.select("q", "picks", F.posexplode("s").alias("i", "x")).select(
         "x.*", F.col("q").alias("mix_period"),
         F.expr("filter(transform(picks, (p, t) -> IF(p = i, t, NULL)), t -> t IS NOT NULL)").alias("mix_slots"))
-    last = F.expr("((mix_blocks - 1) div mix_parts) * mix_period + mix_slots[int((mix_blocks - 1) % mix_parts)] + 1")
-    # one row per source: the end of the mix is the latest first end of a source
-    rows = rows.withColumn("mix_end", F.max(last).over(Window.partitionBy("mix_period")))
-    return rows.withColumn("mix_runs", F.expr(
-        "(mix_end div mix_period) * mix_parts + size(filter(mix_slots, t -> t < mix_end % mix_period))"))
+
+
+def _digits(n: int) -> int:
+    """Hex digits that make buckets of about ``BUCKET_ROWS`` of ``n`` rows."""
+    digits = 0
+    while n > BUCKET_ROWS * 16 ** digits and digits < 12:
+        digits += 1
+    return digits
+
+
+def _class(n: str) -> Column:
+    """Row counts of up to 127 are a class each, larger ones by their first digits."""
+    cut = f"greatest(0, length(bin({n})) - {CLASS_DIGITS})"
+    return F.expr(f"shiftleft(shiftright({n}, {cut}), {cut})")
+
+
+def joined(classes: list[tuple[int, int]], others: int) -> list[tuple[int, list[tuple[bool, int, int]]]]:
+    """``(class, weight)`` rows → each class's steps from its own slots to
+    those of the mix: (whether it is the first of two, its weight, the weight
+    of both).  The two lightest are joined until one is left, which then shares
+    the mix with ``others``."""
+    steps = {c: [] for c, _ in classes}
+    heap = [(w, c, [c]) for c, w in classes]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (w1, c1, m1), (w2, _, m2) = heapq.heappop(heap), heapq.heappop(heap)
+        for first, w, members in ((True, w1, m1), (False, w2, m2)):
+            for c in members:
+                steps[c].append((first, w, w1 + w2))
+        heapq.heappush(heap, (w1 + w2, c1, m1 + m2))
+    for w, _, members in heap:
+        for c in members if others else []:
+            steps[c].append((True, w, w + others))
+    return list(steps.items())
+
+
+STEPS = "array<struct<first: boolean, own: decimal(18,0), both: decimal(18,0)>>"
+
+
+def _up(slot: str) -> str:
+    """A slot of a group as a slot of the mix."""
+    return f"""aggregate(mix_steps, {slot}, (x, e) -> IF(e.first, (cast(x as decimal(19,0)) * e.both) div e.own,
+        (cast(x + 1 as decimal(19,0)) * e.both + e.own - 1) div e.own - 1))"""
+
+
+def _down(slots: str) -> str:
+    """How many of the first slots of the mix a group has."""
+    return f"""aggregate(reverse(mix_steps), {slots}, (x, e) -> IF(e.first,
+        (cast(x as decimal(19,0)) * e.own + e.both - 1) div e.both, (cast(x as decimal(19,0)) * e.own) div e.both))"""
+
+
+def _pooled(spark: SparkSession, rare: DataFrame, n: int, others: int) -> DataFrame:
+    """Rows as of ``schedule`` with ``mix_steps`` for ``n`` sources of less than
+    one part: a class of ``m`` sources has a period of ``m`` slots, one each."""
+    classes = rare.groupBy("mix_class").agg(F.sum("mix_weight").alias("w"), F.count(F.lit(1)).alias("m"))
+    found = classes.collect()  # a few thousand rows at most: first digits and length of a row count
+    count = {c: m for c, _, m in found}
+    steps = staged(spark.createDataFrame([(c, count[c], st) for c, st in joined([(c, w) for c, w, _ in found], others)],
+                                         f"mix_class long, mix_period long, mix_steps {STEPS}".replace("decimal(18,0)", "long"))
+                   .withColumn("mix_steps", F.col("mix_steps").cast(STEPS)), "mix-classes")
+    rare = rare.withColumn("mix_bucket", F.substring(F.md5("mix_key"), 1, _digits(n)))
+    before = Window.partitionBy("mix_class").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rare.groupBy("mix_class", "mix_bucket").agg(F.count(F.lit(1)).alias("n")) \
+        .select("mix_class", "mix_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_before"))
+    turn = F.row_number().over(Window.partitionBy("mix_class", "mix_bucket").orderBy("mix_key"))
+    return rare.withColumn("turn", turn).join(offsets, ["mix_class", "mix_bucket"]).join(F.broadcast(steps), "mix_class").select(
+        "mix_key", F.lit(1).alias("mix_parts"), "mix_blocks", "mix_period",
+        F.array(F.col("mix_before") + F.col("turn") - 1).alias("mix_slots"), "mix_steps")
+
+
+def plan_of(spark: SparkSession, per_source: DataFrame, weights: dict[str | None, int] | None, alpha: float,
+            resolution: int, block_rows: int) -> tuple[DataFrame, int]:
+    """``per_source`` (``mix_key``, ``mix_n``) → per source where its blocks
+    go: its slots in the period of its group, the group's steps and
+    ``mix_runs``, how many of its blocks the mix has; and the number of
+    sources.  The mix ends when the last source has been read in full; sources
+    that end earlier start again."""
+    per_source = staged(per_source.withColumn("mix_blocks", F.expr(f"(mix_n + {block_rows - 1}) div {block_rows}")), "mix-sources")
+    n = per_source.count()
+    if weights is None:
+        share = F.pow(F.col("mix_n").cast("double"), F.lit(float(alpha)))
+        target = share / F.lit(per_source.agg(F.sum(share)).first()[0] or 1.0) * resolution
+        parts = per_source.withColumn("mix_parts", F.greatest(F.lit(1), F.round(target).cast("int"))) \
+            .withColumn("mix_weight", F.greatest(F.lit(1), F.round(share * UNIT)).cast("long")) \
+            .withColumn("mix_rare", target < 1).withColumn("mix_class", _class("mix_n"))
+    else:
+        given = F.create_map(*(F.lit(x) for k, v in weights.items()
+                               for x in ("" if k is None else f"={k}", int(v)))) if weights else None
+        own = F.lit(None).cast("int") if given is None else F.try_element_at(given, F.col("mix_key"))
+        parts = per_source.withColumn("mix_parts", F.greatest(F.lit(1), F.coalesce(own, F.lit(1)))) \
+            .withColumn("mix_weight", F.col("mix_parts").cast("long")) \
+            .withColumn("mix_rare", own.isNull() & F.lit(n > UNLISTED + len(weights))).withColumn("mix_class", F.lit(1).cast("long"))
+    rare, frequent = (F.sum(F.when(c, F.col("mix_weight"))) for c in (F.col("mix_rare"), ~F.col("mix_rare")))
+    pool, others = (w or 0 for w in parts.agg(rare, frequent).first())
+    own_steps = f"array(named_struct('first', false, 'own', {others}, 'both', {pool + others}))" if pool and others else "array()"
+    plan = schedule(parts.where(~F.col("mix_rare")).select("mix_key", "mix_parts", "mix_blocks")) \
+        .withColumn("mix_steps", F.expr(f"cast({own_steps} as {STEPS})"))
+    if pool:
+        plan = plan.unionByName(_pooled(spark, parts.where("mix_rare"), n, others))
+    last = "((mix_blocks - 1) div mix_parts) * mix_period + mix_slots[int((mix_blocks - 1) % mix_parts)]"
+    end = plan.agg(F.max(F.expr(_up(last)))).first()[0]
+    plan = plan.withColumn("mix_end", F.expr(_down(f"{0 if end is None else end + 1}L")))
+    return plan.withColumn("mix_runs", F.expr(
+        "(mix_end div mix_period) * mix_parts + size(filter(mix_slots, t -> t < mix_end % mix_period))")), n
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
@@ -64,7 +180,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
     ``weights`` gives integer parts per source (a source that is not listed
     gets one part); without it, a source of ``n`` rows gets parts in proportion
-    to ``n ** alpha`` at a resolution of ``resolution`` parts, at least one.
+    to ``n ** alpha`` at a resolution of ``resolution`` parts.  Sources of less
+    than one part are pooled and keep their own weight, exactly up to 127 rows
+    and within 0.8 % beyond; each stays within a few blocks of its target.
     Within a source, rows are taken in the order of the MD5 of their id and cut
     into blocks of ``block_rows``.  No row is dropped: the mix goes on until
     each source has been read in full, and sources read faster start again.
@@ -77,14 +195,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
     A null source is a source of its own; rows with a null id come first in
     it; repeated rows are placed each on their own; an empty table gives an
-    empty result.  The table that is broadcast has one row per source and one
-    number per part: its size is set by the weights, not by the data.
+    empty result.  The table that is broadcast has one row per source, and one
+    number per part of the sources that have parts.
     """
     df = df.drop(*(c for c in df.columns if c.startswith("mix_")))
     n_rows = df.count()
-    digits = 0
-    while n_rows > BUCKET_ROWS * 16 ** digits and digits < 12:
-        digits += 1
+    digits = _digits(n_rows)
     md5 = F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit(""))
     rows = df.withColumn("mix_key", _key(source_col)).withColumn("mix_md5", md5) \
              .withColumn("mix_bucket", F.substring("mix_md5", 1, digits))
@@ -94,30 +210,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     offsets = per_bucket.select("mix_key", "mix_bucket",
                                 F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_before"))
     per_source = per_bucket.groupBy("mix_key").agg(F.sum("mix_n").alias("mix_n"))
-    if weights is None:
-        share = F.pow(F.col("mix_n").cast("double"), F.lit(float(alpha)))
-        total = F.sum(share).over(Window.partitionBy(F.lit(0)))  # one row per source
-        parts = per_source.withColumn("mix_parts", F.greatest(F.lit(1), F.round(share / total * resolution).cast("int")))
-    else:
-        given = F.create_map(*(F.lit(x) for k, v in weights.items()
-                               for x in ("" if k is None else f"={k}", int(v)))) if weights else None
-        parts = per_source.withColumn(
-            "mix_parts", F.lit(1) if given is None else F.greatest(F.lit(1), F.coalesce(F.try_element_at(given, F.col("mix_key")), F.lit(1))))
-    blocks = F.expr(f"(mix_n + {block_rows - 1}) div {block_rows}")
-    plan = schedule(parts.select("mix_key", "mix_parts", blocks.alias("mix_blocks")))
+    plan, _ = plan_of(df.sparkSession, per_source, weights, alpha, resolution, block_rows)
 
     in_bucket = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_md5", id_col)
     placed = (
         rows.withColumn("mix_rank", F.row_number().over(in_bucket))
         .join(offsets, ["mix_key", "mix_bucket"])
-        .join(F.broadcast(plan.select("mix_key", "mix_parts", "mix_blocks", "mix_period", "mix_slots", "mix_runs")), "mix_key")
+        .join(F.broadcast(plan.select("mix_key", "mix_parts", "mix_blocks", "mix_period", "mix_slots", "mix_steps", "mix_runs")), "mix_key")
         .withColumn("mix_index", F.col("mix_before") + F.col("mix_rank") - 1)
         .withColumn("mix_block", F.expr(f"mix_index div {block_rows}"))
         .withColumn("mix_epoch", F.explode(F.expr("sequence(0L, (mix_runs - 1 - mix_block) div mix_blocks)")))
         .withColumn("mix_run", F.expr("mix_block + mix_epoch * mix_blocks"))
-        .withColumn("mix_release", F.expr("(mix_run * mix_period) div mix_parts"))
-        .withColumn("mix_deadline", F.expr("((mix_run + 1) * mix_period + mix_parts - 1) div mix_parts"))
-        .withColumn("mix_slot", F.expr("(mix_run div mix_parts) * mix_period + mix_slots[int(mix_run % mix_parts)]"))
+        .withColumn("mix_release", F.expr(_up("(mix_run * mix_period) div mix_parts")))
+        .withColumn("mix_deadline", F.expr(_up("((mix_run + 1) * mix_period + mix_parts - 1) div mix_parts - 1") + " + 1"))
+        .withColumn("mix_slot", F.expr(_up("(mix_run div mix_parts) * mix_period + mix_slots[int(mix_run % mix_parts)]")))
         .withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + mix_index % {block_rows}"))
         .select(*df.columns, "mix_epoch", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
     )

@@ -67,3 +67,42 @@ def test_in_order(messy):
 def test_plan_has_no_python(spark, messy):
     plan = mix(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def check_shares(got, sizes, pooled):
+    """Every slot is filled once; after any number of slots each pooled source
+    is near its target, and has been read as often as its weight says."""
+    slot = {r["mix_slot"]: r["source"] for r in got}
+    assert sorted(slot) == list(range(len(slot)))
+    assert Counter(r["source"] for r in got if r["mix_epoch"] == 0) == Counter(sizes)
+    assert all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+    assert len({r["mix_position"] for r in got}) == len(got)
+    total = sum(n ** 0.9 for n in sizes.values())
+    given = Counter()
+    for t in range(len(slot)):
+        given[slot[t]] += 1
+        for s in pooled if t % 97 == 0 or t == len(slot) - 1 else ():
+            assert abs(given[s] - (t + 1) * sizes[s] ** 0.9 / total) < 3, (s, t)
+
+
+def test_rare_source_beside_a_very_large_one(spark):
+    """A source below one part in a thousand gets its own weight, not a floor."""
+    sizes = {"hot": 200_000, "rare": 20, "rarer": 3}
+    df = spark.range(sum(sizes.values())).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "rare").when(F.col("id") < 23, "rarer").otherwise("hot").alias("source"))
+    got = rows_of(mix(df))
+    check_shares(got, sizes, ["rare", "rarer"])
+    blocks = len({r["mix_slot"] for r in got if r["source"] == "rare"})
+    assert abs(blocks - (max(r["mix_slot"] for r in got) + 1) * 20 ** 0.9 / sum(n ** 0.9 for n in sizes.values())) < 2
+
+
+def test_thousands_of_sources(spark):
+    """More rare sources than parts: they keep their own, unequal weights."""
+    sizes = {f"s{i}": 1 + i % 40 for i in range(1500)} | {"hot": 20_000}
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))], "doc_id long, source string")
+    got = rows_of(mix(df, block_rows=4))
+    check_shares(got, sizes, [s for s in sizes if s != "hot"])
+    few = spark.createDataFrame([(i, f"s{i}") for i in range(1200)], "doc_id long, source string")
+    got = rows_of(mix(few, weights={"s1": 3}))
+    slots = Counter(r["source"] for r in got)
+    assert len(slots) == 1200 and abs(slots["s1"] - 3) <= 1 and sorted(r["mix_slot"] for r in got) == list(range(len(got)))
