@@ -35,6 +35,8 @@ from tessera.llm.common import staged
 BUCKET_ROWS = 2048
 #: unlisted sources that are scheduled one by one beside given weights
 UNLISTED = 1000
+#: sources whose plan is broadcast
+FEW = 1000
 #: integer weight of a source of one row (weights are rounded to whole numbers)
 UNIT = 1024
 #: row counts with the same so many first binary digits are one class
@@ -195,8 +197,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
 
     A null source is a source of its own; rows with a null id come first in
     it; repeated rows are placed each on their own; an empty table gives an
-    empty result.  The table that is broadcast has one row per source, and one
-    number per part of the sources that have parts.
+    empty result.  The slots are folded for the sources of at least one part
+    alone, at most ``resolution`` of them by default, and their plan is
+    broadcast only if there are at most ``FEW`` sources.
     """
     df = df.drop(*(c for c in df.columns if c.startswith("mix_")))
     n_rows = df.count()
@@ -210,13 +213,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
     offsets = per_bucket.select("mix_key", "mix_bucket",
                                 F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_before"))
     per_source = per_bucket.groupBy("mix_key").agg(F.sum("mix_n").alias("mix_n"))
-    plan, _ = plan_of(df.sparkSession, per_source, weights, alpha, resolution, block_rows)
+    plan, n_sources = plan_of(df.sparkSession, per_source, weights, alpha, resolution, block_rows)
+
+    plan = plan.select("mix_key", "mix_parts", "mix_blocks", "mix_period", "mix_slots", "mix_steps", "mix_runs")
+    # few sources are broadcast; many are joined to the buckets, which salt a large source
+    offsets = offsets.join(F.broadcast(plan) if n_sources <= FEW else plan, "mix_key")
 
     in_bucket = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_md5", id_col)
     placed = (
         rows.withColumn("mix_rank", F.row_number().over(in_bucket))
         .join(offsets, ["mix_key", "mix_bucket"])
-        .join(F.broadcast(plan.select("mix_key", "mix_parts", "mix_blocks", "mix_period", "mix_slots", "mix_steps", "mix_runs")), "mix_key")
         .withColumn("mix_index", F.col("mix_before") + F.col("mix_rank") - 1)
         .withColumn("mix_block", F.expr(f"mix_index div {block_rows}"))
         .withColumn("mix_epoch", F.explode(F.expr("sequence(0L, (mix_runs - 1 - mix_block) div mix_blocks)")))

@@ -106,3 +106,24 @@ def test_thousands_of_sources(spark):
     got = rows_of(mix(few, weights={"s1": 3}))
     slots = Counter(r["source"] for r in got)
     assert len(slots) == 1200 and abs(slots["s1"] - 3) <= 1 and sorted(r["mix_slot"] for r in got) == list(range(len(got)))
+
+
+def test_many_sources_are_not_folded_or_broadcast_together(spark, monkeypatch):
+    """The fold sees at most one source per part, and more than ``FEW`` sources
+    are joined, with the same rows."""
+    from tessera.llm import mixing
+
+    folded, fold = [], mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda parts: folded.append(parts.count()) or fold(parts))
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1500, F.col("id").cast("string")).otherwise("hot").alias("source"))
+
+    def hints(df):
+        return df._jdf.queryExecution().analyzed().toString().count("broadcast")
+
+    many = mix(df)
+    one = sorted(map(str, many.collect()))
+    assert folded == [1]
+    monkeypatch.setattr(mixing, "FEW", 10_000)
+    few = mix(df)
+    assert hints(few) > hints(many)
+    assert sorted(map(str, few.collect())) == one
