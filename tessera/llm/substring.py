@@ -336,7 +336,9 @@ class Passages:
         anchors = self.anchors()
         cold = self.cold_reports(anchors).groupBy("id").agg(F.collect_list("segment").alias("segments"), F.collect_list("mask").alias("masks"))
         hot = self.hot_reports(anchors)
-        plan = self.firsts.select("id").distinct().join(cold, "id", "left").join(hot, "id", "left").withColumn("own", F.lit(True))
+        # the texts that an id is the first of: any other text of that id is a copy
+        own = self.firsts.groupBy("id").agg(F.collect_set("digest").alias("own"))
+        plan = own.join(cold, "id", "left").join(hot, "id", "left")
 
         def remove(batches):
             for b in _slices(batches):
@@ -369,7 +371,8 @@ class Passages:
                     cols += [pc.if_else(same, b.column(1).cast(pa.string()), pa.array(texts, pa.binary()).cast(pa.string())), b.column(6)]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-        read = self.docs.join(plan, "id", "left").select("id", "text", "segments", "masks", "hashes", "own", "rest")
+        first = F.when(F.array_contains("own", F.xxhash64("text")), F.lit(True)).alias("own")
+        read = self.docs.join(plan, "id", "left").select("id", "text", "segments", "masks", "hashes", first, "rest")
         schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
         if with_text:
             schema = schema.add("kept_text", "string").add("rest", read.schema["rest"].dataType)

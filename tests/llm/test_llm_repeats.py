@@ -162,3 +162,13 @@ def test_components_of_a_long_chain(spark):
     start = lambda i: 0 if i <= 50 or i == 1000 else (i - 51) // 100 * 100 + 51
     assert got == {i: start(i) for i in [*range(401), 1000]}
     assert components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_copy_under_the_id_of_another_text(spark, vocabulary):
+    """(5, A) is a copy of (3, A), although id 5 is the first of B."""
+    rng = random.Random(9)
+    a, b, c = (sentence(rng, 40, vocabulary) for _ in range(3))
+    rows = [(3, a), (5, a), (5, b), (7, c + " " + b), (None, a), (5, "few words")]
+    got = sorted(map(tuple, substring.remove_repeats(frame(spark, rows)).collect()), key=str)
+    assert got == brute_removed(rows)
+    assert sorted(r[2] for r in got if r[0] == 5) == [0, 0, 40]
