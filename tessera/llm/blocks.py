@@ -10,11 +10,14 @@ from dataclasses import dataclass
 
 #: Elements that stay inside a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr "
+                   "math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
-HIDDEN = frozenset("script style template noscript iframe object svg math canvas textarea select".split())
+HIDDEN = frozenset("script style".split())
+#: Elements that may stand in a paragraph without ending it.
+EMBEDDED = frozenset("template noscript iframe object svg canvas textarea select".split())
 #: Elements that end an open paragraph or list item of their kind.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"},
             "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
@@ -41,8 +44,9 @@ def _element(tag: str, attrs: str) -> tuple[str, ...]:
 
 
 def leaf_blocks(page: str) -> Iterator[Block]:
-    """The blocks of a page in order.  Comments, declarations and hidden
-    elements give nothing; character references are decoded; white space inside
+    """The blocks of a page in order.  Comments, declarations, scripts and
+    styles give nothing; formulas stay inside their line, and other embedded
+    elements are steps of a path, with or without an end tag; character references are decoded; white space inside
     a block becomes one space; a block of white space alone is none."""
     stack: list[tuple[str, ...]] = []
     pieces: list[str] = []
@@ -101,7 +105,7 @@ def leaf_blocks(page: str) -> Iterator[Block]:
                 if stack[i][0] in SIBLINGS[tag]:
                     del stack[i:]
                     break
-        elif stack and stack[-1][0] == "p":
+        elif stack and stack[-1][0] == "p" and tag not in EMBEDDED:
             stack.pop()  # a block element ends an open paragraph
         if tag not in VOID and not m.group(3).endswith("/"):
             stack.append(_element(tag, m.group(3)))

@@ -81,3 +81,14 @@ def test_messy_pages(spark):
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["text"] for r in got if r["page_id"] in (1, 2)} == {""}
     assert ex.extract(df.where("1 = 0")).count() == 0
+
+
+def test_embedded_elements_lose_no_text():
+    from tessera.llm.blocks import leaf_blocks
+
+    page = "<article><p>energy <math><mi>E</mi><mo>=</mo><mn>5</mn></math> holds</p><p>before <object>in it</p><p>after <select>chosen</p>" \
+           "<svg><text>drawn</text></svg><noscript>plain</noscript><p>end</p><script>no()</script><style>no{}</style></article><p>last</p>"
+    blocks = list(leaf_blocks(page))
+    text = " ".join(b.text for b in blocks).split()
+    assert text == "energy E=5 holds before in it after chosen drawn plain end last".split()
+    assert all(b.path[0] == "article" for b in blocks[:-1]) and blocks[-1].path == ("p",)
