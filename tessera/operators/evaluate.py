@@ -11,11 +11,14 @@ as a DataFrame join.
 from __future__ import annotations
 
 import time
+import uuid
 from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import scratch_path
+
 SIGNATURE_SCHEMA = ("sql_text string, ok boolean, n_cols int, n_rows long, sample array<string>, "
                     "mhash long, error string, exec_ms long")
 
@@ -66,16 +69,19 @@ def execute_all(spark: SparkSession, statements: DataFrame, col: str = "sql_text
     """Signatures of every distinct non-null statement of ``statements``.
 
     Statements run as concurrent Spark jobs (driver threads submitting to
-    the same scheduler), each reduced to its signature on the executors."""
+    the same scheduler), each reduced to its signature on the executors.  The
+    signatures of a thousand statements at a time go to the shared folder."""
     from concurrent.futures import ThreadPoolExecutor
 
     distinct = statements.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
     texts = (r[0] for r in distinct.toLocalIterator())  # a partition of statements at a time
-    sigs = []
+    path = scratch_path(spark, f"signatures-{uuid.uuid4().hex}")
+    spark.createDataFrame([], SIGNATURE_SCHEMA).write.parquet(path)
     with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
         while part := list(islice(texts, 1000)):
-            sigs += pool.map(lambda t: safe_exec(spark, t, cap), part)
-    return spark.createDataFrame(sigs, SIGNATURE_SCHEMA)
+            sigs = list(pool.map(lambda t: safe_exec(spark, t, cap), part))
+            spark.createDataFrame(sigs, SIGNATURE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(SIGNATURE_SCHEMA).parquet(path)
 
 
 def compare_signatures(g: str = "g", c: str = "c", compat: bool = False):

@@ -228,8 +228,8 @@ def run_evaluation(spark: SparkSession, questions: DataFrame, synonyms: DataFram
     sig = E.execute_all(spark, stmts, "sql_text", cap)
     g = sig.select(*[F.col(c).alias(f"g_{c}") for c in sig.columns])
     c = sig.select(*[F.col(c).alias(f"c_{c}") for c in sig.columns])
-    j = (cases.join(F.broadcast(g), cases.ground_sql == g.g_sql_text, "left")
-              .join(F.broadcast(c), cases.llm_sql == c.c_sql_text, "left"))
+    j = (cases.join(g, cases.ground_sql == g.g_sql_text, "left")
+              .join(c, cases.llm_sql == c.c_sql_text, "left"))
     shape, sample, multi = E.compare_signatures("g", "c", compat)
     err = F.concat_ws(" | ", F.col("g_error"), F.col("c_error"))
     return j.select("question_id", "synonym_id", "ground_sql", "llm_sql",

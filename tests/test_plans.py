@@ -115,3 +115,25 @@ def test_batch_answers_equal_single_prompt_answers(spark, sf):
             continue
         want = [(str(r[0]), round(float(r[1]), 2)) for r in single]
         assert got == want, p
+
+
+def test_signatures_pass_through_files(spark):
+    """Signatures are read from the shared folder, not built from a driver
+    list, and evaluation leaves the joins to the planner."""
+    from tessera.operators import evaluate as E
+    from tessera.plans import questions as Q
+
+    def plan(df):
+        return df._jdf.queryExecution().analyzed().toString()
+
+    texts = spark.createDataFrame([("SELECT 1 AS a",), ("SELECT 2 AS a",), ("SELECT nothing",), (None,), ("SELECT 1 AS a",)], "sql_text string")
+    sig = E.execute_all(spark, texts)
+    assert "parquet" in plan(sig) and "LogicalRDD" not in plan(sig)
+    assert sorted((r.sql_text, r.ok, r.n_rows) for r in sig.collect()) == [("SELECT 1 AS a", True, 1), ("SELECT 2 AS a", True, 1), ("SELECT nothing", False, 0)]
+    assert E.execute_all(spark, texts.where("1 = 0")).count() == 0
+    questions = spark.createDataFrame([(1, "SELECT 1 AS a"), (2, "SELECT 2 AS a")], "question_id long, ground_sql string")
+    synonyms = spark.createDataFrame([(1, 7)], "question_id long, synonym_id long")
+    candidates = spark.createDataFrame([(1, "SELECT 1 AS a"), (2, "SELECT nothing")], "question_id long, llm_sql string")
+    cases = Q.run_evaluation(spark, questions, synonyms, candidates)
+    assert "ResolvedHint" not in plan(cases) and "broadcast" not in plan(cases)
+    assert sorted((r.question_id, r.llm_ok, r.same_sample) for r in cases.collect()) == [(1, "Y", "Y"), (1, "Y", "Y"), (2, "N", "N")]
