@@ -22,8 +22,6 @@ from tessera.llm.pieces import encode_documents
 from tessera.llm.substring import remove_repeats
 from tessera.session import configure
 
-#: share of a document that its main language must have
-LEAST_SHARE = 0.4
 
 
 def _stage(fn):
@@ -44,12 +42,13 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 @_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known main language go on: ``und`` (no text, no letter)
-    and texts of which no language has ``LEAST_SHARE`` are rejected."""
+    """Documents with a language go on; texts without a letter (``und``) are
+    rejected.  A text of several languages goes on, however equal their parts,
+    and where no language could be learned every text with a letter does."""
     rows, names = _numbered(docs)
     id_col = names["doc_id"]
     found = identify(rows, id_col, names["text"], names["lang"], keep=[c for c in rows.columns if c != id_col])
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)) \
+    return found.where((F.col("lang_pred") != "und") | F.col(names["text"]).rlike(r"\p{L}")) \
         .select(*(F.col(n).alias(c) for c, n in names.items()))
 
 

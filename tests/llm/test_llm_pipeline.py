@@ -56,3 +56,18 @@ def test_run(spark, tmp_path):
     path = tmp_path / "documents.parquet"
     load(spark, "/root/testdata/sf0.001", "documents").where(F.col("doc_id") < 60).write.parquet(str(path))
     assert cp.run(spark, str(tmp_path)).where("round_trip").count() > 40
+
+
+def test_every_text_with_a_letter_has_passed_language_id(spark):
+    """Texts of many languages in equal parts, and tables without a learned
+    language, lose only texts without a letter."""
+    words = {"en": "the house and water", "de": "das haus und wasser", "fr": "cette maison avec leau", "es": "aquella casa junto agua"}
+    rows = [(i, " ".join([w] * 30), k) for i, (k, w) in enumerate(list(words.items()) * 3)]
+    rows += [(100, " ".join(words.values()), None), (101, "12 - 34", "en"), (102, "", "en"), (103, None, "en"), (104, "日本", None)]
+    docs = spark.createDataFrame([(i, t, k, "a", None if t is None else len(t)) for i, t, k in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars int")
+    want = {i for i, *_ in rows} - {101, 102, 103}
+    stage = dict(cp.STAGES)["language_id"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == want
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in stage(spark, unlabelled, "").collect()} == want
