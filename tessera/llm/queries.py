@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, neardup, substring, topk, warc
+from tessera.llm import decontam, mixing, neardup, substring, topk, warc
 from tessera.llm.common import documents
 from tessera.llm.extract import extract
 from tessera.llm.fingerprint import fingerprints
@@ -88,3 +88,9 @@ def op9_repeated_passages(spark, sf_dir):
 def op10_near_duplicates(spark, sf_dir):
     """Near-duplicate components of all whole texts."""
     return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op11_decontaminate", decontam.SQL)
+def op11_decontaminate(spark, sf_dir):
+    """Words of every whole text that stand in passages of benchmark items."""
+    return decontam.contamination(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
