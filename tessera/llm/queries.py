@@ -12,6 +12,7 @@ from tessera.llm.extract import extract
 from tessera.llm.fingerprint import fingerprints
 from tessera.llm.language import identify
 from tessera.llm.pieces import encode_documents
+from tessera.llm.repair import repair_damaged
 from tessera.llm.tokens import count_tokens
 from tessera.tables import load
 
@@ -94,3 +95,9 @@ def op10_near_duplicates(spark, sf_dir):
 def op11_decontaminate(spark, sf_dir):
     """Words of every whole text that stand in passages of benchmark items."""
     return decontam.contamination(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    """Every conversation, damaged and then repaired at the least cost."""
+    return repair_damaged(load(spark, sf_dir, "conversations"))

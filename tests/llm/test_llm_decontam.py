@@ -97,10 +97,11 @@ def test_longest_matches(spark, messy, messy_rows, items, tests):
         ok = False
         for w in map(words, texts[r["doc_id"]]):
             for x in own[r["item_id"]]:
-                same = w[a:a + n] == x[p:p + n] and len(x[p:p + n]) == n
+                if w[a:a + n] != x[p:p + n] or len(x[p:p + n]) < n:
+                    continue
                 left = a == 0 or p == 0 or w[a - 1] != x[p - 1]
                 right = a + n >= len(w) or p + n >= len(x) or w[a + n] != x[p + n]
-                ok |= same and left and right and n >= min(10, len(x))
+                ok |= left and right and n >= min(10, len(x))
             # pieces end a match early
         assert ok or n >= dc.PIECE_WORDS - 10 or r["item_id"] == "11"
     # the distinct texts of every hit row have matches that cover the hit words
