@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, mixing, neardup, substring, topk, warc
+from tessera.llm import decontam, mixing, neardup, phrases, substring, topk, warc
 from tessera.llm.common import documents
 from tessera.llm.extract import extract
 from tessera.llm.fingerprint import fingerprints
@@ -101,3 +101,9 @@ def op11_decontaminate(spark, sf_dir):
 def op12_conversation_repair(spark, sf_dir):
     """Every conversation, damaged and then repaired at the least cost."""
     return repair_damaged(load(spark, sf_dir, "conversations"))
+
+
+@query("op13_collocations", phrases.SQL)
+def op13_collocations(spark, sf_dir):
+    """Best phrases of two and three words of each language, over all whole texts."""
+    return phrases.collocations(documents(spark, sf_dir))
