@@ -14,7 +14,6 @@ import heapq
 import re
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,6 +24,10 @@ from tessera.llm.common import TwoGenerationCache, arrow_map, in_parts, tokenize
 SPACE = "▁"
 #: parts of one text that are held at a time
 PART = 200_000
+#: symbols up to which an agenda is a plain list: taking its least entry is one step of C
+SHORT = 48
+#: agenda entry of a pair that no piece joins
+NEVER = float("inf")
 
 
 class MergePieces:
@@ -43,11 +46,10 @@ class MergePieces:
                 or not norm.add_dummy_prefix or not norm.escape_whitespaces or spec.treat_whitespace_as_suffix:
             raise ValueError("only BPE models with the identity normalizer and a leading space are read")
         kind = model.SentencePiece
-        if any(p.type == kind.USER_DEFINED for p in model.pieces):
-            raise ValueError("user-defined pieces are not read")
+        if any(p.type == kind.USER_DEFINED for p in model.pieces) or not spec.byte_fallback:
+            raise ValueError("vocabularies with user-defined pieces or without byte pieces are not read")
         self.ids, self.scores = {}, {}
         self.byte_ids, self.raw = [0] * 256, []
-        self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kind.UNKNOWN)
         for i, p in enumerate(model.pieces):
             raw = b""
             if p.type == kind.NORMAL:
@@ -60,9 +62,7 @@ class MergePieces:
             elif p.type == kind.UNKNOWN:
                 raw = spec.unk_surface.encode()
             self.raw.append(raw)
-        self.fallback = spec.byte_fallback
         self.end = self.library.eos_id()
-        self.text_of_id = [str(i) for i in range(len(self.raw))]
         # letters that some piece joins with a non-letter count as non-letters
         letter, border = r"[^\W\d_]", set()
         for p in self.ids:
@@ -71,12 +71,44 @@ class MergePieces:
         self.parts = re.compile(f"{SPACE}*[^\\W\\d_{odd}]+|{SPACE}*(?:[^\\w{SPACE}\n]|[\\d_{odd}])+|\n|{SPACE}+")
         if any(len(self.parts.findall(p)) > 1 for p in self.ids):
             raise ValueError("the vocabulary has pieces across parts")
-        self.cache = TwoGenerationCache(self.merge)
+        self.order = {p: -s for p, s in self.scores.items()}
+        #: per part: its ids as text, how many they are, the bytes they decode to
+        self.cache = TwoGenerationCache(lambda part: self.packed(self.merge(part)))
 
-    def merge(self, part: str) -> tuple[int, ...]:
+    def packed(self, ids: list[int]) -> tuple[str, int, bytes]:
+        return " ".join(map(str, ids)), len(ids), b"".join([self.raw[i] for i in ids])
+
+    def merge(self, part: str) -> list[int]:
         """Ids of one part, by the agenda."""
+        out = []
+        for s in self.joined(list(part)) if len(part) <= SHORT else self.joined_long(list(part)):
+            i = self.ids.get(s)
+            if i is not None:
+                out.append(i)
+            else:
+                out.extend(self.byte_ids[b] for b in s.encode())
+        return out
+
+    def joined(self, sym: list[str]) -> list[str]:
+        """Symbols after all merges; the agenda lists the pairs in text order."""
+        order = self.order.get
+        agenda = [order(a + b, NEVER) for a, b in zip(sym, sym[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)  # the leftmost of equals
+            sym[i] += sym.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = order(sym[i - 1] + sym[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = order(sym[i] + sym[i + 1], NEVER)
+        return sym
+
+    def joined_long(self, sym: list[str]) -> list[str]:
+        """The same with a heap, for many symbols."""
         scores = self.scores
-        sym: list[str] = list(part)
         n = len(sym)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         agenda = []
@@ -102,55 +134,54 @@ class MergePieces:
                 s = scores.get(sym[h] + made)
                 if s is not None:
                     heapq.heappush(agenda, (-s, h, sym[h] + made))
-        out = []
-        for s in sym:
-            if s:
-                i = self.ids.get(s)
-                if i is not None:
-                    out.append(i)
-                elif self.fallback:
-                    out.extend(self.byte_ids[b] for b in s.encode())
-                else:
-                    out.append(self.unknown)
-        return tuple(out)
+        return [s for s in sym if s]
 
     def learn(self, parts: set[str]) -> None:
         """Encode parts that are not in the cache, compare them with the library,
         and keep them.  The library puts its own space in front: a line end
         shields parts that have none."""
-        new = [p for p in parts if not self.cache.known(p)]
+        new = list(parts.difference(self.cache, self.cache.old))
         if not new:
             return
         plain = self.library.encode([p[1:].replace(SPACE, " ") if p[0] == SPACE and len(p) > 1 else "\n" + p.replace(SPACE, " ")
                                      for p in new], num_threads=1)
-        lead = [self.ids[SPACE], self.byte_ids[10]] if self.fallback else [self.ids[SPACE], self.unknown]
+        lead = [self.ids[SPACE], self.byte_ids[10]]
         for p, theirs in zip(new, plain, strict=True):
             ids = self.merge(p)
-            mine = list(ids) if p[0] == SPACE and len(p) > 1 else lead + list(ids)
-            if mine != theirs and self.fallback:
+            mine = [*ids] if p[0] == SPACE and len(p) > 1 else [*lead, *ids]
+            if mine != theirs:
                 raise AssertionError(f"encoding of {p!r}: {mine} here, {theirs} in the library")
-            self.cache.put(p, ids)
+            self.cache.put(p, self.packed(ids))
 
-    def encode(self, text: str) -> list[int]:
-        """All ids of a text, without begin or end."""
-        if not text:
-            return []
-        spaced = SPACE + text.replace(" ", SPACE)
-        if len(spaced) <= PART:
-            found = self.parts.findall(spaced)
-            return list(chain.from_iterable(map(self.cache.__getitem__, found)))
-        out: list[int] = []
+    def packs(self, text: str):
+        """What the cache keeps of each part of a text, in order."""
+        spaced = SPACE + text.replace(" ", SPACE) if text else ""
         for found in in_parts((m.group() for m in self.parts.finditer(spaced)), PART):
             self.learn(set(found))
-            out.extend(chain.from_iterable(map(self.cache.__getitem__, found)))
-        return out
+            yield from map(self.cache.__getitem__, found)
+
+    def encode(self, text: str) -> list[int]:
+        """All ids of a text, without begin or end."""
+        return [int(i) for ids, _, _ in self.packs(text) for i in ids.split()]
 
     def encode_batch(self, texts: list[str]):
-        """Ids of each text; new parts of the batch are checked together."""
+        """Ids of each text."""
+        for packs in self.packs_batch(texts):
+            yield [int(i) for ids, _, _ in packs for i in ids.split()]
+
+    def packs_batch(self, texts: list[str]):
+        """``packs`` of each text; new parts of the batch are checked together."""
         found = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t and len(t) < PART else None for t in texts]
         self.learn(set().union(*(f for f in found if f)))
         for t, f in zip(texts, found, strict=True):
-            yield self.encode(t) if f is None else list(chain.from_iterable(map(self.cache.__getitem__, f)))
+            yield list(self.packs(t)) if f is None else list(map(self.cache.__getitem__, f))
+
+    def decoded(self, ids: tuple[str, ...], raw: tuple[bytes, ...]) -> bytes:
+        """``decode`` of the ids of parts, in UTF-8."""
+        out = b"".join(raw)
+        if out[:1] == b" " and ids[0].split(" ", 1)[0] != str(self.byte_ids[32]):
+            out = out[1:]
+        return out.decode("utf-8", errors="replace").encode()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; control ids vanish, as does the space put in front."""
@@ -173,7 +204,7 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (decimal ids joined by one space), ``decoded_sha256`` (text of the ids),
     ``round_trip`` (the decoded text equals the text) and, if ``with_ids``,
     ``ids``.  No shuffle; memory per task is one Arrow batch plus a cache of
-    fixed size.
+    fixed size.  Vocabularies without byte pieces are refused.
 
     Null and empty text: the end id alone, decoded as the empty text
     (``round_trip`` is true).  A null id stays null; repeated rows stay
@@ -185,15 +216,16 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         m = model(vocabulary)
         texts = pc.fill_null(b.column(1).cast(pa.string()), "").to_pylist()
         n, ids_sha, text_sha, same, kept = [], [], [], [], []
-        for text, ids in zip(texts, m.encode_batch(texts), strict=True):
-            ids.append(m.end)
-            back = m.decode(ids)
-            n.append(len(ids))
-            ids_sha.append(sha256(" ".join([m.text_of_id[i] for i in ids]).encode()).hexdigest())
-            text_sha.append(sha256(back.encode()).hexdigest())
-            same.append(back == text)
+        for text, packs in zip(texts, m.packs_batch(texts), strict=True):
+            parts, counts, raw = zip(*packs, strict=True) if packs else ((), (), ())
+            ids = " ".join([*parts, str(m.end)])
+            back = m.decoded(parts, raw)
+            n.append(sum(counts) + 1)
+            ids_sha.append(sha256(ids.encode()).hexdigest())
+            text_sha.append(sha256(back).hexdigest())
+            same.append(back == text.encode())
             if with_ids:
-                kept.append(ids)
+                kept.append([int(i) for i in ids.split()])
         cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()),
                 pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())]
         names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
