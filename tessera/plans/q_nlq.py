@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tessera.functions import params as P
 from tessera.operators import relational as R
 from tessera.plans import nl_answer as N
+from tessera.plans.compiler import answer_requests
 from tessera.plans.q_text import hash_vectors_sql
 from tessera.plans.registry import portable, query
 from tessera.plans.sqlviews import SALES_CTE, with_sales
+from tessera.sources.writes import write_staged
 
 ASOF = dt.date(2001, 12, 31)
 
@@ -345,3 +347,38 @@ def q_nl_answer_batch(spark, d):
     """Every prompt of the workload answered through its matched template,
     all at once (parameters as join keys, distinct requests answered once)."""
     return N.answer_batch(spark, N.prompt_workload(spark, d), d, ASOF)
+
+
+@query("nl_compiled", _BATCH_SQL)
+def q_nl_compiled(spark, d):
+    """Every prompt of the workload answered through its matched template as the
+    compiler reads it from the template table: no plan is written for any one of
+    them."""
+    templates = N.template_table(spark)
+    found = N.resolved_prompts(spark, N.prompt_workload(spark, d), ASOF).where(F.col("matched") & F.col("ok"))
+    found = found.select("prompt_id", F.col("name").alias("template"), "params")
+    requests = spark.read.schema(found.schema).parquet(write_staged(found, spark, "compiled-requests"))
+    rows = answer_requests(requests, templates.select("name", F.col("sql_template").alias("sql")), {"sales": R.sales_view(spark, d)})
+    return rows.select("prompt_id", "template", F.col("answer")[0].alias("answer_key"), F.col("answer")[1].cast("double").alias("total_revenue"),
+                       F.coalesce("rank", F.lit(1)).alias("rank"))
+
+
+#: a template that only a row of the template table knows
+ADDED = [("units_by_region_on_date",
+          "SELECT region, SUM(quantity) AS units, COUNT(DISTINCT product_id) AS products FROM sales "
+          "WHERE sale_date = to_date({date}, 'yyyy-MM-dd') AND quantity >= 10 GROUP BY region ORDER BY units DESC, region LIMIT 3")]
+
+
+@query("nl_added", "WITH " + WORKLOAD_SQL + "," + PARAMS_SQL + ",\n" + SALES_CTE + """,
+u AS (SELECT sale_date, region, SUM(quantity) AS units, COUNT(DISTINCT product_id) AS products FROM sales WHERE quantity >= 10 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY sale_date ORDER BY units DESC, region) AS rank FROM u)
+SELECT px.prompt_id, CAST(k.rank AS INTEGER) AS rank, k.region, CAST(k.units AS DOUBLE) AS units, k.products
+FROM px JOIN k ON k.sale_date = TRY_CAST(px.date AS DATE) WHERE k.rank <= 3""")
+def q_nl_added(spark, d):
+    """Every prompt with a date answered by a template added as a row."""
+    asked = _workload(spark, d).select("prompt_id", P.extract_params("prompt", ASOF.year).alias("params")) \
+        .where(F.try_element_at("params", F.lit("date")).isNotNull())
+    templates = spark.createDataFrame(ADDED, "name string, sql string")
+    rows = answer_requests(asked.withColumn("template", F.lit(ADDED[0][0])), templates, {"sales": R.sales_view(spark, d)})
+    return rows.select("prompt_id", "rank", F.col("answer")[0].alias("region"), F.col("answer")[1].cast("double").alias("units"),
+                       F.col("answer")[2].cast("long").alias("products"))
