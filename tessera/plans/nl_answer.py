@@ -389,42 +389,74 @@ def answer_batch(spark: SparkSession, prompts: DataFrame, sf_dir: str, asof: dt.
     return res
 
 
+def named_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with ``{name=value}`` parameters: those of ``prompt_workload``,
+    one for every seventh order that asks for its year's customers, and the
+    user turns of the conversations with parameters that suit no intent."""
+    base = prompt_workload(spark, sf_dir)
+    o = load(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
+    k = F.col("o_orderkey")
+    asked = o.select((-k - 10**12).alias("prompt_id"), F.format_string(
+        "customers by total revenue {year=%d} {limit=%d}", F.year("o_orderdate"), k % 9 + 1).alias("prompt"))
+    turns = load(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    other = turns.select((F.col("conv_id") * 1000 + F.col("turn") + 1 + 10**12).alias("prompt_id"),
+                         F.concat("text", F.lit(" {year=1998} {limit=2}")).alias("prompt"))
+    named = base.unionByName(asked).unionByName(other)
+    return named.where(F.size(P.named_params("prompt")) > 0)
+
+
 def answer_named(spark: SparkSession, prompts: DataFrame, sf_dir: str,
                  threshold: float = HASH_MATCH_THRESHOLD) -> DataFrame:
     """Prompts with ``{name=value}`` parameters, answered: the closest brace
     template is bound by name, and each different bound request runs once, as a
     join of the requests with the sales star.
 
-    Returns per prompt: ``prompt_id``, ``template``, ``status`` (``ok``, or
-    ``missing: <name>`` for the first unbound parameter), ``n_rows`` and
-    ``revenue`` of the rows that the request selects.  Prompts without any
-    parameter are left out."""
+    The intent is the prompt with each parameter's name in place of the pair (values say
+    nothing about it).  Returns per prompt: ``prompt_id``, ``template``,
+    ``status`` (``ok``, ``missing: <name>`` for the first unbound parameter, or
+    ``no match`` where no template reaches ``threshold``), ``n_rows`` and
+    ``revenue`` of the rows that the request selects, and ``suggestions``: for an
+    unmatched prompt the closest templates, nearest first, else null.  Prompts
+    without any parameter are left out."""
     templates = brace_template_table(spark)
     named = prompts.select("prompt_id", P.named_params("prompt").alias("params"), "prompt").where(F.size("params") > 0)
-    best = best_template(named, templates).select("prompt_id", "template_id")
     tpl = F.broadcast(templates.select("template_id", "name", "sql_template"))
+    intent = named.select("prompt_id", F.regexp_replace("prompt", P.NAMED_RE, "$1").alias("prompt"))
+    hits = match_templates(intent, templates, 3, threshold).join(tpl, F.col("item_id") == F.col("template_id"))
+    near = F.array_sort(F.collect_list(F.struct("rank", "name", "sql_template")))
+    found = hits.groupBy(F.col("query_id").alias("prompt_id")).agg(F.first("matched").alias("matched"), near.alias("near"))
     value = lambda k: F.try_element_at("params", F.lit(k))
-    bound = named.join(best, "prompt_id").join(tpl, "template_id") \
-        .withColumn("b", P.bind_template("sql_template", F.col("params")))
-    r = bound.select("prompt_id", F.col("name").alias("template"), F.get(F.col("b.missing"), 0).alias("missing"),
+    bound = named.join(found, "prompt_id").withColumn("b", P.bind_template(F.col("near")[0]["sql_template"], F.col("params")))
+    r = bound.select("prompt_id", "matched", F.when(F.col("matched"), F.col("near")[0]["name"]).alias("template"),
+                     F.when(~F.col("matched"), F.array_join("near.name", ",")).alias("suggestions"),
+                     F.get(F.col("b.missing"), 0).alias("missing"),
                      value("region").alias("region"), value("year").try_cast("int").alias("year"),
                      value("min_revenue").try_cast("double").alias("least"), value("limit").try_cast("int").alias("lim"))
+    # prompts are matched once; all that follows reads the written rows
     r = spark.read.schema(r.schema).parquet(write_staged(r, spark, "named-requests"))
-    ok = r.where("missing IS NULL")
-    s = R.sales_view(spark, sf_dir).select("region", F.year("sale_date").alias("year"), "customer_id", "total_amount")
+    ok = r.where("matched AND missing IS NULL")
+    # the star is read once, for the years that are asked for
+    s = R.sales_view(spark, sf_dir).select("region", F.year("sale_date").alias("year"), "customer_id", "total_amount") \
+        .join(ok.select("year").distinct(), "year", "left_semi")
+    s = spark.read.schema(s.schema).parquet(write_staged(s, spark, "named-sales"))
     # rows of a region and year from a least amount on: counted per distinct request
-    asked = ok.where("template = 'sales_by_region_year_min'").select("region", "year", "least").distinct()
-    rows = asked.join(s, ["region", "year"]).where(F.col("total_amount").cast("double") >= F.col("least")) \
+    ranged = ok.where("template = 'sales_by_region_year_min'")
+    rows = ranged.select("region", "year", "least").distinct().join(s, ["region", "year"]) \
+        .where(F.col("total_amount").cast("double") >= F.col("least")) \
         .groupBy("region", "year", "least").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("total_amount").cast("double").alias("revenue"))
-    first = ok.where("template = 'sales_by_region_year_min'").join(rows, ["region", "year", "least"], "left") \
-        .select("prompt_id", "template", F.lit("ok").alias("status"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "revenue")
-    # the first customers of a year by revenue
+    none = F.lit(None)
+    first = ranged.join(rows, ["region", "year", "least"], "left") \
+        .select("prompt_id", "template", F.lit("ok").alias("status"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "revenue", "suggestions")
+    # the first customers of a year by revenue; the bound of a group limit must be a constant
+    asked = ok.where("template = 'top_customers'")
+    most = asked.agg(F.max("lim")).first()[0] or 0
     per = s.groupBy("year", "customer_id").agg(F.sum("total_amount").alias("rev"))
-    w = Window.partitionBy("year").orderBy(F.col("rev").desc(), F.col("customer_id"))
-    top = per.withColumn("rank", F.row_number().over(w))
-    second = ok.where("template = 'top_customers'").join(top, "year", "left").where("rank IS NULL OR rank <= lim") \
-        .groupBy("prompt_id", "template").agg(F.count("rank").alias("n_rows"), F.sum("rev").cast("double").alias("revenue")) \
-        .select("prompt_id", "template", F.lit("ok").alias("status"), "n_rows", "revenue")
-    bad = r.where("missing IS NOT NULL").select("prompt_id", "template", F.concat(F.lit("missing: "), "missing").alias("status"),
-                                                F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("double").alias("revenue"))
+    top = R.rank_within(per, ["year"], [F.col("rev").desc(), F.col("customer_id")], most)
+    total = asked.select("year", "lim").distinct().join(top, "year").where("rank <= lim") \
+        .groupBy("year", "lim").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("rev").cast("double").alias("revenue"))
+    second = asked.join(total, ["year", "lim"], "left") \
+        .select("prompt_id", "template", F.lit("ok").alias("status"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "revenue", "suggestions")
+    bad = r.where("NOT matched OR missing IS NOT NULL").select(
+        "prompt_id", "template", F.when(~F.col("matched"), "no match").otherwise(F.concat(F.lit("missing: "), "missing")).alias("status"),
+        none.cast("long").alias("n_rows"), none.cast("double").alias("revenue"), "suggestions")
     return first.unionByName(second).unionByName(bad)

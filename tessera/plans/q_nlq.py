@@ -170,35 +170,52 @@ def q_template_bind(spark, d):
                     F.array_join("b.missing", ",").alias("missing"))
 
 
+_NAMED_WORKLOAD_SQL = WORKLOAD_SQL.replace("wl AS", "wl0 AS") + r""",
+wl1 AS (
+  SELECT prompt_id, prompt FROM wl0
+  UNION ALL SELECT -o_orderkey - 1000000000000,
+    'customers by total revenue {year=' || CAST(year(o_orderdate) AS VARCHAR) || '} {limit=' || CAST(o_orderkey % 9 + 1 AS VARCHAR) || '}'
+  FROM orders WHERE o_orderkey % 7 = 0
+  UNION ALL SELECT conv_id * 1000 + turn + 1 + 1000000000000, text || ' {year=1998} {limit=2}' FROM conversations WHERE role = 'user'),
+wl AS (SELECT prompt_id, prompt AS full_prompt, regexp_replace(prompt, '\{(.*?)=(.*?)\}', '\1', 'g') AS prompt FROM wl1
+       WHERE len(regexp_extract_all(prompt, '\{(.*?)=(.*?)\}', 1)) > 0)"""
+
 _NAMED_ANSWER_SQL = with_sales("""
-WITH """ + _brace_sql() + ",\n" + _dense_topk("btpl", "template_id", "intent_text", 1) + ",\n" + NAMED_SQL + r""",
+WITH """ + _brace_sql() + ",\n" + _dense_topk("btpl", "template_id", "intent_text", 3).replace(WORKLOAD_SQL, _NAMED_WORKLOAD_SQL)
+                               + ",\n" + NAMED_SQL.replace("prompt,", "full_prompt,") + r""",
 vals AS (
   SELECT prompt_id, list(lower(name)) AS keys, max(CASE WHEN name = 'region' THEN value END) AS region,
          TRY_CAST(max(CASE WHEN name = 'year' THEN value END) AS INTEGER) AS year,
          TRY_CAST(max(CASE WHEN name = 'min_revenue' THEN value END) AS DOUBLE) AS least,
          TRY_CAST(max(CASE WHEN name = 'limit' THEN value END) AS INTEGER) AS lim
   FROM np GROUP BY prompt_id),
+near AS (SELECT t.query_id AS prompt_id, max(t.sim) >= 0.52 AS matched, string_agg(b.name, ',' ORDER BY t.rank) AS suggestions
+         FROM topk t JOIN btpl b ON b.template_id = t.item_id GROUP BY 1),
 q AS (
-  SELECT v.*, b.name AS template,
+  SELECT v.*, b.name AS template, n.matched, n.suggestions,
          list_filter(regexp_extract_all(b.sql_template, '\{(.*?)\}', 1), lambda p: NOT list_contains(v.keys, lower(p)))[1] AS missing
-  FROM vals v JOIN topk t ON t.query_id = v.prompt_id JOIN btpl b ON b.template_id = t.item_id),
+  FROM vals v JOIN topk t ON t.query_id = v.prompt_id AND t.rank = 1 JOIN btpl b ON b.template_id = t.item_id JOIN near n ON n.prompt_id = v.prompt_id),
 cust AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY rev DESC, customer_id) AS rk FROM (
   SELECT year(sale_date) AS year, customer_id, SUM(total_amount) AS rev FROM sales GROUP BY ALL))
 SELECT prompt_id, template, 'ok' AS status,
        (SELECT count(*) FROM sales s WHERE s.region = q.region AND year(s.sale_date) = q.year AND CAST(s.total_amount AS DOUBLE) >= q.least) AS n_rows,
-       (SELECT CAST(SUM(total_amount) AS DOUBLE) FROM sales s WHERE s.region = q.region AND year(s.sale_date) = q.year AND CAST(s.total_amount AS DOUBLE) >= q.least) AS revenue
-FROM q WHERE missing IS NULL AND template = 'sales_by_region_year_min'
+       (SELECT CAST(SUM(total_amount) AS DOUBLE) FROM sales s WHERE s.region = q.region AND year(s.sale_date) = q.year AND CAST(s.total_amount AS DOUBLE) >= q.least) AS revenue,
+       NULL::VARCHAR AS suggestions
+FROM q WHERE matched AND missing IS NULL AND template = 'sales_by_region_year_min'
+UNION ALL
+SELECT prompt_id, template, 'ok', count(rk), CAST(SUM(rev) AS DOUBLE), NULL FROM q LEFT JOIN cust ON cust.year = q.year AND cust.rk <= q.lim
+WHERE matched AND missing IS NULL AND template = 'top_customers' GROUP BY ALL
 UNION ALL
-SELECT prompt_id, template, 'ok', count(rk), CAST(SUM(rev) AS DOUBLE) FROM q LEFT JOIN cust USING (year)
-WHERE missing IS NULL AND template = 'top_customers' AND (rk IS NULL OR rk <= lim) GROUP BY ALL
+SELECT prompt_id, template, 'missing: ' || missing, NULL, NULL, NULL FROM q WHERE matched AND missing IS NOT NULL
 UNION ALL
-SELECT prompt_id, template, 'missing: ' || missing, NULL, NULL FROM q WHERE missing IS NOT NULL""")
+SELECT prompt_id, NULL, 'no match', NULL, NULL, suggestions FROM q WHERE NOT matched""")
 
 
 @query("nl_named", _NAMED_ANSWER_SQL)
 def q_nl_named(spark, d):
-    """Every ``{name=value}`` prompt answered from its bound template."""
-    return N.answer_named(spark, _workload(spark, d), d)
+    """Every ``{name=value}`` prompt answered from its bound template, or refused
+    with suggestions."""
+    return N.answer_named(spark, N.named_workload(spark, d), d)
 
 
 @query("fill_defaults", "WITH " + _templates_sql() + ",\n" + _dense_topk("tpl", "template_id", "intent_text", 1)

@@ -105,7 +105,7 @@ def rag_search(spark, d, k: int = 8, max_distance: float = 0.8):
     hits = SR.threshold(SR.knn(prompts, chunks, k, "prompt_id", "vec", "chunk_uid", "vec"),
                         max_distance=max_distance)
     docs = load(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("title"))
-    return (hits.withColumn("doc_id", F.floor(F.col("item_id") / 1_000_000).cast("long"))
+    return (hits.withColumn("doc_id", F.expr("item_id div 1000000"))
                 .join(docs, "doc_id")
                 .select(F.col("query_id").alias("prompt_id"), F.col("item_id").alias("chunk_uid"),
                         "title", F.col("score"), "rank"))
@@ -120,7 +120,7 @@ def rag_search(spark, d, k: int = 8, max_distance: float = 0.8):
 SELECT query_id AS prompt_id, item_id AS chunk_uid, dd.source || '/' || dd.lang AS title, sim AS score,
        CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, item_id) AS rank FROM sims) r
-JOIN documents dd ON dd.doc_id = CAST(floor(r.item_id / 1000000) AS BIGINT)
+JOIN documents dd ON dd.doc_id = r.item_id // 1000000
 WHERE rank <= 8 AND 1 - sim < 0.8""")
 def q_rag_search(spark, d):
     return rag_search(spark, d)
