@@ -8,11 +8,10 @@ before its suffixes, which the LF mapping sends to one interval each, and to
 the right along the inverse mapping.  Each phrase has its count and how many of
 its occurrences have a word before and after them.  Counts add up across shards.
 
-Counting happens twice.  First the shards send a 64-bit hash and a count for
-each of their phrases, packed by hash range, and the sums tell which hashes
-reach the least count.  These make a Bloom filter of fixed size, and the shards
-then send only phrases that pass it, as texts, whose exact sums decide.  The
-filter only spares work: hashes that collide add phrases that the sums drop.
+Shards send a hash and a count for each of their phrases, packed by hash range.
+The sums of a range are exact; a phrase that reaches the least count is given to
+one of the shards that have it, and that shard writes it out as text.  So the
+text of a phrase travels once, whatever its count.
 """
 
 from __future__ import annotations
@@ -35,13 +34,11 @@ from tessera.session import scratch_path
 #: words of the longest candidates, least count, phrases of a language, share (per cent) at which a longer phrase replaces a part
 LONGEST, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: bytes of text in a shard
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 #: bytes of index for each range of hashes that is summed up together, and how many ranges there are (powers of 2)
 RANGE_BYTES, RANGES = 8 << 20, (1 << 8, 1 << 16)
-#: bits and probes of the filter: its size is the same for any input
-FILTER_BITS, PROBES = 1 << 27, 4
-#: bits of the filter that are put together in one row
-FILTER_PART = 1 << 20
+#: counts from here on are sent in eight bytes
+WIDE = 255
 
 #: A-Z lower-cased; pieces end at any of .,;:!? and 0x0A to 0x0D
 TABLE = byte_table(b"", b".,;:!?\x0b\x0c\x0d")
@@ -81,8 +78,7 @@ class Shard:
         most = np.maximum.accumulate(number) if len(number) else number
         first = np.flatnonzero(np.r_[True, most[1:] > most[:-1]]) if len(number) else number
         # a piece ends at a line feed or at the end of a text
-        lines = np.cumsum(w.data == 0x0A, dtype=np.int32)
-        line = lines[w.start] if len(w.start) else np.zeros(0, np.int32)
+        line = np.searchsorted(np.flatnonzero(w.data == 0x0A), w.start)
         ends = np.ones(len(number), bool)
         ends[:-1] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
         place = np.arange(len(number)) + np.cumsum(ends) - ends
@@ -176,22 +172,38 @@ def enumerate_phrases(bwt: np.ndarray, depth: int = LONGEST):
             follow = after[follow]
 
 
-def phrase_hashes(words: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+def phrase_hashes(words: list[np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of phrases: one tells the range, the other stands for the
+    phrase in it (together 64 bits and those of the range)."""
     c = constants()
-    out = np.full(len(words[0]), len(words), np.uint64)
+    one = np.full(len(words[0]), len(words), np.uint64)
+    two = one + np.uint64(0x5851F42D4C957F2D)
     for j, w in enumerate(words):
-        out += hashes[w - 1] * c[j]
-    return mixed(out)
+        h = hashes[w - 1]
+        one += h * c[j]
+        two += (h ^ (h >> np.uint64(29))) * c[j + LONGEST]
+    return mixed(one), mixed(two)
 
 
-def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mixed(h)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return [((h + np.uint64(j) * step) % np.uint64(bits)).astype(np.int64) for j in range(PROBES)]
+def packed_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers in three bytes each, or in four if one needs them."""
+    data = np.ascontiguousarray(numbers, np.uint32)
+    if len(data) and int(data.max()) >> 24:
+        return b"4" + data.tobytes()
+    return b"3" + np.ascontiguousarray(data.view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    if data[:1] == b"4":
+        return np.frombuffer(data, np.uint32, offset=1).astype(np.int32)
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, 3)
+    return out.view(np.uint32).reshape(-1).astype(np.int32)
 
 
 def shards(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """The FM-index of each shard, and ``totals`` of its words by language."""
+    """The FM-index of each shard (``shard`` is its number), and ``totals`` of its
+    words by language."""
     def run(batches):
         held, size = [], 0
 
@@ -200,9 +212,9 @@ def shards(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             s = Shard.build(t.column("text"), t.column("lang").combine_chunks())
             total = np.bincount(s.lang[s.bwt[s.bwt > 0] - 1], minlength=len(s.langs)) if len(s.langs) else np.zeros(0, int)
             return pa.RecordBatch.from_arrays(
-                [pa.array([s.bwt.tobytes()], pa.binary()), pa.array([s.words], pa.binary()), pa.array([s.lang.tobytes()], pa.binary()),
+                [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([packed_numbers(s.bwt)], pa.binary()), pa.array([s.words], pa.binary()), pa.array([s.lang.tobytes()], pa.binary()),
                  pa.array([s.langs], pa.list_(pa.string())), pa.array([total.tolist()], pa.list_(pa.int64()))],
-                ["bwt", "words", "lang", "langs", "totals"])
+                ["shard", "bwt", "words", "lang", "langs", "totals"])
 
         for b in byte_parts(batches, 0, SHARD_BYTES):
             held.append(b)
@@ -214,7 +226,7 @@ def shards(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             yield built()
 
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    return rows.mapInArrow(run, "bwt binary, words binary, lang binary, langs array<string>, totals array<long>")
+    return rows.mapInArrow(run, "shard long, bwt binary, words binary, lang binary, langs array<string>, totals array<long>")
 
 
 def _stored(index: DataFrame) -> DataFrame:
@@ -226,10 +238,9 @@ def _stored(index: DataFrame) -> DataFrame:
     return spark.read.schema(index.schema).parquet(path)
 
 
-def _read(batches):
-    for b in batches:
-        for bwt, words, lang, langs in zip(*(b.column(c) for c in ("bwt", "words", "lang", "langs")), strict=True):
-            yield Shard(np.frombuffer(bwt.as_buffer(), np.int32), words.as_py(), np.frombuffer(lang.as_buffer(), np.int32), langs.as_py())
+def _read(b: pa.RecordBatch | pa.Table):
+    for shard, bwt, words, lang, langs in zip(*(b.column(c) for c in ("shard", "bwt", "words", "lang", "langs")), strict=True):
+        yield shard.as_py(), Shard(unpacked_numbers(bwt.as_py()), words.as_py(), np.frombuffer(lang.as_py(), np.int32), langs.as_py())
 
 
 def _ranges(index: DataFrame) -> int:
@@ -238,114 +249,109 @@ def _ranges(index: DataFrame) -> int:
     return min(RANGES[1], max(RANGES[0], 1 << (size // RANGE_BYTES).bit_length()))
 
 
-def _frequent_hashes(index: DataFrame, longest: int, least: int, parts: int, ranges: int) -> DataFrame:
-    """``part`` of the filter and ``places`` of set bits in it: those of the
-    hashes (range and 32 bits more) that reach ``least``."""
-    top = ranges.bit_length() - 1
-    small = next(t for t in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(t).max)
+def _sums(index: DataFrame, longest: int, least: int, parts: int, ranges: int) -> DataFrame:
+    """The phrases that reach ``least``: ``shard`` (one that has them), ``range``,
+    ``hashes`` and ``sums``."""
+    top = np.uint64(65 - ranges.bit_length())
 
     def send(batches):
-        for s in _read(batches):
-            h = s.hashes()
-            found = [(phrase_hashes(i.words, h), i.count) for i in enumerate_phrases(s.bwt, longest) if len(i.first)]
-            if not found:
-                continue
-            hashes = np.concatenate([f[0] for f in found])
-            count = np.minimum(np.concatenate([f[1] for f in found]), least).astype(small)
-            order = np.argsort(hashes)
-            hashes, count = hashes[order] >> np.uint64(32 - top), count[order]
-            cut = [*np.searchsorted(hashes, np.arange(ranges, dtype=np.uint64) << np.uint64(32)).tolist(), len(hashes)]
-            some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-            hashes = hashes.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([hashes[cut[r]:cut[r + 1]].tobytes() for r in some], pa.binary()),
-                 pa.array([count[cut[r]:cut[r + 1]].tobytes() for r in some], pa.binary())], ["range", "hashes", "counts"])
+        for b in batches:
+            for shard, s in _read(b):
+                h = s.hashes()
+                found = [(*phrase_hashes(i.words, h), i.count) for i in enumerate_phrases(s.bwt, longest) if len(i.first)]
+                if not found:
+                    continue
+                place, hashes, count = (np.concatenate(x) for x in zip(*found, strict=True))
+                place = place >> top
+                order = np.lexsort((hashes, place))
+                place, hashes = place[order], hashes[order]
+                cut = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+                some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+                count = count[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), pa.array([hashes[cut[r]:cut[r + 1]].tobytes() for r in some], pa.binary()),
+                     pa.array([np.minimum(count[cut[r]:cut[r + 1]], WIDE).astype(np.uint8).tobytes() for r in some], pa.binary()),
+                     pa.array([(x := count[cut[r]:cut[r + 1]])[x >= WIDE].tobytes() for r in some], pa.binary())], ["range", "shard", "hashes", "counts", "wide"])
 
     def summed(batches):
         """Sums of each range; ranges follow one another."""
         held, now = [], None
 
-        def bits():
-            h = np.concatenate([np.frombuffer(x, np.uint32) for x, _ in held])
-            c = np.concatenate([np.frombuffer(x, small) for _, x in held]).astype(np.int64)
+        def total():
+            h = np.concatenate([np.frombuffer(x[1], np.uint64) for x in held])
+            c = []
+            for _, _, few, wide in held:
+                few = np.frombuffer(few, np.uint8).astype(np.int64)
+                few[few == WIDE] = np.frombuffer(wide, np.int64)
+                c.append(few)
+            c = np.concatenate(c)
+            owner = np.repeat(np.array([x[0] for x in held]), [len(x[2]) for x in held])
             order = np.argsort(h)
-            h, c = h[order], c[order]
+            h, c, owner = h[order], c[order], owner[order]
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            h = h[first][np.add.reduceat(c, first) >= least].astype(np.uint64) | np.uint64(now) << np.uint64(32)
-            place = np.unique(np.concatenate(_probes(h, FILTER_BITS)))
-            part = place // FILTER_PART
-            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
-            end = np.r_[at[1:], len(part)] if len(part) else part
+            f = np.add.reduceat(c, first)
+            good = f >= least
+            h, f, owner = h[first][good], f[good], owner[first][good]
+            order = np.argsort(owner, kind="stable")
+            h, f, owner = h[order], f[order], owner[order]
+            at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
+            end = np.r_[at[1:], len(owner)] if len(owner) else at
             return pa.RecordBatch.from_arrays(
-                [pa.array(part[at], pa.int64()), pa.array([(place[a:z] % FILTER_PART).astype(np.uint32).tobytes() for a, z in zip(at, end, strict=True)], pa.binary())],
-                ["part", "places"])
+                [pa.array(owner[at], pa.int64()), pa.array(np.full(len(at), now), pa.int32()), pa.array([h[a:z].tobytes() for a, z in zip(at, end, strict=True)], pa.binary()),
+                 pa.array([f[a:z].tobytes() for a, z in zip(at, end, strict=True)], pa.binary())], ["shard", "range", "hashes", "sums"])
 
         for b in batches:
-            for r, h, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for r, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if r != now and held:
-                    yield bits()
+                    yield total()
                     held = []
                 now = r
-                held.append((h, c))
+                held.append(row)
         if held:
-            yield bits()
+            yield total()
 
-    sent = index.mapInArrow(send, "range int, hashes binary, counts binary")
-    return sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(summed, "part long, places binary")
-
-
-def _filter(bits: DataFrame) -> np.ndarray:
-    """The filter: FILTER_BITS bits, whatever the input."""
-    def pack(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = held.setdefault(part, np.zeros(FILTER_PART, bool))
-                own[np.frombuffer(places, np.uint32)] = True
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())],
-                                             ["part", "bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    size = FILTER_PART // 8
-    for part, own in bits.repartition(FILTER_BITS // FILTER_PART, "part").mapInArrow(pack, "part long, bits binary").collect():
-        out[part * size:(part + 1) * size] |= np.frombuffer(own, np.uint8)
-    return out
+    sent = index.mapInArrow(send, "range int, shard long, hashes binary, counts binary, wide binary")
+    return sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(summed, "shard long, range int, hashes binary, sums binary")
 
 
 def counted(index: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
-    """``lang``, ``phrase`` (words joined by a blank), ``k`` (words), ``f``
-    (occurrences, at least ``least``), ``left`` and ``right`` (occurrences with
-    a word before and after them in their piece)."""
-    spark = index.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """``lang``, ``phrase`` (words joined by a blank), ``k`` (words) and ``f``
+    (occurrences, at least ``least``) of a written index."""
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = _ranges(index)
-    seen = spark.sparkContext.broadcast(_filter(_frequent_hashes(index, longest, least, parts, ranges)))
-    drop = np.uint64(33 - ranges.bit_length())
-
-    def send(batches):
-        bits = seen.value
-        for s in _read(batches):
-            h, texts = s.hashes(), s.texts()
-            names = pa.array(s.langs, pa.string())
+    top = np.uint64(65 - ranges.bit_length())
+
+    def write(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Texts of the phrases that were given to a shard."""
+        out = []
+        for _, s in _read(left):
+            given = np.repeat(right.column("range").to_numpy().astype(np.uint64), [len(x) // 8 for x in right.column("hashes").to_pylist()])
+            keys = np.frombuffer(b"".join(right.column("hashes").to_pylist()), np.uint64)
+            sums = np.frombuffer(b"".join(right.column("sums").to_pylist()), np.int64)
+            order = np.argsort(keys)
+            keys, given, sums = keys[order], given[order], sums[order]
+            h, texts, names = s.hashes(), s.texts(), pa.array(s.langs, pa.string())
             for i in enumerate_phrases(s.bwt, longest):
-                use = np.ones(len(i.first), bool)
-                for place in _probes(phrase_hashes(i.words, h) >> drop, FILTER_BITS) if len(use) else ():
-                    use &= (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                use = np.flatnonzero(use)
-                if not len(use):
+                if not len(keys) or not len(i.first):
                     continue
-                for a in range(0, len(use), 50_000):
-                    part = use[a:a + 50_000]
-                    words = [texts.take(pa.array(w[part] - 1)) for w in i.words]
+                place, own = phrase_hashes(i.words, h)
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                # equal hashes of other ranges lie side by side
+                for step in range(int(np.bincount(np.unique(keys, return_inverse=True)[1]).max())):
+                    near = np.minimum(at + step, len(keys) - 1)
+                    use = np.flatnonzero((keys[near] == own) & (given[near] == place >> top) & (at + step < len(keys)))
+                    words = [texts.take(pa.array(w[use] - 1)) for w in i.words]
                     phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string())).cast(pa.string())
-                    lang = names.take(pa.array(s.lang[i.words[0][part] - 1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [lang, phrase, pa.array(np.full(len(part), len(words)), pa.int32()), pa.array(i.count[part], pa.int64()), pa.array(i.left[part], pa.int64()),
-                         pa.array(i.right[part], pa.int64())], ["lang", "phrase", "k", "f", "left", "right"])
+                    out.append(pa.table({"lang": names.take(pa.array(s.lang[i.words[0][use] - 1])), "phrase": phrase,
+                                         "k": pa.array(np.full(len(use), len(words)), pa.int32()), "f": pa.array(sums[near[use]])}))
+        return pa.concat_tables(out) if out else EMPTY
+
+    found = _sums(index, longest, least, parts, ranges)
+    bodies = index.select("shard", "bwt", "words", "lang", "langs")
+    return bodies.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(write, "lang string, phrase string, k int, f long")
+
 
-    return index.mapInArrow(send, "lang string, phrase string, k int, f long, left long, right long") \
-        .groupBy("lang", "phrase", "k").agg(*(F.sum(c).alias(c) for c in ("f", "left", "right"))).where(F.col("f") >= least)
+EMPTY = pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "k": pa.array([], pa.int32()), "f": pa.array([], pa.int64())})
 
 
 #: product of counts as whole decimals of up to 38 digits
@@ -369,13 +375,13 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     count each time; texts of any length are read whole.  Equal scores follow
     count and then phrase, in byte order.  An empty table gives an empty result;
     other columns aren't read.  Words of a shard are told apart by 64-bit
-    hashes; sums over shards are by text.
+    hashes, phrases of all shards by 72 bits or more (64 and those of the range).
     """
     if not 2 <= longest <= LONGEST:
         raise ValueError(f"phrases have 2 to {LONGEST} words")
     index = _stored(shards(df, text_col, lang_col))
     total = index.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
-    found = staged(counted(index, longest, least), "phrases").select("lang", "phrase", "k", "f")
+    found = staged(counted(index, longest, least), "phrases")
     long = found.where("k > 1").withColumn("w", F.split("phrase", " "))
 
     def part(first, size):
@@ -395,8 +401,8 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     kept = worst.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share)) \
         .select("lang", "phrase", "a", "x.l", "x.r", "x.score")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= top)
-    return best.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = kept.withColumn("rank", place).where(F.col("rank") <= top)  # a group limit comes before the shuffle
+    return best.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 #: DuckDB SQL of the same rows over a table ``documents``.

@@ -67,10 +67,9 @@ def test_collocations(spark, corpus, corpus_df, monkeypatch):
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == want and {r[0] for r in want} >= {"en", "fr", "und", "", "de"}
     assert ph.collocations(corpus_df.where("false")).count() == 0
-    # small shards, a full filter
+    # small shards, wide counts
     monkeypatch.setattr(ph, "SHARD_BYTES", 500)
-    monkeypatch.setattr(ph, "FILTER_BITS", 64)
-    monkeypatch.setattr(ph, "FILTER_PART", 8)
+    monkeypatch.setattr(ph, "WIDE", 4)
     assert sorted(map(tuple, ph.collocations(corpus_df).collect())) == want
 
 
@@ -119,6 +118,11 @@ def test_transform_of_large_vocabularies():
 
 
 def test_counts_add_up(spark, corpus, corpus_df):
-    index = ph.shards(corpus_df, "text", "lang")
+    index = ph._stored(ph.shards(corpus_df, "text", "lang"))
     got = {(r["lang"], r["phrase"]): r["f"] for r in ph.counted(index, least=2).collect()}
     assert got == {(g, " ".join(p)): c for g, f in counts(corpus).items() for p, c in f.items() if c >= 2}
+
+
+def test_packed_numbers():
+    for numbers in ([], [0, 1, 70_000, (1 << 24) - 1], [5, 1 << 24, 3]):
+        assert ph.unpacked_numbers(ph.packed_numbers(np.array(numbers, np.int64))).tolist() == numbers
