@@ -216,6 +216,72 @@ def infer_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: st
     return orphans.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("orphans"))
 
 
+#: columns whose membership one long holds
+WORD = 63
+
+
+def _value_kind(t: T.DataType) -> str:
+    return "text" if isinstance(t, T.StringType) else "date" if isinstance(t, T.DateType) else "number"
+
+
+def inclusion_dependencies(frames: dict[str, DataFrame]) -> DataFrame:
+    """Every pair of columns where the first one's values all stand in the second:
+    ``child_table, child_column, parent_table, parent_column``, ``n_values`` and
+    ``parent_values`` (distinct) and ``parent_unique``.  Nobody lists candidates.
+
+    All key-eligible columns of all tables are inverted in one pass: each value
+    (numbers, texts and dates apart; texts by their MD5) gets the set of columns that have it, as
+    a bit mask that is combined before the shuffle, so a hot value is one row per
+    task.  Values with the same set are one row from there on.  A column's
+    parents are what the sets of all its values have in common: another bit
+    mask, combined the same way.  No pair is tested on its own.
+
+    Nulls are no values; a column without values is in no pair; a column is not
+    its own parent; equal columns are each other's.  An empty catalog gives an
+    empty result."""
+    columns = [(t, f.name, _value_kind(f.dataType)) for t, df in frames.items() for f in df.schema.fields if f.name in key_eligible(df)]
+    schema = "child_table string, child_column string, parent_table string, parent_column string, n_values long, parent_values long, parent_unique boolean"
+    if not columns:
+        return SparkSession.active().createDataFrame([], schema)
+    spark = next(iter(frames.values())).sparkSession
+    number = {(t, c): i for i, (t, c, _) in enumerate(columns)}
+    words = [f"w{i}" for i in range(-(-len(columns) // WORD))]
+
+    def bits(i: int) -> list:
+        return [F.lit(1 << i % WORD if i // WORD == w else 0).cast("long").alias(words[w]) for w in range(len(words))]
+
+    cells, counts = [], []
+    for t, df in frames.items():
+        own = [(c, kind) for tt, c, kind in columns if tt == t]
+        if not own:
+            continue
+        value = lambda c, kind: F.md5(F.col(f"`{c}`")) if kind == "text" else F.col(f"`{c}`").cast("string")
+        cells.append(df.select(F.explode(F.array(*[
+            F.struct(F.lit(kind).alias("kind"), value(c, kind).alias("value"), *bits(number[t, c])) for c, kind in own])).alias("x")).select("x.*"))
+        counts.append(df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{number[t, c]}") for c, _ in own])
+                      .select(F.explode(F.array(*[F.struct(F.lit(number[t, c]).alias("column"), F.col(f"n{number[t, c]}").alias("present")) for c, _ in own])).alias("x"))
+                      .select("x.*"))
+    holders = reduce(lambda a, b: a.unionByName(b), cells).where("value IS NOT NULL") \
+        .groupBy("kind", "value").agg(*[F.bit_or(w).alias(w) for w in words])
+    sets = holders.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+
+    def in_word(i: int):
+        """Numbers of the columns whose bits are set in a word."""
+        every = F.sequence(F.lit(0), F.lit(WORD - 1))
+        return F.transform(F.filter(every, lambda b: F.getbit(F.col(words[i]), b) == 1), lambda b: b + i * WORD)
+
+    members = F.flatten(F.array(*map(in_word, range(len(words)))))
+    per = sets.withColumn("column", F.explode(members)).groupBy("column") \
+        .agg(F.sum("n").alias("n_values"), *[F.bit_and(w).alias(w) for w in words])
+    names = spark.createDataFrame([(i, t, c) for (t, c), i in number.items()], "column int, table_name string, column_name string")
+    known = per.select("column", "n_values").join(reduce(lambda a, b: a.unionByName(b), counts), "column").join(names, "column")
+    parent = known.select(F.col("column").alias("parent"), F.col("table_name").alias("parent_table"), F.col("column_name").alias("parent_column"),
+                          F.col("n_values").alias("parent_values"), (F.col("n_values") == F.col("present")).alias("parent_unique"))
+    return per.withColumn("parent", F.explode(members)).where("parent <> column").join(names, "column").join(parent, "parent") \
+        .select(F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column"), "parent_table", "parent_column",
+                "n_values", "parent_values", "parent_unique")
+
+
 # ---------------------------------------------------------------------------
 # Text documents
 # ---------------------------------------------------------------------------

@@ -120,6 +120,30 @@ def q_infer_fk(spark, d):
     return union_all(*parts)
 
 
+#: key-eligible columns of the tables that are searched for inclusions, by kind
+_IND_COLUMNS = {
+    "number": {"region": "r_regionkey", "nation": "n_nationkey n_regionkey", "customer": "c_custkey c_nationkey", "supplier": "s_suppkey s_nationkey",
+               "part": "p_partkey p_size", "orders": "o_orderkey o_custkey", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber",
+               "documents": "doc_id n_chars", "labels": "doc_id quality toxic"},
+    "text": {"region": "r_name", "nation": "n_name", "customer": "c_name c_mktsegment", "supplier": "s_name", "part": "p_name p_brand p_type",
+             "orders": "o_orderstatus o_orderpriority", "lineitem": "l_returnflag l_linestatus", "documents": "text lang source"},
+}
+_IND_CELLS = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v, COUNT(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY ALL"
+    for kind, tables in _IND_COLUMNS.items() for t, cols in tables.items() for c in cols.split())
+
+
+@query("inclusion_deps", f"""
+WITH v AS MATERIALIZED ({_IND_CELLS}),
+d AS (SELECT kind, t, c, COUNT(*) AS nv, SUM(n) AS present FROM v GROUP BY ALL),
+p AS (SELECT a.t AS ct, a.c AS cc, b.t AS pt, b.c AS pc, COUNT(*) AS shared FROM v a JOIN v b ON a.kind = b.kind AND a.v = b.v WHERE (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+SELECT ct AS child_table, cc AS child_column, pt AS parent_table, pc AS parent_column, x.nv AS n_values, y.nv AS parent_values, y.nv = y.present AS parent_unique
+FROM p JOIN d x ON x.t = ct AND x.c = cc JOIN d y ON y.t = pt AND y.c = pc WHERE shared = x.nv""")
+def q_inclusion_deps(spark, d):
+    """All inclusion dependencies between the key-eligible columns of nine tables."""
+    return C.inclusion_dependencies(IB.frames(spark, d, (*IB.CATALOG_TABLES, "documents", "labels")))
+
+
 # The schemas of the indexed tables (column, Spark type name),
 # in column order, as read by the catalog snapshot.
 CATALOG_SCHEMA = {
