@@ -63,12 +63,21 @@ def clean_sql(col: Column | str) -> Column:
     return strip_ws(F.when(m != "", m).otherwise(t))
 
 
+#: literals, quoted names and comments (possessive: long ones don't recurse)
+_QUOTED = r"""'(?:[^'\\]++|\\[\s\S])*+'|"(?:[^"\\]++|\\[\s\S])*+"|`[^`]*+`|--[^\n]*+|/\*[\s\S]*?\*/"""
+_READS = r"^(SELECT|WITH)([^\p{L}\p{N}_]|$)"
+_CHANGES = r"(^|[^\p{L}\p{N}_])(INSERT\s+(INTO|OVERWRITE|TABLE)|MERGE\s+INTO|DELETE\s+FROM|UPDATE\s+\S+\s+SET)([^\p{L}\p{N}_]|$)"
+
+
 def is_allowed_sql(col: Column | str) -> Column:
-    """Read-only gate: text starts with SELECT or WITH and holds a single
-    statement (no ``;`` before the trailing ones).  Empty/null → false."""
-    t = F.upper(strip_ws(col))
+    """Read-only gate for a column of texts: one statement that begins with the
+    word SELECT or WITH and changes no table.  Literals, quoted names and comments
+    are blanked first, so a ``;`` or a keyword in them counts for nothing.
+    Empty/null → false.  Statements that are to be run are judged by the parser
+    (``operators.evaluate.parse_statements``)."""
+    t = F.upper(strip_ws(F.regexp_replace(_c(col), _QUOTED, " ")))
     body = F.regexp_replace(t, r";[\s;]*$", "")
-    ok = t.rlike(r"^(SELECT|WITH)") & ~body.contains(";")
+    ok = t.rlike(_READS) & ~body.contains(";") & ~t.rlike(_CHANGES)
     return F.coalesce(ok, F.lit(False))
 
 

@@ -53,17 +53,87 @@ def signature(df: DataFrame, sample_n: int = 10) -> tuple[int, int, list[str], i
 
 
 def safe_exec(spark: SparkSession, sql: str, cap: int = 1000, sample_n: int = 10) -> tuple:
-    """Run one statement; never raises.  Returns the signature tuple of
+    """Run one query; never raises, and runs nothing but queries.  Returns the signature tuple of
     :data:`SIGNATURE_SCHEMA` (errors cut to 4000 characters); ``n_rows`` is
     what a user sees, at most ``cap``."""
     t0 = time.time()
     try:
+        if parse_statement(spark, sql.strip().rstrip(";"))[1] == "write":
+            raise PermissionError("only queries are run")
         n_cols, n_rows, sample, h = signature(spark.sql(sql.strip().rstrip(";")), sample_n)
         return (sql, True, n_cols, min(n_rows, cap), sample, h, None, int((time.time() - t0) * 1000))
     except Exception as e:  # noqa: BLE001 - any failure is a result here
         return (sql, False, 0, 0, [], 0, str(e)[:4000], int((time.time() - t0) * 1000))
 
 
+#: functions that run code of any kind
+_RUNS_CODE = {"reflect", "java_method", "try_reflect"}
+PARSED_SCHEMA = "sql_text string, kind string, relations array<string>, columns array<string>"
+
+
+def parse_statement(spark: SparkSession, sql: str) -> tuple[str, str, list[str], list[str]]:
+    """One statement as Spark's parser reads it: ``kind`` (``read``, ``write``
+    for anything that is more than a query, ``error``), the relations it names
+    (without its own CTEs) and its columns, both sorted.  Nothing runs."""
+    jvm = spark._jvm
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    commands = [jvm.java.lang.Class.forName(logical + c) for c in ("Command", "ParsedStatement")]
+    subquery = jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    except Exception:  # noqa: BLE001 - whatever the parser refuses
+        return sql, "error", [], []
+    kind, relations, columns, own = "read", set(), set(), set()
+
+    def items(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def expression(e) -> None:
+        nonlocal kind
+        name = e.getClass().getSimpleName()
+        if name == "UnresolvedAttribute":
+            columns.add(".".join(items(e.nameParts())).lower())
+        elif name == "UnresolvedFunction" and items(e.nameParts())[-1].lower() in _RUNS_CODE:
+            kind = "write"
+        elif subquery.isInstance(e):
+            node(e.plan())
+        for c in items(e.children()):
+            expression(c)
+
+    def node(p) -> None:
+        nonlocal kind
+        name = p.getClass().getSimpleName()
+        if any(c.isInstance(p) for c in commands) or name == "ScriptTransformation":
+            kind = "write"
+        if name == "UnresolvedRelation":
+            relations.add(".".join(items(p.multipartIdentifier())).lower())
+        if name == "InsertIntoStatement":
+            node(p.table())
+        if name == "UnresolvedWith":
+            for cte in items(p.cteRelations()):
+                own.add(cte._1().lower())
+                node(cte._2())
+        for e in items(p.expressions()):
+            expression(e)
+        for c in items(p.children()):
+            node(c)
+
+    node(plan)
+    return sql, kind, sorted(relations - own), sorted(columns)
+
+
+def parse_statements(spark: SparkSession, statements: DataFrame, col: str = "sql_text") -> DataFrame:
+    """``parse_statement`` of every distinct non-null statement.  The parser is
+    the driver's; a thousand results at a time go to the shared folder."""
+    distinct = statements.select(F.col(col).alias("sql_text")).where("sql_text IS NOT NULL").distinct().orderBy("sql_text")
+    texts = (r[0] for r in distinct.toLocalIterator())
+    path = scratch_path(spark, f"parsed-{uuid.uuid4().hex}")
+    spark.createDataFrame([], PARSED_SCHEMA).write.parquet(path)
+    while part := list(islice(texts, 1000)):
+        spark.createDataFrame([parse_statement(spark, t) for t in part], PARSED_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(PARSED_SCHEMA).parquet(path)
+
+
 def execute_all(spark: SparkSession, statements: DataFrame, col: str = "sql_text", cap: int = 1000,
                 concurrency: int = 8) -> DataFrame:
     """Signatures of every distinct non-null statement of ``statements``.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import sqltext as S
 from tessera.functions import text as X
 from tessera.functions import vectors as V
+from tessera.operators.evaluate import parse_statements
 from tessera.plans.registry import query
 from tessera.session import spread
 from tessera.tables import load
@@ -189,9 +190,11 @@ def q_clean_sql(spark, d):
 
 
 @query("sql_allowed", r"""
-WITH a AS (SELECT conv_id, turn, upper(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM conversations)
+WITH a AS (SELECT conv_id, turn, upper(regexp_replace(regexp_replace(text,
+    '''(?:[^''\\]|\\[\s\S])*''|"(?:[^"\\]|\\[\s\S])*"|`[^`]*`|--[^\n]*|/\*[\s\S]*?\*/', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS t FROM conversations)
 SELECT conv_id, turn,
-       COALESCE(regexp_matches(t, '^(SELECT|WITH)') AND NOT contains(regexp_replace(t, ';[\s;]*$', ''), ';'), false) AS allowed
+       COALESCE(regexp_matches(t, '^(SELECT|WITH)([^\p{L}\p{N}_]|$)') AND NOT contains(regexp_replace(t, ';[\s;]*$', ''), ';')
+         AND NOT regexp_matches(t, '(^|[^\p{L}\p{N}_])(INSERT\s+(INTO|OVERWRITE|TABLE)|MERGE\s+INTO|DELETE\s+FROM|UPDATE\s+\S+\s+SET)([^\p{L}\p{N}_]|$)'), false) AS allowed
 FROM a""")
 def q_sql_allowed(spark, d):
     c = load(spark, d, "conversations")
@@ -211,3 +214,29 @@ def q_parse_object(spark, d):
     e = load(spark, d, "events").select("event_id", text.alias("text"))
     return e.select("event_id", S.parse_object("text").alias("obj")).select(
         "event_id", F.col("obj.ok").alias("ok"), F.to_json("obj.value").alias("value"))
+
+
+#: statements about a role, and what each is: a query or not, and the tables it reads
+_STATEMENTS = [
+    ("SELECT '{}; DROP TABLE t' AS a FROM sales", "read", "sales"), ("SELECTED '{}'", "error", ""),
+    ("WITH c AS (SELECT '{}' AS a) INSERT INTO t SELECT a FROM c", "write", "t"), ("/* {} ; */ select turn from conversations;", "read", "conversations"),
+    ("SELECT '{}'; DROP TABLE t", "error", ""), ("-- DELETE FROM t\nSELECT text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE '{}' = lang", "read", "documents,labels"),
+    ("DELETE FROM t WHERE role = '{}'", "write", "t"), ("WITH c AS (SELECT '{}' AS a) SELECT a, (SELECT max(x) FROM part) AS m FROM c", "read", "part"),
+    ("select `a;b`, '{}' from nation", "read", "nation"), ("SELECT reflect('java.lang.System', 'exit', '{}') FROM region", "write", "region"),
+]
+
+
+@query("sql_gate", "WITH s(k, sql, kind, tables) AS (VALUES " + ", ".join(
+    f"({i}, '{q.replace(chr(39), chr(39) * 2)}', '{kind}', '{t}')" for i, (q, kind, t) in enumerate(_STATEMENTS)) + """)
+SELECT conv_id, turn, replace(sql, '{}', role) AS sql_text, kind, tables, kind = 'read' OR k = 9 AS looks_allowed
+FROM conversations JOIN s ON k = (conv_id * 7 + turn) % 10""")
+def q_sql_gate(spark, d):
+    """Statements judged by the parser, each distinct text once, beside the
+    lexical gate."""
+    k = (F.col("conv_id") * 7 + F.col("turn")) % 10
+    texts = F.element_at(F.array(*[F.lit(q) for q, _, _ in _STATEMENTS]), (k + 1).cast("int"))
+    rows = load(spark, d, "conversations").select("conv_id", "turn", F.replace(texts, F.lit("{}"), F.col("role")).alias("sql_text"))
+    stripped = rows.withColumn("bare", F.regexp_replace("sql_text", ";[\\s;]*$", ""))
+    parsed = parse_statements(spark, stripped, "bare").withColumnRenamed("sql_text", "bare")
+    return stripped.join(parsed, "bare").select("conv_id", "turn", "sql_text", "kind", F.array_join("relations", ",").alias("tables"),
+                                                S.is_allowed_sql("sql_text").alias("looks_allowed"))

@@ -79,3 +79,25 @@ def test_parse_object(spark):
     rows = df.select(S.parse_object("t").alias("o")).collect()
     assert rows[0].o.ok and rows[0].o.value == {"a": "1"}
     assert not rows[1].o.ok
+
+
+def test_sql_gate_reads_past_literals_and_comments(spark):
+    texts = [("SELECTED a FROM t", False), ("SELECT ';' AS a", True), ("SELECT `;` FROM t -- ; DROP", True), ("/* DELETE FROM t; */ WITH c AS (SELECT 1) SELECT * FROM c;;", True),
+             ("WITH c AS (SELECT 1 AS a) INSERT INTO t SELECT a FROM c", False), ("SELECT 'insert into' AS a", True), ("SELECT 1 ; SELECT 2", False), (None, False),
+             ("SELECT 'it\\'s; fine'", True), ("SELECT '" + "x" * 100_000 + ";'", True), ("SELECT * FROM t WHERE a = 'open ; SELECT", False)]
+    df = spark.createDataFrame(texts, "t string, want boolean")
+    assert df.where(S.is_allowed_sql("t") != F.col("want")).collect() == []
+
+
+def test_statements_by_the_parser(spark):
+    from tessera.operators import evaluate as E
+
+    def kind(sql):
+        return E.parse_statement(spark, sql)[1:]
+
+    assert kind("WITH c AS (SELECT a FROM t) SELECT c.a, (SELECT max(b) FROM u) FROM c WHERE a IN (SELECT z FROM v)") == ("read", ["t", "u", "v"], ["a", "b", "c.a", "z"])
+    assert kind("CREATE TABLE x (a INT)")[0] == kind("SET a = 1")[0] == kind("SHOW TABLES")[0] == "write"
+    assert kind("SELECT TRANSFORM(a) USING 'cat' AS b FROM t")[0] == "write"
+    assert kind("nonsense")[0] == kind("")[0] == "error"
+    got = E.safe_exec(spark, "CREATE TABLE never_made (a INT)")
+    assert got[1] is False and "only queries" in got[6] and not spark.catalog.tableExists("never_made")
