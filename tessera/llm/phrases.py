@@ -34,11 +34,13 @@ from tessera.session import scratch_path
 #: words of the longest candidates, least count, phrases of a language, share (per cent) at which a longer phrase replaces a part
 LONGEST, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: bytes of text in a shard
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: bytes of index for each range of hashes that is summed up together, and how many ranges there are (powers of 2)
 RANGE_BYTES, RANGES = 8 << 20, (1 << 8, 1 << 16)
 #: counts from here on are sent in eight bytes
 WIDE = 255
+#: parts of a language's phrases that are ranked apart
+SALTS = 16
 
 #: A-Z lower-cased; pieces end at any of .,;:!? and 0x0A to 0x0D
 TABLE = byte_table(b"", b".,;:!?\x0b\x0c\x0d")
@@ -138,7 +140,7 @@ def enumerate_phrases(bwt: np.ndarray, depth: int = LONGEST):
     symbol = key // n
     after = key - symbol * n  # inverse of the LF mapping
     del key
-    symbol = symbol.astype(np.int32)
+    symbol, after = symbol.astype(np.int32), after.astype(np.int32)
     begin = int(np.searchsorted(symbol, 1))  # suffixes of separators come first
     before = bwt != 0
     # the interval of the rest of each suffix, refined from depth to depth
@@ -258,20 +260,18 @@ def _sums(index: DataFrame, longest: int, least: int, parts: int, ranges: int) -
         for b in batches:
             for shard, s in _read(b):
                 h = s.hashes()
-                found = [(*phrase_hashes(i.words, h), i.count) for i in enumerate_phrases(s.bwt, longest) if len(i.first)]
-                if not found:
-                    continue
-                place, hashes, count = (np.concatenate(x) for x in zip(*found, strict=True))
-                place = place >> top
-                order = np.lexsort((hashes, place))
-                place, hashes = place[order], hashes[order]
-                cut = np.searchsorted(place, np.arange(ranges + 1, dtype=np.uint64)).tolist()
-                some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
-                count = count[order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), pa.array([hashes[cut[r]:cut[r + 1]].tobytes() for r in some], pa.binary()),
-                     pa.array([np.minimum(count[cut[r]:cut[r + 1]], WIDE).astype(np.uint8).tobytes() for r in some], pa.binary()),
-                     pa.array([(x := count[cut[r]:cut[r + 1]])[x >= WIDE].tobytes() for r in some], pa.binary())], ["range", "shard", "hashes", "counts", "wide"])
+                for i in enumerate_phrases(s.bwt, longest):  # a depth at a time, to hold little
+                    if not len(i.first):
+                        continue
+                    place, hashes = phrase_hashes(i.words, h)
+                    order = np.argsort(place)
+                    hashes, count = hashes[order], i.count[order]
+                    cut = np.searchsorted(place[order] >> top, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+                    some = [r for r in range(ranges) if cut[r] < cut[r + 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()), pa.array([hashes[cut[r]:cut[r + 1]].tobytes() for r in some], pa.binary()),
+                         pa.array([np.minimum(count[cut[r]:cut[r + 1]], WIDE).astype(np.uint8).tobytes() for r in some], pa.binary()),
+                         pa.array([(x := count[cut[r]:cut[r + 1]])[x >= WIDE].tobytes() for r in some], pa.binary())], ["range", "shard", "hashes", "counts", "wide"])
 
     def summed(batches):
         """Sums of each range; ranges follow one another."""
@@ -400,8 +400,12 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
         .groupBy("lang", part(F.col("first"), F.col("size")).alias("phrase")).agg(F.max("f").alias("longer"))
     kept = worst.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * share)) \
         .select("lang", "phrase", "a", "x.l", "x.r", "x.score")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", place).where(F.col("rank") <= top)  # a group limit comes before the shuffle
+    # a language may hold a third of all phrases: each of its parts gives its own
+    # best first, so the last task of a language reads at most SALTS * top rows
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    parts = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    first = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
