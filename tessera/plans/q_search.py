@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions import vectors as V
+from tessera.operators import graph_index as GI
 from tessera.operators import search as SR
 from tessera.plans.q_text import hash_vectors_sql, smart_chunks_sql
 from tessera.plans.registry import query
-from tessera.session import spread
+from tessera.session import scratch_path, spread
 from tessera.tables import load
 
 _KNN_SQL = """
@@ -150,3 +153,39 @@ def q_ann(spark, d):
     """Approximate ten nearest vectors of every vector (IVF cells, exact re-score)."""
     e = _emb(spark, d)
     return _out(SR.ann(e, e, 10, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True))
+
+
+def graph_index(spark, d):
+    """Index of the vectors with an odd id, and the others inserted afterwards."""
+    e = _emb(spark, d)
+    path = scratch_path(spark, f"graph-{uuid.uuid4().hex[:12]}")
+    even = F.pmod("vec_id", F.lit(2)) == 0
+    GI.build(e.where(~even), path, "vec_id", "embedding")
+    return GI.insert(e.where(even), path, "even", "vec_id", "embedding")
+
+
+def graph_hits(spark, d):
+    return GI.search(_emb(spark, d), graph_index(spark, d), 10, "vec_id", "embedding", exclude_self=True)
+
+
+@query("graph_search")
+def q_graph_search(spark, d):
+    """Approximate ten nearest vectors of every vector by walks over a graph index,
+    and the number of vectors that each was compared with."""
+    return graph_hits(spark, d)
+
+
+@query("graph_recall", """
+WITH n AS (SELECT COUNT(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0)
+SELECT n AS n_queries, n * LEAST(n - 1, 10) AS n_hits, TRUE AS reached FROM n""")
+def q_graph_recall(spark, d):
+    """Hits of the graph search of every vector, and whether 95 % of the exact
+    search's hits are among them."""
+    e = _emb(spark, d)
+    exact = SR.knn(e, e, 10, "vec_id", "embedding", "vec_id", "embedding", exclude_self=True)
+    hits = graph_hits(spark, d).select("query_id", "item_id", F.lit(1).alias("found"))
+    return (exact.select("query_id", "item_id", F.lit(1).alias("wanted"))
+            .join(hits, ["query_id", "item_id"], "full")
+            .agg(F.countDistinct("query_id").alias("n_queries"), F.count("found").alias("n_hits"),
+                 (F.sum(F.when(F.col("wanted") == 1, F.coalesce("found", F.lit(0)))) / F.count("wanted") >= 0.95)
+                 .alias("reached")))
