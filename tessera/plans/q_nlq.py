@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions import params as P
 from tessera.operators import relational as R
+from tessera.operators.phrase_table import match_phrase_table
 from tessera.plans import nl_answer as N
 from tessera.plans.compiler import answer_requests
 from tessera.plans.q_text import hash_vectors_sql
 from tessera.plans.registry import portable, query
 from tessera.plans.sqlviews import SALES_CTE, with_sales
+from tessera.session import spread
 from tessera.sources.writes import write_staged
+from tessera.tables import load
 
 ASOF = dt.date(2001, 12, 31)
 
@@ -294,6 +297,20 @@ def q_endpoint_lookup(spark, d):
                     F.when(F.col("sql_text").isNull(), "missing").otherwise("ok").alias("status"), "sql_text")
 
 
+@query("phrase_owner", r"""
+WITH p AS (SELECT doc_id, regexp_extract(lower(text), '^[^ ]+ [^ ]+ [^ ]+ [^ ]+', 0) AS phrase FROM documents)
+SELECT d.doc_id, MIN(p.doc_id) AS owner
+FROM documents d LEFT JOIN p ON p.phrase <> '' AND contains(lower(d.text), p.phrase) GROUP BY d.doc_id""")
+def q_phrase_owner(spark, d):
+    """The first document whose opening four words stand anywhere in the text: a
+    phrase table that grows with the documents."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    opening = docs.select(F.col("doc_id").alias("owner"),
+                          F.regexp_extract(F.lower("text"), "^[^ ]+ [^ ]+ [^ ]+ [^ ]+", 0).alias("phrase"))
+    return match_phrase_table(spread(docs), "text", opening.where("phrase <> ''"), "phrase", "owner", ["owner"]) \
+        .select("doc_id", "owner")
+
+
 @query("intent_contains", "WITH " + WORKLOAD_SQL + """,
 it AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {_q(p)}, {_q(s)})" for i, (p, s) in enumerate(N.INTENTS)) + """) t(ord, phrase, sql)),
 m AS (SELECT w.prompt_id, arg_min(it.phrase, it.ord) AS phrase, arg_min(it.sql, it.ord) AS sql
