@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -9,6 +11,8 @@ from tessera.operators import catalog as C
 from tessera.operators.relational import union_all
 from tessera.plans import index_build as IB
 from tessera.plans.registry import attach_oracle, query
+from tessera.session import scratch_path
+from tessera.sources import merge as MG
 from tessera.sources.writes import append_new_docs, upsert
 from tessera.tables import load
 
@@ -272,6 +276,27 @@ def q_upsert(spark, d):
     return upsert(docs, upd, "doc_id").select("doc_id", X.content_hash("text").alias("hash"))
 
 
+@query("merge_commits", """
+WITH upd AS (SELECT d.doc_id, d.text || ' [quality=' || CAST(l.quality AS VARCHAR) || ']' AS text
+             FROM documents d JOIN labels l ON l.doc_id = d.doc_id),
+t AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM upd)
+      UNION ALL SELECT doc_id, text FROM upd)
+SELECT doc_id, sha256(text) AS hash FROM t WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT -1 - doc_id, sha256(text) FROM documents""")
+def q_merge_commits(spark, d):
+    """A keyed table of the documents after three commits: labelled revisions
+    merged, toxic documents deleted, every document added under a new key."""
+    docs = load(spark, d, "documents").select("doc_id", "text")
+    lab = load(spark, d, "labels")
+    path = scratch_path(spark, f"merge-{uuid.uuid4().hex[:12]}")
+    MG.create(docs, path, "doc_id")
+    MG.merge(docs.join(lab, "doc_id").select(
+        "doc_id", F.concat("text", F.lit(" [quality="), F.col("quality").cast("string"), F.lit("]")).alias("text")), path)
+    MG.delete(lab.where("toxic = 1").select("doc_id"), path)
+    MG.insert_absent(docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text"), path)
+    return MG.read(spark, path).select("doc_id", X.content_hash("text").alias("hash"))
+
+
 # ---------------------------------------------------------------------------
 # SQL form of the catalog documents (table, view and relationship cards)
 # ---------------------------------------------------------------------------
