@@ -14,6 +14,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "math mfrac mi mn mo mover mroot mrow ms msqrt mstyle msub msubsup msup mtext munder munderover".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements without content that stand inside a line.
+IN_LINE_VOID = frozenset("area embed img input param source track".split())
 #: Elements whose content is not text of the page.
 HIDDEN = frozenset("script style".split())
 #: Elements that may stand in a paragraph without ending it.
@@ -46,8 +48,10 @@ def _element(tag: str, attrs: str) -> tuple[str, ...]:
 def leaf_blocks(page: str) -> Iterator[Block]:
     """The blocks of a page in order.  Comments, declarations, scripts and
     styles give nothing; formulas stay inside their line, and other embedded
-    elements are steps of a path, with or without an end tag; character references are decoded; white space inside
-    a block becomes one space; a block of white space alone is none."""
+    elements are steps of a path, with or without an end tag; images and inputs
+    leave their line whole, and a line break is white space; character references
+    are decoded; white space inside a block becomes one space; a block of white
+    space alone is none."""
     stack: list[tuple[str, ...]] = []
     pieces: list[str] = []
     links = in_link = 0
@@ -95,9 +99,12 @@ def leaf_blocks(page: str) -> Iterator[Block]:
                 end = _HIDDEN_END[tag].search(page, at)
                 at = end.end() if end else size
             continue
-        if tag in INLINE:
+        if tag in INLINE or tag in IN_LINE_VOID:
             in_link = 1 if tag == "a" else in_link
             continue
+        if tag == "br":
+            pieces.append(" ")
+            continue
         if (block := flush()) is not None:
             yield block
         if tag in SIBLINGS:

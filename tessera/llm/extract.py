@@ -24,25 +24,32 @@ from tessera.llm.blocks import Block, leaf_blocks
 from tessera.llm.words import Words
 
 #: buckets of path tokens and of words, measures, units per direction
-PATHS, WORDS, MEASURES, UNITS = 96, 32, 6, 16
-#: pages of the training sample, rebuilt pages per sampled page, passes
-SAMPLE, REBUILT, EPOCHS = 200, 3, 8
+PATHS, WORDS, MEASURES, UNITS = 192, 32, 6, 16
+#: pages of the training sample, rebuilt pages (at least, however few are sampled), passes
+SAMPLE, REBUILT, EPOCHS = 200, 1000, 8
 #: pages labelled together
 ROWS = 64
 
 #: Element names and class words that hold the article, or something else.
 MAIN = frozenset("article main .article .content .post .entry .story .body .text".split())
-OTHER = frozenset("nav header footer aside form title button dialog figcaption .nav .menu .header .footer .aside .sidebar .widget .ad .ads .advert "
+OTHER = frozenset("nav header footer aside form title button dialog .nav .menu .header .footer .aside .sidebar .widget .ad .ads .advert "
                   ".advertisement .banner .promo .sponsor .cookie .cookies .notice .alert .comment .comments .reply .respond .share .social "
                   ".related .breadcrumb .breadcrumbs .pagination .newsletter .subscribe .login .search .copyright .masthead".split())
 #: Templates of rebuilt pages.
 MAIN_FRAMES = (("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".main", ".content"), ("div", ".post"),
-               ("section", ".article"), ("div", ".entry", ".content"), ("div", ".story"), ("div", ".article", ".body"))
+               ("section", ".article"), ("div", ".entry", ".content"), ("div", ".story"), ("div", ".article", ".body"),
+               ("div",), ("div", "div"), ("section",), ("table", "tr", "td"), ("table", "tbody", "tr", "td", "article"),
+               ("table", "tbody", "tr", "td", "div", ".content"), ("body", "center", "table", "tr", "td"))
 OTHER_FRAMES = (("nav",), ("nav", "ul", "li"), ("header",), ("div", ".header"), ("div", ".menu"), ("ul", ".nav", "li"), ("footer",), ("div", ".footer"),
                 ("aside",), ("div", ".sidebar"), ("div", ".widget"), ("div", ".ad"), ("div", ".advert"), ("div", ".banner"), ("div", ".promo"),
                 ("div", ".cookie", ".notice"), ("div", ".notice"), ("form",), ("div", ".subscribe", "form"), ("div", ".newsletter"),
                 ("section", ".comments"), ("div", ".comments", "div", ".comment"), ("ol", ".comments", "li", ".comment"), ("div", ".related"),
-                ("div", ".share"), ("div", ".breadcrumb"), ("div", ".copyright"))
+                ("div", ".share"), ("div", ".breadcrumb"), ("div", ".copyright"), ("table", "tr", "td", ".sidebar"), ("table", "tr", "td", ".menu"),
+                ("table", "tr", "td", "form"), ("section", ".related"), ("div", "div", ".ad"))
+#: Elements that a block may stand in, in an article and elsewhere.
+LEAVES = (("h2",), ("h3",), ("h4",), ("h5",), ("ul", "li"), ("ol", "li"), ("li", "p"), ("table", "tr", "td"), ("table", "tbody", "tr", "th"), ("pre",),
+          ("blockquote",), ("blockquote", "p"), ("figure", "figcaption"), ("dl", "dt"), ("dl", "dd"), ("div",), ("div", "p"), ("section", "p"),
+          ("details", "summary"), ("address",), ())
 
 
 def _bucket(token: str, size: int, salt: int) -> int:
@@ -212,26 +219,39 @@ def labelled(blocks: list[Block]) -> np.ndarray:
 
 
 def rebuilt(blocks: list[Block], labels: np.ndarray, spare: list[str], rng) -> tuple[list[Block], np.ndarray]:
-    """The page's main blocks under another template, among blocks of others."""
+    """The page's main blocks under another template and in other elements, among
+    blocks of others, which stand in the same kinds of element."""
     out, marks = [], []
-    frame = ("html", "body", *[("div",), ()][rng.integers(2)], *MAIN_FRAMES[rng.integers(len(MAIN_FRAMES))])
+
+    def unknown() -> tuple[str, ...]:
+        """Now and then a class that tells nothing."""
+        return ("." + "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 8))),) if rng.random() < 0.4 else ()
+
+    frame = ("html", "body", *[("div", *unknown()), ()][rng.integers(2)], *MAIN_FRAMES[rng.integers(len(MAIN_FRAMES))], *unknown())
 
     def others(n: int):
         for _ in range(n):
-            f = ("html", "body", *OTHER_FRAMES[rng.integers(len(OTHER_FRAMES))])
+            f = ("html", "body", *OTHER_FRAMES[rng.integers(len(OTHER_FRAMES))], *unknown())
             for _ in range(rng.integers(1, 5)):
                 words = spare[rng.integers(len(spare))].split()
                 cut = words[:rng.integers(1, 40)]
-                leaf = [(), ("p",), ("li",), ("div",), ("h3",)][rng.integers(5)]
+                leaf = ("p",) if rng.random() < 0.3 else LEAVES[rng.integers(len(LEAVES))]
                 out.append(Block(" ".join(cut), f + leaf, float(rng.random() < 0.4)))
                 marks.append(0.0)
 
     others(rng.integers(0, 4))
     main = [b for b, y in zip(blocks, labels, strict=True) if y]
     inside = set(rng.integers(0, max(1, len(main)), rng.integers(0, 3)).tolist()) if main else set()
+    run = 0
     for i, b in enumerate(main):
-        leaf = b.path[-1:] if b.path and b.path[-1] in ("p", "h1", "h2", "li", "td", "blockquote", "pre") else ("p",)
-        out.append(Block(b.text, frame + leaf, b.linked))
+        if not run:  # a few blocks of one kind follow each other, as in a list
+            plain = rng.random() < 0.5
+            run, leaf = rng.integers(1, 5), ("p",) if plain else LEAVES[rng.integers(len(LEAVES))]
+        run -= 1
+        own = b.path[-1:] if b.path and b.path[-1] in ("p", "h1") else ("p",)
+        # headings, items and cells are often short
+        text = b.text if plain or rng.random() < 0.4 else " ".join(b.text.split()[:rng.integers(1, 9)])
+        out.append(Block(text, frame + (own if plain else leaf), b.linked))
         marks.append(1.0)
         if i in inside:  # something else inside the article's container
             f = OTHER_FRAMES[rng.integers(len(OTHER_FRAMES))]
@@ -248,8 +268,9 @@ def trained(pages: list[str], seed: int = 3) -> Labeller:
     seqs = [b for b in (list(leaf_blocks(p)) for p in pages if p) if b]
     marks = [labelled(b) for b in seqs]
     spare = [b.text for s in seqs for b in s] or ["text"]
-    for b, y in list(zip(seqs, marks, strict=True)):
-        for _ in range(REBUILT):
+    sampled = list(zip(seqs, marks, strict=True))
+    for b, y in sampled:
+        for _ in range(-(-REBUILT // len(sampled))):
             nb, ny = rebuilt(b, y, spare, rng)
             if nb:
                 seqs.append(nb)
