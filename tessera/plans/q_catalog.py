@@ -285,15 +285,19 @@ SELECT doc_id, sha256(text) AS hash FROM t WHERE doc_id NOT IN (SELECT doc_id FR
 UNION ALL SELECT -1 - doc_id, sha256(text) FROM documents""")
 def q_merge_commits(spark, d):
     """A keyed table of the documents after three commits: labelled revisions
-    merged, toxic documents deleted, every document added under a new key."""
+    merged, toxic documents deleted, every document added under a new key; earlier
+    versions are removed after each."""
     docs = load(spark, d, "documents").select("doc_id", "text")
     lab = load(spark, d, "labels")
     path = scratch_path(spark, f"merge-{uuid.uuid4().hex[:12]}")
     MG.create(docs, path, "doc_id")
     MG.merge(docs.join(lab, "doc_id").select(
         "doc_id", F.concat("text", F.lit(" [quality="), F.col("quality").cast("string"), F.lit("]")).alias("text")), path)
+    MG.vacuum(spark, path)
     MG.delete(lab.where("toxic = 1").select("doc_id"), path)
+    MG.vacuum(spark, path)
     MG.insert_absent(docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text"), path)
+    MG.vacuum(spark, path)
     return MG.read(spark, path).select("doc_id", X.content_hash("text").alias("hash"))
 
 

@@ -117,7 +117,8 @@ def create(df: DataFrame, path: str, key: str | list[str], buckets: int = BUCKET
 
 def _changed(spark: SparkSession, path: str, change: DataFrame, all_columns: bool):
     """What a change starts from: the last version, the number of the next, the
-    change cast and written once, and its buckets (no more than the table has)."""
+    change cast and written once, its buckets (no more than the table has), and
+    where it is written."""
     v = version(spark, path)
     number = v.number + 1
     dead = [n for n in _numbers(spark, path) if n > v.number]
@@ -125,9 +126,10 @@ def _changed(spark: SparkSession, path: str, change: DataFrame, all_columns: boo
     types = {f.name: f.dataType for f in v.schema}
     names = change.columns if all_columns else v.keys
     cast = change.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in names])
-    cast = spark.read.schema(cast.schema).parquet(write_staged(cast, spark, "merge"))
+    staged = write_staged(cast, spark, "merge")
+    cast = spark.read.schema(cast.schema).parquet(staged)
     hit = {r[0] for r in cast.select(_bucket(v.keys, v.buckets)).distinct().collect()}
-    return v, number, cast, hit
+    return v, number, cast, hit, staged
 
 
 def _without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,37 +141,42 @@ def _without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
 def merge(updates: DataFrame, path: str) -> int:
     """Rows of the updates' keys replaced by ``updates``; the new version."""
     spark = updates.sparkSession
-    v, number, cast, hit = _changed(spark, path, updates, True)
-    if not hit:
-        return v.number
-    rows = _without(_rows(spark, path, v, hit), cast, v.keys).unionByName(cast, allowMissingColumns=True)
-    return _commit(spark, path, rows, v, number, v.keys, v.buckets, hit)
+    v, number, cast, hit, staged = _changed(spark, path, updates, True)
+    if hit:
+        rows = _without(_rows(spark, path, v, hit), cast, v.keys).unionByName(cast, allowMissingColumns=True)
+        _commit(spark, path, rows, v, number, v.keys, v.buckets, hit)
+    remove_path(spark, staged)
+    return number if hit else v.number
 
 
 def insert_absent(rows: DataFrame, path: str) -> int:
     """One row of every key that the table hasn't got (the least by the columns in
     their order); a repeated attempt changes nothing."""
     spark = rows.sparkSession
-    v, number, cast, hit = _changed(spark, path, rows, True)
+    v, number, cast, hit, staged = _changed(spark, path, rows, True)
     new = _without(cast, _rows(spark, path, v, hit), v.keys)
     one = new.groupBy(*[F.col(f"`{k}`").alias(f"__g{i}") for i, k in enumerate(v.keys)]) \
         .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in new.columns])).alias("r")).select("r.*")
-    one = spark.read.schema(new.schema).parquet(write_staged(one, spark, "insert"))
+    absent = write_staged(one, spark, "insert")
+    remove_path(spark, staged)
+    one = spark.read.schema(new.schema).parquet(absent)
     hit = {r[0] for r in one.select(_bucket(v.keys, v.buckets)).distinct().collect()}
-    if not hit:
-        return v.number
-    out = _rows(spark, path, v, hit).unionByName(one, allowMissingColumns=True)
-    return _commit(spark, path, out, v, number, v.keys, v.buckets, hit)
+    if hit:
+        out = _rows(spark, path, v, hit).unionByName(one, allowMissingColumns=True)
+        _commit(spark, path, out, v, number, v.keys, v.buckets, hit)
+    remove_path(spark, absent)
+    return number if hit else v.number
 
 
 def delete(keys: DataFrame, path: str) -> int:
     """The table without the rows of these keys."""
     spark = keys.sparkSession
-    v, number, cast, hit = _changed(spark, path, keys, False)
+    v, number, cast, hit, staged = _changed(spark, path, keys, False)
     hit &= set(v.folders)
-    if not hit:
-        return v.number
-    return _commit(spark, path, _without(_rows(spark, path, v, hit), cast, v.keys), v, number, v.keys, v.buckets, hit)
+    if hit:
+        _commit(spark, path, _without(_rows(spark, path, v, hit), cast, v.keys), v, number, v.keys, v.buckets, hit)
+    remove_path(spark, staged)
+    return number if hit else v.number
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:

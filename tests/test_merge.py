@@ -68,7 +68,7 @@ def test_killed_commit_leaves_the_last_version(spark, path, monkeypatch):
 
 
 def test_two_writers_of_one_version(spark, path):
-    v, number, cast, hit = M._changed(spark, path, spark.createDataFrame([(1, "a")], "k long, v string"), True)
+    v, number, cast, hit, _ = M._changed(spark, path, spark.createDataFrame([(1, "a")], "k long, v string"), True)
     M.merge(spark.createDataFrame([(1, "b")], "k long, v string"), path)
     with pytest.raises(Exception, match="(?i)exist"):
         M._commit(spark, path, cast, v, number, v.keys, v.buckets, hit)
