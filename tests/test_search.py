@@ -112,3 +112,38 @@ def test_ann_on_clusters_probes_a_tenth(spark):
     assert SR.recall(approx, exact).first().recall >= 0.85
     split = SR.ann(df, df, 10, "id", "vec", "id", "vec", exclude_self=True, probe_fraction=0.1, block_rows=7)
     assert _as_map(split) == _as_map(approx)
+
+
+def test_blocks_share_passes_over_the_items(spark, monkeypatch):
+    """Many small blocks of queries are answered by a few passes, not one each."""
+    df, v, ids = _vectors(spark, n=600, dim=12, seed=9)
+    passes = []
+    scored = SR._knn_broadcast
+    monkeypatch.setattr(SR, "_knn_broadcast", lambda *a: passes.append(1) or scored(*a))
+    hits = SR.knn(df, df, 7, "id", "vec", "id", "vec", exclude_self=True, query_block=10)
+    assert _as_map(hits) == _brute(v, ids, 7) and len(passes) == 1
+    monkeypatch.setattr(SR, "PASS_BYTES", 200 * (8 * 12 + 120 * 7))
+    passes.clear()
+    hits = SR.knn(df, df, 7, "id", "vec", "id", "vec", exclude_self=True, query_block=10)
+    assert _as_map(hits) == _brute(v, ids, 7) and len(passes) == 3
+
+
+def test_running_best_on_odd_vectors():
+    """Copies, zeros, tiny, huge and non-finite vectors rank as by full float64 scores."""
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(300, 16))
+    m[rng.integers(0, 300, 150)] = m[0]
+    m[10:14], m[20], m[21], m[22, 0], m[23, 1] = 0, m[20] * 1e-8, m[21] * 1e30, np.nan, np.inf
+    ids = rng.permutation(300).astype(np.int64)
+    with np.errstate(all="ignore"):
+        norm = np.linalg.norm(m, axis=1)
+        for exclude_self in (True, False):
+            want = SR._local_topk(ids, m, norm, ids, m, norm, 5, exclude_self)
+            for block, batch in ((7, 300), (300, 40), (64, 6)):
+                best = SR.Best(ids, m, norm, 5, exclude_self, block)
+                for s in range(0, 300, batch):
+                    best.add(ids[s:s + batch], m[s:s + batch], norm[s:s + batch])
+                key = ["query_id", "rank"]
+                got, full = (x.sort_values(key).reset_index(drop=True) for x in (best.hits(), want))
+                assert got[["query_id", "item_id", "rank"]].equals(full[["query_id", "item_id", "rank"]])
+                assert np.allclose(got["score"], full["score"], rtol=0, atol=2e-9)
