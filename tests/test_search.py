@@ -147,3 +147,17 @@ def test_running_best_on_odd_vectors():
                 got, full = (x.sort_values(key).reset_index(drop=True) for x in (best.hits(), want))
                 assert got[["query_id", "item_id", "rank"]].equals(full[["query_id", "item_id", "rank"]])
                 assert np.allclose(got["score"], full["score"], rtol=0, atol=2e-9)
+
+
+def test_ann_sends_a_query_once_to_a_group_of_cells(spark):
+    """Rows that queries become grow with the groups of cells, not with the cells probed."""
+    sizes = np.full(700, 1000)
+    assert len(set(SR._grouped(sizes, 32_768))) == 22
+    assert list(SR._grouped(np.array([5, 0, 90_000, 3, 3]), 10)) == [0, 0, 0, 1, 1]
+    df, v, ids = _vectors(spark, n=600, dim=12, seed=9)
+    asked = SR.ann(df, df, 7, "id", "vec", "id", "vec", exclude_self=True, n_cells=24, n_probe=24)
+    assert _as_map(asked) == _brute(v, ids, 7)
+    split = SR.ann(df, df, 7, "id", "vec", "id", "vec", exclude_self=True, n_cells=24, n_probe=24, block_rows=4)
+    assert _as_map(split) == _brute(v, ids, 7)
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert "probed" in plan and "grp" in plan
