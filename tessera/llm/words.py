@@ -13,8 +13,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: bytes hashed at a time (cut at a word's start)
-PIECE = 2 << 20
+#: bytes hashed at a time (cut between words); the tables of powers, which a
+#: worker keeps, and the products are 8 bytes for each
+PIECE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -86,7 +87,7 @@ class Words:
         h = np.empty(len(self.start), np.uint64)
         i = 0
         while i < len(self.start):
-            j = max(i + 1, int(np.searchsorted(self.start, self.start[i] + PIECE)))
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + PIECE, "right")))
             a, b = int(self.start[i]), int(self.end[j - 1])
             size = 1 << max(10, (b - a - 1).bit_length())
             power, inverse = _powers(size)

@@ -126,3 +126,19 @@ def test_counts_add_up(spark, corpus, corpus_df):
 def test_packed_numbers():
     for numbers in ([], [0, 1, 70_000, (1 << 24) - 1], [5, 1 << 24, 3]):
         assert ph.unpacked_numbers(ph.packed_numbers(np.array(numbers, np.int64))).tolist() == numbers
+
+
+def test_word_hashes_hold_little_memory():
+    """The powers that a worker keeps, and the products, don't grow with the text."""
+    import tracemalloc
+
+    from tessera.llm import words as W
+
+    text = pa.array([" ".join(f"w{i * 7919 % 5000}" for i in range(600_000))])
+    W._powers.cache_clear()
+    tracemalloc.start()
+    hashes = W.Words(text).hash
+    kept = tracemalloc.get_traced_memory()[0] - 8 * len(hashes)
+    tracemalloc.stop()
+    assert len(hashes) == 600_000 and kept < 8 << 20
+    assert (hashes[:5000] == W.Words(pa.array([" ".join(f"w{i * 7919 % 5000}" for i in range(5000))])).hash).all()
