@@ -12,7 +12,6 @@ between the slices, so one automaton at a time is held whatever the table's size
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,17 +23,23 @@ from tessera.sources.writes import write_staged
 SLICE_BYTES = 4 << 20    # UTF-8 bytes of the phrases in one automaton
 
 
-@lru_cache(maxsize=1)
+_HELD: list = []    # the last slice of a worker: its broadcast, automaton, ranks and phrases
+
+
 def _automaton(broadcast):
-    """The automaton of a slice; a worker keeps its last one."""
+    """The automaton of a slice; a worker keeps its last one, and lets it go
+    before it builds the next."""
     import ahocorasick
 
-    a = ahocorasick.Automaton()
-    ranks, words = broadcast.value
-    for rank, phrase in enumerate(words):
-        a.add_word(phrase, rank)
-    a.make_automaton()
-    return a, ranks, words
+    if not _HELD or _HELD[0] is not broadcast:
+        _HELD.clear()
+        a = ahocorasick.Automaton()
+        ranks, words = broadcast.value
+        for rank, phrase in enumerate(words):
+            a.add_word(phrase, rank)
+        a.make_automaton()
+        _HELD[:] = [broadcast, a, ranks, words]
+    return _HELD[1:]
 
 
 def _first_in(broadcast, found: T.StructType):

@@ -38,3 +38,27 @@ def test_hundred_thousand_phrases(spark):
     left = spark.range(3000).selectExpr("id", "concat('a Key', lpad(id * 33 + 5, 6, '0'), '; key', lpad(id * 7, 6, '0'), ';') AS text")
     got = match_phrase_table(left, "text", phrases, "phrase", "ord", ["v"])
     assert all(r.v == 2 * min(r.id * 33 + 5, r.id * 7) for r in got.collect())
+
+
+def test_a_worker_lets_an_automaton_go_before_the_next(monkeypatch):
+    """Two slices are never held together."""
+    from types import SimpleNamespace
+
+    import ahocorasick
+
+    from tessera.operators import phrase_table as PT
+
+    held = []
+    new = ahocorasick.Automaton
+
+    def made():
+        held.append(len(PT._HELD))
+        return new()
+
+    monkeypatch.setattr(ahocorasick, "Automaton", made)
+    PT._HELD.clear()
+    one, two = (SimpleNamespace(value=([7], [w])) for w in ("ab", "cd"))
+    assert PT._automaton(one)[0] is PT._automaton(one)[0]
+    a, ranks, words = PT._automaton(two)
+    assert held == [0, 0] and ranks == [7] and [v for _, v in a.iter("xcd")] == [0]
+    PT._HELD.clear()
