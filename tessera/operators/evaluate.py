@@ -22,6 +22,10 @@ from tessera.session import scratch_path
 SIGNATURE_SCHEMA = ("sql_text string, ok boolean, n_cols int, n_rows long, sample array<string>, "
                     "mhash long, error string, exec_ms long")
 
+#: estimated bytes of the files that one part of counted rows is read from (a few
+#: hundred thousand rows of two numbers), most parts, and estimates that mean nothing
+PART_BYTES, MOST_PARTS, UNKNOWN_BYTES = 512 << 10, 10_000, 1 << 50
+
 
 def capped(spark: SparkSession, sql: str, cap: int = 1000) -> DataFrame:
     """``SELECT * FROM (<sql>) LIMIT cap`` (trailing semicolons removed)."""
@@ -173,14 +177,29 @@ def compare_signatures(g: str = "g", c: str = "c", compat: bool = False):
     return yn(shape).alias("same_shape"), yn(sample).alias("same_sample"), yn(multi).alias("same_multiset")
 
 
+def count_parts(*results: DataFrame) -> int | None:
+    """Parts in which rows are counted, so that a part stays of one size however
+    large the results are; None where the session's number of parts does.
+    Decided from the size estimates of the plans alone: nothing runs."""
+    size = max(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for df in results)
+    parts = min(MOST_PARTS, -(-size // PART_BYTES))
+    usual = int(results[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts if size < UNKNOWN_BYTES and parts > usual else None
+
+
 def compare_results(a: DataFrame, b: DataFrame, sample_n: int = 10) -> DataFrame:
     """Direct comparison of two result frames by position: same column count,
     same first rows in the order of each result, multiset difference both ways
     (rows as text, so column names and null fields don't matter)."""
     same_shape = len(a.columns) == len(b.columns)
-    ra, rb = a.select(positional(a).alias("r")), b.select(positional(b).alias("r"))
-    sides = ra.select("r", F.lit(1).alias("n")).unionByName(rb.select("r", F.lit(-1).alias("n"))) \
-        .groupBy("r").agg(F.sum("n").alias("n"))
+    # each side is counted by itself: so Spark drops a result's own order, which
+    # would sort all of it; the counts of both meet where they were made
+    parts = count_parts(a, b)
+    ra, rb = (df.select(positional(df).alias("r")) for df in (a, b))
+    if parts:
+        ra, rb = ra.repartition(parts, "r"), rb.repartition(parts, "r")
+    ra, rb = (r.groupBy("r").agg(F.count(F.lit(1)).alias("n")) for r in (ra, rb))
+    sides = ra.unionByName(rb.select("r", (-F.col("n")).alias("n"))).groupBy("r").agg(F.sum("n").alias("n"))
     left = F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0))
     right = F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0))
     sample = first_rows(a, sample_n).scalar() == first_rows(b, sample_n).scalar()

@@ -137,3 +137,19 @@ def test_signatures_pass_through_files(spark):
     cases = Q.run_evaluation(spark, questions, synonyms, candidates)
     assert "ResolvedHint" not in plan(cases) and "broadcast" not in plan(cases)
     assert sorted((r.question_id, r.llm_ok, r.same_sample) for r in cases.collect()) == [(1, "Y", "Y"), (1, "Y", "Y"), (2, "N", "N")]
+
+
+def test_compared_results_are_counted_unsorted_in_bounded_parts(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id", "id % 7 AS v").write.parquet(str(tmp_path / "a"))
+    rows = spark.read.parquet(str(tmp_path / "a"))
+    a = rows.orderBy("id")
+    b = rows.where("id <> 17").unionByName(rows.where("id = 20")).orderBy(F.col("id").desc())
+    sides = E.compare_results(a, b)
+    assert "rangepartitioning" not in sides._jdf.queryExecution().executedPlan().toString()  # no result is sorted whole
+    assert sides.first().asDict() | {"same_sample": None} == {"same_shape": True, "same_sample": None, "only_left": 1, "only_right": 1, "same_multiset": False}
+    monkeypatch.setattr(E, "PART_BYTES", 1024)
+    parts = E.count_parts(a, b)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert E.count_parts(a.limit(0)) is None
+    r = E.compare_results(a, b).first()
+    assert (r.only_left, r.only_right) == (1, 1) and f", {parts})" in E.compare_results(a, b)._jdf.queryExecution().executedPlan().toString()
