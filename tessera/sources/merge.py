@@ -2,8 +2,8 @@
 
 A table is a folder of *data* written once and never changed, and of *manifests*,
 one a version.  Rows are dealt to a fixed number of buckets by a hash of their
-key; a manifest names the folder that holds each bucket.  A change reads and
-writes the buckets of its keys only, and its version exists from the moment its
+key; a manifest names the folders that hold each bucket.  A change reads and
+writes the buckets of its keys only (an insert reads them and adds a folder), and its version exists from the moment its
 manifest is complete (``_SUCCESS``, written last):
 
 * a reader is bound to the version it opened, whatever is committed meanwhile;
@@ -32,6 +32,8 @@ from tessera.sources.writes import write_staged
 
 BUCKETS = 64
 BUCKET = "__bucket"
+KEY_BYTES = 64 << 20    # keys of a change that are sent to every executor
+FILES = 8               # files a bucket, above which a change joins those it rewrites
 MANIFEST_SCHEMA = "bucket int, folder string, meta string"
 
 
@@ -41,7 +43,7 @@ class Version:
     keys: list[str]
     buckets: int
     schema: T.StructType
-    folders: dict[int, str]     # bucket → folder, buckets without rows left out
+    folders: dict[int, tuple[str, ...]]     # bucket → folders, buckets without rows left out
 
 
 def _listed(spark: SparkSession, folder: str) -> list[str]:
@@ -67,8 +69,10 @@ def version(spark: SparkSession, path: str, number: int | None = None) -> Versio
     number = known[-1] if number is None else number
     rows = spark.read.schema(MANIFEST_SCHEMA).json(f"{path}/manifest/v{number:09d}").collect()
     meta = json.loads(next(r.meta for r in rows if r.meta is not None))
-    return Version(number, meta["keys"], meta["buckets"], T.StructType.fromJson(meta["schema"]),
-                   {r.bucket: r.folder for r in rows if r.meta is None})
+    folders: dict[int, tuple[str, ...]] = {}
+    for r in sorted((r.bucket, r.folder) for r in rows if r.meta is None):
+        folders[r[0]] = folders.get(r[0], ()) + (r[1],)
+    return Version(number, meta["keys"], meta["buckets"], T.StructType.fromJson(meta["schema"]), folders)
 
 
 def _bucket(keys: list[str], buckets: int):
@@ -76,7 +80,7 @@ def _bucket(keys: list[str], buckets: int):
 
 
 def _rows(spark: SparkSession, path: str, v: Version, buckets=None) -> DataFrame:
-    folders = [f"{path}/{f}" for b, f in sorted(v.folders.items()) if buckets is None or b in buckets]
+    folders = [f"{path}/{f}" for b, of in sorted(v.folders.items()) if buckets is None or b in buckets for f in of]
     if not folders:
         return spark.createDataFrame([], v.schema)
     return spark.read.schema(v.schema).parquet(*folders)
@@ -88,20 +92,25 @@ def read(spark: SparkSession, path: str, number: int | None = None) -> DataFrame
 
 
 def _commit(spark: SparkSession, path: str, rows: DataFrame, base: Version | None, number: int, keys: list[str],
-            buckets: int, rewritten=None) -> int:
+            buckets: int, rewritten=None, present: DataFrame | None = None) -> int:
     """Write ``rows``, the new content of the buckets ``rewritten`` (all of them
-    if None), and the manifest."""
+    if None), and the manifest.  ``present`` rows of the same columns lie in the
+    table's buckets already and are written as they come, without a shuffle."""
     if BUCKET in rows.columns:
         raise ValueError(f"{BUCKET} is the name of the bucket column")
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
     commit = f"data/{uuid.uuid4().hex}"
     # a bucket is one file or, when large, as many as adaptive execution cuts it into
-    rows.withColumn(BUCKET, _bucket(keys, buckets)).hint("rebalance", BUCKET) \
-        .write.partitionBy(BUCKET).parquet(f"{path}/{commit}")
+    dealt = rows.withColumn(BUCKET, _bucket(keys, buckets)).hint("rebalance", BUCKET)
+    if present is not None:
+        dealt = present.withColumn(BUCKET, _bucket(keys, buckets)).unionByName(dealt)
+    dealt.write.partitionBy(BUCKET).parquet(f"{path}/{commit}")
     written = {int(n.split("=")[1]): f"{commit}/{n}" for n in _listed(spark, f"{path}/{commit}") if n.startswith(BUCKET)}
-    kept = {} if base is None or rewritten is None else {b: f for b, f in base.folders.items() if b not in rewritten}
+    if rewritten == set() and not written:
+        return base.number
+    kept = [] if base is None or rewritten is None else [(b, f) for b, of in base.folders.items() if b not in rewritten for f in of]
     meta = json.dumps({"keys": keys, "buckets": buckets, "schema": schema.jsonValue()})
-    spark.createDataFrame([(None, None, meta), *((b, f, None) for b, f in sorted((kept | written).items()))], MANIFEST_SCHEMA) \
+    spark.createDataFrame([(None, None, meta), *((b, f, None) for b, f in sorted([*kept, *written.items()]))], MANIFEST_SCHEMA) \
         .coalesce(1).write.mode("errorifexists").json(f"{path}/manifest/v{number:09d}")
     return number
 
@@ -132,10 +141,32 @@ def _changed(spark: SparkSession, path: str, change: DataFrame, all_columns: boo
     return v, number, cast, hit, staged
 
 
-def _without(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+def _without(rows: DataFrame, others: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     gone = others.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)]).distinct()
     same = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return rows.join(gone, same, "left_anti")
+    return rows.join(F.broadcast(gone) if few else gone, same, "left_anti")
+
+
+def _few(change: DataFrame, keys: list[str]) -> bool:
+    """Whether the keys of a written change can be sent to every executor."""
+    size = sum((F.octet_length(F.col(f"`{k}`").cast("string")) for k in keys), F.lit(64))
+    return (change.agg(F.sum(F.coalesce(size, F.lit(64)))).first()[0] or 0) <= KEY_BYTES
+
+
+def _replace(spark: SparkSession, path: str, v: Version, number: int, cast: DataFrame, hit: set[int], added: DataFrame | None) -> int:
+    """Commit the rows of the buckets ``hit`` without the keys of ``cast``, and
+    ``added``.  Where these keys are few, the rows that stay aren't shuffled: their
+    files are their buckets'.  Files that such commits have made small are joined
+    by the next one."""
+    rows = _rows(spark, path, v, hit)
+    few = _few(cast, v.keys)
+    kept = _without(rows, cast, v.keys, few)
+    none = kept.where("false")
+    new = none if added is None else none.unionByName(added, allowMissingColumns=True)
+    if few and len(rows.inputFiles()) <= FILES * v.buckets:
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in new.schema.fields[len(kept.columns):]]
+        return _commit(spark, path, new, v, number, v.keys, v.buckets, hit, kept.select("*", *missing))
+    return _commit(spark, path, kept.unionByName(new, allowMissingColumns=True), v, number, v.keys, v.buckets, hit)
 
 
 def merge(updates: DataFrame, path: str) -> int:
@@ -143,29 +174,24 @@ def merge(updates: DataFrame, path: str) -> int:
     spark = updates.sparkSession
     v, number, cast, hit, staged = _changed(spark, path, updates, True)
     if hit:
-        rows = _without(_rows(spark, path, v, hit), cast, v.keys).unionByName(cast, allowMissingColumns=True)
-        _commit(spark, path, rows, v, number, v.keys, v.buckets, hit)
+        _replace(spark, path, v, number, cast, hit, cast)
     remove_path(spark, staged)
     return number if hit else v.number
 
 
 def insert_absent(rows: DataFrame, path: str) -> int:
     """One row of every key that the table hasn't got (the least by the columns in
-    their order); a repeated attempt changes nothing."""
+    their order); a repeated attempt changes nothing.  The rows are added to their
+    buckets; none that the table has is written again."""
     spark = rows.sparkSession
     v, number, cast, hit, staged = _changed(spark, path, rows, True)
     new = _without(cast, _rows(spark, path, v, hit), v.keys)
     one = new.groupBy(*[F.col(f"`{k}`").alias(f"__g{i}") for i, k in enumerate(v.keys)]) \
         .agg(F.min(F.struct(*[F.col(f"`{c}`") for c in new.columns])).alias("r")).select("r.*")
-    absent = write_staged(one, spark, "insert")
+    out = spark.createDataFrame([], v.schema).unionByName(one, allowMissingColumns=True)
+    number = _commit(spark, path, out, v, number, v.keys, v.buckets, set())
     remove_path(spark, staged)
-    one = spark.read.schema(new.schema).parquet(absent)
-    hit = {r[0] for r in one.select(_bucket(v.keys, v.buckets)).distinct().collect()}
-    if hit:
-        out = _rows(spark, path, v, hit).unionByName(one, allowMissingColumns=True)
-        _commit(spark, path, out, v, number, v.keys, v.buckets, hit)
-    remove_path(spark, absent)
-    return number if hit else v.number
+    return number
 
 
 def delete(keys: DataFrame, path: str) -> int:
@@ -174,7 +200,7 @@ def delete(keys: DataFrame, path: str) -> int:
     v, number, cast, hit, staged = _changed(spark, path, keys, False)
     hit &= set(v.folders)
     if hit:
-        _commit(spark, path, _without(_rows(spark, path, v, hit), cast, v.keys), v, number, v.keys, v.buckets, hit)
+        _replace(spark, path, v, number, cast, hit, None)
     remove_path(spark, staged)
     return number if hit else v.number
 
@@ -185,7 +211,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
     writer, between changes."""
     known = versions(spark, path)
     kept = known[-keep:]
-    used = {f for n in kept for f in version(spark, path, n).folders.values()}
+    used = {f for n in kept for of in version(spark, path, n).folders.values() for f in of}
     gone = [f"{path}/manifest/v{n:09d}" for n in _numbers(spark, path) if n not in kept]
     for commit in _listed(spark, f"{path}/data"):
         inside = [f"data/{commit}/{b}" for b in _listed(spark, f"{path}/data/{commit}") if b.startswith(BUCKET)]

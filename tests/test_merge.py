@@ -106,3 +106,24 @@ def test_empty_table_and_bad_calls(spark, tmp_path):
         M.create(empty, p, "k")
     with pytest.raises(ValueError):
         M.create(empty.withColumn(M.BUCKET, F.lit(1)), p + "2", "k")
+
+
+def test_insert_adds_and_few_changed_keys_shuffle_no_present_row(spark, path, monkeypatch):
+    M.insert_absent(spark.range(190, 210).selectExpr("id AS k", "concat('w', id) AS v"), path)
+    first, second = M.version(spark, path, 1), M.version(spark, path, 2)
+    # the rows that were there are in the files that they were in
+    assert {f for of in first.folders.values() for f in of} <= {f for of in second.folders.values() for f in of}
+    got = dict(M.read(spark, path).collect())
+    assert len(got) == 210 and got[195] == "v195" and got[205] == "w205"
+    assert M.insert_absent(spark.range(5).selectExpr("id AS k", "'z' AS v"), path) == 2  # nothing absent
+    up = spark.createDataFrame([(205, "n", 1), (300, "n", 2), (None, "n", 3)], "k long, v string, m int")
+    calls, commit = [], M._commit
+    monkeypatch.setattr(M, "_commit", lambda *a: (calls.append(len(a)), commit(*a))[1])
+    want = sorted([r for r in [(k, v, None) for k, v in got.items()] if r[0] != 205] + [tuple(r) for r in up.collect()], key=repr)
+    assert M.merge(up, path) == 3 and _table(M.read(spark, path)) == want and calls.pop() == 9
+    M.delete(spark.createDataFrame([(None,), (300,)], "k long"), path)
+    assert _table(M.read(spark, path)) == [r for r in want if r[0] not in (None, 300)] and calls.pop() == 9
+    monkeypatch.setattr(M, "KEY_BYTES", 0)   # many keys: rows meet them in a shuffle
+    M.merge(up, path)
+    assert _table(M.read(spark, path)) == want and calls.pop() == 8
+    assert M.vacuum(spark, path) > 0 and _table(M.read(spark, path)) == want
