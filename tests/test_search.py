@@ -173,6 +173,8 @@ def test_few_items_are_searched_where_the_text_is_embedded(spark):
     assert [r[:2] for r in rows(few) if r[0] in (0, 3)] == [(0, 5), (0, 7), (3, 5), (3, 5), (3, 7), (3, 7)]
     own = SR.knn(items.withColumnRenamed("item_id", "query_id"), items, 5, small_items=10, exclude_self=True)
     assert sorted((r.query_id, r.item_id, r.rank) for r in own.collect()) == [(5, 7, 2), (5, 9, 1), (7, 5, 1), (7, 9, 2), (9, 5, 1), (9, 7, 2)]
+    unnamed = q.where("query_id = 0").withColumn("query_id", F.lit(None).cast("long"))
+    assert {r.query_id for r in SR.knn(unnamed, items, 2, small_items=10).collect()} == {-2 ** 63}
     # one Python step, not a worker that embeds beside one that searches
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "MapInPandas" not in plan
