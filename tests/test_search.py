@@ -167,14 +167,14 @@ def test_few_items_are_searched_where_the_text_is_embedded(spark):
     texts = [(0, "alpha beta"), (1, None), (2, "..."), (3, "gamma"), (3, "gamma"), (4, "beta beta alpha delta")]
     q = spark.createDataFrame(texts, "query_id long, t string").select("query_id", V.hash_embed("t").alias("vec"))
     items = spark.createDataFrame([(7, "alpha"), (5, "beta"), (9, "beta")], "item_id long, t string").select("item_id", V.hash_embed("t").alias("vec"))
-    few = SR.knn(q, items, 2, small_items=10)
+    few = SR.knn(q, items, 2, small_items=10, embedded=True)
     rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "item_id", "score", "rank", "best_score").collect())
     assert sorted(set(rows(few))) == rows(SR.knn(q.dropDuplicates(["query_id"]), items, 2)) and len(rows(few)) == 8
     assert [r[:2] for r in rows(few) if r[0] in (0, 3)] == [(0, 5), (0, 7), (3, 5), (3, 5), (3, 7), (3, 7)]
-    own = SR.knn(items.withColumnRenamed("item_id", "query_id"), items, 5, small_items=10, exclude_self=True)
+    own = SR.knn(items.withColumnRenamed("item_id", "query_id"), items, 5, small_items=10, exclude_self=True, embedded=True)
     assert sorted((r.query_id, r.item_id, r.rank) for r in own.collect()) == [(5, 7, 2), (5, 9, 1), (7, 5, 1), (7, 9, 2), (9, 5, 1), (9, 7, 2)]
     unnamed = q.where("query_id = 0").withColumn("query_id", F.lit(None).cast("long"))
-    assert {r.query_id for r in SR.knn(unnamed, items, 2, small_items=10).collect()} == {-2 ** 63}
+    assert {r.query_id for r in SR.knn(unnamed, items, 2, small_items=10, embedded=True).collect()} == {-2 ** 63}
     # one Python step, not a worker that embeds beside one that searches
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "MapInPandas" not in plan
