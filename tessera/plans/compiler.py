@@ -30,6 +30,8 @@ from tessera.functions import params as P
 
 #: days of a span in joins on date ranges
 SPAN_DAYS = 32
+#: spans up to which a relation is read only for the days that are asked for (87 years)
+MOST_SPANS = 1000
 #: templates that are read in one call
 MOST_TEMPLATES = 10_000
 _TOKEN = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|(?<![:\w]):([A-Za-z_]\w*)""", re.S)
@@ -182,8 +184,30 @@ class Answer:
     def _type(self, expr) -> T.DataType:
         return self.relation.select(self.col(expr)).schema[0].dataType
 
-    def joined(self, values: DataFrame) -> DataFrame:
-        """Rows of the relation with the parameter values they go with."""
+    def dated(self) -> dict | None:
+        """The first date that parameters bound on both sides: ``of``, ``low``
+        and ``high``."""
+        found: dict[str, dict] = {}
+        for c in self.st.where:
+            for of, way, value in _bounds(c) if _parameters(c) else ():
+                if isinstance(self._type(of), T.DateType):
+                    found.setdefault(of.sql(), {"of": of}).update({"low": value, "high": value} if way == "same" else {way: value})
+        return next((s for s in found.values() if "low" in s and "high" in s), None)
+
+    def span(self, of) -> Column:
+        return F.floor(F.unix_date(self.col(of)) / SPAN_DAYS)
+
+    def spanned(self, values: DataFrame, dates: dict, name: str) -> DataFrame:
+        """Parameter values, once for each span of days that they reach."""
+        with _lenient(self.spark):
+            bound = {w: F.floor(F.unix_date(self.col(dates[w]).cast("date")) / SPAN_DAYS) for w in ("low", "high")}
+            return values.withColumns({"low": bound["low"], "high": bound["high"]}).where("low <= high") \
+                .withColumn(name, F.explode(F.sequence("low", "high"))).drop("low", "high")
+
+    def joined(self, values: DataFrame, asked: list[int] | None = None) -> DataFrame:
+        """Rows of the relation with the parameter values they go with.  Rows
+        outside the spans of days in ``asked`` are dropped where their date is
+        read, before the joins that the relation is made of."""
         rows, on, later = self.relation, [], []
         spans: dict[str, dict] = {}
         for c in self.st.where:
@@ -207,13 +231,11 @@ class Answer:
             if "low" not in s or "high" not in s:
                 continue
             span, at = f"k:{len(on)}", f"v:{len(on)}"
-            rows = rows.withColumn(span, F.floor(F.unix_date(self.col(s["of"])) / SPAN_DAYS))
-            with _lenient(self.spark):
-                bound = {w: F.floor(F.unix_date(self.col(s[w]).cast("date")) / SPAN_DAYS) for w in ("low", "high")}
-                values = values.withColumns({"low": bound["low"], "high": bound["high"]}).where("low <= high") \
-                    .withColumn(at, F.explode(F.sequence("low", "high"))).drop("low", "high")
+            rows, values = rows.withColumn(span, self.span(s["of"])), self.spanned(values, s, at)
             on.append((span, at))
             break
+        if asked is not None:
+            rows = rows.where(self.span(self.dated()["of"]).isin(asked))
         if not self.keys:
             return rows
         if not on:
@@ -242,10 +264,10 @@ class Answer:
                 expr = _children(expr)[0]
         return self.col(expr)
 
-    def rows(self, values: DataFrame, most: int | None) -> tuple[DataFrame, list[str]]:
+    def rows(self, values: DataFrame, most: int | None, asked: list[int] | None = None) -> tuple[DataFrame, list[str]]:
         """Answer rows by parameter values, ``rank`` among them, and the names
         of the answer's columns; at most ``most`` ranks."""
-        st, joined = self.st, self.joined(values)
+        st, joined = self.st, self.joined(values, asked)
         keys = [F.col(f"`{k}`") for k in self.keys]
         output = []
         for e in st.output:
@@ -307,7 +329,8 @@ def answer_requests(requests: DataFrame, templates: DataFrame, relations: dict[s
     (parameters as ``:name`` or ``{name}``); ``relations`` the tables they may
     name.  A request that lacks a parameter of its template gets no rows, nor
     does one whose value doesn't convert; a null parameter is a missing one.
-    Rows of equal order follow the answer's columns.  A template beyond one
+    Rows of equal order follow the answer's columns.  Requests are read several
+    times, so those of some cost should be written first.  A template beyond one
     SELECT over one relation, or without an equality or a range of dates among
     its conditions on parameters, raises :class:`Unsupported`."""
     spark = requests.sparkSession
@@ -315,7 +338,10 @@ def answer_requests(requests: DataFrame, templates: DataFrame, relations: dict[s
     if len(read) > MOST_TEMPLATES:
         raise Unsupported(f"more than {MOST_TEMPLATES} templates")
     relations = {k.lower(): v for k, v in relations.items()}
-    parts = []
+    wanted = {name for name, _ in read}
+    if len(read) > 1:  # a relation isn't read for a template that nobody asks for
+        wanted = {r[0] for r in requests.where(F.col("template").isin(*wanted)).select("template").distinct().collect()}
+    answers, spans = [], {}
     for name, sql in read:
         st = parse(spark, sql)
         if st.relation not in relations:
@@ -324,7 +350,23 @@ def answer_requests(requests: DataFrame, templates: DataFrame, relations: dict[s
         if st.parameters:
             mine = mine.dropna(subset=[f"p:{p}" for p in st.parameters])
         a = Answer(spark, st, relations[st.relation])
-        most, limit = None, None
+        keys = [f"`{k}`" for k in a.keys]
+        values = mine.select(*keys).distinct() if keys else None
+        dates = a.dated()
+        # the days that any template asks for: with the same rows dropped, the templates share the relation's exchanges
+        days = (st.relation, dates["of"].sql()) if dates else None
+        if days and name in wanted:
+            reach = a.spanned(values, dates, "span").select("span")
+            spans[days] = spans[days].unionByName(reach) if days in spans else reach
+        answers.append((name, a, mine, values, days))
+    asked = {}
+    for days, reach in spans.items():
+        found = reach.distinct().limit(MOST_SPANS + 1).collect()
+        if len(found) <= MOST_SPANS:
+            asked[days] = sorted(r[0] for r in found)
+    parts, last = [], None
+    for name, a, mine, values, days in answers:
+        st, most, limit = a.st, None, None
         if st.limit is not None:
             with _lenient(spark):
                 limit = _column(spark, st.limit).try_cast("int")
@@ -333,15 +375,18 @@ def answer_requests(requests: DataFrame, templates: DataFrame, relations: dict[s
                 else:
                     most = spark.range(1).select(limit).first()[0]
         keys = [f"`{k}`" for k in a.keys]
-        values = mine.select(*keys).distinct() if keys else None
-        out, names = a.rows(values, most)
+        out, names = a.rows(values, most, asked.get(days))
         row = F.array(*[F.col(f"`{n}`").cast("string") for n in names]).alias("answer")
         out = out.select(*keys, "rank", row)
         one = F.lit(name).alias("template")
         got = mine.join(out, a.keys) if keys else mine.withColumn("template", F.lit(name)).join(out.select("rank", "answer", one), "template")
         if limit is not None and _parameters(st.limit):
             got = got.where(F.col("rank") <= limit)
-        parts.append(got.select("prompt_id", one, "rank", "answer"))
+        last = got.select("prompt_id", one, "rank", "answer")
+        if name in wanted:
+            parts.append(last)
+    if last is not None and not parts:
+        return last.where("false")
     if not parts:
         return spark.createDataFrame([], requests.select("prompt_id").schema.add("template", "string").add("rank", T.IntegerType()).add("answer", T.ArrayType(T.StringType())))
     out = parts[0]

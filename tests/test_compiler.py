@@ -90,3 +90,23 @@ def test_no_templates_and_no_requests(spark, sales):
 def test_parameters_outside_literals():
     sql, names = C.parameter_columns("SELECT ':a', \":b\", `:c`, x::int, :D /* :e */ FROM t WHERE y = :d AND z=:f -- :g")
     assert names == ["d", "f"] and "':a'" in sql and "x::int" in sql and sql.count("`p:d`") == 2
+
+
+def test_only_days_that_are_asked_for_enter_the_joins_of_the_relation(spark):
+    orders = spark.createDataFrame([(i, i % 3) for i in range(6)], "o long, customer_id long").repartition(2)
+    lines = spark.createDataFrame([(i % 6, f"{1990 + i % 9}-01-01", i) for i in range(60)], "o long, day string, quantity long").repartition(2)
+    star = lines.join(orders.hint("merge"), "o").select("customer_id", F.to_date("day").alias("sale_date"), "quantity")
+    per = "SELECT customer_id, SUM(quantity) AS q FROM sales WHERE sale_date {} GROUP BY customer_id"
+    templates = [("year", per.format(">= make_date(CAST(:year AS INT), 1, 1) AND sale_date < make_date(CAST(:year AS INT) + 1, 1, 1)")),
+                 ("day", per.format("= to_date(:day, 'yyyy-MM-dd')")), ("unasked", per.format("= to_date(:other, 'yyyy-MM-dd')"))]
+    asked = [(1, "year", {"year": "1992"}), (2, "day", {"day": "1994-01-01"}), (3, "day", {"day": "2050-01-01"}), (4, "day", {"day": "some day"})]
+    got = C.answer_requests(spark.createDataFrame(asked, "prompt_id long, template string, params map<string,string>"),
+                            spark.createDataFrame(templates, "name string, sql string"), {"sales": star})
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, x in enumerate(plan) if "Join Inner" in x and "strategy=merge" in x]
+    assert len(joins) == 2  # the template that nobody asks for doesn't read the relation
+    for a, b in zip(joins, [*joins[1:], len(plan)], strict=True):
+        assert any("Filter" in x and (" IN (" in x or "INSET" in x) for x in plan[a:b])
+    want = [(i, *r) for i, d in ((1, "1992-01-01"), (2, "1994-01-01"))
+            for r in star.where(F.col("sale_date") == F.lit(d).cast("date")).groupBy("customer_id").agg(F.sum("quantity")).collect()]
+    assert sorted((r["prompt_id"], *map(int, r["answer"])) for r in got.collect()) == sorted(want)
