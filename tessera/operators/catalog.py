@@ -3,7 +3,7 @@
 A catalog snapshot is a set of small DataFrames keyed by ``(owner,
 table_name)``: tables (with row counts measured from the data), columns
 (from each table's schema), constraints, indexes and views.  Value profiles
-come from one ``unpivot`` pass per table; every per-table text (cards, DDL,
+come from one count per value of each column; every per-table text (cards, DDL,
 schema context) is assembled with ``collect_list`` of that table's column
 rows — bounded by the number of columns, never by the number of data rows.
 """
@@ -138,20 +138,30 @@ def profiled_columns(df: DataFrame) -> list[str]:
     return out
 
 
+def value_counts(df: DataFrame, column: str, text: bool = False) -> DataFrame:
+    """``value`` and ``rows`` for every value of a column (as text if asked),
+    null among them: a scan of that column and a partial count per value before
+    the shuffle.  Top values, key test and inclusion test of a column begin with
+    this same plan, so that Spark scans, counts and shuffles it once."""
+    value = F.col(column).cast("string") if text else F.col(column)
+    return df.select(value.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def top_values(df: DataFrame, limit: int = 50, columns: list[str] | None = None) -> DataFrame:
     """Top-``limit`` values with counts for every profiled column, nulls
-    excluded, ties by value text.  One scan: the columns are unpivoted into
-    (column, value) rows, counted with map-side combine, and the per-column
-    ``row_number() <= limit`` is planned with a partial group limit."""
+    excluded, ties by value text.  Each column has its :func:`value_counts`;
+    their per-column ``row_number() <= limit`` is planned with a partial group
+    limit."""
     cols = columns or profiled_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column_name string, value string, cnt long, rank int")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                                  F.col(c).cast("string").alias("value")) for c in cols]))
-                     .alias("kv")).select("kv.column_name", "kv.value").where(F.col("value").isNotNull())
-    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    w = Window.partitionBy("column_name").orderBy(F.col("cnt").desc(), F.col("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    plain = profiled_columns(df)
+    counts = [value_counts(df, c, text=c not in plain).select(F.lit(c).alias("column_name"), F.col("value").cast("string").alias("value"), F.col("rows").alias("cnt"))
+              for c in cols]
+    # null is ranked last and left out afterwards: a condition before the counts would give them another plan
+    w = Window.partitionBy("column_name").orderBy(F.col("value").isNull(), F.col("cnt").desc(), F.col("value"))
+    return reduce(lambda a, b: a.unionByName(b), counts).withColumn("rank", F.row_number().over(w)) \
+        .where((F.col("rank") <= limit) & F.col("value").isNotNull())
 
 
 def column_profile(df: DataFrame, table: str, owner: str = OWNER) -> DataFrame:
@@ -179,7 +189,7 @@ def infer_keys(df: DataFrame, table: str, columns: list[str] | None = None) -> D
     number of columns, and the test is exact at every size."""
     def one(c: str) -> DataFrame:
         present = F.col("value").isNotNull()
-        groups = df.select(F.col(c).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("rows"))
+        groups = value_counts(df, c)
         return groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(present, F.col("rows"))), F.lit(0)).alias("n_non_null"),
                           F.count(F.when(present, 1)).alias("n_distinct")) \
             .select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "n", "n_non_null", "n_distinct",
@@ -209,11 +219,13 @@ def key_candidates(frames: dict[str, DataFrame]) -> DataFrame:
 def infer_fk(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Inclusion test: how many non-null child rows have no parent (0 → the
     foreign key holds).  Child keys are counted first (map-side combine, so a
-    hot key is one row), then anti-joined with the distinct parent keys."""
-    keys = (child.where(F.col(child_col).isNotNull()).groupBy(F.col(child_col).alias("k"))
-                 .agg(F.count(F.lit(1)).alias("rows")))
-    orphans = keys.join(parent.select(F.col(parent_col).alias("k")).distinct(), "k", "left_anti")
-    return orphans.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("orphans"))
+    hot key is one row), then joined with the distinct parent keys.  Rows without
+    a parent are told apart after the join: Spark would put an anti-join before
+    the counts, where it meets every row of the child."""
+    parents = parent.select(F.col(parent_col).alias("value")).distinct().withColumn("found", F.lit(True))
+    orphan = F.col("value").isNotNull() & F.col("found").isNull()
+    return value_counts(child, child_col).join(parents, "value", "left") \
+        .agg(F.coalesce(F.sum(F.when(orphan, F.col("rows"))), F.lit(0)).alias("orphans"))
 
 
 #: columns whose membership one long holds

@@ -74,3 +74,19 @@ def test_star_is_read_once(spark, sf):
 
     r = K.risk_view(spark, sf)
     assert _scans(K.concentration(r, ["counterparty", "desk"])) == _scans(r)
+
+
+def test_values_of_a_column_are_counted_once_for_profile_key_and_inclusion(spark, tmp_path):
+    for name, keys in (("child", [1, 1, 2, None, None, 9]), ("parent", [1, 2, 2, None])):
+        spark.createDataFrame([(k,) for k in keys], "k long").write.parquet(f"{tmp_path}/{name}")
+    child, parent = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("child", "parent"))
+    top, key, orphans = C.top_values(child, 2), C.infer_keys(child, "child"), C.infer_fk(child, "k", parent, "k")
+    assert [(r.value, r.cnt, r.rank) for r in top.orderBy("rank").collect()] == [("1", 2, 1), ("2", 1, 2)]
+    assert [tuple(r)[2:] for r in key.collect()] == [(6, 4, 3, False)]
+    assert orphans.first().orphans == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        p = _plan(top.selectExpr("cnt AS n").union(key.select("n_non_null")).union(orphans))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert p.count("/child]") == 1 and p.count("ReusedExchange") == 2
