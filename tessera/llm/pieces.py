@@ -14,6 +14,8 @@ import heapq
 import re
 from functools import lru_cache
 from hashlib import sha256
+from itertools import repeat
+from operator import add
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +26,8 @@ from tessera.llm.common import TwoGenerationCache, arrow_map, in_parts, tokenize
 SPACE = "▁"
 #: parts of one text that are held at a time
 PART = 200_000
+#: parts in a generation of the cache; most of what is encoded is a part that was let go or is new, and a kept one takes some 400 bytes
+KEPT = 400_000
 #: symbols up to which an agenda is a plain list: taking its least entry is one step of C
 SHORT = 48
 #: agenda entry of a pair that no piece joins
@@ -63,6 +67,8 @@ class MergePieces:
                 raw = spec.unk_surface.encode()
             self.raw.append(raw)
         self.end = self.library.eos_id()
+        self.digits = [*map(str, range(len(self.raw)))]
+        self.single = [*zip(self.digits, repeat(1), self.raw)]
         # letters that some piece joins with a non-letter count as non-letters
         letter, border = r"[^\W\d_]", set()
         for p in self.ids:
@@ -73,15 +79,21 @@ class MergePieces:
             raise ValueError("the vocabulary has pieces across parts")
         self.order = {p: -s for p, s in self.scores.items()}
         #: per part: its ids as text, how many they are, the bytes they decode to
-        self.cache = TwoGenerationCache(lambda part: self.packed(self.merge(part)))
+        self.cache = TwoGenerationCache(lambda part: self.packed(self.merge(part)), KEPT)
 
     def packed(self, ids: list[int]) -> tuple[str, int, bytes]:
-        return " ".join(map(str, ids)), len(ids), b"".join([self.raw[i] for i in ids])
+        if len(ids) == 1:
+            return self.single[ids[0]]
+        return " ".join([self.digits[i] for i in ids]), len(ids), b"".join([self.raw[i] for i in ids])
 
     def merge(self, part: str) -> list[int]:
         """Ids of one part, by the agenda."""
+        symbols = self.joined(list(part)) if len(part) <= SHORT else self.joined_long(list(part))
+        out = [*map(self.ids.get, symbols)]
+        if None not in out:
+            return out
         out = []
-        for s in self.joined(list(part)) if len(part) <= SHORT else self.joined_long(list(part)):
+        for s in symbols:
             i = self.ids.get(s)
             if i is not None:
                 out.append(i)
@@ -92,18 +104,15 @@ class MergePieces:
     def joined(self, sym: list[str]) -> list[str]:
         """Symbols after all merges; the agenda lists the pairs in text order."""
         order = self.order.get
-        agenda = [order(a + b, NEVER) for a, b in zip(sym, sym[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == NEVER:
-                break
+        agenda = [*map(order, map(add, sym, sym[1:]), repeat(NEVER))]
+        while agenda and (best := min(agenda)) != NEVER:
             i = agenda.index(best)  # the leftmost of equals
-            sym[i] += sym.pop(i + 1)
+            made = sym[i] = sym[i] + sym.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = order(sym[i - 1] + sym[i], NEVER)
+                agenda[i - 1] = order(sym[i - 1] + made, NEVER)
             if i < len(agenda):
-                agenda[i] = order(sym[i] + sym[i + 1], NEVER)
+                agenda[i] = order(made + sym[i + 1], NEVER)
         return sym
 
     def joined_long(self, sym: list[str]) -> list[str]:

@@ -70,3 +70,15 @@ def test_encode_documents_of_messy_rows(messy, messy_rows, nothing):
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids))))
     assert got == sorted(want, key=str)
     assert encode_documents(nothing, with_ids=True).count() == 0
+
+
+def test_parts_in_the_cache_outlast_many_new_ones(monkeypatch):
+    from tessera.llm import pieces
+
+    m = pieces.MergePieces(pieces.tokenizer_path("piece_bpe_32k.model"))
+    ids = m.encode("kept part")
+    for i in range(450_000):
+        m.cache.put(i, m.single[0])
+    monkeypatch.setattr(m, "merge", lambda part: pytest.fail(f"{part!r} is encoded again"))
+    assert m.encode("kept part") == ids == m.library.encode("kept part")
+    assert m.packed(ids) == (" ".join(map(str, ids)), len(ids), b" kept part")
