@@ -26,7 +26,7 @@ from tessera.llm.common import TwoGenerationCache, arrow_map, in_parts, tokenize
 SPACE = "▁"
 #: parts of one text that are held at a time
 PART = 200_000
-#: parts in a generation of the cache; most of what is encoded is a part that was let go or is new, and a kept one takes some 400 bytes
+#: parts in a generation of the cache (two are held)
 KEPT = 400_000
 #: symbols up to which an agenda is a plain list: taking its least entry is one step of C
 SHORT = 48
