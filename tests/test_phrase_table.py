@@ -62,3 +62,46 @@ def test_a_worker_lets_an_automaton_go_before_the_next(monkeypatch):
     a, ranks, words = PT._automaton(two)
     assert held == [0, 0] and ranks == [7] and [v for _, v in a.iter("xcd")] == [0]
     PT._HELD.clear()
+
+
+def test_texts_are_written_once_whatever_the_slices(spark, monkeypatch):
+    """Slices add the numbers of rows; before, every slice but the first wrote the texts anew."""
+    from tessera.operators import phrase_table as PT
+
+    left = spark.createDataFrame([(i, f"say {i:05d} the long phrase") for i in range(40)] + [(7, None)], "id long, text string")
+    phrases = spark.createDataFrame([(i, f"{i:05d} the long", i * 3) for i in range(0, 80, 2)] + [(90, "say", 1)], "ord long, phrase string, v long")
+    written, write = [], PT.write_staged
+    monkeypatch.setattr(PT, "write_staged", lambda df, *a: written.append(df.columns) or write(df, *a))
+    got = _rows(match_phrase_table(left, "text", phrases, "phrase", "ord", ["v"], 150))
+    assert got == sorted([(i, f"say {i:05d} the long phrase", 1 if i % 2 else i * 3) for i in range(40)] + [(7, None, None)], key=repr)
+    assert len(written) > 4 and sum("c1" in c for c in written) == 1
+    written.clear()
+    assert _rows(match_phrase_table(left, "text", phrases, "phrase", "ord", ["v"])) == got
+    assert not any("c1" in c for c in written)
+
+
+def test_index_finds_what_contains_finds(monkeypatch):
+    """Phrases of all lengths, at the edges of texts and of the places tested together, and among equal hashes."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import phrase_table as PT
+
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abé 語") for _ in range(n))
+    texts = [make(rng.randrange(0, 60)) for _ in range(300)] + [None, "", make(2000)]
+    known = [t for t in texts if t and len(t.encode()) > 70][:1] + [t[a:a + rng.randrange(4, 30)] for t in texts if t for a in (0, 3, 11)]
+    phrases = list(dict.fromkeys(p for p in known + [make(rng.randrange(5, 20)) for _ in range(200)] if len(p.encode()) >= PT.SHORT))
+    want = [next((i for i, p in enumerate(phrases) if t and p in t), -1) for t in texts]
+    column = pa.array(["not this one"] + texts)[1:]   # a slice
+    table = pa.table({"ord": list(range(len(phrases))), "phrase": phrases})
+    for places, pairs in ((1 << 18, 1 << 20), (7, 5)):
+        monkeypatch.setattr(PT, "PLACES", places)
+        monkeypatch.setattr(PT, "PAIRS", pairs)
+        short, (ranks, index) = PT._slice(table)
+        assert short is None and index.first(*PT._bytes_of(column, 24)).tolist() == want
+    hashes = PT._hashes
+    monkeypatch.setattr(PT, "_hashes", lambda e, at, length: hashes(e, at, length) & np.uint64(15))
+    assert PT._slice(table)[1][1].first(*PT._bytes_of(column, 24)).tolist() == want
