@@ -178,3 +178,20 @@ def test_few_items_are_searched_where_the_text_is_embedded(spark):
     # one Python step, not a worker that embeds beside one that searches
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "MapInPandas" not in plan
+
+
+def test_candidates_dont_grow_with_the_files_of_items(spark, monkeypatch):
+    """A task returns its best for every query, so a pass has few tasks however many files the items fill."""
+    df, v, ids = _vectors(spark, n=600, dim=12, seed=9)
+    cores, folders, write = spark.sparkContext.defaultParallelism, {}, SR.write_staged
+    monkeypatch.setattr(SR, "write_staged", lambda d, s, name, *a: folders.setdefault(name, write(d, s, name, *a)))
+    monkeypatch.setattr(SR, "spread", lambda d: d.repartition(6 * cores))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        hits = SR.knn(df, df, 7, "id", "vec", "id", "vec", exclude_self=True, query_block=64)
+        assert _as_map(hits) == _brute(v, ids, 7)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    written = spark.read.parquet(folders["knn-candidates-0"]).count()
+    print("candidates", written, 600 * 7 * 2 * cores)
+    assert written <= 600 * 7 * 2 * cores
